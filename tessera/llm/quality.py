@@ -1,12 +1,13 @@
 """Quality rules with risk-controlled thresholds.
 
 Each document gets counts; each rule compares one ratio with a cutoff. Cutoffs are chosen per stratum
-(``lang``, null its own) from a fixed grid: with n labelled good documents of which x would be rejected, a
-cutoff is admissible if the exact binomial tail P(X <= x | n, alpha) is at most delta / (all tests made), so
-that with probability 1 - delta no stratum's rule rejects more than ``alpha`` of its good documents
-(Bonferroni over strata, rules and grid). The strictest admissible cutoff whose own catch is mostly bad
-documents wins; without one, the rule is off there. Labels are used for nothing else, so all of them serve as
-the holdout.
+(``lang``, null its own) by fixed-sequence testing down a fixed grid, from the mildest cutoff to the strictest:
+with n labelled good documents of which x would be rejected, a cutoff passes if the exact binomial tail
+P(X <= x | n, alpha / rules) is at most delta / (strata * rules), and the first that fails ends the sequence.
+So with probability 1 - delta no stratum loses more than ``alpha`` of its good documents to all rules together
+(Bonferroni over strata and rules; within a sequence no further correction is needed). Of the cutoffs that
+passed, the mildest with the largest catch of bad documents is used, and only if it catches ``gain`` bad
+documents for each good one lost. Labels are used for nothing else, so all of them serve as the holdout.
 
 Null text: no words, fails the base rule. Unlabelled or thinly labelled strata have no cutoffs: only the base
 rule applies. Empty labels: the same. Documents repeated in the table are judged row by row; repeated labels
@@ -25,13 +26,11 @@ from pyspark.sql import functions as F
 from .common import ASCII_SPACE, map_arrow, materialise
 
 SYMBOLS = "#*$%&|<>"
-#: rule -> rising grid of cutoffs; a document is rejected above the cutoff.
+#: rule -> cutoffs from mild to strict; a document is rejected above the cutoff.
 GRIDS = {
-    "symbol_ratio": [0.02, 0.04, 0.06, 0.08, 0.1, 0.15, 0.2, 0.3, 0.5],
-    "dup_line_ratio": [0.005, 0.01, 0.02, 0.03, 0.05, 0.08, 0.12],
-    "repeat_ratio": [0.02, 0.04, 0.06, 0.08, 0.1, 0.12, 0.15, 0.18],
-    "long_words": [6.5, 7.0, 7.5, 8.0, 9.0, 10.0, 12.0, 15.0],
-    "short_words": [-4.5, -4.0, -3.5, -3.0, -2.5, -2.0],
+    "symbol_ratio": [2.0, 1.0, 0.5, 0.3, 0.2, 0.15, 0.1, 0.08, 0.06, 0.04],
+    "dup_line_ratio": [0.2, 0.15, 0.12, 0.1, 0.08, 0.06, 0.05, 0.04, 0.03],
+    "mean_word_chars": [15.0, 12.0, 10.0, 9.5, 9.0, 8.5, 8.0, 7.5, 7.0, 6.75, 6.5],
 }
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -88,8 +87,7 @@ def measure(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 def ratios() -> dict:
     n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
-    mean = F.col("word_chars") / n
-    return {"symbol_ratio": F.col("n_symbols") / n, "dup_line_ratio": F.col("n_dup_lines") / n, "repeat_ratio": F.col("n_repeat_words") / n, "long_words": mean, "short_words": -mean}
+    return {"symbol_ratio": F.col("n_symbols") / n, "dup_line_ratio": F.col("n_dup_lines") / n, "mean_word_chars": F.col("word_chars") / n}
 
 
 def binomial_tail(x: int, n: int, p: float) -> float:
@@ -101,7 +99,7 @@ def binomial_tail(x: int, n: int, p: float) -> float:
     return min(1.0, math.exp(top) * math.fsum(math.exp(v - top) for v in logs))
 
 
-def cutoffs(measured: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = 0.01, delta: float = 0.05, purity: float = 0.5) -> list[tuple]:
+def cutoffs(measured: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = 0.05, delta: float = 0.05, gain: float = 10.0) -> list[tuple]:
     """(stratum, rule, cutoff) of the rules that are on. Only counts by stratum, rule and grid step reach the driver."""
     marks = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     known = measured.where(~F.col("base_failed")).join(marks, "doc_id")
@@ -109,15 +107,18 @@ def cutoffs(measured: DataFrame, labels: DataFrame, stratum: str = "lang", alpha
     found = known.groupBy(stratum, F.col("quality") > 0).agg(F.count("*").alias("n"), *steps).collect()
     good = {r[0]: r for r in found if r[1]}
     bad = {r[0]: r for r in found if not r[1]}
-    tests = max(1, len(good) * sum(map(len, GRIDS.values())))
-    chosen = []
+    level, chosen = delta / max(1, len(good) * len(GRIDS)), []
     for key, r in good.items():
         for rule, grid in GRIDS.items():
+            best = (0, None)
             for k, c in enumerate(grid):
                 lost, caught = r[f"{rule}:{k}"], bad[key][f"{rule}:{k}"] if key in bad else 0
-                if caught and lost <= (1 - purity) * (lost + caught) * 0.1 and binomial_tail(lost, r["n"], alpha / len(GRIDS)) <= delta / tests:
-                    chosen.append((key, rule, c))
+                if binomial_tail(lost, r["n"], alpha / len(GRIDS)) > level:
                     break
+                if caught > best[0] and caught >= gain * lost:
+                    best = caught, c
+            if best[0]:
+                chosen.append((key, rule, best[1]))
     return chosen
 
 

@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality, simhash
+from . import media, mixing, packing, quality, simhash, warc
 from .common import table
 
 
+def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.analyse(media.store(table(spark, sf_dir, "documents")), with_tensors=False).drop("segments", "tensors")
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.page_records(warc.read(spark, warc.write(table(spark, sf_dir, "pages")))).drop("digest_ok")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = simhash.components(table(spark, sf_dir, "documents"))
     return made.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
@@ -35,5 +43,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
 
+OP2_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+h AS (SELECT d, max(page_id) AS head FROM p WHERE n >= 1000 GROUP BY d)
+SELECT page_id, n AS payload_bytes, p.d AS payload_digest,
+       CASE WHEN head IS NULL OR head = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN head <> page_id THEN head END AS refers_to
+FROM p LEFT JOIN h ON p.d = h.d
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_warc": OP2_SQL}

@@ -33,7 +33,7 @@ def width_for(vocabulary: int) -> int:
 def pack(ids: np.ndarray, bits: int) -> bytes:
     """Ids as one little-endian bit string of ``bits`` bits each."""
     if bits in (8, 16, 32):
-        return ids.astype(f"<u{bits // 8}").tobytes()
+        return ids.astype(f"<u{bits // 8}", copy=False).tobytes()
     raw = np.unpackbits(ids.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")
     return np.packbits(raw[:, :bits].reshape(-1), bitorder="little").tobytes()
 
@@ -69,67 +69,88 @@ def crc32_join(a: int, b: int, n: int) -> int:
 
 
 #: ASCII punctuation that ends a run of letters for the tokenizer; the apostrophe may start a contraction.
-PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class WordEncoder:
-    """Encodes texts with a word-end BPE tokenizer whose tokens never cross ASCII white space.
+    """Encodes texts with a lower-casing word-end BPE tokenizer whose tokens never cross ASCII white space.
 
-    Each distinct word is encoded once. Words of letters with a tail of punctuation are encoded as two, and
+    Words are looked up as the bytes of their ids, in two generations of at most ``most`` words: when the younger
+    is full it becomes the older. Unknown words of letters with a tail of punctuation are encoded as two, and
     words of letters many at a time, told apart by their word-end tokens; if the number of these isn't the
     number of words (letters that change class when normalised), one at a time.
     """
 
-    def __init__(self, path: str, most: int = 400_000, end: str = "</w>"):
+    def __init__(self, path: str, most: int = 350_000, end: str = "</w>"):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.most = Tokenizer.from_file(path), {}, most
+        self.tokenizer, self.known, self.older, self.most = Tokenizer.from_file(path), {}, {}, most
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        top = max(vocabulary.values())
+        self.kind = np.dtype("<u2" if top < 1 << 16 else "<u4")
+        self.ends = np.zeros(top + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith(end)]] = True
 
     def one_by_one(self, words: list[bytes]) -> None:
-        made = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        self.known.update(zip(words, (x.ids for x in made)))
+        for i in range(0, len(words), 10_000):
+            part = words[i : i + 10_000]
+            made = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
+            self.known.update(zip(part, (np.array(x.ids, self.kind).tobytes() for x in made)))
 
     def letters(self, words: list[bytes]) -> None:
+        size = self.kind.itemsize
         for i in range(0, len(words), 2_000):
             part = words[i : i + 2_000]
-            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, np.uint32)
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, self.kind)
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(part):
-                flat, cuts = ids.tolist(), cuts.tolist()
+                flat, cuts = ids.tobytes(), (cuts * size).tolist()
                 self.known.update((w, flat[a:b]) for w, a, b in zip(part, [0, *cuts], cuts))
             else:
                 self.one_by_one(part)
 
-    def learn(self, new: list[bytes]) -> None:
-        tailed, letters, odd, known = [], set(), set(), self.known
+    def learn(self, new: set[bytes]) -> None:
+        known, older = self.known, self.older
+        if older:
+            seen = new & older.keys()
+            known.update((w, older[w]) for w in seen)
+            new = new - seen
+        parts, letters, odd = [], set(), set()
         for w in new:
-            text = w.decode()
-            core = text.rstrip(PUNCTUATION)
-            if not (core.isalpha() and core.lower().isalpha()):
-                odd.add(w)
-            elif len(core) == len(text):
-                letters.add(w)
+            core = w.rstrip(PUNCTUATION)
+            if core.isalpha():  # ASCII letters
+                key = core.lower()
+            elif (text := core.decode()).isalpha() and text.lower().isalpha():
+                key = core
             else:
-                core, tail = core.encode(), text[len(core) :].encode()
-                tailed.append((w, core, tail))
-                if core not in known:
-                    letters.add(core)
-                if tail not in known:
-                    odd.add(tail)
-        self.letters([*letters])
-        self.one_by_one([*odd])
-        known.update((w, known[c] + known[t]) for w, c, t in tailed)
+                odd.add(w)
+                continue
+            letters.add(key)
+            tail = w[len(core) :]
+            if tail:
+                odd.add(tail)
+            if key != w:
+                parts.append((w, key, tail))
+        need = letters.difference(known)
+        found = need & older.keys()
+        known.update((w, older[w]) for w in found)
+        self.letters([*(need - found)])
+        self.one_by_one([*odd.difference(known)])
+        known[b""] = b""
+        known.update((w, known[c] + known[t]) for w, c, t in parts)
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
-        words = [t.split() for t in texts]
         if len(self.known) > self.most:
-            self.known.clear()
-        self.learn([*set(chain.from_iterable(words)).difference(self.known)])
-        get = self.known.__getitem__
-        return [np.fromiter(chain.from_iterable(map(get, w)), np.uint32) for w in words]
+            self.known, self.older = {}, self.known
+        out, get = [], self.known.get
+        for text in texts:  # one at a time: its words are still in the CPU's cache when they are joined
+            words = text.split()
+            made = [*map(get, words)]
+            if None in made:
+                self.learn({w for w, m in zip(words, made) if m is None})
+                made = map(get, words)
+            out.append(np.frombuffer(b"".join(made), self.kind))
+        return out
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -149,6 +170,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, vocabulary: int, end_id: int
         if tokenizer_path not in _encoders:
             _encoders[tokenizer_path] = WordEncoder(tokenizer_path)
         encode, shard = _encoders[tokenizer_path], TaskContext.get().partitionId()
+        last = np.array([end_id], encode.kind)
         held, n_held, block, done = [], 0, 0, 0  # ids not yet written; `done` ids of the shard are
         docs_held: list[tuple[int, int, int]] = []
 
@@ -162,12 +184,12 @@ def write_ids(docs: DataFrame, tokenizer_path: str, vocabulary: int, end_id: int
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int32()] * 4 + [pa.list_(pa.int64())] * 3 + [pa.binary()])], names=["shard", "block", "bits", "n_ids", "doc_ids", "firsts", "lens", "payload"])
 
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
                 texts = [(t.as_py() or "").encode() for t in part["text"]]
                 for doc_id, ids in zip(part["doc_id"].to_pylist(), encode(texts)):
                     docs_held.append((doc_id, done + n_held, len(ids) + 1))
-                    held += [ids, np.array([end_id], np.uint32)]
+                    held += [ids, last]
                     n_held += len(ids) + 1
                     if n_held >= block_ids:
                         flat = np.concatenate(held)

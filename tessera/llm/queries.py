@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, mixing, packing, quality, simhash, warc
+from . import langid, media, mixing, packing, quality, simhash, warc
 from .common import table
 
 
@@ -19,6 +19,14 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_records(warc.read(spark, warc.write(table(spark, sf_dir, "pages")))).drop("digest_ok")
 
 
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(langid.remainder(F.col("doc_id")) == 2, F.lit(False))
+    langs, model = langid.fit(docs.where(~held_out))
+    made = langid.predict(docs, langs, model, keep=["doc_id"])
+    return made.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = simhash.components(table(spark, sf_dir, "documents"))
     return made.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")

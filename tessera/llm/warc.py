@@ -2,7 +2,7 @@
 
 ``write`` makes a record per page. Of pages with equal payloads (SHA-1) of at least ``least`` bytes the one with
 the largest page_id is a response and the others are revisits of it; all others are responses. Records go to
-plain archives through Spark's text writer: a record ends with the two line ends that the writer puts after it.
+gzip archives through Spark's text writer (offsets are those of the plain stream): a record ends with the two line ends that the writer puts after it.
 
 ``read`` never trusts a magic on its own. Tasks scan archives and emit a candidate (offset, successor) for every
 place that looks like a record, within payloads too. Inside a split of ``split`` bytes each candidate's chain is
@@ -15,6 +15,7 @@ null page_id is never the one that others refer to unless all are null. Empty ta
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 import uuid
@@ -52,7 +53,7 @@ def write(pages: DataFrame, least: int = 1000, records_per_file: int = 4000) ->
         F.lit(f"Content-Type: application/http; msgtype=response{CRLF}Content-Length: "), F.octet_length("block").cast("string"), F.lit(CRLF * 2), F.col("block"),
     )
     path = f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
-    df.select(text.alias("value")).write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", records_per_file).text(path)
+    df.select(text.alias("value")).write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", records_per_file).option("compression", "gzip").text(path)
     return path
 
 

@@ -97,7 +97,7 @@ def mix(docs: DataFrame, block_words: int = 64, shard_slots: int = 16_384, share
     inside = F.sum("size").over(Window.partitionBy("src", "bucket").orderBy("doc_id", "rid")) - F.col("size")
     placed = placed.where("size > 0").withColumn("inside", inside).join(base, ["src", "bucket"]).withColumn("at", F.col("base") + F.col("inside"))
     length = F.lit(block_words).cast("long")
-    pieces = placed.select("src", "rid", "size", "at", F.explode(F.sequence(F.floor(F.col("at") / length), F.floor((F.col("at") + F.col("size") - 1) / length))).alias("block"))
+    pieces = placed.select("src", "rid", "size", "at", F.explode(F.sequence(F.expr(f"at div {block_words}"), F.expr(f"(at + size - 1) div {block_words}"))).alias("block"))
     start = F.greatest(F.col("block") * length, F.col("at"))
     pieces = pieces.select("src", "block", "rid", (start - F.col("at")).alias("from_word"), (F.least((F.col("block") + 1) * length, F.col("at") + F.col("size")) - start).alias("words"))
 
@@ -144,8 +144,11 @@ def _slots(spark, quota: np.ndarray, n_blocks: np.ndarray, n_slots: int, shard_s
 
 
 def taken(m: Mix) -> DataFrame:
-    """(rid, doc_id, size, source_size, target, taken) of every document."""
-    met = m.slots.join(m.pieces, ["src", "block"]).groupBy("rid").agg(F.sum("words").alias("taken"))
+    """(rid, doc_id, size, source_size, target, taken) of every document.
+
+    Slots and pieces both grow with the input, and no estimate sees how many slots a shard makes: always a merge join.
+    """
+    met = m.slots.join(m.pieces.hint("merge"), ["src", "block"]).groupBy("rid").agg(F.sum("words").alias("taken"))
     sources = m.docs.sparkSession.createDataFrame([(k, w, t) for k, (_, w, t) in enumerate(m.sources)], "src int, source_size long, target double")
     out = m.docs.join(F.broadcast(sources), "src").join(met, "rid", "left")
     return out.select("rid", "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))

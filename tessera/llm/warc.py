@@ -91,6 +91,8 @@ def candidates(spark: SparkSession, path: str, split: int = 1 << 20) -> DataFram
     def rows(batch: pa.RecordBatch):
         for name, content in zip(batch["path"], batch["content"]):
             data, found = content.as_py(), []
+            if name.as_py().endswith(".gz"):
+                data = gzip.decompress(data)
             at = data.find(MAGIC)
             while at >= 0:
                 if made := parse(data, at):

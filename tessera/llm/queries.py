@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, media, mixing, packing, quality, simhash, warc
+from . import langid, media, mixing, packing, pieces, quality, simhash, warc
 from .common import table
 
 
@@ -19,6 +19,12 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_records(warc.read(spark, warc.write(table(spark, sf_dir, "pages")))).drop("digest_ok")
 
 
+def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pieces.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(langid.remainder(F.col("doc_id")) == 2, F.lit(False))

@@ -75,79 +75,81 @@ PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 class WordEncoder:
     """Encodes texts with a lower-casing word-end BPE tokenizer whose tokens never cross ASCII white space.
 
-    Words are looked up as the bytes of their ids, in two generations of at most ``most`` words: when the younger
-    is full it becomes the older. Unknown words of letters with a tail of punctuation are encoded as two, and
-    words of letters many at a time, told apart by their word-end tokens; if the number of these isn't the
-    number of words (letters that change class when normalised), one at a time.
+    ``words`` maps words as they stand to the bytes of their ids; it is refilled from ``cores`` (lower-cased runs
+    of letters) and ``tails`` (punctuation after them and anything else). Unknown cores are encoded many at a
+    time, told apart by their word-end tokens; if the number of these isn't the number of cores (letters that
+    change class when normalised), one at a time. Full maps are cleared.
     """
 
-    def __init__(self, path: str, most: int = 350_000, end: str = "</w>"):
+    def __init__(self, path: str, most_words: int = 250_000, most_cores: int = 1_000_000, end: str = "</w>"):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.older, self.most = Tokenizer.from_file(path), {}, {}, most
+        self.tokenizer, self.most_words, self.most_cores = Tokenizer.from_file(path), most_words, most_cores
+        self.words: dict[bytes, bytes] = {}
+        self.cores: dict[bytes, bytes] = {}
+        self.tails: dict[bytes, bytes] = {b"": b""}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         top = max(vocabulary.values())
         self.kind = np.dtype("<u2" if top < 1 << 16 else "<u4")
         self.ends = np.zeros(top + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith(end)]] = True
 
-    def one_by_one(self, words: list[bytes]) -> None:
-        for i in range(0, len(words), 10_000):
-            part = words[i : i + 10_000]
-            made = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            self.known.update(zip(part, (np.array(x.ids, self.kind).tobytes() for x in made)))
+    def one_by_one(self, words: list[bytes], into: dict) -> None:
+        made = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+        into.update(zip(words, (np.array(x.ids, self.kind).tobytes() for x in made)))
 
     def letters(self, words: list[bytes]) -> None:
         size = self.kind.itemsize
-        for i in range(0, len(words), 2_000):
-            part = words[i : i + 2_000]
-            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, self.kind)
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(part):
-                flat, cuts = ids.tobytes(), (cuts * size).tolist()
-                self.known.update((w, flat[a:b]) for w, a, b in zip(part, [0, *cuts], cuts))
-            else:
-                self.one_by_one(part)
+        ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, self.kind)
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) == len(words):
+            flat, cuts = ids.tobytes(), (cuts * size).tolist()
+            self.cores.update((w, flat[a:b]) for w, a, b in zip(words, [0, *cuts], cuts))
+        else:
+            self.one_by_one(words, self.cores)
 
     def learn(self, new: set[bytes]) -> None:
-        known, older = self.known, self.older
-        if older:
-            seen = new & older.keys()
-            known.update((w, older[w]) for w in seen)
-            new = new - seen
-        parts, letters, odd = [], set(), set()
+        if len(self.words) > self.most_words:
+            self.words.clear()
+        if len(self.cores) > self.most_cores:
+            self.cores.clear()
+        if len(self.tails) > self.most_words:
+            self.tails = {b"": b""}
+        cores, tails, words = self.cores, self.tails, self.words
+        parts, need, odd = [], set(), set()
         for w in new:
             core = w.rstrip(PUNCTUATION)
             if core.isalpha():  # ASCII letters
                 key = core.lower()
-            elif (text := core.decode()).isalpha() and text.lower().isalpha():
+            elif core and (text := core.decode()).isalpha() and text.lower().isalpha():
                 key = core
             else:
-                odd.add(w)
-                continue
-            letters.add(key)
+                key, core = None, b""
             tail = w[len(core) :]
-            if tail:
+            if (key is None or key in cores) and tail in tails:
+                words[w] = (cores[key] if key else b"") + tails[tail]
+                continue
+            if key is not None and key not in cores:
+                need.add(key)
+            if tail not in tails:
                 odd.add(tail)
-            if key != w:
-                parts.append((w, key, tail))
-        need = letters.difference(known)
-        found = need & older.keys()
-        known.update((w, older[w]) for w in found)
-        self.letters([*(need - found)])
-        self.one_by_one([*odd.difference(known)])
-        known[b""] = b""
-        known.update((w, known[c] + known[t]) for w, c, t in parts)
+            parts.append((w, key, tail))
+        if need:
+            self.letters([*need])
+        if odd:
+            self.one_by_one([*odd], tails)
+        words.update((w, (cores[c] if c else b"") + tails[t]) for w, c, t in parts)
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
-        if len(self.known) > self.most:
-            self.known, self.older = {}, self.known
-        out, get = [], self.known.get
+        out, get = [], self.words.get
         for text in texts:  # one at a time: its words are still in the CPU's cache when they are joined
             words = text.split()
             made = [*map(get, words)]
             if None in made:
-                self.learn({w for w, m in zip(words, made) if m is None})
+                new = {w for w, m in zip(words, made) if m is None}
+                if len(self.words) + len(new) > self.most_words:
+                    new = set(words)
+                self.learn(new)
                 made = map(get, words)
             out.append(np.frombuffer(b"".join(made), self.kind))
         return out
@@ -230,10 +232,8 @@ def read_ids(blocks: DataFrame, with_ids: bool = False) -> DataFrame:
     first = blocks.where("block = 0").agg(F.max("n_ids")).first()[0]
     block_ids = first or 1
     pieces = blocks.mapInArrow(run, "shard int, doc_id long, first long, n_tokens long, block int, n long, crc long, ids array<long>")
-    key = ["shard", "doc_id", "first", "n_tokens"]
-    whole = pieces.where("n = n_tokens").select(*key, F.col("crc").alias("ids_crc32"), "ids")
-    split = pieces.where("n < n_tokens").groupBy(*key).agg(F.collect_list(F.struct("block", "n", "crc")).alias("parts"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("block", "ids"))), lambda x: x["ids"])).alias("ids"))
-    found = whole.union(split.select(*key, join("parts").alias("ids_crc32"), "ids"))
+    ids = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("block", "ids"))), lambda x: x["ids"])) if with_ids else F.lit(None)
+    found = pieces.groupBy("shard", "doc_id", "first", "n_tokens").agg(join(F.collect_list(F.struct("block", "n", "crc"))).alias("ids_crc32"), ids.alias("ids"))
     sizes = blocks.groupBy("shard").agg(F.sum("n_ids").alias("size"))
     base = sizes.select("shard", (F.sum("size").over(Window.orderBy("shard")) - F.col("size")).alias("base"))
     out = found.join(base, "shard").select("doc_id", (F.col("base") + F.col("first")).alias("start"), "n_tokens", "ids_crc32", "ids")

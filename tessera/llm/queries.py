@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, media, mixing, packing, pieces, quality, simhash, warc
+from . import langid, linededup, media, mixing, packing, pieces, quality, simhash, warc
 from .common import table
 
 
@@ -45,6 +45,12 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.read_ids(blocks)
 
 
+def op8_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = linededup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    text = F.coalesce("text", F.lit(""))
+    return made.select("doc_id", "n_lines", "n_removed", F.octet_length(text).cast("long").alias("kept_bytes"), F.sha2(text.cast("binary"), 256).alias("kept_sha256"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=["doc_id"])
 

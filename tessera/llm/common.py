@@ -43,8 +43,19 @@ def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch: texts of some kilobytes make batches of some megabytes.
+BATCH_ROWS = 1000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def map_arrow(df: DataFrame, schema: str, rows: Callable[[pa.RecordBatch], Iterator[dict] | dict]) -> DataFrame:
     """``rows`` turns a record batch into one dict of columns (or several, one at a time)."""
+    bound_batches(df.sparkSession)
     out = df.sparkSession.createDataFrame([], schema).schema
 
     def run(batches):

@@ -152,3 +152,15 @@ def taken(m: Mix) -> DataFrame:
     sources = m.docs.sparkSession.createDataFrame([(k, w, t) for k, (_, w, t) in enumerate(m.sources)], "src int, source_size long, target double")
     out = m.docs.join(F.broadcast(sources), "src").join(met, "rid", "left")
     return out.select("rid", "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def resample(docs: DataFrame, **how) -> DataFrame:
+    """``docs`` with each row as often as the mix takes it, to the nearest whole number (at most ``cap`` times).
+
+    Rows repeated with doc_id and text count as one share each.
+    """
+    m = mix(docs, **how)
+    copies = taken(m).groupBy(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("__k")).agg(F.sum("taken").alias("__t"), F.sum("size").alias("__s"))
+    met = docs.join(copies, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))) == F.col("__k"))
+    times = F.round(F.col("__t") / F.greatest("__s", F.lit(1))).cast("int")
+    return met.withColumn("__n", F.explode(F.array_repeat(F.lit(0), times))).drop("__k", "__t", "__s", "__n")

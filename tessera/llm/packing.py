@@ -81,10 +81,10 @@ class WordEncoder:
     change class when normalised), one at a time. Full maps are cleared.
     """
 
-    def __init__(self, path: str, most_words: int = 250_000, most_cores: int = 1_000_000, end: str = "</w>"):
+    def __init__(self, path: str, most_words: int = 700_000, most_cores: int = 1_000_000, together: int = 8, end: str = "</w>"):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most_words, self.most_cores = Tokenizer.from_file(path), most_words, most_cores
+        self.tokenizer, self.most_words, self.most_cores, self.together = Tokenizer.from_file(path), most_words, most_cores, together
         self.words: dict[bytes, bytes] = {}
         self.cores: dict[bytes, bytes] = {}
         self.tails: dict[bytes, bytes] = {b"": b""}
@@ -109,8 +109,6 @@ class WordEncoder:
             self.one_by_one(words, self.cores)
 
     def learn(self, new: set[bytes]) -> None:
-        if len(self.words) > self.most_words:
-            self.words.clear()
         if len(self.cores) > self.most_cores:
             self.cores.clear()
         if len(self.tails) > self.most_words:
@@ -142,16 +140,17 @@ class WordEncoder:
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
         out, get = [], self.words.get
-        for text in texts:  # one at a time: its words are still in the CPU's cache when they are joined
-            words = text.split()
-            made = [*map(get, words)]
-            if None in made:
-                new = {w for w, m in zip(words, made) if m is None}
+        for i in range(0, len(texts), self.together):
+            words = [t.split() for t in texts[i : i + self.together]]
+            made = [[*map(get, w)] for w in words]
+            short = [None in m for m in made]
+            new = {w for ws, ms, s in zip(words, made, short) if s for w, m in zip(ws, ms) if m is None}
+            if new:
                 if len(self.words) + len(new) > self.most_words:
-                    new = set(words)
+                    self.words.clear()
+                    new.update(*words)
                 self.learn(new)
-                made = map(get, words)
-            out.append(np.frombuffer(b"".join(made), self.kind))
+            out += [np.frombuffer(b"".join(map(get, w) if s else m), self.kind) for w, m, s in zip(words, made, short)]
         return out
 
 

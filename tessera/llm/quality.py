@@ -81,7 +81,7 @@ def measure(docs: DataFrame, keep: list[str]) -> DataFrame:
         return {c: batch[c] for c in keep} | {c: made[:, k] for k, c in enumerate(COUNTS)}
 
     kinds = dict(docs.dtypes)
-    out = map_arrow(docs.select("text", *keep), ", ".join(f"`{c}` {kinds[c]}" for c in keep) + "".join(f", {c} long" for c in COUNTS), rows)
+    out = map_arrow(docs.select(*dict.fromkeys(["text", *keep])), ", ".join(f"`{c}` {kinds[c]}" for c in keep) + "".join(f", {c} long" for c in COUNTS), rows)
     return out.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
 

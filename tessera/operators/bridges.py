@@ -54,7 +54,7 @@ def derive_key(channel: Column, secret: Column) -> Column:
 
 def seal(df: DataFrame, key: Column) -> DataFrame:
     """raw encrypted (AES-GCM, random nonce), its sequence in clear and authenticated."""
-    return df.withColumn("sealed", F.aes_encrypt("raw", key, F.lit("GCM"), F.lit("DEFAULT"), F.lit(None).cast("binary"), F.col("sequence").cast("string").cast("binary"))).drop("raw")
+    return df.withColumn("sealed", F.aes_encrypt("raw", key, F.lit("GCM"), F.lit("DEFAULT"), F.lit("").cast("binary"), F.col("sequence").cast("string").cast("binary"))).drop("raw")
 
 
 def open_sealed(df: DataFrame, key: Column) -> DataFrame:

@@ -5,9 +5,12 @@ documents takes a round per byte of the longest, each over all data, so document
 hash among the ``k``-byte strings of a window is the same in equal windows, so the runs of windows that share its
 place (segments of at most 2 * length - k bytes) are dealt by it to buckets, and equal windows always meet in one
 bucket. Hashes that occur once are dropped, equal segments of a bucket are held once with their number, and a
-bucket of one distinct segment needs no order. The others go, whole buckets at a time, into collections of
-about ``collection`` strings for ``bwt.repeated_starts``, which inserts a symbol of each string a round. Buckets of
-more than ``hot`` distinct segments are cut anew with a longer k, at last with k = length, so none is unbounded.
+bucket needs no order if it has one distinct segment or if each of its segments repeats as a whole. The others go,
+whole buckets at a time, into collections of about ``collection`` strings for ``bwt.repeated_starts``, which inserts a
+symbol of each string a round. All windows of a bucket hold its k-byte string, so it stands there as two symbols
+that only this bucket has: equal windows stay equal, different ones different, and the rounds are fewer by k.
+Buckets of more than ``hot`` distinct segments are cut anew with a longer k, at last with k = length, so none is
+unbounded.
 
 Matches never cross documents. Null and empty texts have nothing to remove. Repeated rows repeat each other. An
 empty table gives an empty result; columns other than doc_id and text are ignored.
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 from .bwt import repeated_starts
 from .common import map_arrow, materialise
 
-LEVELS = (64, 160, 200)
+LEVELS = (96, 160, 200)
 
 
 def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
@@ -49,18 +52,37 @@ def sliding_least(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(h[: len(h) - (width - size)], h[width - size :]) if size < width else h
 
 
-def segments(data: bytes, k: int, length: int, part: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
-    """First window and least hash (signed) of each run of windows whose leftmost least hash stands in the same place."""
-    firsts, least = [], []
+def segments(data: bytes, k: int, length: int, part: int = 1 << 22) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First window, least hash (signed) and its place of each run of windows whose leftmost least hash stands in the same place."""
+    firsts, least, places, width = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], length - k + 1
     for a in range(0, len(data) - length + 1, part):
         h = gram_hashes(np.frombuffer(data[a : a + part + length - 1], np.uint8), k)
-        low = sliding_least(h, length - k + 1)
+        low = sliding_least(h, width)
         change = np.flatnonzero(np.concatenate(([True], (low[1:] != low[:-1]) | (h[: len(low) - 1] == low[:-1]))))
         firsts.append(change + a)
         least.append(low[change])
-    if not firsts:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(firsts).astype(np.int64), np.concatenate(least).view(np.int64)
+        views = np.lib.stride_tricks.sliding_window_view(h, width)
+        places.append(np.concatenate([views[change[i : i + 4096]].argmin(1) for i in range(0, len(change), 4096)]) + change + a)
+    return np.concatenate(firsts), np.concatenate(least).view(np.int64), np.concatenate(places)
+
+
+def squeezed(buckets: list[list[tuple[bytes, int]]], k: int) -> list[bytes] | None:
+    """Strings of (segment, place of the key) of each bucket with the key as two symbols; None if too few symbols are free."""
+    used = np.zeros(256, bool)
+    for b in buckets:
+        for seg, _ in b:
+            used[np.frombuffer(seg, np.uint8)] = True
+    known = int(used.sum())
+    free = 255 - known
+    if free * free < len(buckets):
+        return None
+    code = np.zeros(256, np.uint8)
+    code[used] = np.arange(known)
+    table, out = code.tobytes(), []
+    for n, b in enumerate(buckets):
+        name = bytes((known + n // free, known + n % free))
+        out += [seg[:at].translate(table) + name + seg[at + k :].translate(table) for seg, at in b]
+    return out
 
 
 def _runs(flags: np.ndarray) -> list[dict]:
@@ -71,46 +93,56 @@ def _runs(flags: np.ndarray) -> list[dict]:
 def find(strings: DataFrame, length: int = 200, hot: int = 2048, collection: int = 2048, level: int = 0) -> DataFrame:
     """(k1, k2, a, b): runs [a, b) of window starts that are repeated. strings: k1, k2 (their key), data, many (counts as two)."""
     k = min(LEVELS[level], length) if level < len(LEVELS) - 1 else length
-    spark = strings.sparkSession
 
     def mark(batch: pa.RecordBatch):
         for i in range(0, batch.num_rows, 512):
             part = batch.slice(i, 512)
             made = [segments(d.as_py() or b"", k, length) for d in part["data"]]
-            yield {"k1": part["k1"], "k2": part["k2"], "firsts": [m[0] for m in made], "least": [m[1] for m in made]}
+            keys = [np.unique(m[1], return_counts=True) for m in made]
+            yield {"k1": part["k1"], "k2": part["k2"], "firsts": [m[0] for m in made], "least": [m[1] for m in made], "places": [m[2] - m[0] for m in made], "keys": [x[0] for x in keys], "counts": [x[1] for x in keys]}
 
-    marks = map_arrow(strings.where(F.octet_length("data") >= length).select("k1", "k2", "data"), "k1 long, k2 long, firsts array<long>, least array<long>", mark)
+    arrays = "firsts array<long>, least array<long>, places array<int>"
+    marks = map_arrow(strings.where(F.octet_length("data") >= length).select("k1", "k2", "data"), f"k1 long, k2 long, {arrays}, keys array<long>, counts array<int>", mark)
     marks = materialise(marks.withColumn("id", F.monotonically_increasing_id()), f"suffix-marks-{level}")
-    rows = marks.select("id", F.posexplode("least").alias("at", "key"))
-    shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    kept = rows.join(shared, "key").groupBy("id").agg(F.array_sort(F.collect_list("at")).alias("at"))
-    wanted = marks.join(kept, "id").select("k1", "k2", "firsts", "least", "at").dropDuplicates(["k1", "k2"])
+    rows = marks.select("id", F.explode(F.arrays_zip("keys", "counts")).alias("x")).select("id", F.col("x.keys").alias("key"), F.col("x.counts").alias("c"))
+    shared = rows.groupBy("key").agg(F.sum("c").alias("n")).where("n > 1").select("key")
+    kept = rows.select("id", "key").join(shared, "key").groupBy("id").agg(F.collect_list("key").alias("wanted"))
+    wanted = marks.join(kept, "id").select("k1", "k2", "firsts", "least", "places", "wanted").dropDuplicates(["k1", "k2"])
 
     def cut(batch: pa.RecordBatch):
         for i in range(0, batch.num_rows, 64):
             out: list[tuple] = []
             for r in batch.slice(i, 64).to_pylist():
-                data, firsts, least = r["data"], r["firsts"], r["least"]
+                data, firsts, least, keep, own = r["data"], r["firsts"], r["least"], set(r["wanted"]), {}
                 ends = [*firsts[1:], len(data) - length + 1]
-                for x in r["at"]:
-                    seg = data[firsts[x] : ends[x] + length - 1]
+                for a, b, key, place in zip(firsts, ends, least, r["places"]):
+                    if key in keep:
+                        own.setdefault((key, place, data[a : b + length - 1]), []).append(a)
+                for (key, place, seg), starts in own.items():
                     h = xxhash.xxh3_128_digest(seg)
-                    out.append((r["k1"], r["k2"], least[x], int.from_bytes(h[:8], "big", signed=True), int.from_bytes(h[8:], "big", signed=True), firsts[x], r["many"], seg))
-            yield {c: [o[n] for o in out] for n, c in enumerate(("k1", "k2", "key", "s1", "s2", "first", "many", "seg"))}
+                    out.append((r["k1"], r["k2"], key, int.from_bytes(h[:8], "big", signed=True), int.from_bytes(h[8:], "big", signed=True), starts, place, r["many"], seg))
+            yield {c: [o[n] for o in out] for n, c in enumerate(("k1", "k2", "key", "s1", "s2", "starts", "place", "many", "seg"))}
 
     met = strings.withColumnsRenamed({"k1": "d1", "k2": "d2"}).join(wanted, (F.col("d1") == F.col("k1")) & (F.col("d2") == F.col("k2"))).drop("d1", "d2")
-    occ = materialise(map_arrow(met.select("k1", "k2", "data", "many", "firsts", "least", "at"), "k1 long, k2 long, key long, s1 long, s2 long, first long, many boolean, seg binary", cut), f"suffix-segments-{level}")
-    classes = occ.groupBy("key", "s1", "s2").agg((F.count("*") + F.sum(F.col("many").cast("int"))).alias("n"), F.first("seg").alias("seg"))
+    occ = materialise(map_arrow(met.select("k1", "k2", "data", "many", "firsts", "least", "places", "wanted"), "k1 long, k2 long, key long, s1 long, s2 long, starts array<long>, place int, many boolean, seg binary", cut), f"suffix-segments-{level}")
+    classes = occ.groupBy("key", "s1", "s2").agg(F.sum(F.size("starts") + F.col("many").cast("int")).alias("n"), F.first("place").alias("place"), F.first("seg").alias("seg"))
     classes = materialise(classes.withColumn("cid", F.monotonically_increasing_id()), f"suffix-classes-{level}")
-    sizes = classes.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    sizes = classes.groupBy("key").agg(F.count("*").alias("size"), F.min("n").alias("least_n")).where("size > 1 and least_n = 1").drop("least_n")
     sized = classes.join(sizes, "key")
 
     def order(batches):
         held: list[dict] = []
 
         def done(rows: list[dict]):
-            found = repeated_starts([r["seg"] for r in rows], length)
-            return pa.RecordBatch.from_arrays([pa.array([r["cid"] for r in rows], pa.int64()), pa.array([_runs(f) for f in found], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))], names=["cid", "runs"])
+            buckets: list[list[tuple[bytes, int]]] = []
+            for n, r in enumerate(rows):
+                if not n or rows[n - 1]["key"] != r["key"]:
+                    buckets.append([])
+                buckets[-1].append((r["seg"], r["place"]))
+            small = squeezed(buckets, k)
+            found = repeated_starts(small, length - k + 2) if small else repeated_starts([r["seg"] for r in rows], length)
+            new = [(r["cid"], _runs(f)) for r, f in zip(rows, found) if r["n"] == 1]
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in new], pa.int64()), pa.array([x[1] for x in new], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))], names=["cid", "runs"])
 
         for batch in batches:
             for r in batch.to_pylist():
@@ -122,7 +154,7 @@ def find(strings: DataFrame, length: int = 200, hot: int = 2048, collection: int
             yield done(held)
 
     runs = "cid long, runs array<struct<a: int, b: int>>"
-    ordered = sized.where(F.col("size") <= hot).select("key", "cid", "seg").repartition("key").sortWithinPartitions("key").mapInArrow(order, runs)
+    ordered = sized.where(F.col("size") <= hot).select("key", "cid", "n", "place", "seg").repartition("key").sortWithinPartitions("key").mapInArrow(order, runs)
     found = ordered.select("cid", F.explode("runs").alias("r")).select("cid", F.col("r.a").cast("long").alias("a"), F.col("r.b").cast("long").alias("b"))
     whole = classes.where("n > 1").select("cid", F.lit(0).cast("long").alias("a"), (F.octet_length("seg") - length + 1).cast("long").alias("b"))
     over = sized.where(F.col("size") > hot)
@@ -131,7 +163,8 @@ def find(strings: DataFrame, length: int = 200, hot: int = 2048, collection: int
         if not over.isEmpty():
             found = found.union(find(over, length, hot, collection, level + 1).select(F.col("k1").alias("cid"), "a", "b"))
     in_class = materialise(found.union(whole), f"suffix-found-{level}").groupBy("cid").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
-    back = occ.select("k1", "k2", "key", "s1", "s2", "first").join(classes.select("key", "s1", "s2", "cid"), ["key", "s1", "s2"]).join(in_class, "cid")
+    back = occ.select("k1", "k2", "key", "s1", "s2", "starts").join(classes.select("key", "s1", "s2", "cid"), ["key", "s1", "s2"]).join(in_class, "cid")
+    back = back.select("k1", "k2", F.explode("starts").alias("first"), "runs")
     return back.select("k1", "k2", "first", F.explode("runs").alias("r")).select("k1", "k2", (F.col("first") + F.col("r.a")).alias("a"), (F.col("first") + F.col("r.b")).alias("b"))
 
 

@@ -81,7 +81,7 @@ class WordEncoder:
     change class when normalised), one at a time. Full maps are cleared.
     """
 
-    def __init__(self, path: str, most_words: int = 700_000, most_cores: int = 1_000_000, together: int = 8, end: str = "</w>"):
+    def __init__(self, path: str, most_words: int = 700_000, most_cores: int = 1_000_000, together: int = 4, end: str = "</w>"):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most_words, self.most_cores, self.together = Tokenizer.from_file(path), most_words, most_cores, together
@@ -143,14 +143,16 @@ class WordEncoder:
         for i in range(0, len(texts), self.together):
             words = [t.split() for t in texts[i : i + self.together]]
             made = [[*map(get, w)] for w in words]
-            short = [None in m for m in made]
-            new = {w for ws, ms, s in zip(words, made, short) if s for w, m in zip(ws, ms) if m is None}
+            gaps = [[k for k, m in enumerate(ms) if m is None] for ms in made]
+            new = {ws[k] for ws, ks in zip(words, gaps) for k in ks}
             if new:
                 if len(self.words) + len(new) > self.most_words:
                     self.words.clear()
-                    new.update(*words)
                 self.learn(new)
-            out += [np.frombuffer(b"".join(map(get, w) if s else m), self.kind) for w, m, s in zip(words, made, short)]
+                for ws, ms, ks in zip(words, made, gaps):
+                    for k in ks:
+                        ms[k] = get(ws[k])
+            out += [np.frombuffer(b"".join(ms), self.kind) for ms in made]
         return out
 
 

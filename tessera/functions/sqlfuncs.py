@@ -1,4 +1,4 @@
-"""Registration of the scalar kernels for use from SQL."""
+"""Registration of the kernels for use from SQL."""
 
 from __future__ import annotations
 
@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from . import kernels, wire
 
 
-@F.pandas_udf("string")
 def packet_status(raw: pd.Series) -> pd.Series:
     def one(data):
         try:
@@ -21,12 +20,10 @@ def packet_status(raw: pd.Series) -> pd.Series:
     return raw.map(one)
 
 
-@F.pandas_udf("array<struct<r: int, g: int, b: int>>")
 def dominant_colors(rgb: pd.Series) -> pd.Series:
     return rgb.map(lambda d: [dict(zip("rgb", c)) for c in kernels.kmeans(d or b"")[0]])
 
 
-@F.udtf(returnType="start: bigint, length: bigint, value: int")
 class RleRuns:
     """Runs of a run-length mask."""
 
@@ -38,8 +35,9 @@ class RleRuns:
             at += n
 
 
-@F.udtf(returnType="status: string, kind: string, sequence: bigint, payload_len: bigint")
 class DecodePacket:
+    """Status, kind, sequence and payload length of a packet's bytes."""
+
     def eval(self, raw: bytes):
         try:
             p = wire.parse(raw or b"")
@@ -50,7 +48,7 @@ class DecodePacket:
 
 def register(spark: SparkSession) -> None:
     """packet_status(raw), dominant_colors(rgb), rle_runs(rle) and decode_packet(raw)."""
-    spark.udf.register("packet_status", packet_status)
-    spark.udf.register("dominant_colors", dominant_colors)
-    spark.udtf.register("rle_runs", RleRuns)
-    spark.udtf.register("decode_packet", DecodePacket)
+    spark.udf.register("packet_status", F.pandas_udf(packet_status, "string"))
+    spark.udf.register("dominant_colors", F.pandas_udf(dominant_colors, "array<struct<r: int, g: int, b: int>>"))
+    spark.udtf.register("rle_runs", F.udtf(RleRuns, returnType="start: bigint, length: bigint, value: int"))
+    spark.udtf.register("decode_packet", F.udtf(DecodePacket, returnType="status: string, kind: string, sequence: bigint, payload_len: bigint"))

@@ -81,14 +81,14 @@ def _in_eight(bwt: np.ndarray, prefix: np.ndarray, at: np.ndarray, c: np.ndarray
     return np.minimum(a[:, 0], a[:, 1]), zero != 0
 
 
-def least_between(bwt: np.ndarray, prefix: np.ndarray, at: np.ndarray, c: np.ndarray, down: bool) -> np.ndarray:
-    """Least prefix value between each row of ``at`` and the nearest row with symbol c above (or below), -1 if there is none.
+def least_between(bwt: np.ndarray, prefix: np.ndarray, at: np.ndarray, c: np.ndarray, there: np.ndarray, down: bool) -> np.ndarray:
+    """Least prefix value between each row of ``at`` and the nearest row with symbol c above (or below); -1 where ``there`` says that there is none.
 
     bwt and prefix have margins. The prefix values that count are those of the rows after the upper one up to the lower one.
     """
     edge = NEAR[-1]
     values, found = _in_eight(bwt, prefix, at + edge, c, down)
-    out, todo = np.where(found, values.astype(np.int16), np.int16(-1)), np.flatnonzero(~found)
+    out, todo = np.where(found & there, values.astype(np.int16), np.int16(-1)), np.flatnonzero(~found & there)
     for width in NEAR:
         if not len(todo):
             return out
@@ -113,8 +113,13 @@ def least_between(bwt: np.ndarray, prefix: np.ndarray, at: np.ndarray, c: np.nda
     return out
 
 
-def build(strings: list[bytes], files: Columns) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bwt over compact symbols with 0 for a string's start, prefixes, first row of each string's whole suffix)."""
+def build(strings: list[bytes], files: Columns, needed: int = 0, marks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The transform over compact symbols, 0 for a string's start, and the prefixes.
+
+    With needed and marks, strings come to their marks in the same round, and from there a string ends to the left where
+    no substring of ``needed`` symbols over its mark can be shared any more: its suffix from p shares less than up to
+    the mark's two symbols with any other, or less than needed - p. What could match it is in the rows by then.
+    """
     m, lens = len(strings), np.array([len(s) for s in strings], np.int64)
     flat = np.frombuffer(b"".join(strings), np.uint8)
     used = np.flatnonzero(np.bincount(flat, minlength=256))
@@ -129,53 +134,61 @@ def build(strings: list[bytes], files: Columns) -> tuple[np.ndarray, np.ndarray,
         """Symbol before the suffix of length j; 0 at the string's start."""
         return np.where(lens[who] > j, symbols[np.maximum(ends[who] - 1 - j, 0)], 0).astype(np.uint8)
 
-    total = int(lens.sum()) + m
+    total, edge = int(lens.sum()) + m, NEAR[-1]
     base = np.repeat(np.arange(-(-total // BLOCK), dtype=np.int64) * sigma, BLOCK)
-    who, row, edge = np.arange(m), np.arange(m), NEAR[-1]
-    files.write(symbol(who, 0), np.zeros(m, np.uint8))
-    n, top = m, np.arange(m)
-    for j in range(int(lens.max(initial=0))):
+    right = np.zeros(m, np.int64) if marks is None else lens - marks
+    delay = right.max(initial=0) - right  # so that all strings come to their marks in one round
+    files.write(np.zeros(m, np.uint8), np.zeros(m, np.uint8))
+    n, who, row = m, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for j in range(int((delay + lens).max(initial=0))):
         wide, wide_prefix = files.read(n)
         bwt, prefix = wide[edge:-edge], wide_prefix[edge:-edge]
+        fresh = np.flatnonzero(delay == j)
+        bwt[fresh] = symbol(fresh, 0)
+        who, row = np.concatenate((who, fresh)), np.concatenate((row, fresh))
         live = bwt[row] > 0
-        top[who[~live]] = row[~live]
         who, row = who[live], row[live]
+        if not len(who):
+            files.write(bwt, prefix)
+            continue
         c = bwt[row]
         rank, counts = occurrences(bwt, row, c, sigma, base)
         first = m + np.concatenate(([0, 0], np.cumsum(counts[1:-1])))
         to = first[c] + rank
         order = np.argsort(to, kind="stable")
-        who, row, to, c = who[order], row[order], to[order], c[order]
-        up = least_between(wide, wide_prefix, row, c, False)
-        last = np.flatnonzero(np.append(to[1:] != to[:-1] + 1, True)) if len(to) else to  # others stand above a new row
-        low = least_between(wide, wide_prefix, row[last], c[last], True)
+        who, row, to, c, rank = who[order], row[order], to[order], c[order], rank[order]
+        up = least_between(wide, wide_prefix, row, c, rank > 0, False)
+        last = np.flatnonzero(np.append(to[1:] != to[:-1] + 1, True))  # others stand above a new row
+        low = least_between(wide, wide_prefix, row[last], c[last], rank[last] + 1 < counts[c[last]], True)
+        age = j - delay[who] + 1
+        before = symbol(who, age)
+        if marks is not None:
+            below = np.append(np.where(to[1:] == to[:-1] + 1, up[1:], -1), -1)
+            below[last] = low
+            p = lens[who] - age
+            before[(p <= marks[who]) & (np.maximum(up, below) + 1 < np.maximum(marks[who] - p + 2, needed - p))] = 0
         n += len(to)
         new = np.zeros(n, bool)
         new[to] = True
         old, grown, shared = ~new, np.empty(n, np.uint8), np.empty(n, np.uint8)
         grown[old], shared[old] = bwt, prefix
-        grown[to] = symbol(who, j + 1)
+        grown[to] = before
         shared[to] = np.where(up >= 0, np.minimum(up + 1, CAP), 0)
         below = low >= 0
         shared[to[last][below] + 1] = np.minimum(low[below] + 1, CAP)
         files.write(grown, shared)
-        # rows of the finished strings move down by what was inserted above them
-        done = np.ones(m, bool)
-        done[who] = False
-        moved = np.flatnonzero(done & (lens <= j))
-        if len(moved):
-            top[moved] = np.flatnonzero(old)[top[moved]]
         row = to
-    bwt, prefix = (x[edge:-edge] for x in files.read(n))
-    top[who] = row
-    return bwt, prefix, top
+    return tuple(x[edge:-edge] for x in files.read(n))
 
 
-def repeated_starts(strings: list[bytes], length: int) -> list[np.ndarray]:
-    """For each string, which of its len - length + 1 substrings of ``length`` bytes stand elsewhere in the collection too."""
+def repeated_starts(strings: list[bytes], length: int, marks: list[int] | None = None) -> list[np.ndarray]:
+    """For each string, which of its len - length + 1 substrings of ``length`` bytes stand elsewhere in the collection too.
+
+    marks: a place in each string whose two symbols are in each of those substrings and tell where they may match.
+    """
     files = Columns()
     try:
-        bwt, prefix, row = build(strings, files)
+        bwt, prefix = build(strings, files, *((length, np.array(marks, np.int64)) if marks else ()))
     finally:
         files.close()
     m, n = len(strings), len(bwt)
@@ -193,7 +206,7 @@ def repeated_starts(strings: list[bytes], length: int) -> list[np.ndarray]:
     at, who = np.arange(m), np.arange(m)
     for j in range(most + 1):
         flags[j, who] = hit[at]
-        more = lens[who] > j
+        more = bwt[at] > 0
         at, who = step[at[more]], who[more]
     for i, k in enumerate(lens.tolist()):
         if k >= length:

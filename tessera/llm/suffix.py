@@ -19,6 +19,7 @@ empty table gives an empty result; columns other than doc_id and text are ignore
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -72,9 +73,8 @@ def squeezed(buckets: list[list[tuple[bytes, int]]], k: int) -> list[bytes] | No
     for b in buckets:
         for seg, _ in b:
             used[np.frombuffer(seg, np.uint8)] = True
-    known = int(used.sum())
-    free = 255 - known
-    if free * free < len(buckets):
+    known, free = int(used.sum()), math.isqrt(max(0, len(buckets) - 1)) + 1
+    if known + free > 255:
         return None
     code = np.zeros(256, np.uint8)
     code[used] = np.arange(known)
@@ -140,7 +140,7 @@ def find(strings: DataFrame, length: int = 200, hot: int = 2048, collection: int
                     buckets.append([])
                 buckets[-1].append((r["seg"], r["place"]))
             small = squeezed(buckets, k)
-            found = repeated_starts(small, length - k + 2) if small else repeated_starts([r["seg"] for r in rows], length)
+            found = repeated_starts(small, length - k + 2, [r["place"] for r in rows]) if small else repeated_starts([r["seg"] for r in rows], length)
             new = [(r["cid"], _runs(f)) for r, f in zip(rows, found) if r["n"] == 1]
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in new], pa.int64()), pa.array([x[1] for x in new], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))], names=["cid", "runs"])
 

@@ -81,7 +81,7 @@ class WordEncoder:
     change class when normalised), one at a time. Full maps are cleared.
     """
 
-    def __init__(self, path: str, most_words: int = 700_000, most_cores: int = 1_000_000, together: int = 4, end: str = "</w>"):
+    def __init__(self, path: str, most_words: int = 350_000, most_cores: int = 500_000, together: int = 4, end: str = "</w>"):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most_words, self.most_cores, self.together = Tokenizer.from_file(path), most_words, most_cores, together
@@ -159,10 +159,17 @@ class WordEncoder:
 _encoders: dict[str, WordEncoder] = {}
 
 
+def encoder(path: str) -> WordEncoder:
+    """The worker's own, kept between tasks (a function of the module, as what tasks refer to by name is shared)."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
+
+
 def write_ids(docs: DataFrame, tokenizer_path: str, vocabulary: int, end_id: int, shards: int | None = None, block_ids: int = 65_536) -> DataFrame:
     """The blocks (BLOCK_SCHEMA) as written to and read from the shared folder."""
     bits = width_for(vocabulary)
-    src = docs.select(F.col("doc_id").cast("long"), "text")
+    src = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
     by = [F.col("doc_id"), F.col("text")]
     src = (src.repartitionByRange(shards, "doc_id") if shards else src.repartitionByRange("doc_id")).sortWithinPartitions(*by)
 
@@ -170,9 +177,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, vocabulary: int, end_id: int
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        if tokenizer_path not in _encoders:
-            _encoders[tokenizer_path] = WordEncoder(tokenizer_path)
-        encode, shard = _encoders[tokenizer_path], TaskContext.get().partitionId()
+        encode, shard = encoder(tokenizer_path), TaskContext.get().partitionId()
         last = np.array([end_id], encode.kind)
         held, n_held, block, done = [], 0, 0, 0  # ids not yet written; `done` ids of the shard are
         docs_held: list[tuple[int, int, int]] = []
@@ -189,7 +194,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, vocabulary: int, end_id: int
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                texts = [(t.as_py() or "").encode() for t in part["text"]]
+                texts = [t or b"" for t in part["text"].to_pylist()]
                 for doc_id, ids in zip(part["doc_id"].to_pylist(), encode(texts)):
                     docs_held.append((doc_id, done + n_held, len(ids) + 1))
                     held += [ids, last]
@@ -225,7 +230,7 @@ def read_ids(blocks: DataFrame, with_ids: bool = False) -> DataFrame:
 
     @F.udf("long")
     def join(parts):
-        crc, parts = 0, sorted(parts)
+        crc, parts = 0, sorted(parts or ())
         for k, (_, n, c) in enumerate(parts):
             crc = crc32_join(crc, c, 4 * n) if k else c
         return crc
@@ -234,7 +239,9 @@ def read_ids(blocks: DataFrame, with_ids: bool = False) -> DataFrame:
     block_ids = first or 1
     pieces = blocks.mapInArrow(run, "shard int, doc_id long, first long, n_tokens long, block int, n long, crc long, ids array<long>")
     ids = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("block", "ids"))), lambda x: x["ids"])) if with_ids else F.lit(None)
-    found = pieces.groupBy("shard", "doc_id", "first", "n_tokens").agg(join(F.collect_list(F.struct("block", "n", "crc"))).alias("ids_crc32"), ids.alias("ids"))
+    found = pieces.groupBy("shard", "doc_id", "first", "n_tokens").agg(F.collect_list(F.struct("block", "n", "crc")).alias("parts"), ids.alias("ids"))
+    one = F.size("parts") == 1
+    found = found.select("shard", "doc_id", "first", "n_tokens", F.when(one, F.col("parts")[0]["crc"]).otherwise(join(F.when(~one, F.col("parts")))).alias("ids_crc32"), "ids")
     sizes = blocks.groupBy("shard").agg(F.sum("n_ids").alias("size"))
     base = sizes.select("shard", (F.sum("size").over(Window.orderBy("shard")) - F.col("size")).alias("base"))
     out = found.join(base, "shard").select("doc_id", (F.col("base") + F.col("first")).alias("start"), "n_tokens", "ids_crc32", "ids")

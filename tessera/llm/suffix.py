@@ -30,20 +30,24 @@ from pyspark.sql import functions as F
 from .bwt import repeated_starts
 from .common import map_arrow, materialise
 
-LEVELS = (96, 160, 200)
+LEVELS = (112, 160, 200)
 
 
 def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
-    """64-bit hashes of all k-byte strings: of power-of-two lengths by doubling, of others from two that overlap."""
+    """64-bit hashes of all k-byte strings: linear ones of power-of-two lengths by doubling, of others from two that overlap, mixed at the end."""
+    h, size, weight = data.astype(np.uint64) + np.uint64(1), 1, 0x9E3779B97F4A7C15
 
     def join(left, right):
-        h = left * np.uint64(0xBF58476D1CE4E5B9) + (right ^ (right >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-        return h ^ (h >> np.uint64(32))
+        return left * np.uint64(weight) + right
 
-    h, size = (data.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15), 1
     while size * 2 <= k:
-        h, size = join(h[:-size], h[size:]), size * 2
-    return join(h[: len(h) - (k - size)], h[k - size :]) if size < k else h
+        h, size, weight = join(h[:-size], h[size:]), size * 2, (weight * 0xD1342543DE82EF95 + 2) % (1 << 64)
+    if size < k:
+        h = join(h[: len(h) - (k - size)], h[k - size :])
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(29)
+    return h
 
 
 def sliding_least(h: np.ndarray, width: int) -> np.ndarray:
@@ -62,8 +66,13 @@ def segments(data: bytes, k: int, length: int, part: int = 1 << 22) -> tuple[np.
         change = np.flatnonzero(np.concatenate(([True], (low[1:] != low[:-1]) | (h[: len(low) - 1] == low[:-1]))))
         firsts.append(change + a)
         least.append(low[change])
+        place = change + width - 1  # what came in, if it is less than the least so far
+        look = np.flatnonzero(low[change] >= low[np.maximum(change - 1, 0)])
         views = np.lib.stride_tricks.sliding_window_view(h, width)
-        places.append(np.concatenate([views[change[i : i + 4096]].argmin(1) for i in range(0, len(change), 4096)]) + change + a)
+        for i in range(0, len(look), 4096):
+            at = change[look[i : i + 4096]]
+            place[look[i : i + 4096]] = at + views[at].argmin(1)
+        places.append(place + a)
     return np.concatenate(firsts), np.concatenate(least).view(np.int64), np.concatenate(places)
 
 
@@ -90,7 +99,7 @@ def _runs(flags: np.ndarray) -> list[dict]:
     return [{"a": a, "b": b} for a, b in zip(edge[::2].tolist(), edge[1::2].tolist())]
 
 
-def find(strings: DataFrame, length: int = 200, hot: int = 2048, collection: int = 2048, level: int = 0) -> DataFrame:
+def find(strings: DataFrame, length: int = 200, hot: int = 2048, collection: int = 4096, level: int = 0) -> DataFrame:
     """(k1, k2, a, b): runs [a, b) of window starts that are repeated. strings: k1, k2 (their key), data, many (counts as two)."""
     k = min(LEVELS[level], length) if level < len(LEVELS) - 1 else length
 
@@ -98,13 +107,15 @@ def find(strings: DataFrame, length: int = 200, hot: int = 2048, collection: int
         for i in range(0, batch.num_rows, 512):
             part = batch.slice(i, 512)
             made = [segments(d.as_py() or b"", k, length) for d in part["data"]]
-            keys = [np.unique(m[1], return_counts=True) for m in made]
-            yield {"k1": part["k1"], "k2": part["k2"], "firsts": [m[0] for m in made], "least": [m[1] for m in made], "places": [m[2] - m[0] for m in made], "keys": [x[0] for x in keys], "counts": [x[1] for x in keys]}
+            again = []
+            for _, least, _ in made:
+                least = np.sort(least)
+                again.append(np.unique(least[1:][least[1:] == least[:-1]]))
+            yield {"k1": part["k1"], "k2": part["k2"], "firsts": [m[0] for m in made], "least": [m[1] for m in made], "places": [m[2] - m[0] for m in made], "again": again}
 
-    arrays = "firsts array<long>, least array<long>, places array<int>"
-    marks = map_arrow(strings.where(F.octet_length("data") >= length).select("k1", "k2", "data"), f"k1 long, k2 long, {arrays}, keys array<long>, counts array<int>", mark)
+    marks = map_arrow(strings.where(F.octet_length("data") >= length).select("k1", "k2", "data"), "k1 long, k2 long, firsts array<int>, least array<long>, places array<int>, again array<long>", mark)
     marks = materialise(marks.withColumn("id", F.monotonically_increasing_id()), f"suffix-marks-{level}")
-    rows = marks.select("id", F.explode(F.arrays_zip("keys", "counts")).alias("x")).select("id", F.col("x.keys").alias("key"), F.col("x.counts").alias("c"))
+    rows = marks.select("id", "again", F.explode(F.array_distinct("least")).alias("key")).select("id", "key", F.when(F.array_contains("again", F.col("key")), 2).otherwise(1).alias("c"))
     shared = rows.groupBy("key").agg(F.sum("c").alias("n")).where("n > 1").select("key")
     kept = rows.select("id", "key").join(shared, "key").groupBy("id").agg(F.collect_list("key").alias("wanted"))
     wanted = marks.join(kept, "id").select("k1", "k2", "firsts", "least", "places", "wanted").dropDuplicates(["k1", "k2"])

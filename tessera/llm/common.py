@@ -27,6 +27,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Folders that this process has written to the shared folder.
+WRITTEN: list[str] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what was written on the way; for when the results that read it are stored."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while WRITTEN:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 #: While a table is written, its shuffle files go as soon as they have served: what follows reads the table.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -40,6 +52,7 @@ def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         df.write.option("compression", codec).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
+    WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialise, shared_dir
+from .common import WRITTEN, map_arrow, materialise, shared_dir
 
 DATE = "2024-01-01T00:00:00Z"
 MAGIC = b"WARC/1.1\r\n"
@@ -54,6 +54,7 @@ def write(pages: DataFrame, least: int = 1000, records_per_file: int = 4000) ->
     )
     path = f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     df.select(text.alias("value")).write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", records_per_file).option("compression", "gzip").text(path)
+    WRITTEN.append(path)
     return path
 
 

@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tessera.llm import linededup, neardup, quality, simhash
-from tessera.llm.common import connected_components
+from tessera.llm.common import WRITTEN, connected_components, materialise, release
 
 
 def spaces(text):
@@ -179,3 +179,13 @@ def test_binomial_tail():
 
 def test_hash_of_nothing():
     assert simhash.fingerprint([]) == 0 and hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_release(spark):
+    import os
+
+    t = materialise(spark.range(3).toDF("x"), "test-release")
+    path = WRITTEN[-1].removeprefix("file://")
+    assert t.count() == 3 and os.path.isdir(path)
+    release(spark)
+    assert not WRITTEN and not os.path.exists(path)

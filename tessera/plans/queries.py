@@ -691,6 +691,16 @@ def v6_voice_spectral(spark, d):
     return media.decode_voice(media.encode_voice(voice_frames(spark, d), layer=1)).select("stream_id", "sequence", "keyframe", F.size("samples").alias("samples"))
 
 
+@query("""SELECT CAST(label AS BIGINT) AS stream_id, row_number() OVER w AS sequence, vec_id * 4 AS timestamp_ms, 0 AS layer, 16000 AS sample_rate, 64 AS frame_size,
+  row_number() OVER w = 1 AS keyframe, true AS whole FROM embeddings WINDOW w AS (PARTITION BY label ORDER BY vec_id)""")
+def s20_audio_frames(spark, d):
+    """Audio frames written as bytes, their header read back by expressions on columns."""
+    raw, at = media.encode_voice(voice_frames(spark, d)).select("stream_id", "raw"), scalar.uint_le
+    fields = {"sequence": (0, 4), "timestamp_ms": (4, 8), "layer": (12, 1), "sample_rate": (13, 4), "frame_size": (17, 4)}
+    r = F.col("raw")
+    return raw.select("stream_id", *[at(r, *x).alias(k) for k, x in fields.items()], (at(r, 21, 1) == 1).alias("keyframe"), (at(r, 22, 4) + 26 == F.length(r)).alias("whole"))
+
+
 @query(f"SELECT label AS stream_id, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS sequence, row_number() OVER (PARTITION BY label ORDER BY vec_id) = 1 AS keyframe FROM embeddings")
 def w9_voice_sequence(spark, d):
     n = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")).cast("long")

@@ -202,7 +202,7 @@ def settle(mats: DataFrame, chunks: int) -> DataFrame:
     else:
         up = materialise(grouped.groupBy("rid", "g").applyInPandas(multiply, "rid long, k long, n_in int, m array<double>"), "pieces-up")
         ends = settle(up, -(-chunks // GROUP)).select("rid", F.col("k").alias("g"), F.col("i").alias("gi"), F.col("j").alias("gj"))
-        ready = grouped.join(ends, ["rid", "g"])
+        ready = grouped.join(ends.hint("merge"), ["rid", "g"])
     return ready.groupBy("rid", "g").applyInPandas(solve, "rid long, k long, i int, j int")
 
 
@@ -283,7 +283,7 @@ def encode(docs: DataFrame, path: str, chunk: int = 16_384, keep: tuple = ("doc_
 
         mats = materialise(map_arrow(cut, "rid long, k long, n_in int, m array<double>", matrices), "pieces-matrices")
         ends = settle(mats, -(-(most + lead) // chunk))
-        parts = map_arrow(cut.join(ends, ["rid", "k"]), OUT, traced)
+        parts = map_arrow(cut.join(ends.hint("merge"), ["rid", "k"]), OUT, traced)  # no estimate sees what Python makes
 
         @F.udf("long")
         def joined(found):
@@ -294,5 +294,5 @@ def encode(docs: DataFrame, path: str, chunk: int = 16_384, keep: tuple = ("doc_
 
         ids = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])) if with_ids else F.lit(None).cast("array<int>")
         whole = parts.groupBy("rid").agg(F.count("*").alias("n_chunks"), F.sum("n_tokens").alias("n_tokens"), joined(F.collect_list(F.struct("k", "n_tokens", "crc"))).alias("ids_crc32"), F.every("round_trip").alias("round_trip"), ids.alias("ids"))
-        done = done.union(long.select("rid", *keep, F.char_length("text").cast("long").alias("n_chars")).join(whole, "rid").select(*keep, "n_chars", "n_chunks", "n_tokens", "ids_crc32", "round_trip", "ids"))
+        done = done.union(long.select("rid", *keep, F.char_length("text").cast("long").alias("n_chars")).join(whole.hint("merge"), "rid").select(*keep, "n_chars", "n_chunks", "n_tokens", "ids_crc32", "round_trip", "ids"))
     return done if with_ids else done.drop("ids")

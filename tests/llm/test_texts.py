@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import random
 
 import numpy as np
 import xxhash
@@ -99,6 +100,37 @@ def test_neardup_keeps_one_of_each_group(docs, rows, empty):
     assert neardup.representatives(empty).count() == 0 and set(neardup.representatives(docs).columns) == set(docs.columns)
 
 
+def test_neardup_is_exact_in_a_crowd(spark):
+    """Hundreds of pages of one template and a large group of near copies: every similar pair decides, not neighbours."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    frame = [word() for _ in range(120)]
+    pages = [" ".join(frame + [word() for _ in range(rng.randrange(18, 60))]) for _ in range(500)]
+    texts = list(pages)
+    for i in range(0, 60, 2):  # pairs that just reach the similarity, or just miss it
+        texts.append(" ".join(pages[i].split()[: -rng.randrange(8, 40)] + [word() for _ in range(4)]))
+    core = [word() for _ in range(80)]
+    texts += [" ".join(core + [word() for _ in range(rng.randrange(0, 12))]) for _ in range(300)]
+    rng.shuffle(texts)
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        both = len(sets[i] & sets[j])
+        if 10 * both >= 8 * (len(sets[i]) + len(sets[j]) - both):
+            a, b = find(i), find(j)
+            root[max(a, b)] = min(a, b)
+    want = [i for i in range(len(texts)) if find(i) == i]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for frequent in (200_000, 0):  # the order of shingles changes the work, not the result
+        assert sorted(r["doc_id"] for r in neardup.representatives(docs, frequent=frequent).collect()) == want
+
+
 def plain_line_dedup(rows, anchor, rare):
     items = sorted({(-(1 << 63) if d is None else d, t) for d, t, _, _ in rows}, key=lambda x: (x[0], xxhash_signed(x[1])))
     lines = {x: (x[1] or "").split("\n") for x in items}

@@ -154,13 +154,18 @@ def taken(m: Mix) -> DataFrame:
     return out.select("rid", "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
-def resample(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it, to the nearest whole number (at most ``cap`` times).
+def resample(docs: DataFrame, seed: int = 17, **how) -> DataFrame:
+    """``docs`` with each row as often as the mix takes it (at most ``cap`` times).
 
-    Rows repeated with doc_id and text count as one share each.
+    A document's ratio of taken words to its own is rounded up with a chance equal to its fraction, by a hash of doc_id
+    and ``seed``: long documents all have about their source's ratio, and rounding to the nearest would move them all
+    the same way. So each source's expected words are those that it was dealt. Rows repeated with doc_id and text
+    count as one share each.
     """
-    m = mix(docs, **how)
+    m = mix(docs, seed=seed, **how)
     copies = taken(m).groupBy(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("__k")).agg(F.sum("taken").alias("__t"), F.sum("size").alias("__s"))
     met = docs.join(copies, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))) == F.col("__k"))
-    times = F.round(F.col("__t") / F.greatest("__s", F.lit(1))).cast("int")
+    whole, words = F.expr("__t div greatest(__s, 1)"), F.greatest("__s", F.lit(1))
+    u = F.pmod(F.xxhash64(F.lit(seed), F.lit("copies"), "__k"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    times = (whole + F.when(u * words < F.col("__t") - whole * words, 1).otherwise(0)).cast("int")
     return met.withColumn("__n", F.explode(F.array_repeat(F.lit(0), times))).drop("__k", "__t", "__s", "__n")

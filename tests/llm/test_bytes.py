@@ -204,6 +204,14 @@ def test_mix(docs, rows, empty):
     assert mixing.taken(mixing.mix(empty)).count() == 0 and mixing.resample(empty).count() == 0
 
 
+def test_resampled_words_meet_targets(spark):
+    """Long documents all have about their source's ratio of 2, 1.6 or 0.8: rounding to the nearest gives 2, 2 and 1."""
+    docs = spark.range(1800).selectExpr("id AS doc_id", "concat('s', id % 6) AS source", "repeat('word ', 320) AS text")
+    words = {r["source"]: r["n"] * 320 for r in mixing.resample(docs, block_words=16).groupBy("source").agg(F.count("*").alias("n")).collect()}
+    for source, goal in zip(sorted(words), mixing.targets([300 * 320] * 6), strict=True):
+        assert abs(words[source] - goal) < 0.1 * goal
+
+
 # --- languages ----------------------------------------------------------------------------------------------------
 
 

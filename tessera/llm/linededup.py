@@ -1,8 +1,10 @@
 """Line deduplication by pairwise alignment.
 
-Lines of at least ``anchor`` characters are hashed. Documents that share a hash become pairs: all pairs for rare
-hashes (in at most ``rare`` documents), and for the others each document with the nearest earlier one that has
-the line, so every repeat of a line is compared with an earlier occurrence and pairs grow with the input. Each
+The shortest runs of consecutive lines that reach the deletion rule are hashed (``windows``): documents share a block
+that may be deleted just if they share such runs, however short its lines. Documents that share a hash become pairs:
+all pairs for rare hashes (in at most ``rare`` documents), and for the others each document with the nearest earlier
+one that has the run; where that leaves some line of the run in place, with the next one, the next two, four and so
+on, until the run is gone or no earlier document is left. So the result is that of aligning all pairs. Each
 pair is aligned by patience diff (lines unique in both, longest increasing run, then equal neighbours, again
 between matches); aligned blocks of at least ``least_lines`` lines or ``least_chars`` characters are deleted from
 the later document (larger doc_id, null first; ties by text hash). All decisions look at the input texts.
@@ -23,6 +25,9 @@ from pyspark.sql import functions as F
 from .common import map_arrow, materialise
 
 SPACES = r"^[\x20\x09-\x0D]*$"
+#: Runs of lines are hashed as polynomials modulo 2^64, so that any run's hash comes from sums over its document.
+BASE = 0xD1342543DE82EF95
+INVERSE = pow(BASE, -1, 1 << 64)
 
 
 def unique_matches(a: list, b: list, alo: int, ahi: int, blo: int, bhi: int) -> list[tuple[int, int]]:
@@ -96,28 +101,53 @@ def sketch(docs: DataFrame) -> DataFrame:
     )
 
 
-def pairs(sk: DataFrame, anchor: int, rare: int, span: int = 4096) -> DataFrame:
-    """(ka, ta, kb, tb): distinct pairs of an earlier and a later document to align; k is doc_id, null as the least long."""
-    least = F.lit(-(1 << 63))
-    strong = F.array_distinct(F.filter(F.transform(F.arrays_zip("hashes", "lens"), lambda x: F.when(x["lens"] >= anchor, x["hashes"])), lambda x: x.isNotNull()))
-    occ = sk.select(F.coalesce("doc_id", least).alias("k"), "th", F.explode(strong).alias("h")).distinct()
+def windows(hashes: list, lens: list, least_lines: int, least_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and end (exclusive) of the shortest runs of lines that may be deleted, from every start and to every end.
+
+    Each line of a block that may be deleted is inside one of these runs that is inside the block: the shortest from
+    the block's start, or one that starts or ends at the line. So documents that share a block share all its runs.
+    """
+    n, sizes = len(hashes), np.array(lens, np.int64)
+    lines = np.concatenate(([0], np.cumsum(sizes >= 0)))
+    chars = np.concatenate(([0], np.cumsum(np.where(sizes >= 0, sizes, -1 - sizes))))
+    at = np.arange(n)
+    end = np.maximum(np.searchsorted(lines, lines[:-1] + 1), np.minimum(np.searchsorted(lines, lines[:-1] + least_lines), np.searchsorted(chars, chars[:-1] + least_chars)))
+    last = lambda a, x: np.searchsorted(a, x, side="right") - 1
+    start = np.minimum(last(lines, lines[1:] - 1), np.maximum(last(lines, lines[1:] - least_lines), last(chars, chars[1:] - least_chars)))
+    both = np.concatenate((np.stack((at, end), 1)[end <= n], np.stack((start, at + 1), 1)[start >= 0]))
+    s, e = np.unique(both, axis=0).T if len(both) else np.zeros((2, 0), np.int64)
+    power = np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(n, BASE, np.uint64))))
+    back = np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(n, INVERSE, np.uint64))))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(np.array(hashes, np.int64).view(np.uint64) * power[:n])))
+    h = (sums[e] - sums[s]) * back[s] + (e - s).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return h.view(np.int64), s, e
+
+
+def holders(once: DataFrame, least_lines: int, least_chars: int) -> DataFrame:
+    """(h, df, k, th): documents with a run of lines (by its hash) that df > 1 documents have."""
+
+    def rows(batch: pa.RecordBatch) -> dict:
+        own = [np.unique(windows(a, b, least_lines, least_chars)[0]) for a, b in zip(batch["hashes"].to_pylist(), batch["lens"].to_pylist())]
+        at = np.repeat(np.arange(len(own)), [len(x) for x in own])
+        return {"h": np.concatenate([np.zeros(0, np.int64), *own]), "k": batch["k"].take(pa.array(at)), "th": batch["th"].take(pa.array(at))}
+
+    occ = map_arrow(once, "h long, k long, th long", rows).repartition("h")
     counts = occ.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
-    occ = materialise(occ.join(counts, "h"), "lines-shared")
-    few = occ.where(F.col("df") <= rare).groupBy("h").agg(F.array_sort(F.collect_list(F.struct("k", "th"))).alias("m"))
-    few = few.select(F.posexplode("m").alias("at", "b"), "m").select("b", F.explode(F.slice("m", F.lit(1), F.col("at"))).alias("a"))
+    return materialise(occ.join(counts, "h"), "lines-shared")
+
+
+def numbered(occ: DataFrame, rare: int, span: int = 4096) -> DataFrame:
+    """(h, b, n): the n-th document (k, th) with a run that more than ``rare`` have; long lists are split by ranges of k."""
     some = occ.where(F.col("df") > rare).select("h", F.struct("k", "th").alias("b"), F.expr(f"k div {span}").alias("bucket"))
-    before = some.groupBy("h", "bucket").agg(F.max("b").alias("last")).withColumn("carry", F.lag("last").over(Window.partitionBy("h").orderBy("bucket")))
-    near = some.withColumn("prev", F.lag("b").over(Window.partitionBy("h", "bucket").orderBy("b"))).join(before.select("h", "bucket", "carry"), ["h", "bucket"])
-    near = near.select("b", F.coalesce("prev", "carry").alias("a")).where("a is not null")
-    return few.select("b", "a").union(near).select(F.col("a.k").alias("ka"), F.col("a.th").alias("ta"), F.col("b.k").alias("kb"), F.col("b.th").alias("tb")).distinct()
+    before = some.groupBy("h", "bucket").agg(F.count("*").alias("c"))
+    before = before.select("h", "bucket", (F.sum("c").over(Window.partitionBy("h").orderBy("bucket")) - F.col("c")).alias("base"))
+    inside = some.withColumn("n", F.row_number().over(Window.partitionBy("h", "bucket").orderBy("b")))
+    return materialise(inside.join(before, ["h", "bucket"]).select("h", "b", (F.col("base") + F.col("n")).alias("n")), "lines-numbered")
 
 
-def removed_lines(docs: DataFrame, anchor: int = 20, rare: int = 4, least_lines: int = 2, least_chars: int = 100) -> DataFrame:
-    """(k, th, removed): indexes of the lines to delete, for documents that lose any."""
-    sk = materialise(sketch(docs), "lines-sketch")
-    found = materialise(pairs(sk, anchor, rare), "lines-pairs")
-    once = sk.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("k"), "th", "hashes", "lens")
-    once = once.groupBy("k", "th").agg(F.first("hashes").alias("hashes"), F.first("lens").alias("lens"))
+def aligned(once: DataFrame, found: DataFrame, least_lines: int, least_chars: int) -> DataFrame:
+    """(k, th, removed): lines of b to delete for each pair (a, b) of documents that has any."""
+    found = materialise(found.select(F.col("a.k").alias("ka"), F.col("a.th").alias("ta"), F.col("b.k").alias("kb"), F.col("b.th").alias("tb")).distinct(), "lines-pairs")
     a = once.select(F.col("k").alias("ka"), F.col("th").alias("ta"), F.col("hashes").alias("ha"))
     b = once.select(F.col("k").alias("kb"), F.col("th").alias("tb"), F.col("hashes").alias("hb"), "lens")
     met = found.join(a, ["ka", "ta"]).join(b, ["kb", "tb"]).select("kb", "tb", "ha", "hb", "lens")
@@ -131,9 +161,55 @@ def removed_lines(docs: DataFrame, anchor: int = 20, rare: int = 4, least_lines:
         return {"k": batch["kb"], "th": batch["tb"], "removed": out}
 
     cut = map_arrow(met, "k long, th long, removed array<int>", rows).where(F.size("removed") > 0)
+    return materialise(united(cut), "lines-cut")
+
+
+def united(cut: DataFrame) -> DataFrame:
     return cut.groupBy("k", "th").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("removed")))).alias("removed"))
 
 
+def unsettled(once: DataFrame, waiting: DataFrame, cut: DataFrame, least_lines: int, least_chars: int) -> DataFrame:
+    """Rows of ``waiting`` (h, b, n) whose run of lines is not deleted as a whole wherever the document has it."""
+    lists = waiting.groupBy(F.col("b.k").alias("k"), F.col("b.th").alias("th")).agg(F.collect_list(F.struct("h", "n")).alias("w"))
+    met = lists.join(once, ["k", "th"]).join(cut, ["k", "th"], "left").select("k", "th", F.col("w.h").alias("h"), F.col("w.n").alias("n"), "hashes", "lens", "removed")
+
+    def rows(batch: pa.RecordBatch) -> dict:
+        out: dict = {"h": [], "k": [], "th": [], "n": []}
+        for r in batch.to_pylist():
+            h, s, e = windows(r["hashes"], r["lens"], least_lines, least_chars)
+            gone = np.zeros(len(r["hashes"]) + 1, np.int64)
+            gone[np.array(r["removed"] or [], np.int64) + 1] = 1
+            gone = np.cumsum(gone)
+            left = set(h[gone[e] - gone[s] < e - s].tolist())
+            for x, n in zip(r["h"], r["n"]):
+                if x in left:
+                    for c, v in (("h", x), ("k", r["k"]), ("th", r["th"]), ("n", n)):
+                        out[c].append(v)
+        return out
+
+    return materialise(map_arrow(met, "h long, k long, th long, n long", rows).select("h", F.struct("k", "th").alias("b"), "n"), "lines-waiting")
+
+
+def removed_lines(docs: DataFrame, rare: int = 4, least_lines: int = 2, least_chars: int = 100) -> DataFrame:
+    """(k, th, removed): indexes of the lines to delete, for documents that lose any."""
+    once = sketch(docs).withColumn("k", F.coalesce("doc_id", F.lit(-(1 << 63)))).groupBy("k", "th")
+    once = materialise(once.agg(F.first("hashes").alias("hashes"), F.first("lens").alias("lens")), "lines-sketch")
+    occ = holders(once, least_lines, least_chars)
+    few = occ.where(F.col("df") <= rare).groupBy("h").agg(F.array_sort(F.collect_list(F.struct("k", "th"))).alias("m"))
+    few = few.select(F.posexplode("m").alias("at", "b"), "m").select("b", F.explode(F.slice("m", F.lit(1), F.col("at"))).alias("a"))
+    line = numbered(occ, rare)
+    earlier = line.select("h", F.col("b").alias("a"), F.col("n").alias("m"))
+    found = few.select("a", "b").union(line.join(earlier, (line["h"] == earlier["h"]) & (F.col("m") == F.col("n") - 1)).select("a", "b"))
+    cut, waiting, near = aligned(once, found, least_lines, least_chars), line, 1
+    while True:
+        waiting = unsettled(once, waiting.where(F.col("n") > near + 1), cut, least_lines, least_chars)
+        if waiting.isEmpty():
+            return cut
+        back = F.col("n") - F.col("m")
+        found = waiting.join(earlier, "h").where((back > near) & (back <= 2 * near)).select("a", "b")
+        cut, near = materialise(united(cut.union(aligned(once, found, least_lines, least_chars))), "lines-cut"), 2 * near
+
+
 def dedup(docs: DataFrame, **how) -> DataFrame:
     """``docs`` with text after deletion, and n_lines and n_removed of the input; all other columns as they are."""
     cut = removed_lines(docs, **how).withColumnRenamed("k", "__k").withColumnRenamed("th", "__th")

@@ -162,6 +162,27 @@ def test_line_dedup(docs, rows, empty):
     assert linededup.dedup(empty).count() == 0
 
 
+def test_line_dedup_is_that_of_all_pairs(spark):
+    """Short and blank lines, frequent lines apart, twice or in crossed order in the nearest documents: still all pairs."""
+    rng = random.Random(3)
+    own = itertools.count()
+    other = lambda: f"only here {next(own)}"
+    one, two, long = "a line that many hold", "another that many hold", "x" * 101
+    texts = [[one, two, other()], [one, other()], [other(), two], [other(), one, two]]  # the whole block is in the first only
+    texts += [[one, other(), one, two, other(), one, two], [two, one, other(), two, one], [other(), one, two, ""], [long, "", "s"], ["s", long, "", ""]]
+    texts += [["so short", "a list", other()], [other(), "so short", "a list"]]
+    lines = [one, two, long, "a", "b", "c", "", " ", "\t" * 60, "y" * 45]
+    texts += [[other() if rng.random() < 0.15 else rng.choice(lines) for _ in range(rng.randrange(1, 14))] for _ in range(70)]
+    rows = [(10 * i, "\n".join(x), None, None) for i, x in enumerate(texts)]
+    removed = [set() for _ in texts]
+    for (i, a), (j, b) in itertools.combinations(enumerate(texts), 2):
+        removed[j].update(linededup.common_blocks(a, b, [len(x) for x in b], 2, 100, {k for k, x in enumerate(b) if not x.strip(" \t\n\v\f\r")}))
+    want = ["\n".join(x for k, x in enumerate(b) if k not in gone) for b, gone in zip(texts, removed)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    assert [r["text"] for r in linededup.dedup(docs).orderBy("doc_id").collect()] == want
+    assert want[3].count("\n") == 0 and want[10].count("\n") == 0
+
+
 def test_patience_alignment():
     a, b = list("abcdefg"), list("xbcydefz")
     assert linededup.align(a, b) == [(1, 1), (2, 2), (3, 4), (4, 5), (5, 6)]

@@ -131,9 +131,9 @@ def holders(once: DataFrame, least_lines: int, least_chars: int) -> DataFrame:
         at = np.repeat(np.arange(len(own)), [len(x) for x in own])
         return {"h": np.concatenate([np.zeros(0, np.int64), *own]), "k": batch["k"].take(pa.array(at)), "th": batch["th"].take(pa.array(at))}
 
-    occ = map_arrow(once, "h long, k long, th long", rows).repartition("h")
+    occ = materialise(map_arrow(once, "h long, k long, th long", rows), "lines-runs")
     counts = occ.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
-    return materialise(occ.join(counts, "h"), "lines-shared")
+    return materialise(occ.join(counts.hint("merge"), "h"), "lines-shared")
 
 
 def numbered(occ: DataFrame, rare: int, span: int = 4096) -> DataFrame:
@@ -150,7 +150,7 @@ def aligned(once: DataFrame, found: DataFrame, least_lines: int, least_chars: in
     found = materialise(found.select(F.col("a.k").alias("ka"), F.col("a.th").alias("ta"), F.col("b.k").alias("kb"), F.col("b.th").alias("tb")).distinct(), "lines-pairs")
     a = once.select(F.col("k").alias("ka"), F.col("th").alias("ta"), F.col("hashes").alias("ha"))
     b = once.select(F.col("k").alias("kb"), F.col("th").alias("tb"), F.col("hashes").alias("hb"), "lens")
-    met = found.join(a, ["ka", "ta"]).join(b, ["kb", "tb"]).select("kb", "tb", "ha", "hb", "lens")
+    met = found.join(a.hint("merge"), ["ka", "ta"]).join(b.hint("merge"), ["kb", "tb"]).select("kb", "tb", "ha", "hb", "lens")
 
     def rows(batch: pa.RecordBatch) -> dict:
         out = []
@@ -171,7 +171,7 @@ def united(cut: DataFrame) -> DataFrame:
 def unsettled(once: DataFrame, waiting: DataFrame, cut: DataFrame, least_lines: int, least_chars: int) -> DataFrame:
     """Rows of ``waiting`` (h, b, n) whose run of lines is not deleted as a whole wherever the document has it."""
     lists = waiting.groupBy(F.col("b.k").alias("k"), F.col("b.th").alias("th")).agg(F.collect_list(F.struct("h", "n")).alias("w"))
-    met = lists.join(once, ["k", "th"]).join(cut, ["k", "th"], "left").select("k", "th", F.col("w.h").alias("h"), F.col("w.n").alias("n"), "hashes", "lens", "removed")
+    met = lists.join(once.hint("merge"), ["k", "th"]).join(cut, ["k", "th"], "left").select("k", "th", F.col("w.h").alias("h"), F.col("w.n").alias("n"), "hashes", "lens", "removed")
 
     def rows(batch: pa.RecordBatch) -> dict:
         out: dict = {"h": [], "k": [], "th": [], "n": []}

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import kernels, values
+from ..functions import kernels, scalar, values
 
 
 def frame_rows(pixels: DataFrame) -> DataFrame:
@@ -62,6 +62,20 @@ def full_search(pixels: DataFrame, block: int, reach: int) -> DataFrame:
     return best.select("cur_id", F.col("bx").cast("long").alias("block_x"), F.col("by").cast("long").alias("block_y"), F.col("best.dx").cast("long").alias("dx"), F.col("best.dy").cast("long").alias("dy"), F.col("best.sad").alias("sad"))
 
 
+def overlaps(regions: DataFrame, cell: int = 64) -> DataFrame:
+    """(key, a, b), a < b: all pairs of a key's rectangles (key, id, r) that intersect.
+
+    Rectangles meet in the cells of a grid that they cover, and a pair counts in the cell of the first corner of what
+    they share, so it is there once.
+    """
+    at = lambda c, n: F.floor((F.col("r")[c] + (F.col("r")[n] - 1 if n else 0)) / cell)
+    cells = regions.where((F.col("r.width") > 0) & (F.col("r.height") > 0)).withColumn("cx", F.explode(F.sequence(at("x", None), at("x", "width")))).withColumn("cy", F.explode(F.sequence(at("y", None), at("y", "height"))))
+    a, b = (cells.select("key", "cx", "cy", F.col("id").alias(n), F.col("r").alias(f"r{n}")) for n in "ab")
+    ra, rb = F.col("ra"), F.col("rb")
+    own = (F.floor(F.greatest(ra["x"], rb["x"]) / cell) == F.col("cx")) & (F.floor(F.greatest(ra["y"], rb["y"]) / cell) == F.col("cy"))
+    return a.join(b, ["key", "cx", "cy"]).where((F.col("a") < F.col("b")) & scalar.intersects(ra, rb) & own).select("key", "a", "b")
+
+
 def block_of(block: int) -> list[Column]:
     return [F.expr(f"x div {block}").alias("bx"), F.expr(f"y div {block}").alias("by")]
 

@@ -306,6 +306,13 @@ def j3_overlaps(spark, d):
     return a.join(b, "stream_id").where((F.col("a") < F.col("b")) & scalar.intersects(F.col("ra"), F.col("rb"))).select("stream_id", "a", "b")
 
 
+@query()
+def j3_overlaps_whole(spark, d):
+    """All overlapping rectangles of each stream; j3_overlaps is the same for the first twenty packets, as its SQL asks."""
+    r = rects(spark, d).select(F.col("stream_id").alias("key"), F.col("sequence").alias("id"), "r")
+    return blocks.overlaps(r).withColumnRenamed("key", "stream_id")
+
+
 CENTRES = "centres AS (SELECT frame_id, cluster, arg_min(r, i) AS cr, arg_min(g, i) AS cg, arg_min(b, i) AS cb FROM (SELECT *, i // 269 AS cluster FROM rgb) GROUP BY 1, 2)"
 ASSIGNED = CENTRES + """, assigned AS (SELECT frame_id, i, r, g, b, arg_min(cluster, dist * 100 + cluster) AS cluster, min(dist) AS distance FROM (SELECT p.*, c.cluster,
   (p.r - cr) * (p.r - cr) + (p.g - cg) * (p.g - cg) + (p.b - cb) * (p.b - cb) AS dist FROM rgb p JOIN centres c USING (frame_id)) GROUP BY 1, 2, 3, 4, 5)"""

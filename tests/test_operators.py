@@ -1,10 +1,14 @@
 """Operators on small inputs: masks, sparse blocks, sealed packets, SQL functions."""
 
+import itertools
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import scalar, sqlfuncs, wire
-from tessera.operators import bridges, framing, masks, stream, transform
+from tessera.operators import blocks, bridges, framing, masks, stream, transform
 
 
 def test_rle_golden_and_split(spark):
@@ -81,3 +85,13 @@ def test_packet_files(spark, tmp_path):
     df = spark.createDataFrame([(1, 2, b"x"), (1, 1, b"y")], "stream_id long, sequence long, raw binary")
     tables.write_packets(df, str(tmp_path / "p"))
     assert [r["sequence"] for r in tables.read_packets(spark, str(tmp_path / "p")).collect()] == [1, 2]
+
+
+def test_overlaps_are_all_pairs(spark):
+    rng = random.Random(2)
+    rows = [(i % 2, i, rng.randrange(-100, 400), rng.randrange(0, 400), rng.randrange(1, 150), rng.randrange(1, 90)) for i in range(160)]
+    r = spark.createDataFrame(rows, "key long, id long, x long, y long, w long, h long").select("key", "id", scalar.rect(*[F.col(c) for c in "xywh"]).alias("r"))
+    meet = lambda a, b: a[0] == b[0] and a[2] < b[2] + b[4] and b[2] < a[2] + a[4] and a[3] < b[3] + b[5] and b[3] < a[3] + a[5]
+    want = sorted((a[0], a[1], b[1]) for a, b in itertools.combinations(rows, 2) if meet(a, b))
+    got = sorted(tuple(x) for x in blocks.overlaps(r).collect())
+    assert got == want and max(x[2] for x in got) > 40

@@ -635,6 +635,12 @@ def m4_f9_full_search(spark, d):
     return blocks.full_search(fx.frames(spark, d), 16, 1)
 
 
+@query()
+def m4_f9_full_search_whole(spark, d):
+    """All offsets of the motion search's range of 16, as m1_m2_diamond has; m4_f9_full_search has the nine of its SQL."""
+    return blocks.full_search(fx.frames(spark, d), 16, 16)
+
+
 def frame_pairs(spark, d) -> DataFrame:
     return blocks.pairs(blocks.frame_rows(fx.frames(spark, d)))
 

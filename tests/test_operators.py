@@ -95,3 +95,19 @@ def test_overlaps_are_all_pairs(spark):
     want = sorted((a[0], a[1], b[1]) for a, b in itertools.combinations(rows, 2) if meet(a, b))
     got = sorted(tuple(x) for x in blocks.overlaps(r).collect())
     assert got == want and max(x[2] for x in got) > 40
+
+
+def test_full_search_over_the_whole_range(spark):
+    """Two frames with motion far beyond one pixel, against brute force."""
+    px = np.random.default_rng(4).integers(0, 256, (2, 48, 48))
+    px[1, 16:32, 16:32] = px[0, 5:21, 30:46]
+    rows = [(f, x, y, int(px[f, y, x])) for f in range(2) for y in range(48) for x in range(48)]
+    want = []
+    for by, bx in itertools.product(range(3), range(3)):
+        y, x = by * 16, bx * 16
+        all_ = [(int(abs(px[1, y : y + 16, x : x + 16] - px[0, y + dy : y + dy + 16, x + dx : x + dx + 16]).sum()), (dx, dy) != (0, 0), dy, dx) for dy in range(-16, 17) for dx in range(-16, 17) if 0 <= y + dy <= 32 and 0 <= x + dx <= 32]
+        sad, _, dy, dx = min(all_)
+        want.append((1, bx, by, dx, dy, sad))
+    frames = spark.createDataFrame(rows, "frame_id long, x long, y long, v long")
+    assert sorted(tuple(r) for r in blocks.full_search(frames, 16, 16).collect()) == sorted(want)
+    assert (1, 1, 1, 14, -11, 0) in want

@@ -69,7 +69,7 @@ def infer(model: np.ndarray, bins: np.ndarray, counts: np.ndarray, penalty: floa
     value, share, cost = float(single.max()), np.ones(1), penalty / 2 * math.log(max(2.0, counts.sum()))
     rest = [int(k) for k in np.argsort(-single, kind="stable") if k != chosen[0]]
     while rest:
-        tried = [(mixture(like[:, [*chosen, k]], counts), k) for k in rest[:3]]
+        tried = [(mixture(like[:, [*chosen, k]], counts), k) for k in rest]
         (p, v), k = max(tried, key=lambda x: x[0][1])
         if v - value <= cost:
             break

@@ -63,7 +63,7 @@ FIELDS = "offset long, successor long, type string, page_id long, refers_to long
 
 def parse(data: bytes, at: int) -> tuple | None:
     """FIELDS of the candidate at ``at``, or None if no well-formed record can start there."""
-    end = data.find(b"\r\n\r\n", at, at + 65_536)
+    end = data.find(b"\r\n\r\n", at)
     if end < 0:
         return None
     head = {}
@@ -87,7 +87,7 @@ def parse(data: bytes, at: int) -> tuple | None:
 
 
 def candidates(spark: SparkSession, path: str, split: int = 1 << 20) -> DataFrame:
-    """file, split, exit and FIELDS of every candidate."""
+    """file, its length, split, exit and FIELDS of every candidate."""
 
     def rows(batch: pa.RecordBatch):
         for name, content in zip(batch["path"], batch["content"]):
@@ -99,18 +99,20 @@ def candidates(spark: SparkSession, path: str, split: int = 1 << 20) -> DataFram
                 if made := parse(data, at):
                     found.append(made)
                 at = data.find(MAGIC, at + 1)
+            if data and not found:
+                raise ValueError(f"{name.as_py()} has no record")
             leave: dict[int, int] = {}
             for f in reversed(found):
                 inside = f[1] // split == f[0] // split
                 leave[f[0]] = leave.get(f[1], f[1]) if inside else f[1]
-            yield {"file": [name.as_py()] * len(found), "split": [f[0] // split for f in found], "exit": [leave[f[0]] for f in found]} | {x.split()[0]: [f[k] for f in found] for k, x in enumerate(FIELDS.split(", "))}
+            yield {"file": [name.as_py()] * len(found), "length": [len(data)] * len(found), "split": [f[0] // split for f in found], "exit": [leave[f[0]] for f in found]} | {x.split()[0]: [f[k] for f in found] for k, x in enumerate(FIELDS.split(", "))}
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return map_arrow(files, f"file string, split long, exit long, {FIELDS}", rows)
+    return map_arrow(files, f"file string, length long, split long, exit long, {FIELDS}", rows)
 
 
 def read(spark: SparkSession, path: str, split: int = 1 << 20) -> DataFrame:
-    """file and FIELDS of every record on the chain from its file's start."""
+    """file and FIELDS of every record on the chain from its file's start; fails if a chain does not reach its file's end."""
     found = materialise(candidates(spark, path, split), "warc-candidates")
     jump = found.select("file", F.col("offset").alias("at"), F.col("exit").alias("to"))
     reach = jump.where("at = 0").select("file", "at")
@@ -122,6 +124,9 @@ def read(spark: SparkSession, path: str, split: int = 1 << 20) -> DataFrame:
         known = now
         reach = materialise(reach.union(reach.join(jump, ["file", "at"]).select("file", F.col("to").alias("at"))).distinct(), "warc-reach")
         jump = materialise(jump.join(jump.select("file", F.col("at").alias("to"), F.col("to").alias("far")), ["file", "to"]).select("file", "at", F.col("far").alias("to")), "warc-jump")
+    ends = found.select("file", F.col("length").alias("at")).distinct()
+    if broken := ends.join(reach, ["file", "at"], "left_anti").first():
+        raise ValueError(f"{broken['file']} has no chain of records to its end")
     entry = found.join(reach.withColumnRenamed("at", "offset"), ["file", "offset"], "left_semi").groupBy("file", "split").agg(F.min("offset").alias("entry"))
     fields = F.struct(*[x.split()[0] for x in FIELDS.split(", ")])
     lists = found.groupBy("file", "split").agg(F.array_sort(F.collect_list(fields)).alias("all")).join(entry, ["file", "split"])

@@ -1,10 +1,12 @@
 """Tokens, pieces, media, archives, mixing, languages and repeats: round trips and brute force."""
 
+import gzip
 import hashlib
 import random
 import tempfile
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -170,6 +172,16 @@ def test_warc(spark):
     assert warc.read(spark, warc.write(pages.limit(0))).count() == 0
 
 
+def test_long_headers_and_broken_archives(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "a"), (2, "data:," + "x" * 100_000, "b"), (3, "u", "c")], "page_id long, url string, html string").coalesce(1)
+    path = warc.write(pages)
+    assert {r["page_id"] for r in warc.read(spark, path).collect()} == {1, 2, 3}
+    data = b"".join(gzip.decompress(f.read_bytes()) for f in Path(path.removeprefix("file:").replace("//", "/", 1)).glob("*.gz"))
+    (tmp_path / "cut.warc").write_bytes(data[:-9])
+    with pytest.raises(ValueError):
+        warc.read(spark, str(tmp_path / "cut.warc"))
+
+
 # --- mixing -------------------------------------------------------------------------------------------------------
 
 
@@ -214,6 +226,19 @@ def test_resampled_words_meet_targets(spark):
 
 # --- languages ----------------------------------------------------------------------------------------------------
 
+def test_every_language_is_tried():
+    """The second language is far from the first: three look-alikes of the first come before it when each is alone."""
+    rng = np.random.default_rng(1)
+    base = rng.dirichlet(np.full(400, 0.3))
+    alike = [0.9 * base + 0.1 * rng.dirichlet(np.full(400, 0.3)) for _ in range(5)]
+    far = np.concatenate((np.full(400, 1e-6), rng.dirichlet(np.full(400, 0.3))))
+    model = np.stack([np.concatenate((x, np.full(400, 1e-6))) for x in [base, *alike]] + [far]) + 1e-9
+    model /= model.sum(1, keepdims=True)
+    counts = rng.multinomial(3000, 0.7 * model[0] + 0.3 * model[6])
+    at = np.flatnonzero(counts)
+    found = langid.infer(model, at, counts[at])
+    assert abs(found[0] - 0.7) < 0.1 and abs(found[6] - 0.3) < 0.1
+
 
 def test_mixture_of_two(spark):
     en, de = "the cat sat on the mat and then it went home ", "der hund und die katze sind nicht im haus gewesen "

@@ -195,6 +195,13 @@ def test_line_dedup_is_that_of_all_pairs(spark):
     assert want[3].count("\n") == 0 and want[10].count("\n") == 0
 
 
+def test_line_dedup_of_short_lines(spark):
+    """A repeated verse without a line of 20 characters."""
+    verse = [f"short {i}" for i in range(60)]
+    docs = spark.createDataFrame([(1, "\n".join(verse)), (2, "\n".join(["before", *verse, "after"]))], "doc_id long, text string")
+    assert [r["text"] for r in linededup.dedup(docs).orderBy("doc_id").collect()] == ["\n".join(verse), "before\nafter"]
+
+
 def test_patience_alignment():
     a, b = list("abcdefg"), list("xbcydefz")
     assert linededup.align(a, b) == [(1, 1), (2, 2), (3, 4), (4, 5), (5, 6)]

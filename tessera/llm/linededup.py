@@ -1,16 +1,21 @@
 """Line deduplication by pairwise alignment.
 
-The shortest runs of consecutive lines that reach the deletion rule are hashed (``windows``): documents share a block
-that may be deleted just if they share such runs, however short its lines. Documents that share a hash become pairs:
-all pairs for rare hashes (in at most ``rare`` documents), and for the others each document with the nearest earlier
-one that has the run; where that leaves some line of the run in place, with the next one, the next two, four and so
-on, until the run is gone or no earlier document is left. So the result is that of aligning all pairs. Each
-pair is aligned by patience diff (lines unique in both, longest increasing run, then equal neighbours, again
-between matches); aligned blocks of at least ``least_lines`` lines or ``least_chars`` characters are deleted from
-the later document (larger doc_id, null first; ties by text hash). All decisions look at the input texts.
+The shortest runs of consecutive lines that reach the deletion rule (at least ``least_lines`` lines or
+``least_chars`` characters, one line not blank) are hashed: documents share a block that may be deleted just if they
+share such runs, however short its lines. Documents that share a hash become pairs: all pairs of a rare hash (in at
+most ``rare`` documents), and for the others each document with the first one that has the run. Each pair is aligned
+by patience diff (lines unique in both, longest increasing run, then equal neighbours, again between matches), and
+aligned blocks that reach the rule are deleted from the later document (larger doc_id, null first; ties by text
+hash). A run that brought the pair together but that the diff leaves apart, as its lines are there twice or in
+crossed order, is aligned by itself. All decisions look at the input texts.
+
+So a line is deleted just if it is in a run of lines that reaches the rule and that an earlier document has too,
+whatever pairs were aligned: no pair beyond these can add to that, and no group's pairs are all made.
 
 Null and empty texts are left as they are. Rows repeated with the same doc_id and text count once and share
-their result. Blank lines never start a match but may be part of a block. An empty table gives an empty result.
+their result. Blank lines never reach the rule alone but may be part of a block. Texts without a line end are one
+line. An empty table gives an empty result. Other columns stay; one called n_lines or n_removed gives way to the
+result's.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow, materialise
@@ -81,145 +86,126 @@ def common_blocks(a: list, b: list, lens: list, least_lines: int, least_chars: i
     for i, j in [*align(a, b), (-2, -2)]:
         if block and (i, j) != (block[-1][0] + 1, block[-1][1] + 1):
             own = [y for _, y in block]
-            if sum(y not in blank for y in own) >= least_lines or sum(lens[y] for y in own) >= least_chars:
+            words = sum(y not in blank for y in own)
+            if words >= least_lines or words and sum(lens[y] for y in own) >= least_chars:
                 out += own
             block = []
         block.append((i, j))
     return out
 
 
-def lines_of(text):
-    return F.split(text, "\n", -1)
-
-
-def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, th (hash of the text), hashes and lens of its lines (negative lens: blank), once per distinct (doc_id, text)."""
-    lines = lines_of(F.coalesce("text", F.lit("")))
-    return docs.select(
-        F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), F.transform(lines, lambda x: F.xxhash64(x)).alias("hashes"),
-        F.transform(lines, lambda x: F.when(x.rlike(SPACES), -1 - F.char_length(x)).otherwise(F.char_length(x))).alias("lens"),
-    )
-
-
-def windows(hashes: list, lens: list, least_lines: int, least_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def windows(hashes: np.ndarray, lens: np.ndarray, counts: np.ndarray, least_lines: int, least_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, start and end (exclusive) of the shortest runs of lines that may be deleted, from every start and to every end.
 
-    Each line of a block that may be deleted is inside one of these runs that is inside the block: the shortest from
-    the block's start, or one that starts or ends at the line. So documents that share a block share all its runs.
+    hashes and lens hold the lines of several documents, ``counts`` each; no run crosses documents. Each line of a block
+    that may be deleted is inside one of these runs that is inside the block: the shortest from the block's start, or
+    one that starts or ends at the line. So documents that share a block share all its runs.
     """
-    n, sizes = len(hashes), np.array(lens, np.int64)
-    lines = np.concatenate(([0], np.cumsum(sizes >= 0)))
-    chars = np.concatenate(([0], np.cumsum(np.where(sizes >= 0, sizes, -1 - sizes))))
+    n, first = len(hashes), np.repeat(np.cumsum(counts) - counts, counts)
+    stop = first + np.repeat(counts, counts)
+    lines = np.concatenate(([0], np.cumsum(lens >= 0)))
+    chars = np.concatenate(([0], np.cumsum(np.where(lens >= 0, lens, -1 - lens))))
     at = np.arange(n)
     end = np.maximum(np.searchsorted(lines, lines[:-1] + 1), np.minimum(np.searchsorted(lines, lines[:-1] + least_lines), np.searchsorted(chars, chars[:-1] + least_chars)))
     last = lambda a, x: np.searchsorted(a, x, side="right") - 1
     start = np.minimum(last(lines, lines[1:] - 1), np.maximum(last(lines, lines[1:] - least_lines), last(chars, chars[1:] - least_chars)))
-    both = np.concatenate((np.stack((at, end), 1)[end <= n], np.stack((start, at + 1), 1)[start >= 0]))
-    s, e = np.unique(both, axis=0).T if len(both) else np.zeros((2, 0), np.int64)
+    ahead, back = end <= stop, start >= first
+    s, e = np.divmod(np.unique(np.concatenate(((at * (n + 1) + end)[ahead], (start * (n + 1) + at + 1)[back]))), n + 1)
     power = np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(n, BASE, np.uint64))))
-    back = np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(n, INVERSE, np.uint64))))
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(np.array(hashes, np.int64).view(np.uint64) * power[:n])))
-    h = (sums[e] - sums[s]) * back[s] + (e - s).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    undo = np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(n, INVERSE, np.uint64))))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes.view(np.uint64) * power[:n])))
+    h = (sums[e] - sums[s]) * undo[s] + (e - s).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     return h.view(np.int64), s, e
 
 
-def holders(once: DataFrame, least_lines: int, least_chars: int) -> DataFrame:
-    """(h, df, k, th): documents with a run of lines (by its hash) that df > 1 documents have."""
+def flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a list column without nulls as one array of longs, and the length of each list."""
+    counts = np.diff(column.offsets.to_numpy())
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), counts.astype(np.int64)
 
-    def rows(batch: pa.RecordBatch) -> dict:
-        own = [np.unique(windows(a, b, least_lines, least_chars)[0]) for a, b in zip(batch["hashes"].to_pylist(), batch["lens"].to_pylist())]
-        at = np.repeat(np.arange(len(own)), [len(x) for x in own])
-        return {"h": np.concatenate([np.zeros(0, np.int64), *own]), "k": batch["k"].take(pa.array(at)), "th": batch["th"].take(pa.array(at))}
-
-    occ = materialise(map_arrow(once, "h long, k long, th long", rows), "lines-runs")
-    counts = occ.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
-    return materialise(occ.join(counts.hint("merge"), "h"), "lines-shared")
 
+def sketch(docs: DataFrame, least_lines: int, least_chars: int) -> DataFrame:
+    """k (doc_id, null first), th (hash of the text), hashes and lens of its lines (negative lens: blank) and runs, once per distinct (doc_id, text)."""
+    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
+    own = docs.select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("k"), F.xxhash64("text").alias("th"), F.transform(lines, lambda x: F.xxhash64(x)).alias("hashes"),
+        F.transform(lines, lambda x: F.when(x.rlike(SPACES), -1 - F.char_length(x)).otherwise(F.char_length(x))).alias("lens"),
+    )
 
-def numbered(occ: DataFrame, rare: int, span: int = 4096) -> DataFrame:
-    """(h, b, n): the n-th document (k, th) with a run that more than ``rare`` have; long lists are split by ranges of k."""
-    some = occ.where(F.col("df") > rare).select("h", F.struct("k", "th").alias("b"), F.expr(f"k div {span}").alias("bucket"))
-    before = some.groupBy("h", "bucket").agg(F.count("*").alias("c"))
-    before = before.select("h", "bucket", (F.sum("c").over(Window.partitionBy("h").orderBy("bucket")) - F.col("c")).alias("base"))
-    inside = some.withColumn("n", F.row_number().over(Window.partitionBy("h", "bucket").orderBy("b")))
-    return materialise(inside.join(before, ["h", "bucket"]).select("h", "b", (F.col("base") + F.col("n")).alias("n")), "lines-numbered")
+    def rows(batch: pa.RecordBatch) -> dict:
+        hashes, counts = flat(batch["hashes"])
+        h, s, _ = windows(hashes, flat(batch["lens"])[0], counts, least_lines, least_chars)
+        doc = np.repeat(np.arange(len(counts)), counts)[s]
+        order = np.lexsort((h, doc))
+        h, doc = h[order], doc[order]
+        once = np.ones(len(h), bool)
+        once[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+        ends = np.cumsum(np.bincount(doc[once], minlength=len(counts)))
+        runs = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(h[once]))
+        return {c: batch[c] for c in ("k", "th", "hashes", "lens")} | {"runs": runs}
+
+    made = map_arrow(own, "k long, th long, hashes array<long>, lens array<int>, runs array<long>", rows)
+    return materialise(made.groupBy("k", "th").agg(*[F.first(c).alias(c) for c in ("hashes", "lens", "runs")]), "lines-sketch")
+
+
+def candidates(once: DataFrame, rare: int) -> DataFrame:
+    """(ka, ta, kb, tb, runs): pairs of documents, the earlier one first, and hashes of runs that they share."""
+    occ = once.select(F.explode("runs").alias("h"), F.struct("k", "th").alias("b"))
+    counts = occ.groupBy("h").agg(F.count("*").alias("df"), F.min("b").alias("a")).where("df > 1")
+    met = materialise(occ.join(counts.hint("merge"), "h"), "lines-shared")
+    few = met.where(F.col("df") <= rare).groupBy("h").agg(F.collect_list("b").alias("m"))
+    few = few.select("h", F.explode("m").alias("b"), "m").select("h", F.explode("m").alias("a"), "b")
+    both = few.union(met.where(F.col("df") > rare).select("h", "a", "b")).where("a < b")
+    found = both.groupBy(F.col("a.k").alias("ka"), F.col("a.th").alias("ta"), F.col("b.k").alias("kb"), F.col("b.th").alias("tb")).agg(F.collect_set("h").alias("runs"))
+    return materialise(found, "lines-pairs")
+
+
+def left_apart(a: list, b: list, runs: list[tuple[int, int, int]], gone: set[int]) -> set[int]:
+    """Lines of those runs (hash, s, e) of b that aren't all in ``gone`` and that a has as well."""
+    out: set[int] = set()
+    there: dict[int, bool] = {}
+    for h, s, e in runs:
+        if not gone.issuperset(range(s, e)):
+            if h not in there:
+                there[h] = any(a[i : i + e - s] == b[s:e] for i, x in enumerate(a) if x == b[s])
+            if there[h]:
+                out.update(range(s, e))
+    return out
 
 
-def aligned(once: DataFrame, found: DataFrame, least_lines: int, least_chars: int) -> DataFrame:
-    """(k, th, removed): lines of b to delete for each pair (a, b) of documents that has any."""
-    found = materialise(found.select(F.col("a.k").alias("ka"), F.col("a.th").alias("ta"), F.col("b.k").alias("kb"), F.col("b.th").alias("tb")).distinct(), "lines-pairs")
+def removed_lines(docs: DataFrame, rare: int = 4, least_lines: int = 2, least_chars: int = 100) -> DataFrame:
+    """(k, th, removed): indexes of the lines to delete, for documents that lose any."""
+    once = sketch(docs, least_lines, least_chars)
     a = once.select(F.col("k").alias("ka"), F.col("th").alias("ta"), F.col("hashes").alias("ha"))
     b = once.select(F.col("k").alias("kb"), F.col("th").alias("tb"), F.col("hashes").alias("hb"), "lens")
-    met = found.join(a.hint("merge"), ["ka", "ta"]).join(b.hint("merge"), ["kb", "tb"]).select("kb", "tb", "ha", "hb", "lens")
+    met = candidates(once, rare).join(a.hint("merge"), ["ka", "ta"]).join(b.hint("merge"), ["kb", "tb"]).select("kb", "tb", "ha", "hb", "lens", "runs")
 
     def rows(batch: pa.RecordBatch) -> dict:
         out = []
         for r in batch.to_pylist():
-            lens = r["lens"]
+            a, b, lens, wanted = r["ha"], r["hb"], r["lens"], set(r["runs"])
             blank = {j for j, n in enumerate(lens) if n < 0}
-            out.append(common_blocks(r["ha"], r["hb"], [n if n >= 0 else -1 - n for n in lens], least_lines, least_chars, blank))
+            gone = set(common_blocks(a, b, [n if n >= 0 else -1 - n for n in lens], least_lines, least_chars, blank))
+            h, s, e = (x.tolist() for x in windows(np.array(b, np.int64), np.array(lens, np.int64), np.array([len(b)]), least_lines, least_chars))
+            gone |= left_apart(a, b, [x for x in zip(h, s, e) if x[0] in wanted], gone)
+            out.append(sorted(gone))
         return {"k": batch["kb"], "th": batch["tb"], "removed": out}
 
-    cut = map_arrow(met, "k long, th long, removed array<int>", rows).where(F.size("removed") > 0)
-    return materialise(united(cut), "lines-cut")
-
-
-def united(cut: DataFrame) -> DataFrame:
-    return cut.groupBy("k", "th").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("removed")))).alias("removed"))
-
-
-def unsettled(once: DataFrame, waiting: DataFrame, cut: DataFrame, least_lines: int, least_chars: int) -> DataFrame:
-    """Rows of ``waiting`` (h, b, n) whose run of lines is not deleted as a whole wherever the document has it."""
-    lists = waiting.groupBy(F.col("b.k").alias("k"), F.col("b.th").alias("th")).agg(F.collect_list(F.struct("h", "n")).alias("w"))
-    met = lists.join(once.hint("merge"), ["k", "th"]).join(cut, ["k", "th"], "left").select("k", "th", F.col("w.h").alias("h"), F.col("w.n").alias("n"), "hashes", "lens", "removed")
-
-    def rows(batch: pa.RecordBatch) -> dict:
-        out: dict = {"h": [], "k": [], "th": [], "n": []}
-        for r in batch.to_pylist():
-            h, s, e = windows(r["hashes"], r["lens"], least_lines, least_chars)
-            gone = np.zeros(len(r["hashes"]) + 1, np.int64)
-            gone[np.array(r["removed"] or [], np.int64) + 1] = 1
-            gone = np.cumsum(gone)
-            left = set(h[gone[e] - gone[s] < e - s].tolist())
-            for x, n in zip(r["h"], r["n"]):
-                if x in left:
-                    for c, v in (("h", x), ("k", r["k"]), ("th", r["th"]), ("n", n)):
-                        out[c].append(v)
-        return out
-
-    return materialise(map_arrow(met, "h long, k long, th long, n long", rows).select("h", F.struct("k", "th").alias("b"), "n"), "lines-waiting")
-
-
-def removed_lines(docs: DataFrame, rare: int = 4, least_lines: int = 2, least_chars: int = 100) -> DataFrame:
-    """(k, th, removed): indexes of the lines to delete, for documents that lose any."""
-    once = sketch(docs).withColumn("k", F.coalesce("doc_id", F.lit(-(1 << 63)))).groupBy("k", "th")
-    once = materialise(once.agg(F.first("hashes").alias("hashes"), F.first("lens").alias("lens")), "lines-sketch")
-    occ = holders(once, least_lines, least_chars)
-    few = occ.where(F.col("df") <= rare).groupBy("h").agg(F.array_sort(F.collect_list(F.struct("k", "th"))).alias("m"))
-    few = few.select(F.posexplode("m").alias("at", "b"), "m").select("b", F.explode(F.slice("m", F.lit(1), F.col("at"))).alias("a"))
-    line = numbered(occ, rare)
-    earlier = line.select("h", F.col("b").alias("a"), F.col("n").alias("m"))
-    found = few.select("a", "b").union(line.join(earlier, (line["h"] == earlier["h"]) & (F.col("m") == F.col("n") - 1)).select("a", "b"))
-    cut, waiting, near = aligned(once, found, least_lines, least_chars), line, 1
-    while True:
-        waiting = unsettled(once, waiting.where(F.col("n") > near + 1), cut, least_lines, least_chars)
-        if waiting.isEmpty():
-            return cut
-        back = F.col("n") - F.col("m")
-        found = waiting.join(earlier, "h").where((back > near) & (back <= 2 * near)).select("a", "b")
-        cut, near = materialise(united(cut.union(aligned(once, found, least_lines, least_chars))), "lines-cut"), 2 * near
+    cut = map_arrow(met, "k long, th long, removed array<int>", rows)
+    return materialise(cut.groupBy("k", "th").agg(F.array_distinct(F.flatten(F.collect_list("removed"))).alias("removed")), "lines-cut")
 
 
 def dedup(docs: DataFrame, **how) -> DataFrame:
     """``docs`` with text after deletion, and n_lines and n_removed of the input; all other columns as they are."""
-    cut = removed_lines(docs, **how).withColumnRenamed("k", "__k").withColumnRenamed("th", "__th")
+    cut = removed_lines(docs, **how).toDF("__k", "__th", "__removed")
+    docs = docs.drop("n_lines", "n_removed")
     met = docs.withColumn("__kk", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("__tt", F.xxhash64("text"))
-    met = met.join(cut, (F.col("__kk") == F.col("__k")) & (F.col("__tt") == F.col("__th")), "left").drop("__k", "__th", "__kk", "__tt")
+    met = met.join(cut.hint("merge"), (F.col("__kk") == F.col("__k")) & (F.col("__tt") == F.col("__th")), "left")
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
 
     def rows(batch: pa.RecordBatch) -> dict:
         texts, n, lost = [], [], []
-        for text, removed in zip(batch["text"].to_pylist(), batch["removed"].to_pylist()):
+        for text, removed in zip(batch["text"].to_pylist(), batch["__removed"].to_pylist()):
             lines = [] if text is None else text.split("\n")
             n.append(len(lines))
             lost.append(len(removed or ()))
@@ -231,4 +217,4 @@ def dedup(docs: DataFrame, **how) -> DataFrame:
         return {c: batch[c] for c in kinds} | {"text": texts, "n_lines": n, "n_removed": lost}
 
     schema = ", ".join(f"`{c}` {t}" for c, t in kinds.items())
-    return map_arrow(met.select(*[F.col(f"`{c}`") for c in kinds], "removed"), f"{schema}, n_lines long, n_removed long", rows)
+    return map_arrow(met.select(*[F.col(f"`{c}`") for c in kinds], "__removed"), f"{schema}, n_lines long, n_removed long", rows)

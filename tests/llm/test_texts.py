@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import xxhash
@@ -143,20 +144,25 @@ def test_neardup_meets_every_pair_that_just_reaches_the_similarity(spark):
     assert sorted(r["doc_id"] for r in neardup.representatives(docs).collect()) == list(range(0, 3000, 2))
 
 
-def plain_line_dedup(rows, anchor, rare):
+def plain_line_dedup(rows, least_lines=2, least_chars=100):
+    """No alignment: every run of lines that reaches the rule and that an earlier document has goes."""
     items = sorted({(-(1 << 63) if d is None else d, t) for d, t, _, _ in rows}, key=lambda x: (x[0], xxhash_signed(x[1])))
     lines = {x: (x[1] or "").split("\n") for x in items}
-    holders = {}
+    seen, out = set(), {}
     for x in items:
-        for line in set(lines[x]):
-            if len(line) >= anchor and line.strip(" \t\n\v\f\r"):
-                holders.setdefault(line, []).append(x)
-    removed = {x: set() for x in items}
-    for own in holders.values():
-        for a, b in itertools.combinations(own, 2) if len(own) <= rare else zip(own, own[1:]):
-            la, lb = lines[a], lines[b]
-            removed[b].update(linededup.common_blocks(la, lb, [len(x) for x in lb], 2, 100, {j for j, x in enumerate(lb) if not x.strip(" \t\n\v\f\r")}))
-    return {x: "\n".join(t for j, t in enumerate(lines[x]) if j not in removed[x]) for x in items}
+        own, gone, found = lines[x], set(), set()
+        for s in range(len(own)):
+            words, chars, run, known = 0, 0, None, True
+            for e in range(s, len(own)):
+                words, chars, run = words + bool(own[e].strip(" \t\n\v\f\r")), chars + len(own[e]), hash((run, own[e]))
+                if words >= least_lines or words and chars >= least_chars:
+                    found.add(run)
+                    known = known and run in seen
+                    if known:
+                        gone.update(range(s, e + 1))
+        seen |= found
+        out[x] = "\n".join(t for j, t in enumerate(own) if j not in gone)
+    return out
 
 
 def xxhash_signed(text):
@@ -167,32 +173,52 @@ def xxhash_signed(text):
 
 
 def test_line_dedup(docs, rows, empty):
-    want = plain_line_dedup(rows, 20, 4)
-    for r in linededup.dedup(docs.withColumn("was", F.col("text"))).collect():
-        key = (-(1 << 63) if r["doc_id"] is None else r["doc_id"], r["was"])
-        assert (r["text"] or "") == want[key]
+    want = plain_line_dedup(rows)
+    clash = docs.withColumn("was", F.col("text")).withColumn("removed", F.lit("x")).withColumn("n_removed", F.lit("y")).withColumn("k", F.lit(1)).withColumn("hashes", F.lit(2))
+    for rare in (4, 0):
+        out = linededup.dedup(clash, rare=rare)
+        assert out.columns == [c for c in clash.columns if c != "n_removed"] + ["n_lines", "n_removed"]
+        for r in out.collect():
+            key = (-(1 << 63) if r["doc_id"] is None else r["doc_id"], r["was"])
+            assert (r["text"] or "") == want[key] and r["removed"] == "x" and r["n_lines"] == (0 if r["was"] is None else r["was"].count("\n") + 1)
     assert linededup.dedup(empty).count() == 0
 
 
-def test_line_dedup_is_that_of_all_pairs(spark):
-    """Short and blank lines, frequent lines apart, twice or in crossed order in the nearest documents: still all pairs."""
+def test_line_dedup_is_that_of_all_runs(spark):
+    """Short and blank lines, frequent lines apart, twice or in crossed order in the first documents: every run counts."""
     rng = random.Random(3)
     own = itertools.count()
     other = lambda: f"only here {next(own)}"
     one, two, long = "a line that many hold", "another that many hold", "x" * 101
     texts = [[one, two, other()], [one, other()], [other(), two], [other(), one, two]]  # the whole block is in the first only
     texts += [[one, other(), one, two, other(), one, two], [two, one, other(), two, one], [other(), one, two, ""], [long, "", "s"], ["s", long, "", ""]]
-    texts += [["so short", "a list", other()], [other(), "so short", "a list"]]
+    texts += [["so short", "a list", other()], [other(), "so short", "a list"], ["\t" * 60, "\t" * 60, other()], [other(), "\t" * 60, "\t" * 60]]
+    texts += [["l1 of many", "l2 of many"]] + [["l1 of many", other()]] * 6 + [[other(), "l2 of many"]] * 6 + [["l1 of many", "l2 of many"]]
     lines = [one, two, long, "a", "b", "c", "", " ", "\t" * 60, "y" * 45]
     texts += [[other() if rng.random() < 0.15 else rng.choice(lines) for _ in range(rng.randrange(1, 14))] for _ in range(70)]
+    texts += [["z" * 3_000_000], ["before", "z" * 3_000_000]]  # very long lines
     rows = [(10 * i, "\n".join(x), None, None) for i, x in enumerate(texts)]
-    removed = [set() for _ in texts]
-    for (i, a), (j, b) in itertools.combinations(enumerate(texts), 2):
-        removed[j].update(linededup.common_blocks(a, b, [len(x) for x in b], 2, 100, {k for k, x in enumerate(b) if not x.strip(" \t\n\v\f\r")}))
-    want = ["\n".join(x for k, x in enumerate(b) if k not in gone) for b, gone in zip(texts, removed)]
+    want = plain_line_dedup(rows)
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
-    assert [r["text"] for r in linededup.dedup(docs).orderBy("doc_id").collect()] == want
-    assert want[3].count("\n") == 0 and want[10].count("\n") == 0
+    for rare in (4, 1):
+        assert [r["text"] for r in linededup.dedup(docs, rare=rare).orderBy("doc_id").collect()] == [want[r[:2]] for r in rows]
+    assert want[rows[3][:2]].count("\n") == 0 and want[rows[25][:2]] == "" and want[rows[-1][:2]] == "before"
+    removed = [set() for _ in texts]  # what patience diffs of all pairs find is part of it
+    for (i, a), (j, b) in itertools.combinations(enumerate(texts[:-2]), 2):
+        removed[j].update(linededup.common_blocks(a, b, [len(x) for x in b], 2, 100, {k for k, x in enumerate(b) if not x.strip(" \t\n\v\f\r")}))
+    for r, b, gone in zip(rows, texts, removed):
+        kept = Counter(want[r[:2]].split("\n"))
+        assert not kept - Counter([x for k, x in enumerate(b) if k not in gone] or [""])
+
+
+def test_line_dedup_of_a_hot_line(spark):
+    """A passage that thousands of documents hold, twice in some: each is aligned once, and all but the first lose it."""
+    long = "a line of over a hundred characters that very many documents hold, with the same words in each of them, to the end"
+    docs = spark.range(3000).selectExpr("id AS doc_id", f"concat('own ', id, '\n{long}', if(id % 3 = 0, concat('\nmore ', id, '\n{long}'), '')) AS text")
+    once = linededup.sketch(docs, 2, 100)
+    assert linededup.candidates(once, 4).count() == 2999
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup(docs).collect()}
+    assert got[0].count(long) == 2 and all(long not in got[i] and f"own {i}" in got[i] for i in range(1, 3000))
 
 
 def test_line_dedup_of_short_lines(spark):

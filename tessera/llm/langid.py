@@ -7,8 +7,10 @@ its trigrams' likelihoods, and the set of languages grows while the log-likeliho
 ``penalty`` / 2 * log(n) for each further language, gets better. lang_pred is the language with the largest
 proportion (the first by name if equal), score that proportion.
 
-Null texts and texts without a letter are ``und`` with score 0. Without any labelled document every text is
-``und``. Whole texts count, very long ones in parts of PART characters. Repeated rows get equal values.
+Null texts and texts without a letter of any plane (so emoji alone) are ``und`` with score 0. Without any labelled
+document, an empty table included, every text is ``und``. Whole texts count, very long ones in parts of PART
+characters. Repeated rows get equal values. An empty table gives an empty result. Only the columns in ``keep`` are
+kept; one of them with a name of the result (lang_pred, score, mixture) gives way to it.
 """
 
 from __future__ import annotations
@@ -23,8 +25,8 @@ from pyspark.sql import functions as F
 from .common import map_arrow
 
 BINS, PART = 1 << 16, 1 << 20
-#: Which of the code points of the basic plane are letters; above it, all count as letters.
-LETTER = np.array([chr(c).isalpha() for c in range(1 << 16)])
+#: Which code points are letters, in all planes of Unicode.
+LETTER = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
 def grams(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
@@ -34,7 +36,7 @@ def grams(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
     full, any_letter = None, False
     for i in range(0, len(text), PART):
         codes = np.frombuffer(text[i : i + PART].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-        letter = np.where(codes < 1 << 16, LETTER[np.minimum(codes, 0xFFFF)], True)
+        letter = LETTER[codes]
         any_letter |= bool(letter.any())
         c = np.concatenate(([0], np.where(letter, codes, 0), [0])).astype(np.uint64)
         c = c[(c > 0) | np.concatenate(([True], c[:-1] > 0))]  # one gap between words
@@ -108,6 +110,7 @@ def fit(labelled: DataFrame, most: int = 3000) -> tuple[list[str], np.ndarray]:
 
 def predict(docs: DataFrame, langs: list[str], model: np.ndarray, keep: list[str], penalty: float = 6.0) -> DataFrame:
     """``keep`` columns, lang_pred, score and the mixture of every row. The model has a fixed size per language."""
+    keep = [c for c in keep if c not in ("lang_pred", "score", "mixture")]
     held = docs.sparkSession.sparkContext.broadcast((langs, model))
     kinds = dict(docs.dtypes)
 

@@ -19,6 +19,7 @@ list of sources and their sums is held by the driver (a mix is configured by sou
 from __future__ import annotations
 
 import math
+import re
 from typing import NamedTuple
 
 import numpy as np
@@ -26,15 +27,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import map_arrow, materialise
 
 WEIGHTS = (5, 2, 1)
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 class Mix(NamedTuple):
     docs: DataFrame  # rid, doc_id, source, src, size
     pieces: DataFrame  # src, block, rid, from_word, words: which words of which document a block holds
-    slots: DataFrame  # shard, slot, src, block
+    slots: DataFrame  # shard, slot, src, pass (of the source's blocks), block
     sources: list  # (source, words, target) in order; src is the index
 
 
@@ -78,9 +80,22 @@ def permuted(k: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     return x.astype(np.int64)
 
 
-def mix(docs: DataFrame, block_words: int = 64, shard_slots: int = 16_384, share: float = 1.5, cap: float = 2.0, seed: int = 17, bucket_rows: int = 20_000) -> Mix:
+def running(df: DataFrame, keys: list[str], bucket: str, order: list[str], value: str) -> DataFrame:
+    """``df`` with ``before``: the sum of ``value`` over a key's earlier rows, in the order of bucket, then ``order``.
+
+    Rows of a key are summed bucket by bucket, and only the buckets' sums meet, so a hot key has many tasks.
+    """
+    sums = df.groupBy(*keys, bucket).agg(F.sum(value).alias("__sum"))
+    base = sums.select(*keys, bucket, (F.sum("__sum").over(Window.partitionBy(*keys).orderBy(bucket)) - F.col("__sum")).alias("__base"))
+    inside = F.sum(value).over(Window.partitionBy(*keys, bucket).orderBy(*order)) - F.col(value)
+    return df.withColumn("__inside", inside).join(base, [*keys, bucket]).withColumn("before", F.col("__base") + F.col("__inside")).drop("__base", "__inside", bucket)
+
+
+def mix(docs: DataFrame, block_words: int = 64, shard_slots: int = 16_384, share: float = 1.5, cap: float = 2.0, seed: int = 17, bucket_rows: int = 20_000, rid: Column | None = None) -> Mix:
+    """rid: a number that is each row's own and stays so when ``docs`` is read again; made here if not given."""
     spark = docs.sparkSession
-    sized = materialise(docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long"), "source", word_count(F.col("text")).alias("size")), "mix-sizes")
+    rid = F.monotonically_increasing_id() if rid is None else rid
+    sized = materialise(docs.select(rid.alias("rid"), F.col("doc_id").cast("long"), "source", word_count(F.col("text")).alias("size")), "mix-sizes")
     totals = sized.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("n")).collect()
     totals.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     names, sizes = [r["source"] for r in totals], np.array([r["words"] for r in totals], np.int64)
@@ -91,18 +106,15 @@ def mix(docs: DataFrame, block_words: int = 64, shard_slots: int = 16_384, share
     index = spark.createDataFrame([(s, k) for k, s in enumerate(names)], "name string, src int")
     sized = sized.join(F.broadcast(index), F.col("source").eqNullSafe(F.col("name"))).drop("name")
     buckets = max(1, math.ceil(sum(r["n"] for r in totals) / bucket_rows))
-    placed = sized.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(buckets)))
-    sums = placed.groupBy("src", "bucket").agg(F.sum("size").alias("b"))
-    base = sums.select("src", "bucket", (F.sum("b").over(Window.partitionBy("src").orderBy("bucket")) - F.col("b")).alias("base"))
-    inside = F.sum("size").over(Window.partitionBy("src", "bucket").orderBy("doc_id", "rid")) - F.col("size")
-    placed = placed.where("size > 0").withColumn("inside", inside).join(base, ["src", "bucket"]).withColumn("at", F.col("base") + F.col("inside"))
+    placed = sized.where("size > 0").withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(buckets)))
+    placed = running(placed, ["src"], "bucket", ["doc_id", "rid"], "size").withColumnRenamed("before", "at")
     length = F.lit(block_words).cast("long")
     pieces = placed.select("src", "rid", "size", "at", F.explode(F.sequence(F.expr(f"at div {block_words}"), F.expr(f"(at + size - 1) div {block_words}"))).alias("block"))
     start = F.greatest(F.col("block") * length, F.col("at"))
     pieces = pieces.select("src", "block", "rid", (start - F.col("at")).alias("from_word"), (F.least((F.col("block") + 1) * length, F.col("at") + F.col("size")) - start).alias("words"))
 
     n_slots = int(quota.sum())
-    slots = _slots(spark, quota, n_blocks, n_slots, shard_slots, seed) if n_slots else spark.createDataFrame([], "shard long, slot int, src int, block long")
+    slots = _slots(spark, quota, n_blocks, n_slots, shard_slots, seed) if n_slots else spark.createDataFrame([], "shard long, slot int, src int, pass int, block long")
     return Mix(sized, pieces, slots, list(zip(names, sizes.tolist(), goals)))
 
 
@@ -136,11 +148,11 @@ def _slots(spark, quota: np.ndarray, n_blocks: np.ndarray, n_slots: int, shard_s
                 key = (k // n_blocks[src]).astype(np.uint64) * np.uint64(0xD1342543DE82EF95) + src.astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D) + np.uint64(seed)
                 block = permuted(k % n_blocks[src], n_blocks[src], key)
                 order = rng.permutation(len(src))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(src), r["shard"])), pa.array(np.arange(len(src), dtype=np.int32)), pa.array(src[order].astype(np.int32)), pa.array(block[order])], names=["shard", "slot", "src", "block"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(src), r["shard"])), pa.array(np.arange(len(src), dtype=np.int32)), pa.array(src[order].astype(np.int32)), pa.array((k // n_blocks[src])[order].astype(np.int32)), pa.array(block[order])], names=["shard", "slot", "src", "pass", "block"])
 
-    first = F.sum("n").over(Window.partitionBy("src").orderBy("shard")) - F.col("n")
-    own = drawn.withColumn("first", first).groupBy("shard").agg(F.collect_list(F.struct("src", "n", "first")).alias("own"))
-    return own.mapInArrow(fill, "shard long, slot int, src int, block long")
+    first = running(drawn.withColumn("run", F.expr("shard div 1024")), ["src"], "run", ["shard"], "n")
+    own = first.withColumnRenamed("before", "first").groupBy("shard").agg(F.collect_list(F.struct("src", "n", "first")).alias("own"))
+    return own.mapInArrow(fill, "shard long, slot int, src int, pass int, block long")
 
 
 def taken(m: Mix) -> DataFrame:
@@ -154,18 +166,43 @@ def taken(m: Mix) -> DataFrame:
     return out.select("rid", "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
+def spans(text: str, own: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Characters [a, b) of ``text`` that runs of its words cover: (first word, number of words), in any order; neighbours become one."""
+    words = [m.span() for m in WORD.finditer(text)]
+    out, last = [], -1
+    for first, n in sorted(own):
+        a, b = words[first][0], words[first + n - 1][1]
+        if first == last:
+            out[-1] = out[-1][0], b
+        else:
+            out.append((a, b))
+        last = first + n
+    return out
+
+
 def resample(docs: DataFrame, seed: int = 17, **how) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it (at most ``cap`` times).
+    """The mix as rows of ``docs``: what the slots take of each row, and nothing else.
 
-    A document's ratio of taken words to its own is rounded up with a chance equal to its fraction, by a hash of doc_id
-    and ``seed``: long documents all have about their source's ratio, and rounding to the nearest would move them all
-    the same way. So each source's expected words are those that it was dealt. Rows repeated with doc_id and text
-    count as one share each.
+    Where a pass over a source's blocks takes the whole row, it is there as it stands; where it takes some of its
+    blocks, there is a row for each run of neighbouring ones, with the text from the run's first word to its last and
+    the row's other columns. So the words of each source are those of its slots, long documents included. Rows
+    without words are not taken. Columns __rid, __pass, __all and __own may not be in ``docs``.
     """
-    m = mix(docs, seed=seed, **how)
-    copies = taken(m).groupBy(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("__k")).agg(F.sum("taken").alias("__t"), F.sum("size").alias("__s"))
-    met = docs.join(copies, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))) == F.col("__k"))
-    whole, words = F.expr("__t div greatest(__s, 1)"), F.greatest("__s", F.lit(1))
-    u = F.pmod(F.xxhash64(F.lit(seed), F.lit("copies"), "__k"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    times = (whole + F.when(u * words < F.col("__t") - whole * words, 1).otherwise(0)).cast("int")
-    return met.withColumn("__n", F.explode(F.array_repeat(F.lit(0), times))).drop("__k", "__t", "__s", "__n")
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+    held = materialise(docs.withColumn("__rid", F.monotonically_increasing_id()), "mix-docs")
+    m = mix(held, seed=seed, rid=F.col("__rid"), **how)
+    met = m.slots.join(m.pieces.hint("merge"), ["src", "block"])
+    own = met.groupBy(F.col("rid").alias("__rid"), F.col("pass").alias("__pass")).agg(F.sum("words").alias("__all"), F.collect_list(F.struct("from_word", "words")).alias("__own"))
+    own = own.join(m.docs.select(F.col("rid").alias("__rid"), "size"), "__rid").select("__rid", (F.col("__all") == F.col("size")).alias("__all"), F.when(F.col("__all") < F.col("size"), F.col("__own")).alias("__own"))
+    taken_of = held.join(own.hint("merge"), "__rid").drop("__rid")
+
+    def rows(batch: pa.RecordBatch) -> dict:
+        at, texts = [], []
+        for k, (text, runs) in enumerate(zip(batch["text"].to_pylist(), batch["__own"].to_pylist())):
+            made = [text] if runs is None else [text[a:b] for a, b in spans(text, [(r["from_word"], r["words"]) for r in runs])]
+            texts += made
+            at += [k] * len(made)
+        index = pa.array(at, pa.int64())
+        return {c: texts if c == "text" else batch[c].take(index) for c in kinds}
+
+    return map_arrow(taken_of.drop("__all"), ", ".join(f"`{c}` {t}" for c, t in kinds.items()), rows)

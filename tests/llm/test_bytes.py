@@ -2,6 +2,8 @@
 
 import gzip
 import hashlib
+import itertools
+import math
 import random
 import tempfile
 import zlib
@@ -216,12 +218,88 @@ def test_mix(docs, rows, empty):
     assert mixing.taken(mixing.mix(empty)).count() == 0 and mixing.resample(empty).count() == 0
 
 
-def test_resampled_words_meet_targets(spark):
-    """Long documents all have about their source's ratio of 2, 1.6 or 0.8: rounding to the nearest gives 2, 2 and 1."""
-    docs = spark.range(1800).selectExpr("id AS doc_id", "concat('s', id % 6) AS source", "repeat('word ', 320) AS text")
-    words = {r["source"]: r["n"] * 320 for r in mixing.resample(docs, block_words=16).groupBy("source").agg(F.count("*").alias("n")).collect()}
-    for source, goal in zip(sorted(words), mixing.targets([300 * 320] * 6), strict=True):
-        assert abs(words[source] - goal) < 0.1 * goal
+def plain_permuted(k, n, key):
+    """A Feistel network of four rounds over numbers of 2 * half bits, walked until it falls below n."""
+    half = max(1, math.ceil(math.log2(max(n, 2) + 1) / 2))
+    mask, full = (1 << half) - 1, (1 << 64) - 1
+    while True:
+        left, right = k >> half, k & mask
+        for r in range(4):
+            f = (right + key + 0x9E3779B97F4A7C15 * (r + 1)) & full
+            f = (f ^ f >> 30) * 0xBF58476D1CE4E5B9 & full
+            f = (f ^ f >> 27) * 0x94D049BB133111EB & full
+            left, right = right, left ^ ((f ^ f >> 31) & mask)
+        k = left << half | right
+        if k < n:
+            return k
+
+
+def test_slots_and_blocks(docs):
+    """Every draw, move, permutation and block join, one slot at a time."""
+    words, per_shard, seed = 8, 50, 17
+    m = mixing.mix(docs, block_words=words, shard_slots=per_shard, seed=seed)
+    sizes, goals = [w for _, w, _ in m.sources], [g for _, _, g in m.sources]
+    blocks = [-(-w // words) for w in sizes]
+    quota = [min(round(g * b / w), 2 * b) if w else 0 for g, w, b in zip(goals, sizes, blocks)]
+    n, met, want = sum(quota), [0] * len(sizes), Counter()
+    drawn = []
+    for shard in range(-(-n // per_shard)):
+        counts = np.random.default_rng([seed, shard]).multinomial(min(per_shard, n - shard * per_shard), np.array(quota) / n)
+        for src, c in enumerate(counts.tolist()):
+            drawn += [(shard, src, met[src] + i) for i in range(c)]
+            met[src] += c
+    short = [(src, k) for src in range(len(sizes)) for k in range(met[src], quota[src])]
+    over = sorted(((src, k, shard) for shard, src, k in drawn if k >= quota[src]), key=lambda x: x[:2])
+    place = {(src, k): to for (src, k, _), to in zip(over, short, strict=True)}
+    for shard, src, k in drawn:
+        src, k = place.get((src, k), (src, k))
+        key = (k // blocks[src] * 0xD1342543DE82EF95 + src * 0x2545F4914F6CDD1D + seed) & (1 << 64) - 1
+        want[shard, src, k // blocks[src], plain_permuted(k % blocks[src], blocks[src], key)] += 1
+    slots = m.slots.collect()
+    assert Counter((r["shard"], r["src"], r["pass"], r["block"]) for r in slots) == want and max(want.values()) == 1
+    assert all(sorted(r["slot"] for r in slots if r["shard"] == s) == list(range(min(per_shard, n - s * per_shard))) for s in {r["shard"] for r in slots})
+
+    held = {}  # what each block holds: whole documents tile the source's stream
+    for r in m.pieces.collect():
+        held.setdefault((r["src"], r["block"]), []).append((r["rid"], r["from_word"], r["words"]))
+    for src, w in enumerate(sizes):
+        assert all(sum(x[2] for x in held[src, b]) == min(words, w - b * words) for b in range(blocks[src]))
+    own = {r["rid"]: r for r in m.docs.collect()}
+    for rid, r in own.items():
+        mine = sorted((a, n) for (src, _), xs in held.items() for q, a, n in xs if q == rid)
+        assert [a for a, _ in mine] == list(itertools.accumulate([0] + [n for _, n in mine]))[:-1] and sum(n for _, n in mine) == r["size"]
+        assert all(src == r["src"] for (src, _), xs in held.items() for q, _, _ in xs if q == rid)
+    taken = Counter()
+    for r in slots:
+        for rid, _, n_words in held[r["src"], r["block"]]:
+            taken[rid] += n_words
+    assert {r["rid"]: r["taken"] for r in mixing.taken(m).collect()} == {rid: taken[rid] for rid in own}
+
+
+def test_spans_of_words():
+    text = "  one two\n three\tfour  five "
+    assert [text[a:b] for a, b in mixing.spans(text, [(3, 1), (0, 1), (1, 1)])] == ["one two", "four"]
+    assert [text[a:b] for a, b in mixing.spans(text, [(0, 5)])] == ["one two\n three\tfour  five"]
+
+
+def test_resampled_words_are_those_of_the_slots(spark, data, docs, rows):
+    """Each source's emitted words meet its target, documents of many blocks included, and each row is part of its document."""
+    long = spark.range(1800).selectExpr("id AS doc_id", "concat('s', id % 6) AS source", "repeat(concat('word', id, ' '), 320) AS text")
+    for source, words in ((long, 16), (docs, 8), (spark.read.parquet(f"{data}/../sf0.01/documents.parquet"), 64)):
+        out = mixing.resample(source, block_words=words)
+        got, sizes, texts = Counter(), Counter(), {}
+        for r in source.collect():
+            sizes[r["source"]] += len((r["text"] or "").encode().split())
+            texts.setdefault((r["doc_id"], r["source"]), []).append(r["text"] or "")
+        for r in out.collect():
+            got[r["source"]] += len(r["text"].encode().split())
+            assert r["text"] and any(r["text"] in t for t in texts[r["doc_id"], r["source"]])
+        names = sorted(sizes, key=lambda s: (s is None, s or ""))
+        for s, goal in zip(names, mixing.targets([sizes[s] for s in names])):
+            assert abs(got[s] - goal) <= max(2 * words, 0.01 * goal)
+        assert out.columns == source.columns
+    m = mixing.mix(docs, block_words=8)
+    assert sum(r["taken"] for r in mixing.taken(m).collect()) == sum(len(r["text"].encode().split()) for r in mixing.resample(docs, block_words=8).collect())
 
 
 # --- languages ----------------------------------------------------------------------------------------------------
@@ -254,6 +332,50 @@ def test_mixture_of_two(spark):
     assert {r["lang_pred"] for r in langid.predict(test, none, blank, ["doc_id"]).collect()} == {"und"}
 
 
+def plain_mixture(columns, counts, rounds=400):
+    """Proportions and log-likelihood by expectation-maximisation, one gram and one language at a time."""
+    share = [1 / len(columns)] * len(columns)
+    for _ in range(rounds):
+        new = [0.0] * len(columns)
+        for g, n in enumerate(counts):
+            parts = [share[k] * columns[k][g] for k in range(len(columns))]
+            for k, part in enumerate(parts):
+                new[k] += n * part / sum(parts)
+        share = [x / sum(counts) for x in new]
+    return share, sum(n * math.log(sum(s * c[g] for s, c in zip(share, columns))) for g, n in enumerate(counts))
+
+
+def test_mixture_is_that_of_all_sets():
+    """The chosen set is the best of all sets by penalised likelihood, its proportions those of a plain EM."""
+    rng = np.random.default_rng(5)
+    for trial in range(12):
+        like = rng.dirichlet(np.full(25, 0.3), 5) + 1e-4
+        like /= like.sum(1, keepdims=True)
+        true = np.zeros(5)
+        true[rng.choice(5, 1 + trial % 3, False)] = rng.uniform(0.4, 1, 1 + trial % 3)
+        counts = rng.multinomial(600, true / true.sum() @ like)
+        bins = np.flatnonzero(counts)
+        got = langid.infer(like, bins, counts[bins])
+        best = None
+        for n in range(1, 6):
+            for own in itertools.combinations(range(5), n):
+                share, value = plain_mixture([like[k, bins].tolist() for k in own], counts[bins].tolist(), 150)
+                value -= 3.0 * math.log(600) * (n - 1)
+                if best is None or value > best[0]:
+                    best = value, dict(zip(own, share))
+        assert set(got) == set(best[1]) and all(abs(got[k] - best[1][k]) < 0.02 for k in got)
+
+
+def test_letters_of_all_planes(spark):
+    docs = spark.createDataFrame([(1, "\U0001f600\U0001f680 \U0001f1e9\U0001f1ea"), (2, "\U00010400\U00010428 \U00020000"), (3, "١٢٣ ½ ․"), (4, "\U0001f600 hello")], "doc_id long, text string")
+    langs, table = langid.fit(spark.createDataFrame([(1, "hello world", "en"), (2, "hallo welt", "de")], "doc_id long, text string, lang string"))
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(docs, langs, table, ["doc_id"]).collect()}
+    assert got[1] == got[3] == "und" and got[2] in langs and got[4] == "en"
+    assert langid.predict(docs.limit(0), langs, table, ["doc_id"]).count() == 0
+    clash = langid.predict(docs.withColumn("score", F.lit("x")), langs, table, ["doc_id", "score"])
+    assert clash.columns == ["doc_id", "lang_pred", "score", "mixture"] and {r["doc_id"]: r["lang_pred"] for r in clash.collect()} == got
+
+
 def test_held_out_accuracy(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     held = langid.remainder(F.col("doc_id")) == 2

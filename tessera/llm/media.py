@@ -1,13 +1,14 @@
 """Audio columns: lossless 8-bit samples, polyphase resampling, log-mel filterbanks, energy segments.
 
 ``store`` keeps bytes as mono unsigned 8-bit WAV at ``RATE`` Hz, padded with byte 32 to a positive multiple of
-``PAD`` samples; ``load`` returns exactly these samples. ``analyse`` resamples by 3/4 with a polyphase FIR
-filter, takes overlapped frames to log-mel energies (steps of 0.1 dB, so equal samples give equal features), and
-cuts segments by hysteresis: on above median + ``RISE`` dB, off below median - ``RISE`` dB. Frames are stored as
-fixed-shape Arrow tensors of ``SHAPE`` (the last padded with zeros) with the time span of each.
+``PAD`` samples; ``from_wav`` returns exactly these samples. ``analyse`` resamples by 3/4 with a polyphase FIR
+filter, takes overlapped frames to log-mel energies (in steps of 0.1 dB, so equal samples give equal features), and
+cuts segments by hysteresis: on above median + ``RISE`` dB, off below median - ``RISE`` dB. Column ``tensors`` holds
+the frames as an Arrow stream of fixed-shape tensors of ``SHAPE`` (16-bit tenths of dB, the last padded with zeros)
+with the time span of each, column ``segments`` the spans that are on; ``read_tensors`` gives frames and spans back.
 
 Null and empty texts are 192 bytes of padding. Long recordings go through in slabs of ``SLAB`` frames. Repeated
-rows stay repeated; an empty table gives an empty result; other columns are ignored.
+rows stay repeated; an empty table gives an empty result; other columns are ignored, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from .common import map_arrow, materialise
 
 RATE, PAD, UP, DOWN, TAPS = 16_000, 192, 3, 4, 16
 FRAME, HOP, MELS, SLAB, RISE = 256, 96, 32, 4096, 0.4
-SHAPE = (64, MELS)
+SHAPE = (32, MELS)
 OUT_RATE = RATE * UP // DOWN
 HEADER = struct.Struct("<4sI4s4sIHHIIHH4sI")
 
@@ -85,16 +86,16 @@ def resample(samples: np.ndarray, a: int, b: int) -> np.ndarray:
 
 
 def log_mel(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(frames x MELS, energy of each frame) in dB, in steps of 0.1."""
+    """(frames x MELS in tenths of dB, energy of each frame in dB in steps of 0.1)."""
     n = len(samples) * UP // DOWN
     count = max(1, 1 + (n - FRAME) // HOP) if n >= FRAME else 1
-    mels, energy = np.empty((count, MELS), np.float32), np.empty(count)
+    mels, energy = np.empty((count, MELS), np.int16), np.empty(count)
     for f in range(0, count, SLAB):
         g = min(count, f + SLAB)
         y = resample(samples, f * HOP, (g - 1) * HOP + FRAME)
         frames = np.lib.stride_tricks.sliding_window_view(y, FRAME)[::HOP] * WINDOW
         power = np.abs(np.fft.rfft(frames)) ** 2
-        mels[f:g] = np.round(100 * np.log10(power @ MEL + 1e-6)) / 10
+        mels[f:g] = np.round(100 * np.log10(power @ MEL + 1e-6))
         energy[f:g] = np.round(100 * np.log10(power.sum(1) + 1e-6)) / 10
     return mels, energy
 
@@ -112,9 +113,9 @@ def segments(energy: np.ndarray) -> list[tuple[int, int]]:
 def tensors(mels: np.ndarray) -> pa.RecordBatch:
     """start_ms, end_ms, n_frames and a fixed-shape tensor for each run of SHAPE[0] frames."""
     n = -(-len(mels) // SHAPE[0])
-    full = np.zeros((n * SHAPE[0], MELS), np.float32)
+    full = np.zeros((n * SHAPE[0], MELS), np.int16)
     full[: len(mels)] = mels
-    kind = pa.fixed_shape_tensor(pa.float32(), SHAPE)
+    kind = pa.fixed_shape_tensor(pa.int16(), SHAPE)
     values = pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(pa.array(full.reshape(-1)), SHAPE[0] * MELS))
     first = np.arange(n) * SHAPE[0]
     held = np.minimum(SHAPE[0], len(mels) - first)
@@ -122,6 +123,14 @@ def tensors(mels: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ms(first, 0)), pa.array(ms(first + held - 1, FRAME)), pa.array(held), values], names=["start_ms", "end_ms", "n_frames", "tensor"])
 
 
+def read_tensors(stream: bytes) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """(frames x MELS in tenths of dB, time span in ms of each tensor) from an Arrow stream."""
+    with pa.ipc.open_stream(stream) as reader:
+        held = pa.concat_tables([pa.Table.from_batches(reader)]).combine_chunks()
+    parts = [b.column("tensor").to_numpy_ndarray()[k][:n] for b in held.to_batches() for k, n in enumerate(b.column("n_frames").to_pylist())]
+    return np.concatenate(parts), list(zip(held["start_ms"].to_pylist(), held["end_ms"].to_pylist()))
+
+
 def to_ipc(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema) as writer:
@@ -141,8 +150,8 @@ def store(docs: DataFrame) -> DataFrame:
     return materialise(map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id long, n_bytes long, media binary", rows), "media")
 
 
-def analyse(media: DataFrame, with_tensors: bool = True) -> DataFrame:
-    """Of each stored recording: what was read back, its features, and with_tensors their Arrow stream."""
+def analyse(media: DataFrame) -> DataFrame:
+    """Of each stored recording: what was read back, its features, the segments that are on and the tensors."""
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, segments array<struct<start_ms: long, end_ms: long>>, tensors binary"
 
     def one(doc_id, n_bytes, wav):
@@ -152,7 +161,7 @@ def analyse(media: DataFrame, with_tensors: bool = True) -> DataFrame:
         stream = to_ipc(tensors(mels))
         feature = f"frames={len(mels)};segments={len(on)};on={sum(b - a for a, b in on)};mean_db={float(energy.mean()):.1f};tensors={hashlib.sha256(stream).hexdigest()[:16]}"
         spans = [{"start_ms": a * HOP * 1000 // OUT_RATE, "end_ms": ((b - 1) * HOP + FRAME) * 1000 // OUT_RATE} for a, b in on]
-        return doc_id, n_bytes, len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-16:]), len(wav), hashlib.sha256(wav).hexdigest(), feature, spans, stream if with_tensors else None
+        return doc_id, n_bytes, len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-16:]), len(wav), hashlib.sha256(wav).hexdigest(), feature, spans, stream
 
     names = [x.split()[0] for x in schema.split(", ")[:8]] + ["segments", "tensors"]
 

@@ -12,7 +12,7 @@ from .common import table
 
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.analyse(media.store(table(spark, sf_dir, "documents")), with_tensors=False).drop("segments", "tensors")
+    return media.analyse(media.store(table(spark, sf_dir, "documents")))
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

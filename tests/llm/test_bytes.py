@@ -151,8 +151,56 @@ def test_resampling_is_filtering():
 def test_segments_and_tensors():
     e = np.array([0, 0, 9, 9, 5, 5, 0, 0, 9, 0, 5.0, 5, 5, 5])
     assert media.segments(e) == [(2, 6), (8, 9)]
-    b = media.tensors(np.ones((70, media.MELS), np.float32))
-    assert b["n_frames"].to_pylist() == [64, 6] and b["tensor"].type.shape == list(media.SHAPE) and b["start_ms"].to_pylist() == [0, 512]
+    b = media.tensors(np.ones((70, media.MELS), np.int16))
+    assert b["n_frames"].to_pylist() == [32, 32, 6] and b["tensor"].type.shape == list(media.SHAPE) and b["start_ms"].to_pylist() == [0, 256, 512]
+    frames, spans = media.read_tensors(media.to_ipc(b))
+    assert frames.shape == (70, media.MELS) and (frames == 1).all() and spans[1] == (256, (63 * 96 + 256) * 1000 // 12000)
+
+
+def plain_features(raw):
+    """Frames of tenths of dB, frame energies and segments, from the definitions: sums over taps, samples and bins."""
+    x = [(b - 128) / 128 for b in raw]
+    taps = media.UP * media.TAPS
+    h = np.sinc((np.arange(taps) - (taps - 1) / 2) / 4) * np.kaiser(taps, 8.0)
+    h = h / h.sum() * media.UP
+    n = len(x) * 3 // 4
+    y = [sum(h[k] * x[i] for i in range(max(0, j * 4 // 3 - 20), min(len(x), j * 4 // 3 + 20)) if 0 <= (k := j * 4 - i * 3 + 21) < taps) for j in range(max(n, 256))]
+    mel = lambda f: 2595 * math.log10(1 + f / 700)
+    edges = [700 * (10 ** ((mel(60) + (mel(6000) - mel(60)) * k / (media.MELS + 1)) / 2595) - 1) for k in range(media.MELS + 2)]
+    frames, energy = [], []
+    for at in range(0, max(1, n - 255), 96) if n >= 256 else [0]:
+        w = [y[at + k] * (0.5 - 0.5 * math.cos(2 * math.pi * k / 256)) for k in range(256)]
+        power = [abs(sum(w[k] * complex(math.cos(2 * math.pi * b * k / 256), -math.sin(2 * math.pi * b * k / 256)) for k in range(256))) ** 2 for b in range(129)]
+        own = []
+        for lo, mid, hi in zip(edges, edges[1:], edges[2:]):
+            own.append(sum(p * max(0, min((f - lo) / (mid - lo), (hi - f) / (hi - mid))) for b, p in enumerate(power) for f in [b * 12000 / 256]))
+        frames.append([100 * math.log10(v + 1e-6) for v in own])
+        energy.append(100 * math.log10(sum(power) + 1e-6))
+    return np.array(frames), np.array(energy)
+
+
+def test_features_from_the_definitions(spark):
+    """Steps may differ by one where a value lies between two."""
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abc xyz~!\n") for _ in range(700)), "short", "a" * 300 + "~" * 300]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in media.analyse(media.store(docs)).collect():
+        raw = texts[r["doc_id"]].encode()
+        raw += b" " * (-len(raw) % 192)
+        frames, spans = media.read_tensors(r["tensors"])
+        want, energy = plain_features(raw)
+        assert frames.shape == want.shape and np.abs(frames - want).max() <= 0.5 + 1e-6
+        on, state = [], False
+        mid = np.median(np.round(energy) / 10)
+        for k, v in enumerate(np.round(energy) / 10):
+            state = True if v > mid + media.RISE else False if v < mid - media.RISE else state
+            if state and on and on[-1][1] == k:
+                on[-1][1] = k + 1
+            elif state:
+                on.append([k, k + 1])
+        assert [(s["start_ms"], s["end_ms"]) for s in r["segments"]] == [(a * 8, ((b - 1) * 96 + 256) * 1000 // 12000) for a, b in on]
+        assert r["feature"].startswith(f"frames={len(want)};segments={len(on)};on={sum(b - a for a, b in on)};")
+        assert spans[0] == (0, ((min(32, len(want)) - 1) * 96 + 256) * 1000 // 12000)
 
 
 # --- archives -----------------------------------------------------------------------------------------------------

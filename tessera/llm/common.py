@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -19,11 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a temporary one only where none is configured (tests)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that the driver and all executors share; where none is configured, a temporary one in local mode and an error on a cluster."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or getattr(spark, "_tessera_shared", None)
     if not found:
-        found = getattr(spark, "_tessera_shared", None) or f"file://{tempfile.mkdtemp(prefix='tessera-')}"
-        spark._tessera_shared = found
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir names no folder that the driver and the executors share")
+        found = spark._tessera_shared = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
     return found
 
 
@@ -31,39 +35,59 @@ def shared_dir(spark: SparkSession) -> str:
 WRITTEN: list[str] = []
 
 
-def release(spark: SparkSession) -> None:
-    """Delete what was written on the way; for when the results that read it are stored."""
+def release(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
+    """Delete what was written on the way (from number ``since`` of WRITTEN), but for the table ``keep``; for when the results that read it are stored."""
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while WRITTEN:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
-        path.getFileSystem(conf).delete(path, True)
+    held = getattr(keep, "_tessera_path", None)
+    for path in WRITTEN[since:]:
+        if path != held:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+            WRITTEN.remove(path)
 
 
-#: While a table is written, its shuffle files go as soon as they have served: what follows reads the table.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_cleaning, _lock = [0, "false"], threading.Lock()
+
+
+@contextmanager
+def shuffles_released(spark: SparkSession) -> Iterator[None]:
+    """Within, shuffle files go as soon as they have served: for writing tables that what follows reads. Threads may overlap."""
+    with _lock:
+        if not _cleaning[0]:
+            _cleaning[1] = spark.conf.get(CLEANUP)
+        _cleaning[0] += 1
+        spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        with _lock:
+            _cleaning[0] -= 1
+            if not _cleaning[0]:
+                spark.conf.set(CLEANUP, _cleaning[1])
 
 
 def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path, before = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
-    try:
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    with shuffles_released(spark):
         df.write.option("compression", codec).parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
     WRITTEN.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tessera_path = path
+    return out
 
 
-#: Rows of an Arrow batch: texts of some kilobytes make batches of some megabytes.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch at most (a row may be larger by itself).
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{key}")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
 
 
 def map_arrow(df: DataFrame, schema: str, rows: Callable[[pa.RecordBatch], Iterator[dict] | dict]) -> DataFrame:

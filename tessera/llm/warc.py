@@ -1,16 +1,20 @@
 """WARC archives: writing with deduplicated payloads, reading by boundary-chain verification.
 
 ``write`` makes a record per page. Of pages with equal payloads (SHA-1) of at least ``least`` bytes the one with
-the largest page_id is a response and the others are revisits of it; all others are responses. Records go to
-gzip archives through Spark's text writer (offsets are those of the plain stream): a record ends with the two line ends that the writer puts after it.
+the largest page_id is a response and the others are revisits of it; all others are responses. A record is a gzip
+member of its own, as readers of ``.warc.gz`` expect, so that its offset is where it can be read. Archives are closed
+before they pass ``archive_bytes`` (a larger record has one for itself), so a task holds no more than one.
 
 ``read`` never trusts a magic on its own. Tasks scan archives and emit a candidate (offset, successor) for every
-place that looks like a record, within payloads too. Inside a split of ``split`` bytes each candidate's chain is
+place that reads as a record, within payloads too. Inside a split of ``split`` bytes each candidate's chain is
 followed to its exit, the first offset beyond the split; across splits, pointer jumping from offset 0 doubles
-the reach each round. Only candidates on the chain from the file's start are records.
+the reach each round. Only candidates on the chain from the file's start are records, and a chain that doesn't reach
+its file's end is an error. Plain archives, and those compressed as a whole, are read too (offsets are then those of
+the plain stream).
 
 Null html is an empty payload, a null url an empty URI. Rows repeated with the same page_id are records each. A
 null page_id is never the one that others refer to unless all are null. Empty tables make archives without records.
+Columns other than page_id, url and html are ignored, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -19,15 +23,16 @@ import gzip
 import hashlib
 import re
 import uuid
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WRITTEN, map_arrow, materialise, shared_dir
+from .common import WRITTEN, bound_batches, map_arrow, materialise, shared_dir, shuffles_released
 
 DATE = "2024-01-01T00:00:00Z"
-MAGIC = b"WARC/1.1\r\n"
+MAGIC, GZIP = b"WARC/1.1\r\n", b"\x1f\x8b\x08"
 ID = "urn:page:"
 CRLF = "\r\n"
 
@@ -41,24 +46,64 @@ def roles(pages: DataFrame, least: int = 1000) -> DataFrame:
     return met.withColumn("head", F.when(~F.col("page_id").eqNullSafe(F.col("head")), F.col("head")))
 
 
-def write(pages: DataFrame, least: int = 1000, records_per_file: int = 4000) -> str:
-    """Writes the archives into a new folder of the shared folder and returns its path."""
-    http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("n").cast("string"), F.lit(CRLF * 2))
-    df = roles(pages, least).withColumn("block", F.when(F.col("head").isNull(), F.concat(http, F.col("payload"))).otherwise(http))
-    kind = F.when(F.col("head").isNull(), F.lit("response")).otherwise(F.lit("revisit"))
-    refers = F.when(F.col("head").isNotNull(), F.concat(F.lit(f"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest{CRLF}WARC-Refers-To: <{ID}"), F.col("head").cast("string"), F.lit(f">{CRLF}"))).otherwise(F.lit(""))
-    text = F.concat(
-        F.lit(f"WARC/1.1{CRLF}WARC-Type: "), kind, F.lit(f"{CRLF}WARC-Record-ID: <{ID}"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(f">{CRLF}WARC-Date: {DATE}{CRLF}WARC-Target-URI: "),
-        F.regexp_replace(F.coalesce(F.col("url"), F.lit("")), r"[\r\n]+", " "), F.lit(f"{CRLF}WARC-Payload-Digest: sha1:"), F.col("digest"), F.lit(CRLF), refers,
-        F.lit(f"Content-Type: application/http; msgtype=response{CRLF}Content-Length: "), F.octet_length("block").cast("string"), F.lit(CRLF * 2), F.col("block"),
-    )
-    path = f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
-    df.select(text.alias("value")).write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", records_per_file).option("compression", "gzip").text(path)
+def record(page_id: int | None, url: str | None, payload: str, digest: str, n: int, head: int | None) -> bytes:
+    """The record of a page, a revisit of ``head`` if that is given."""
+    kind = "response" if head is None else "revisit"
+    refers = "" if head is None else f"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest{CRLF}WARC-Refers-To: <{ID}{head}>{CRLF}"
+    block = f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: {n}{CRLF * 2}{payload if head is None else ''}".encode()
+    uri = re.sub(r"[\r\n]+", " ", url or "")
+    top = (
+        f"WARC/1.1{CRLF}WARC-Type: {kind}{CRLF}WARC-Record-ID: <{ID}{'' if page_id is None else page_id}>{CRLF}WARC-Date: {DATE}{CRLF}WARC-Target-URI: {uri}{CRLF}"
+        f"WARC-Payload-Digest: sha1:{digest}{CRLF}{refers}Content-Type: application/http; msgtype=response{CRLF}Content-Length: {len(block)}{CRLF * 2}"
+    )
+    return top.encode() + block + b"\r\n\r\n"
+
+
+def compressed(data: bytes) -> bytes:
+    """A gzip member, the same for the same data."""
+    z = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return z.compress(data) + z.flush()
+
+
+EMPTY = compressed(b"")
+
+
+def write(pages: DataFrame, least: int = 1000, archive_bytes: int = 16 << 20) -> str:
+    """Writes the archives into a new folder of the shared folder and returns its path.
+
+    An archive is a row for Spark's text writer, which ends it with the byte 0: this is the last byte of the last
+    member's size, or of an empty member after it.
+    """
+    bound_batches(pages.sparkSession)
+    names = ["page_id", "url", "payload", "digest", "n", "head"]
+
+    def archive(members: list[bytes]) -> pa.RecordBatch:
+        data = b"".join(members if members[-1][-1] == 0 else [*members, EMPTY])
+        return pa.RecordBatch.from_arrays([pa.array([data[:-1]], pa.binary())], names=["value"])
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            for row in zip(*(batch[c] for c in names)):
+                member = compressed(record(*(x.as_py() for x in row)))
+                if held and size + len(member) > archive_bytes:
+                    yield archive(held)
+                    held, size = [], 0
+                held.append(member)
+                size += len(member)
+        if held:
+            yield archive(held)
+
+    spark, path = pages.sparkSession, f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
+    made = roles(pages, least).select(*names).mapInArrow(run, "value binary")
+    with shuffles_released(spark):
+        made.select(F.col("value").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", 1).text(path)
     WRITTEN.append(path)
     return path
 
 
 FIELDS = "offset long, successor long, type string, page_id long, refers_to long, digest string, payload_bytes long, computed string"
+NAMES = [x.split()[0] for x in FIELDS.split(", ")]
 
 
 def parse(data: bytes, at: int) -> tuple | None:
@@ -86,26 +131,55 @@ def parse(data: bytes, at: int) -> tuple | None:
     return at, stop + 4, kind, number(b"warc-record-id"), number(b"warc-refers-to"), digest, n, hashlib.sha1(payload).hexdigest() if kind == "response" else None
 
 
+def inflated(data: bytes, at: int, part: int = 1 << 16) -> tuple[bytes, int] | None:
+    """What the gzip member at ``at`` holds and where it ends; None if there is none or it doesn't start as a record."""
+    z, out, pos = zlib.decompressobj(31), [], at
+    try:
+        while not z.eof:
+            if pos >= len(data):
+                return None
+            out.append(z.decompress(data[pos : pos + part]))
+            pos += part
+            if len(out) == 1 and not (out[0].startswith(MAGIC) or MAGIC.startswith(out[0])):
+                return None
+    except zlib.error:
+        return None
+    return b"".join(out), min(pos, len(data)) - len(z.unused_data)
+
+
+def scan(data: bytes) -> tuple[int, list[tuple]]:
+    """Length of the stream that offsets count in, and FIELDS of its candidates in order."""
+    found, packed = [], data.startswith(GZIP)
+    if packed and (first := inflated(data, 0)) and (made := parse(first[0], 0)) and made[1] < len(first[0]):
+        data, packed = gzip.decompress(data), False  # compressed as a whole
+    at = data.find(GZIP if packed else MAGIC)
+    while at >= 0:
+        if not packed:
+            made = parse(data, at)
+        elif made := inflated(data, at):
+            (plain, end), made = made, None
+            if plain.startswith(MAGIC) and (made := parse(plain, 0)):
+                end += len(EMPTY) * data.startswith(EMPTY, end)
+                made = (at, end, *made[2:]) if made[1] == len(plain) else None
+        if made:
+            found.append(made)
+        at = data.find(GZIP if packed else MAGIC, at + 1)
+    return len(data), found
+
+
 def candidates(spark: SparkSession, path: str, split: int = 1 << 20) -> DataFrame:
     """file, its length, split, exit and FIELDS of every candidate."""
 
     def rows(batch: pa.RecordBatch):
         for name, content in zip(batch["path"], batch["content"]):
-            data, found = content.as_py(), []
-            if name.as_py().endswith(".gz"):
-                data = gzip.decompress(data)
-            at = data.find(MAGIC)
-            while at >= 0:
-                if made := parse(data, at):
-                    found.append(made)
-                at = data.find(MAGIC, at + 1)
-            if data and not found:
+            length, found = scan(content.as_py())
+            if length and not found:
                 raise ValueError(f"{name.as_py()} has no record")
             leave: dict[int, int] = {}
             for f in reversed(found):
                 inside = f[1] // split == f[0] // split
                 leave[f[0]] = leave.get(f[1], f[1]) if inside else f[1]
-            yield {"file": [name.as_py()] * len(found), "length": [len(data)] * len(found), "split": [f[0] // split for f in found], "exit": [leave[f[0]] for f in found]} | {x.split()[0]: [f[k] for f in found] for k, x in enumerate(FIELDS.split(", "))}
+            yield {"file": [name.as_py()] * len(found), "length": [length] * len(found), "split": [f[0] // split for f in found], "exit": [leave[f[0]] for f in found]} | {x: [f[k] for f in found] for k, x in enumerate(NAMES)}
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return map_arrow(files, f"file string, length long, split long, exit long, {FIELDS}", rows)
@@ -127,12 +201,19 @@ def read(spark: SparkSession, path: str, split: int = 1 << 20) -> DataFrame:
     ends = found.select("file", F.col("length").alias("at")).distinct()
     if broken := ends.join(reach, ["file", "at"], "left_anti").first():
         raise ValueError(f"{broken['file']} has no chain of records to its end")
-    entry = found.join(reach.withColumnRenamed("at", "offset"), ["file", "offset"], "left_semi").groupBy("file", "split").agg(F.min("offset").alias("entry"))
-    fields = F.struct(*[x.split()[0] for x in FIELDS.split(", ")])
-    lists = found.groupBy("file", "split").agg(F.array_sort(F.collect_list(fields)).alias("all")).join(entry, ["file", "split"])
-    none = F.slice("all", 1, 0)
-    walked = F.aggregate("all", F.struct(F.col("entry").alias("want"), none.alias("kept")), lambda a, x: F.when(x["offset"] == a["want"], F.struct(x["successor"].alias("want"), F.concat(a["kept"], F.array(x)).alias("kept"))).otherwise(a))
-    return lists.select("file", F.explode(walked["kept"]).alias("r")).select("file", "r.*")
+    entry = reach.groupBy("file", F.expr(f"at div {split}").alias("split")).agg(F.min("at").alias("entry"))
+    lists = found.groupBy("file", "split").agg(F.collect_list(F.struct(*NAMES)).alias("all")).join(entry, ["file", "split"]).select("file", "entry", "all")
+
+    def walk(batch: pa.RecordBatch):
+        for name, entry, own in zip(batch["file"], batch["entry"], batch["all"]):
+            kept, at = [], entry.as_py()
+            there = {r["offset"]: r for r in own.as_py()}
+            while r := there.get(at):
+                kept.append(r)
+                at = r["successor"]
+            yield {"file": [name.as_py()] * len(kept)} | {c: [r[c] for r in kept] for c in NAMES}
+
+    return map_arrow(lists, f"file string, {FIELDS}", walk)
 
 
 def page_records(records: DataFrame) -> DataFrame:

@@ -206,13 +206,19 @@ def test_features_from_the_definitions(spark):
 # --- archives -----------------------------------------------------------------------------------------------------
 
 
+def archives(path):
+    return sorted(f for f in Path(path.removeprefix("file:").replace("//", "/", 1)).glob("part-*") if f.stat().st_size)
+
+
 def test_warc(spark):
     record = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:7>\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
     big = "x" * 1500
     rows = [(1, "u", big), (2, "u", big), (9, None, big), (3, "u\r\nv", record * 3), (4, "u", "WARC/1.1\r\n" * 50), (5, "u", None), (6, "u", ""), (7, "u", "é" * 600), (8, "u", "short"), (10, "u", "short"), (None, "u", "n" * 2000)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
-    for split in (1 << 20, 700):
-        got = {r["page_id"]: r for r in warc.page_records(warc.read(spark, warc.write(pages, records_per_file=4), split)).collect()}
+    pages = spark.createDataFrame([(*r, "clash", 1) for r in rows], "page_id long, url string, html string, head string, payload int").repartition(2)
+    for split, size in ((1 << 20, 1 << 20), (700, 2000), (100, 100)):
+        path = warc.write(pages, archive_bytes=size)
+        assert len(archives(path)) == (2 if size > 1 << 19 else len(rows)) or 100 < size < 1 << 19
+        got = {r["page_id"]: r for r in warc.page_records(warc.read(spark, path, split)).collect()}
         assert len(got) == len(rows) and all(r["digest_ok"] for r in got.values())
         for d, _, html in rows:
             raw = (html or "").encode()
@@ -222,14 +228,49 @@ def test_warc(spark):
     assert warc.read(spark, warc.write(pages.limit(0))).count() == 0
 
 
+def test_members_of_archives(spark):
+    """Each record can be read at its offset alone, and the file is gzip to its last byte, large records included."""
+    rng = random.Random(6)
+    noise = "".join(chr(rng.randrange(32, 1000)) for _ in range(3000))
+    pages = spark.createDataFrame([(1, "u", noise), (2, "u", "y" * (17 << 20)), (3, "v", "z")], "page_id long, url string, html string").coalesce(1)
+    path = warc.write(pages, archive_bytes=64 << 20)
+    (one,) = archives(path)
+    data, sizes = one.read_bytes(), {1: len(noise.encode()), 2: 17 << 20, 3: 1}
+    assert gzip.decompress(data).count(b"WARC/1.1\r\n") == 3
+    for r in warc.read(spark, path).collect():
+        z = zlib.decompressobj(31)
+        plain = z.decompress(data[r["offset"] :])
+        assert z.eof and plain.startswith(b"WARC/1.1\r\n") and plain.count(b"WARC-Type") == 1 and r["payload_bytes"] == sizes[r["page_id"]]
+    path = warc.write(pages.where("page_id = 2"))
+    assert archives(path)[0].read_bytes().endswith(warc.EMPTY) and warc.read(spark, path).count() == 1
+
+
+def test_archives_in_payloads(spark, tmp_path):
+    """Stored, not compressed: whole members inside a payload are candidates but not on the chain."""
+    inner = warc.compressed(warc.record(5, "u", "inner", hashlib.sha1(b"inner").hexdigest(), 5, None))
+    block = b"HTTP/1.1 200 OK\r\nContent-Length: " + str(3 * len(inner)).encode() + b"\r\n\r\n" + inner * 3
+    outer = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:1>\r\nContent-Length: " + str(len(block)).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+    z = zlib.compressobj(0, zlib.DEFLATED, 31)
+    member = z.compress(outer) + z.flush()
+    last = warc.compressed(warc.record(2, "u", "after", hashlib.sha1(b"after").hexdigest(), 5, None))
+    assert len(warc.scan(member + last)[1]) == 5
+    for k, data in enumerate((member + last, outer + gzip.decompress(last), gzip.compress(outer + gzip.decompress(last)))):
+        folder = tmp_path / str(k)
+        folder.mkdir()
+        (folder / "a.warc.gz").write_bytes(data)
+        for split in (1 << 20, 64):
+            assert sorted(r["page_id"] for r in warc.read(spark, str(folder), split).collect()) == [1, 2]
+
+
 def test_long_headers_and_broken_archives(spark, tmp_path):
     pages = spark.createDataFrame([(1, "u", "a"), (2, "data:," + "x" * 100_000, "b"), (3, "u", "c")], "page_id long, url string, html string").coalesce(1)
     path = warc.write(pages)
     assert {r["page_id"] for r in warc.read(spark, path).collect()} == {1, 2, 3}
-    data = b"".join(gzip.decompress(f.read_bytes()) for f in Path(path.removeprefix("file:").replace("//", "/", 1)).glob("*.gz"))
-    (tmp_path / "cut.warc").write_bytes(data[:-9])
-    with pytest.raises(ValueError):
-        warc.read(spark, str(tmp_path / "cut.warc"))
+    whole = b"".join(f.read_bytes() for f in archives(path))
+    for k, data in enumerate((gzip.decompress(whole)[:-9], whole[:-9], whole[: len(whole) // 2] + b"?" + whole[len(whole) // 2 + 1 :], b"nothing")):
+        (tmp_path / f"{k}.warc").write_bytes(data)
+        with pytest.raises(Exception, match="record"):
+            warc.read(spark, str(tmp_path / f"{k}.warc"))
 
 
 # --- mixing -------------------------------------------------------------------------------------------------------

@@ -10,8 +10,12 @@ passed, the mildest with the largest catch of bad documents is used, and only if
 documents for each good one lost. Labels are used for nothing else, so all of them serve as the holdout.
 
 Null text: no words, fails the base rule. Unlabelled or thinly labelled strata have no cutoffs: only the base
-rule applies. Empty labels: the same. Documents repeated in the table are judged row by row; repeated labels
-of a document count once, bad if any says so.
+rule applies. Empty labels: the same. Empty documents: no rows. Documents repeated in the table are judged row by
+row; repeated labels of a document count once, bad if any says so. A kept column with a result's name (n_words and
+the other counts, base_failed, kept) gives way to it.
+
+The bound holds for good documents that pass the base rule: what the base rule rejects is fixed beforehand and is
+not chosen by labels, so it is not part of the risk that is controlled.
 """
 
 from __future__ import annotations
@@ -33,6 +37,7 @@ GRIDS = {
     "mean_word_chars": [15.0, 12.0, 10.0, 9.5, 9.0, 8.5, 8.0, 7.5, 7.0, 6.75, 6.5],
 }
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+RESULT = {*COUNTS, "base_failed", "kept"}
 
 
 def repeated_words(words: list, width: int = 5) -> int:
@@ -91,12 +96,19 @@ def ratios() -> dict:
 
 
 def binomial_tail(x: int, n: int, p: float) -> float:
-    """P(X <= x) for X ~ Binomial(n, p), exactly summed in log space."""
+    """P(X <= x) for X ~ Binomial(n, p), summed exactly from the largest term down until terms no longer count."""
     if x >= n:
         return 1.0
-    logs = [math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p) for k in range(x + 1)]
-    top = max(logs)
-    return min(1.0, math.exp(top) * math.fsum(math.exp(v - top) for v in logs))
+    k = min(x, math.floor((n + 1) * p))  # the largest term up to x
+    top = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p)
+    terms, odds = [1.0], p / (1 - p)
+    for step, last in ((-1, 0), (1, x)):
+        at, term = k, 1.0
+        while at != last and term > 1e-20:
+            term *= at / (n - at + 1) / odds if step < 0 else (n - at) / (at + 1) * odds
+            at += step
+            terms.append(term)
+    return min(1.0, math.exp(top) * math.fsum(terms))
 
 
 def cutoffs(measured: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = 0.05, delta: float = 0.05, gain: float = 10.0) -> list[tuple]:
@@ -124,6 +136,9 @@ def cutoffs(measured: DataFrame, labels: DataFrame, stratum: str = "lang", alpha
 
 def judge(docs: DataFrame, labels: DataFrame, keep: list[str], stratum: str = "lang", **risk) -> DataFrame:
     """``keep`` columns, COUNTS, base_failed and kept of every row of ``docs``."""
+    if stratum in RESULT:
+        raise ValueError(f"{stratum} is the name of a result")
+    keep = [c for c in keep if c not in RESULT]
     cols = list(dict.fromkeys([*keep, "doc_id", stratum]))
     measured = materialise(measure(docs, cols), "quality-counts")
     rejected = F.lit(False)

@@ -258,6 +258,59 @@ def test_quality_counts(docs, rows, empty, spark):
     assert quality.judge(empty, labels, ["doc_id"]).count() == 0
 
 
+def plain_verdicts(rows, marks, alpha=0.05, delta=0.05, gain=10):
+    """doc_id -> kept, by the description: fixed sequences of exact binomial tests per language and rule."""
+    counts = {d: plain_counts(t) for d, t, _ in rows}
+    ratio = {"symbol_ratio": lambda c: c[2] / max(1, c[0]), "dup_line_ratio": lambda c: c[3] / max(1, c[0]), "mean_word_chars": lambda c: c[1] / max(1, c[0])}
+    passed = {d for d, c in counts.items() if c[0] >= 10 and 100 * c[4] <= 20 * c[0]}
+    by = {}
+    for d, _, lang in rows:
+        if d in passed and d in marks:
+            by.setdefault(lang, {0: [], 1: []})[marks[d]].append(counts[d])
+    strata = [x for x in by if by[x][1]]
+    cut = {}
+    for lang in strata:
+        good, bad = by[lang][1], by[lang][0]
+        for rule, grid in quality.GRIDS.items():
+            best = 0
+            for c in grid:
+                lost, caught = sum(ratio[rule](x) > c for x in good), sum(ratio[rule](x) > c for x in bad)
+                q, n = alpha / len(quality.GRIDS), len(good)
+                if sum(math.comb(n, k) * q**k * (1 - q) ** (n - k) for k in range(lost + 1)) > delta / (len(strata) * len(quality.GRIDS)):
+                    break
+                if caught > best and caught >= gain * lost:
+                    best, cut[lang, rule] = caught, c
+    return {d: d in passed and not any(ratio[rule](counts[d]) > c for (own, rule), c in cut.items() if own == lang) for d, _, lang in rows}, cut
+
+
+def test_verdicts_by_brute_force(spark):
+    """Several languages (one of them null, one too small for any bound), labels with errors, rules that hurt good documents."""
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    rows, marks = [], {}
+    for d in range(3600):
+        lang, bad = ("en", "de", None, "xx")[d % 4 if d < 3400 or d % 4 < 3 else 0] if d < 40 or d % 4 < 3 else "en", rng.random() < 0.25
+        n = rng.randrange(4 if d % 50 == 0 else 14, 40)
+        words = [word(rng.randrange(3, 13 if bad and lang == "de" else 7)) for _ in range(n)]
+        if bad and lang == "en":
+            words = [w + rng.choice("#$|") if rng.random() < 0.5 else w for w in words]
+        text = " ".join(words)
+        if bad and lang is None:
+            text += f"\n{word(5)} x" + "\na b" * 5
+        elif rng.random() < 0.01:
+            text += " # $ % &"
+        rows.append((d, text, lang))
+        if d % 5:
+            marks[d] = int(bad != (rng.random() < 0.02)) ^ 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([*marks.items(), (1, None), (None, 1)], "doc_id long, quality int")
+    want, cut = plain_verdicts(rows, marks)
+    clash = docs.withColumn("n_words", F.lit("x")).withColumn("kept", F.lit(7))
+    out = quality.judge(clash, labels, ["doc_id", "n_words", "kept"])
+    assert out.columns == ["doc_id", *quality.COUNTS, "base_failed", "kept"]
+    assert {r["doc_id"]: r["kept"] for r in out.collect()} == want and len(cut) >= 3 and 0 < sum(want.values()) < len(want)
+
+
 def test_thresholds_are_bounded(spark):
     n = 1200
     good = [(i, "clean words of a plain text that says nothing much at all " + str(i), "en") for i in range(n)]
@@ -273,6 +326,10 @@ def test_thresholds_are_bounded(spark):
 def test_binomial_tail():
     exact = sum(math.comb(50, k) * 0.1**k * 0.9 ** (50 - k) for k in range(4))
     assert abs(quality.binomial_tail(3, 50, 0.1) - exact) < 1e-12 and quality.binomial_tail(50, 50, 0.1) == 1
+    for n, p in ((40, 0.3), (300, 0.02)):
+        for x in range(n):
+            exact = math.fsum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(x + 1))
+            assert abs(quality.binomial_tail(x, n, p) - exact) < 1e-9 * exact + 1e-15
 
 
 def test_hash_of_nothing():

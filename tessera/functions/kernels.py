@@ -65,6 +65,27 @@ def diamond(cur: np.ndarray, prev: np.ndarray, block: int = 16, reach: int = 16,
     return np.stack([ox // block, oy // block, dx, dy, best], 1)
 
 
+def full_search(cur: np.ndarray, prev: np.ndarray, block: int = 16, reach: int = 16) -> np.ndarray:
+    """Rows (bx, by, dx, dy, sad) of every whole block: the best of all offsets, zero first, then the least (dy, dx)."""
+    if cur.shape != prev.shape:
+        return np.zeros((0, 5), np.int64)
+    (h, w), ny, nx = cur.shape, cur.shape[0] // block, cur.shape[1] // block
+    own = cur[: ny * block, : nx * block].astype(np.int16)
+    wide = np.zeros((ny * block + 2 * reach, nx * block + 2 * reach), np.int16)
+    part = prev[: ny * block + reach, : nx * block + reach]
+    wide[reach : reach + part.shape[0], reach : reach + part.shape[1]] = part
+    oy, ox = (a * block for a in np.mgrid[:ny, :nx])
+    best = np.full((ny, nx), 1 << 62, np.int64)
+    move = np.zeros((2, ny, nx), np.int64)
+    offsets = [(0, 0)] + [(dy, dx) for dy in range(-reach, reach + 1) for dx in range(-reach, reach + 1) if dy or dx]
+    for dy, dx in offsets:
+        d = np.abs(own - wide[reach + dy : reach + dy + ny * block, reach + dx : reach + dx + nx * block])
+        value = d.reshape(ny, block, nx, block).sum((1, 3), dtype=np.int64)
+        win = (value < best) & (oy + dy >= 0) & (oy + dy + block <= h) & (ox + dx >= 0) & (ox + dx + block <= w)
+        best[win], move[0][win], move[1][win] = value[win], dy, dx
+    return np.stack([(ox // block).reshape(-1), (oy // block).reshape(-1), move[1].reshape(-1), move[0].reshape(-1), best.reshape(-1)], 1)
+
+
 def sample_pixels(rgb: bytes, rate: float) -> np.ndarray:
     px = np.frombuffer(rgb, np.uint8)
     return px[: len(px) // 3 * 3].reshape(-1, 3)[:: int(max(1 / rate, 1.0))].astype(np.int64)

@@ -1,9 +1,14 @@
-"""Blocks of frames as relations of pixels: matching, strengths, regions."""
+"""Frames as rows of bytes (frame_id, width, height, data, a byte a pixel in raster order): matching, strengths, regions.
+
+A frame is one value, so block operators need no shuffle: NumPy works on a frame, or a frame and the one before, at a
+time. Only whole blocks count; frames whose data isn't width * height bytes long have none.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,139 +22,159 @@ def frame_rows(pixels: DataFrame) -> DataFrame:
     return pixels.groupBy("frame_id").agg((F.max("x") + 1).cast("int").alias("width"), (F.max("y") + 1).cast("int").alias("height"), F.unhex(F.array_join(px, "")).alias("data"))
 
 
-def pairs(frames: DataFrame) -> DataFrame:
-    """cur_id, prev_id and both frames' data, for consecutive frames of one size."""
+def pairs(frames: DataFrame, how: str = "inner") -> DataFrame:
+    """cur_id, prev_id, width, height and both frames' data, for consecutive frames of one size (left: frames without one too)."""
     prev = frames.select((F.col("frame_id") + 1).alias("cur_id"), F.col("frame_id").alias("prev_id"), F.col("width").alias("pw"), F.col("height").alias("ph"), F.col("data").alias("prev"))
     cur = frames.withColumnsRenamed({"frame_id": "cur_id", "data": "cur"})
-    return cur.join(prev, "cur_id").where("width = pw and height = ph").drop("pw", "ph")
+    met = cur.join(prev, "cur_id", how)
+    same = F.expr("width = pw and height = ph")
+    met = met.where(same) if how == "inner" else met.withColumn("prev", F.when(same, F.col("prev")))
+    return met.drop("pw", "ph")
 
 
-def estimate_motion(frame_pairs: DataFrame, block: int = 16, reach: int = 16, threshold: int = 256, keep_zero: bool = False) -> DataFrame:
-    """Motion vectors of every pair by diamond search, without zero vectors unless asked: cur_id, prev_id, block_x, block_y, dx, dy, sad."""
+def _each(df: DataFrame, names: list[str], schema: str, make: Callable[..., list[np.ndarray]], key: str = "frame_id") -> DataFrame:
+    """Columns of ``schema`` after ``key``, from ``make`` of each row's images (``names``; None where null or of another size)."""
 
     def rows(batches):
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(out)
         for batch in batches:
             for r in batch.to_pylist():
                 shape = (r["height"], r["width"])
-                mv = kernels.diamond(np.frombuffer(r["cur"], np.uint8).reshape(shape), np.frombuffer(r["prev"], np.uint8).reshape(shape), block, reach, threshold)
-                mv = mv if keep_zero else mv[(mv[:, 2] != 0) | (mv[:, 3] != 0)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(mv), r["cur_id"])), pa.array(np.full(len(mv), r["prev_id"])), *(pa.array(mv[:, k]) for k in range(5))], names=["cur_id", "prev_id", "block_x", "block_y", "dx", "dy", "sad"])
+                images = [np.frombuffer(r[n], np.uint8).reshape(shape) if r[n] is not None and None not in shape and len(r[n]) == shape[0] * shape[1] else None for n in names]
+                if images[0] is not None:
+                    made = make(*images)
+                    yield pa.RecordBatch.from_arrays([pa.array([r[key]] * len(made[0]), arrow[0].type), *(pa.array(c, f.type) for c, f in zip(made, list(arrow)[1:]))], schema=arrow)
 
-    return frame_pairs.select("cur_id", "prev_id", "width", "height", "cur", "prev").mapInArrow(rows, "cur_id long, prev_id long, block_x long, block_y long, dx long, dy long, sad long")
+    out = df.sparkSession.createDataFrame([], f"{key} long, {schema}").schema
+    return df.select(key, "width", "height", *names).mapInArrow(rows, f"{key} long, {schema}")
 
 
-def full_search(pixels: DataFrame, block: int, reach: int) -> DataFrame:
-    """Least sum of absolute differences over all offsets up to ``reach``, per block of each consecutive pair.
+def _blocks(image: np.ndarray, block: int) -> np.ndarray:
+    """Whole blocks as [by, bx, y, x]."""
+    ny, nx = image.shape[0] // block, image.shape[1] // block
+    return image[: ny * block, : nx * block].reshape(ny, block, nx, block).swapaxes(1, 2)
 
-    Ties go to the zero offset, then to the least (dy, dx). Blocks and previous frames are joined as arrays, one row
-    a block, so no pixel is exploded by offsets.
-    """
-    rows = pixels.groupBy("frame_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "v"))), lambda p: p["v"]).alias("px"), (F.max("x") + 1).cast("int").alias("w"), (F.max("y") + 1).cast("int").alias("h"))
-    prev = rows.select((F.col("frame_id") + 1).alias("cur_id"), F.col("px").alias("prev"), F.col("w").alias("pw"), F.col("h").alias("ph"))
-    both = rows.withColumnRenamed("frame_id", "cur_id").join(prev, "cur_id").where("w = pw and h = ph")
-    grid = both.select("cur_id", "px", "prev", "w", "h", F.explode(F.sequence(F.lit(0), F.expr(f"h div {block} - 1").cast("int"))).alias("by"))
-    grid = grid.select("*", F.explode(F.sequence(F.lit(0), F.expr(f"w div {block} - 1").cast("int"))).alias("bx"))
-    steps = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dy in range(-reach, reach + 1) for dx in range(-reach, reach + 1)])
-    x0, y0 = F.col("bx") * block, F.col("by") * block
 
-    def sad(o: Column) -> Column:
-        lines = [F.aggregate(F.zip_with(F.slice("px", (y0 + i) * F.col("w") + x0 + 1, F.lit(block)), F.slice("prev", (y0 + o["dy"] + i) * F.col("w") + x0 + o["dx"] + 1, F.lit(block)), lambda a, b: F.abs(a - b)), F.lit(0).cast("long"), lambda s, v: s + v) for i in range(block)]
-        return sum(lines[1:], lines[0])
+def _raster(per_block: np.ndarray) -> list[np.ndarray]:
+    """bx, by and value of every block, in raster order."""
+    by, bx = (a.reshape(-1) for a in np.mgrid[: per_block.shape[0], : per_block.shape[1]])
+    return [bx, by, per_block.reshape(-1).astype(np.int64)]
 
-    inside = F.filter(steps, lambda o: (x0 + o["dx"] >= 0) & (y0 + o["dy"] >= 0) & (x0 + o["dx"] + block <= F.col("w")) & (y0 + o["dy"] + block <= F.col("h")))
-    scored = F.transform(inside, lambda o: F.struct(sad(o).alias("sad"), F.when((o["dx"] == 0) & (o["dy"] == 0), 0).otherwise(1).alias("moved"), o["dy"].alias("dy"), o["dx"].alias("dx")))
-    best = grid.withColumn("best", F.array_min(scored))
-    return best.select("cur_id", F.col("bx").cast("long").alias("block_x"), F.col("by").cast("long").alias("block_y"), F.col("best.dx").cast("long").alias("dx"), F.col("best.dy").cast("long").alias("dy"), F.col("best.sad").alias("sad"))
 
+def contrast_of(image: np.ndarray, block: int) -> np.ndarray:
+    b = _blocks(image, block)
+    return b.max((2, 3)).astype(np.int64) - b.min((2, 3)) if b.size else np.zeros(b.shape[:2], np.int64)
 
-def overlaps(regions: DataFrame, cell: int = 64) -> DataFrame:
-    """(key, a, b), a < b: all pairs of a key's rectangles (key, id, r) that intersect.
 
-    Rectangles meet in the cells of a grid that they cover, and a pair counts in the cell of the first corner of what
-    they share, so it is there once.
-    """
-    at = lambda c, n: F.floor((F.col("r")[c] + (F.col("r")[n] - 1 if n else 0)) / cell)
-    cells = regions.where((F.col("r.width") > 0) & (F.col("r.height") > 0)).withColumn("cx", F.explode(F.sequence(at("x", None), at("x", "width")))).withColumn("cy", F.explode(F.sequence(at("y", None), at("y", "height"))))
-    a, b = (cells.select("key", "cx", "cy", F.col("id").alias(n), F.col("r").alias(f"r{n}")) for n in "ab")
-    ra, rb = F.col("ra"), F.col("rb")
-    own = (F.floor(F.greatest(ra["x"], rb["x"]) / cell) == F.col("cx")) & (F.floor(F.greatest(ra["y"], rb["y"]) / cell) == F.col("cy"))
-    return a.join(b, ["key", "cx", "cy"]).where((F.col("a") < F.col("b")) & scalar.intersects(ra, rb) & own).select("key", "a", "b")
+def edges_of(image: np.ndarray, block: int) -> np.ndarray:
+    b = _blocks(image, block).astype(np.int64)
+    line = np.abs(b[:, :, 1:-1, 2:] - b[:, :, 1:-1, :-2]) + np.abs(b[:, :, 2:, 1:-1] - b[:, :, :-2, 1:-1])
+    return line.sum((2, 3)) // max(1, (block - 2) ** 2)
 
 
-def block_of(block: int) -> list[Column]:
-    return [F.expr(f"x div {block}").alias("bx"), F.expr(f"y div {block}").alias("by")]
+def difference_of(cur: np.ndarray, prev: np.ndarray, block: int) -> np.ndarray:
+    return np.abs(_blocks(cur, block).astype(np.int64) - _blocks(prev, block)).sum((2, 3))
 
 
-def contrast(pixels: DataFrame, block: int) -> DataFrame:
-    """Largest less smallest value of each block."""
-    return pixels.groupBy("frame_id", *block_of(block)).agg((F.max("v") - F.min("v")).alias("strength"))
+STRENGTH = "bx long, by long, strength long"
 
 
-def block_sad(pixels: DataFrame, block: int) -> DataFrame:
-    """Sum of absolute differences of each block to the frame before, at no offset."""
-    return _difference(pixels).groupBy("frame_id", *block_of(block)).agg(F.sum("d").alias("sad"))
+def contrast(frames: DataFrame, block: int) -> DataFrame:
+    """Largest less smallest value of each block: frame_id, bx, by, strength."""
+    return _each(frames, ["data"], STRENGTH, lambda x: _raster(contrast_of(x, block)))
 
 
-def motion_magnitude(pixels: DataFrame, block: int) -> DataFrame:
-    return _difference(pixels).groupBy("frame_id", *block_of(block)).agg(F.floor(F.sum("d") / (block * block)).alias("strength"))
+def edge_strength(frames: DataFrame, block: int) -> DataFrame:
+    """Mean of |right - left| + |below - above| over each block's inner pixels, truncated."""
+    return _each(frames, ["data"], STRENGTH, lambda x: _raster(edges_of(x, block)))
 
 
-def _difference(pixels: DataFrame) -> DataFrame:
-    prev = pixels.select((F.col("frame_id") + 1).alias("frame_id"), "x", "y", F.col("v").alias("p"))
-    return pixels.join(prev, ["frame_id", "x", "y"]).withColumn("d", F.abs(F.col("v") - F.col("p")))
+def block_sad(frame_pairs: DataFrame, block: int) -> DataFrame:
+    """Sum of absolute differences of each block to the frame before, at no offset: frame_id, bx, by, sad."""
+    made = _each(frame_pairs.where("prev is not null"), ["cur", "prev"], "bx long, by long, sad long", lambda x, y: _raster(difference_of(x, y, block)), "cur_id")
+    return made.withColumnRenamed("cur_id", "frame_id")
 
 
-def edge_strength(pixels: DataFrame, block: int) -> DataFrame:
-    """Mean of |right - left| + |below - above| over each block's inner pixels, truncated.
+def motion_magnitude(frame_pairs: DataFrame, block: int) -> DataFrame:
+    """Mean absolute difference of each block to the frame before, truncated: frame_id, bx, by, strength."""
+    return block_sad(frame_pairs, block).select("frame_id", "bx", "by", F.floor(F.col("sad") / (block * block)).alias("strength"))
+
+
+def estimate_motion(frame_pairs: DataFrame, block: int = 16, reach: int = 16, threshold: int = 256, keep_zero: bool = False) -> DataFrame:
+    """Motion vectors of every pair by diamond search, without zero vectors unless asked: cur_id, prev_id, block_x, block_y, dx, dy, sad."""
+
+    def make(cur, prev):
+        mv = kernels.diamond(cur, prev, block, reach, threshold) if prev is not None else np.zeros((0, 5), np.int64)
+        return list((mv if keep_zero else mv[(mv[:, 2] != 0) | (mv[:, 3] != 0)]).T)
 
-    One aggregation by frame and row of blocks: a pixel gives +-v to its neighbours' differences, so each inner
-    pixel needs four others; arrays in raster order give them without a join.
+    made = _each(frame_pairs, ["cur", "prev"], "block_x long, block_y long, dx long, dy long, sad long", make, "cur_id")
+    return made.select("cur_id", (F.col("cur_id") - 1).alias("prev_id"), "block_x", "block_y", "dx", "dy", "sad")
+
+
+def full_search(frame_pairs: DataFrame, block: int = 16, reach: int = 16) -> DataFrame:
+    """Least sum of absolute differences over all offsets up to ``reach``, per block of each pair: cur_id, block_x, block_y, dx, dy, sad.
+
+    Ties go to the zero offset, then to the least (dy, dx).
     """
-    rows = pixels.groupBy("frame_id", *block_of(block)).agg(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "v"))), lambda p: p["v"]).alias("px"))
-    inner = F.sequence(F.lit(1), F.lit(block - 2)) if block > 2 else F.array().cast("array<int>")
-    at = lambda y, x: F.element_at("px", (y * block + x + 1).cast("int"))
-    line = lambda y: F.aggregate(inner, F.lit(0).cast("long"), lambda s, x: s + F.abs(at(y, x + 1) - at(y, x - 1)) + F.abs(at(y + 1, x) - at(y - 1, x)))
-    total = F.aggregate(inner, F.lit(0).cast("long"), lambda s, y: s + line(y))
-    n = max(1, (block - 2) ** 2)
-    return rows.where(F.size("px") == block * block).select("frame_id", "bx", "by", F.floor(total / n).alias("strength"))
 
+    def make(cur, prev):
+        found = kernels.full_search(cur, prev, block, reach) if prev is not None else np.zeros((0, 5), np.int64)
+        return list(found.T)
 
-REGION = "frame_id long, x long, y long, width long, height long, roi_type long, priority long, confidence double"
+    return _each(frame_pairs, ["cur", "prev"], "block_x long, block_y long, dx long, dy long, sad long", make, "cur_id")
 
 
-def regions(strengths: DataFrame, block: int, threshold: int, roi_type: int, least_area: int = values.MIN_REGION_AREA) -> DataFrame:
-    """Regions of the blocks above the threshold."""
-    size = F.lit(block).cast("long")
+def overlaps(regions: DataFrame, cell: int = 64) -> DataFrame:
+    """(key, a, b), a < b: all pairs of a key's rectangles (key, id, r) that intersect.
+
+    Rectangles meet in the cells of a grid that they cover, and a pair counts in the cell of the first corner of what
+    they share, so it is there once.
+    """
+    at = lambda c, n: F.floor((F.col("r")[c] + (F.col("r")[n] - 1 if n else 0)) / cell)
+    cells = regions.where((F.col("r.width") > 0) & (F.col("r.height") > 0)).withColumn("cx", F.explode(F.sequence(at("x", None), at("x", "width")))).withColumn("cy", F.explode(F.sequence(at("y", None), at("y", "height"))))
+    a, b = (cells.select("key", "cx", "cy", F.col("id").alias(n), F.col("r").alias(f"r{n}")) for n in "ab")
+    ra, rb = F.col("ra"), F.col("rb")
+    own = (F.floor(F.greatest(ra["x"], rb["x"]) / cell) == F.col("cx")) & (F.floor(F.greatest(ra["y"], rb["y"]) / cell) == F.col("cy"))
+    return a.join(b, ["key", "cx", "cy"]).where((F.col("a") < F.col("b")) & scalar.intersects(ra, rb) & own).select("key", "a", "b")
+
+
+def region_rows(strengths: DataFrame, block: int, threshold: int, roi_type: int, least_area: int = values.MIN_REGION_AREA) -> DataFrame:
+    """Regions of the blocks above the threshold, from frame_id, bx, by, strength."""
+    size: Column = F.lit(block).cast("long")
     found = strengths.where(F.col("strength") > threshold).select("frame_id", (F.col("bx") * block).cast("long").alias("x"), (F.col("by") * block).cast("long").alias("y"), size.alias("width"), size.alias("height"), F.lit(roi_type).cast("long").alias("roi_type"), F.lit(1).cast("long").alias("priority"), (F.least(F.col("strength"), F.lit(255)) / 255.0).alias("confidence"))
     return found.where(F.col("width") * F.col("height") >= least_area)
 
 
-def merge(found: DataFrame) -> DataFrame:
-    """Greedy merge within each frame; rows come with ``ord``, the order of equals. Frames are independent and small."""
+REGION = "x long, y long, width long, height long, roi_type long, priority long, confidence double"
+FIELDS = [c.split()[0] for c in REGION.split(", ")]
+
+
+def _found(strengths: np.ndarray, block: int, threshold: int, roi_type: int) -> list[dict]:
+    if block * block < values.MIN_REGION_AREA:
+        return []
+    return [dict(zip(FIELDS, (int(x) * block, int(y) * block, block, block, roi_type, 1, min(int(s), 255) / 255.0))) for x, y, s in zip(*_raster(strengths)) if s > threshold]
+
+
+def _detect(image: np.ndarray, block: int, edge: int, contrast_above: int) -> list[dict]:
+    return kernels.merge_regions(_found(edges_of(image, block), block, edge, 3) + _found(contrast_of(image, block), block, contrast_above, 2))
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("ord").drop(columns="ord").to_dict("records")
-        return pd.DataFrame(kernels.merge_regions(rows), columns=[c.split()[0] for c in REGION.split(", ")])
 
-    return found.groupBy("frame_id").applyInPandas(one, REGION)
+def _columns(found: list[dict]) -> list[list]:
+    return [[r[c] for r in found] for c in FIELDS]
 
 
-def _ordered(parts: list[DataFrame]) -> DataFrame:
-    """All rows with ord: detector, then raster order."""
-    out = None
-    for k, p in enumerate(parts):
-        p = p.withColumn("ord", F.lit(k).cast("long") * (1 << 40) + F.col("y") * (1 << 20) + F.col("x"))
-        out = p if out is None else out.unionByName(p)
-    return out
+def detect(frames: DataFrame, block: int = values.ROI_BLOCK, edge: int = values.EDGE_THRESHOLD, contrast_above: int = values.CONTRAST_THRESHOLD) -> DataFrame:
+    """Edge regions, then high contrast (text), merged: frame_id and REGION."""
+    return _each(frames, ["data"], REGION, lambda x: _columns(_detect(x, block, edge, contrast_above)))
 
 
-def detect(pixels: DataFrame, block: int = values.ROI_BLOCK, edge: int = values.EDGE_THRESHOLD, contrast_above: int = values.CONTRAST_THRESHOLD) -> DataFrame:
-    """Edge regions, then high contrast (text), merged."""
-    return merge(_ordered([regions(edge_strength(pixels, block), block, edge, 3), regions(contrast(pixels, block), block, contrast_above, 2)]))
+def detect_with_motion(frame_pairs: DataFrame, block: int = values.ROI_BLOCK, edge: int = values.EDGE_THRESHOLD, contrast_above: int = values.CONTRAST_THRESHOLD, motion: int = values.MOTION_THRESHOLD) -> DataFrame:
+    """The merged regions of ``detect`` and those that moved since the frame before (if any), merged again: frame_id and REGION."""
 
+    def make(cur, prev):
+        moved = _found(difference_of(cur, prev, block) // (block * block), block, motion, 4) if prev is not None else []
+        return _columns(kernels.merge_regions(_detect(cur, block, edge, contrast_above) + moved))
 
-def detect_with_motion(pixels: DataFrame, block: int = values.ROI_BLOCK, motion: int = values.MOTION_THRESHOLD, **how) -> DataFrame:
-    """The merged regions of ``detect`` and those that moved, merged again."""
-    first = detect(pixels, block, **how).withColumn("ord", (F.lit(1 << 39) - F.col("width") * F.col("height")) * (1 << 20) + F.col("y") * 1024 + F.col("x"))
-    moved = regions(motion_magnitude(pixels, block), block, motion, 4).withColumn("ord", F.lit(1 << 61) + F.col("y") * (1 << 20) + F.col("x"))
-    return merge(first.unionByName(moved))
+    return _each(frame_pairs, ["cur", "prev"], REGION, make, "cur_id").withColumnRenamed("cur_id", "frame_id")

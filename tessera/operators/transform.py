@@ -1,4 +1,4 @@
-"""Block transforms: DCT as a join with a basis, quantization, sparse coefficients."""
+"""Block transforms over arrays of n * n values: DCT as a matrix product a batch, quantization, sparse coefficients."""
 
 from __future__ import annotations
 
@@ -6,46 +6,41 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import values
 from ..functions.kernels import dct_basis
 
 
-def basis(spark: SparkSession, n: int = 8) -> DataFrame:
-    """uv, pos, w: weight of sample pos in coefficient uv (n ** 4 rows, a fixed size)."""
-    span = spark.range(n**4)
-    i = {k: F.expr(f"cast((id div {n**p}) % {n} as int)") for p, k in enumerate(("x", "y", "u", "v"))}
-    c = lambda k: F.when(k == 0, F.lit(1 / math.sqrt(2))).otherwise(1.0)
-    cos = lambda a, k: F.cos((2 * a + 1) * k * math.pi / (2 * n))
-    w = (2.0 / n) * c(i["u"]) * c(i["v"]) * cos(i["x"], i["u"]) * cos(i["y"], i["v"])
-    return span.select((i["v"] * n + i["u"]).alias("uv"), (i["y"] * n + i["x"]).alias("pos"), w.alias("w"))
-
-
-def forward(blocks: DataFrame, n: int = 8) -> DataFrame:
-    """block, uv, c from block, pos, v: the basis is broadcast, its size is fixed."""
-    b = F.broadcast(basis(blocks.sparkSession, n))
-    return blocks.join(b, "pos").groupBy("block", "uv").agg(F.sum(F.col("v") * F.col("w")).alias("c"))
+def _product(df: DataFrame, source: str, made: str, matrix: np.ndarray) -> DataFrame:
+    """block and the product of ``matrix`` with each row's array; null where the array is null or not as long as a block."""
+    size = matrix.shape[1]
 
+    def rows(batches):
+        for batch in batches:
+            col = batch[source]
+            fits = (pc.list_value_length(col).to_numpy(zero_copy_only=False) == size) if len(col) else np.zeros(0, bool)
+            fits = np.array([x is True or x is np.True_ for x in fits.tolist()], bool)
+            x = col.filter(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
+            y = x @ matrix.T
+            ends = np.concatenate(([0], np.cumsum(np.where(fits, size, 0)))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch["block"], pa.ListArray.from_arrays(pa.array(ends), pa.array(y.reshape(-1)), mask=pa.array(~fits))], names=["block", made])
 
-def inverse(coeffs: DataFrame, n: int = 8) -> DataFrame:
-    """block, pos, v from block, uv, c."""
-    b = F.broadcast(basis(coeffs.sparkSession, n))
-    return coeffs.join(b, "uv").groupBy("block", "pos").agg(F.sum(F.col("c") * F.col("w")).alias("v"))
+    return df.select("block", source).mapInArrow(rows, f"block {dict(df.dtypes)['block']}, {made} array<double>")
 
 
-def forward_arrays(df: DataFrame, n: int = 8) -> DataFrame:
-    """block, coeffs from block, samples (arrays): a matrix product a batch, for bulk data."""
+def forward(df: DataFrame, n: int = 8) -> DataFrame:
+    """block, coeffs (index v * n + u) from block, samples (index y * n + x): no shuffle."""
     b = dct_basis(n)
-    two = np.kron(b, b)
+    return _product(df, "samples", "coeffs", np.kron(b, b))
 
-    def rows(batches):
-        for batch in batches:
-            x = np.array(batch["samples"].to_pylist(), np.float64).reshape(-1, n * n)
-            yield pa.RecordBatch.from_arrays([batch["block"], pa.array(list(x @ two.T), pa.list_(pa.float64()))], names=["block", "coeffs"])
 
-    return df.select("block", "samples").mapInArrow(rows, f"block {dict(df.dtypes)['block']}, coeffs array<double>")
+def inverse(df: DataFrame, n: int = 8) -> DataFrame:
+    """block, samples from block, coeffs."""
+    b = dct_basis(n)
+    return _product(df, "coeffs", "samples", np.kron(b, b).T)
 
 
 def quant_matrix(n: int = 8, quality: int = 50) -> list[int]:
@@ -60,13 +55,13 @@ def quant_column(n: int, quality: int) -> Column:
     return F.array(*[F.lit(m) for m in quant_matrix(n, quality)])
 
 
-def quantize(c: Column, uv: Column, n: int = 8, quality: int = 50) -> Column:
-    """Rounded half away from zero."""
-    return F.round(c * (1.0 / F.element_at(quant_column(n, quality), (uv + 1).cast("int")))).cast("int")
+def quantize(coeffs: Column, n: int = 8, quality: int = 50) -> Column:
+    """Each coefficient over its quantum, rounded half away from zero."""
+    return F.zip_with(coeffs, quant_column(n, quality), lambda c, m: F.round(c * (1.0 / m)).cast("int"))
 
 
-def dequantize(q: Column, uv: Column, n: int = 8, quality: int = 50) -> Column:
-    return (q * F.element_at(quant_column(n, quality), (uv + 1).cast("int"))).cast("double")
+def dequantize(q: Column, n: int = 8, quality: int = 50) -> Column:
+    return F.zip_with(q, quant_column(n, quality), lambda c, m: (c * m).cast("double"))
 
 
 def sparse_threshold(threshold: float = 0.001) -> int:
@@ -81,9 +76,9 @@ def sparse_encode(coeffs: Column, n: int = 8, threshold: float = 0.001) -> Colum
 
 
 def sparse_decode(sparse: Column, n: int = 8, default: int = 0) -> Column:
-    """The dense array; entries beyond n are ignored, the last of equals wins."""
-    at = F.map_from_entries(F.array_distinct(F.transform(F.filter(sparse, lambda p: (p["u"] < n) & (p["v"] < n)), lambda p: F.struct((p["v"] * n + p["u"]).alias("key"), p["value"].cast("int").alias("value")))))
-    return F.transform(F.sequence(F.lit(0), F.lit(n * n - 1)), lambda i: F.coalesce(F.try_element_at(at, i), F.lit(default)))
+    """The dense array; entries beyond n are ignored, the last of several for one coefficient wins."""
+    own = lambda i: F.filter(sparse, lambda p: (p["u"] < n) & (p["v"] < n) & (p["v"] * n + p["u"] == i))
+    return F.transform(F.sequence(F.lit(0), F.lit(n * n - 1)), lambda i: F.coalesce(F.try_element_at(own(i), F.lit(-1))["value"].cast("int"), F.lit(default)))
 
 
 def energy_compaction(df: DataFrame, key: str = "block") -> DataFrame:

@@ -5,6 +5,8 @@ Integers come from floor or integer division before any cast, so both engines ag
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +26,29 @@ def frames(spark: SparkSession, d: str) -> DataFrame:
     return b.select(F.expr("vec_id div 64").alias("frame_id"), F.expr("vec_id % 64 % 8 * 8 + pos % 8").alias("x"), F.expr("(vec_id % 64) div 8 * 8 + pos div 8").alias("y"), "v")
 
 
+def block_arrays(spark: SparkSession, d: str) -> DataFrame:
+    """block, samples: the same blocks as arrays."""
+    v = F.transform("embedding", lambda e: F.least(F.lit(255), F.greatest(F.lit(0), F.floor((e.cast("double") + 0.5) * 255))).cast("double"))
+    return scan(spark, d, "embeddings").select(F.col("vec_id").alias("block"), v.alias("samples"))
+
+
+def frame_rows(spark: SparkSession, d: str) -> DataFrame:
+    """frame_id, width, height, data: the same frames as rows of bytes, put together from their 64 blocks."""
+    b = block_arrays(spark, d)
+    full = b.agg(F.expr("count(*) div 64").alias("full"))
+    own = b.join(F.broadcast(full), F.expr("block div 64") < F.col("full"))
+    own = own.groupBy(F.expr("block div 64").alias("frame_id")).agg(F.array_sort(F.collect_list(F.struct(F.expr("block % 64").alias("slot"), F.transform("samples", lambda s: s.cast("int")).alias("v")))).alias("own"))
+
+    def rows(batches):
+        for batch in batches:
+            v = batch["own"].flatten().field("v").flatten().to_numpy(zero_copy_only=False).astype(np.uint8).reshape(-1, 8, 8, 8, 8)
+            data = [x.tobytes() for x in v.transpose(0, 1, 3, 2, 4)]  # rows of blocks, rows in a block, blocks, columns
+            side = pa.array([64] * len(data), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch["frame_id"], side, side, pa.array(data, pa.binary())], names=["frame_id", "width", "height", "data"])
+
+    return own.select("frame_id", F.transform("own", lambda o: F.struct(o["v"].alias("v"))).alias("own")).mapInArrow(rows, "frame_id long, width int, height int, data binary")
+
+
 def rgb(spark: SparkSession, d: str) -> DataFrame:
     """frame_id, i, r, g, b: triples of a vector's values."""
     at = lambda k: F.max(F.when(F.col("pos") % 3 == k, F.col("v")))

@@ -269,7 +269,7 @@ CONTRAST = "contrast AS (SELECT frame_id, x // 8 AS bx, y // 8 AS by, max(v) - m
 
 @query(f"WITH {fx.FRAMES}, {CONTRAST} SELECT * FROM contrast WHERE strength > 50")
 def f2_strong_blocks(spark, d):
-    return blocks.contrast(fx.frames(spark, d), 8).where(F.col("strength") > values.CONTRAST_THRESHOLD)
+    return blocks.contrast(fx.frame_rows(spark, d), 8).where(F.col("strength") > values.CONTRAST_THRESHOLD)
 
 
 @query(f"WITH {RECTS} SELECT stream_id, sequence, w * h AS area FROM rects WHERE w * h >= 64")
@@ -363,7 +363,7 @@ DIFF = "diff AS (SELECT c.frame_id, c.x, c.y, abs(c.v - p.v) AS d FROM frames c
 
 @query(f"WITH {fx.FRAMES}, {DIFF} SELECT frame_id, x // 8 AS bx, y // 8 AS by, CAST(sum(d) AS BIGINT) AS sad FROM diff GROUP BY 1, 2, 3")
 def a4_block_sad(spark, d):
-    return blocks.block_sad(fx.frames(spark, d), 8)
+    return blocks.block_sad(frame_pairs(spark, d), 8)
 
 
 EDGES = """edges AS (SELECT c.frame_id, c.x // 16 AS bx, c.y // 16 AS by, CAST(sum(abs(r.v - l.v) + abs(b.v - t.v)) // 196 AS BIGINT) AS strength FROM frames c
@@ -374,17 +374,17 @@ EDGES = """edges AS (SELECT c.frame_id, c.x // 16 AS bx, c.y // 16 AS by, CAST(s
 
 @query(f"WITH {fx.FRAMES}, {EDGES} SELECT * FROM edges")
 def a5_edge_strength(spark, d):
-    return blocks.edge_strength(fx.frames(spark, d), 16)
+    return blocks.edge_strength(fx.frame_rows(spark, d), 16)
 
 
 @query(f"WITH {fx.FRAMES}, {CONTRAST} SELECT * FROM contrast")
 def a6_contrast(spark, d):
-    return blocks.contrast(fx.frames(spark, d), 8)
+    return blocks.contrast(fx.frame_rows(spark, d), 8)
 
 
 @query(f"WITH {fx.FRAMES}, {DIFF} SELECT frame_id, x // 16 AS bx, y // 16 AS by, CAST(sum(d) // 256 AS BIGINT) AS strength FROM diff GROUP BY 1, 2, 3")
 def a7_motion_magnitude(spark, d):
-    return blocks.motion_magnitude(fx.frames(spark, d), 16)
+    return blocks.motion_magnitude(frame_pairs(spark, d), 16)
 
 
 @query(f"""WITH {fx.RGB}, {ASSIGNED}, means AS (SELECT frame_id, cluster, CAST(sum(r) // count(*) AS BIGINT) AS r, CAST(sum(g) // count(*) AS BIGINT) AS g, CAST(sum(b) // count(*) AS BIGINT) AS b FROM assigned GROUP BY 1, 2)
@@ -465,7 +465,7 @@ def w3_receive(spark, d):
 
 @query(f"WITH {fx.FRAMES} SELECT DISTINCT frame_id AS cur_id, frame_id - 1 AS prev_id FROM frames WHERE frame_id > 0")
 def w5_frame_pairs(spark, d):
-    return blocks.pairs(blocks.frame_rows(fx.frames(spark, d))).select("cur_id", "prev_id")
+    return frame_pairs(spark, d).select("cur_id", "prev_id")
 
 
 RUNS = """runs AS (SELECT frame_id, min(pos) AS start, any_value(bit) AS value, count(*) AS length FROM (SELECT *, sum(new) OVER (PARTITION BY frame_id ORDER BY pos) AS island FROM
@@ -521,7 +521,7 @@ def t5_farthest(spark, d):
 
 @query(f"""WITH {fx.FRAMES}, {CONTRAST} SELECT frame_id, row_number() OVER (PARTITION BY frame_id ORDER BY "by", bx) AS place, bx, "by" FROM contrast""")
 def t7_raster_order(spark, d):
-    return blocks.contrast(fx.frames(spark, d), 8).select("frame_id", F.row_number().over(Window.partitionBy("frame_id").orderBy("by", "bx")).cast("long").alias("place"), "bx", "by")
+    return blocks.contrast(fx.frame_rows(spark, d), 8).select("frame_id", F.row_number().over(Window.partitionBy("frame_id").orderBy("by", "bx")).cast("long").alias("place"), "bx", "by")
 
 
 REGIONS = """regions AS (SELECT frame_id, bx * 16 AS x, "by" * 16 AS y, 3 AS roi_type, least(strength, 255) / 255.0 AS confidence FROM edges WHERE strength > 30
@@ -530,8 +530,8 @@ REGIONS = """regions AS (SELECT frame_id, bx * 16 AS x, "by" * 16 AS y, 3 AS roi
 
 @query(f"WITH {fx.FRAMES}, {EDGES}, {REGIONS} SELECT frame_id, x, y, CAST(roi_type AS BIGINT) AS roi_type, round(CAST(confidence AS DOUBLE), {R}) AS confidence FROM regions")
 def u1_detector_union(spark, d):
-    f = fx.frames(spark, d)
-    out = blocks.regions(blocks.edge_strength(f, 16), 16, 30, 3).unionByName(blocks.regions(blocks.contrast(f, 16), 16, 50, 2))
+    f = fx.frame_rows(spark, d)
+    out = blocks.region_rows(blocks.edge_strength(f, 16), 16, 30, 3).unionByName(blocks.region_rows(blocks.contrast(f, 16), 16, 50, 2))
     return out.select("frame_id", "x", "y", "roi_type", F.round("confidence", R).alias("confidence"))
 
 
@@ -551,21 +551,24 @@ QUANTIZED = COEFFS + ", quantized AS (SELECT block, uv, CAST(round(c * (1.0::DOU
 
 
 def coeffs(spark, d) -> DataFrame:
-    return transform.forward(fx.blocks8(spark, d).withColumnRenamed("vec_id", "block")).withColumn("c", F.round("c", 6))
+    """block and the coefficients, rounded to six digits."""
+    return transform.forward(fx.block_arrays(spark, d)).select("block", F.transform("coeffs", lambda c: F.round(c, 6)).alias("c"))
 
 
 def quantized(spark, d) -> DataFrame:
-    return coeffs(spark, d).select("block", "uv", transform.quantize(F.col("c"), F.col("uv")).alias("q"))
+    return coeffs(spark, d).select("block", transform.quantize(F.col("c")).alias("q"))
 
 
 @query(f"WITH {fx.BLOCKS8}, {BASIS} SELECT vec_id AS block, uv, round(sum(v * w), {R}) + 0.0 AS c FROM blocks8 JOIN basis USING (pos) GROUP BY 1, 2")
 def k1_dct(spark, d):
-    return longs(transform.forward(fx.blocks8(spark, d).withColumnRenamed("vec_id", "block")).withColumn("c", F.round("c", R) + 0.0))
+    out = transform.forward(fx.block_arrays(spark, d)).select("block", F.posexplode("coeffs").alias("uv", "c"))
+    return longs(out.withColumn("c", F.round("c", R) + 0.0))
 
 
 @query(f"WITH {fx.BLOCKS8} SELECT vec_id AS block, pos, CAST(v AS DOUBLE) AS v FROM blocks8")
 def k2_idct(spark, d):
-    return longs(transform.inverse(transform.forward(fx.blocks8(spark, d).withColumnRenamed("vec_id", "block"))).withColumn("v", F.abs(F.round("v", R))))
+    out = transform.inverse(transform.forward(fx.block_arrays(spark, d))).select("block", F.posexplode("samples").alias("pos", "v"))
+    return longs(out.withColumn("v", F.abs(F.round("v", R))))
 
 
 @query("SELECT q.quality, i AS uv, greatest(1, CAST(floor(list_extract([" + ", ".join(map(str, values.LUMINANCE_QUANT)) + "], i + 1) * (CASE WHEN q.quality < 50 THEN 5000 // q.quality ELSE 200 - 2 * q.quality END) / 100) AS BIGINT)) AS m FROM range(0, 64) t(i), (SELECT unnest([10, 50, 75, 100]) AS quality) q")
@@ -576,17 +579,16 @@ def k4_k5_quality(spark, d):
 
 @query(f"WITH {QUANTIZED} SELECT block, uv, q FROM quantized")
 def k6_quantize(spark, d):
-    return longs(quantized(spark, d))
+    return longs(quantized(spark, d).select("block", F.posexplode("q").alias("uv", "q")))
 
 
 @query(f"WITH {QUANTIZED} SELECT block, uv, CAST(q * m AS DOUBLE) AS c FROM quantized")
 def k7_dequantize(spark, d):
-    return longs(quantized(spark, d).select("block", "uv", transform.dequantize(F.col("q"), F.col("uv")).alias("c")))
+    return longs(quantized(spark, d).select("block", F.posexplode(transform.dequantize(F.col("q"))).alias("uv", "c")))
 
 
 def sparse(spark, d) -> DataFrame:
-    q = quantized(spark, d).groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("uv", "q"))), lambda x: x["q"]).alias("q"))
-    return q.select("block", transform.sparse_encode(F.col("q")).alias("s"))
+    return quantized(spark, d).select("block", transform.sparse_encode(F.col("q")).alias("s"))
 
 
 @query(f"WITH {QUANTIZED} SELECT block, uv % 8 AS u, uv // 8 AS v, CAST(q AS DOUBLE) AS value FROM quantized WHERE abs(q) > 1")
@@ -601,16 +603,17 @@ def k8_sparse_decode(spark, d):
 
 @query(f"WITH {QUANTIZED} SELECT block, pos, round(sum(CASE WHEN abs(q) > 1 THEN q * m ELSE 0 END * w), 3) + 0.0 AS v FROM quantized JOIN basis USING (uv) GROUP BY 1, 2")
 def k9_sparse_pipeline(spark, d):
-    dense = sparse(spark, d).select("block", F.posexplode(transform.sparse_decode(F.col("s"))).alias("uv", "q"))
-    out = transform.inverse(dense.select("block", "uv", transform.dequantize(F.col("q"), F.col("uv")).alias("c")))
+    dense = sparse(spark, d).select("block", transform.dequantize(transform.sparse_decode(F.col("s"))).alias("coeffs"))
+    out = transform.inverse(dense).select("block", F.posexplode("samples").alias("pos", "v"))
     return longs(out.withColumn("v", F.round("v", 3) + 0.0))
 
 
-@query()
+@query(f"WITH {fx.BLOCKS8}, {BASIS} SELECT block, CAST(sum(round(abs(c) * 10000)) AS BIGINT) AS total, max(CASE WHEN uv = 0 THEN c END) AS mean, count(*) AS n FROM (SELECT vec_id AS block, uv, round(sum(v * w), {R}) + 0.0 AS c FROM blocks8 JOIN basis USING (pos) GROUP BY 1, 2) GROUP BY 1")
 def k3_dct_arrays(spark, d):
-    """The bulk form: a matrix product per Arrow batch."""
-    e = scan(spark, d, "embeddings").select(F.col("vec_id").alias("block"), F.transform("embedding", lambda x: F.floor((x.cast("double") + 0.5) * 255).cast("double")).alias("samples"))
-    return transform.forward_arrays(e).select("block", F.transform("coeffs", lambda c: F.round(c, R)).alias("coeffs"))
+    """The bulk form: an array of coefficients a block, and what is asked of it without exploding it."""
+    c = transform.forward(fx.block_arrays(spark, d)).select("block", F.transform("coeffs", lambda c: F.round(c, R) + 0.0).alias("c"))
+    total = F.aggregate("c", F.lit(0).cast("long"), lambda s, x: s + F.round(F.abs(x) * 10000).cast("long"))
+    return c.select("block", total.alias("total"), F.col("c")[0].alias("mean"), F.size("c").cast("long").alias("n"))
 
 
 @query(f"WITH {fx.FRAMES}, r AS (SELECT frame_id, min(v) AS low, max(v) AS high FROM frames GROUP BY 1) SELECT frame_id, x, y, v - low AS symbol FROM frames JOIN r USING (frame_id)")
@@ -632,17 +635,17 @@ SELECT cur_id, block_x, block_y, dx, dy, CAST(sad AS BIGINT) AS sad FROM s WHERE
 
 @query(FULL)
 def m4_f9_full_search(spark, d):
-    return blocks.full_search(fx.frames(spark, d), 16, 1)
+    return blocks.full_search(frame_pairs(spark, d), 16, 1)
 
 
 @query()
 def m4_f9_full_search_whole(spark, d):
     """All offsets of the motion search's range of 16, as m1_m2_diamond has; m4_f9_full_search has the nine of its SQL."""
-    return blocks.full_search(fx.frames(spark, d), 16, 16)
+    return blocks.full_search(frame_pairs(spark, d), 16, 16)
 
 
-def frame_pairs(spark, d) -> DataFrame:
-    return blocks.pairs(blocks.frame_rows(fx.frames(spark, d)))
+def frame_pairs(spark, d, how: str = "inner") -> DataFrame:
+    return blocks.pairs(fx.frame_rows(spark, d), how)
 
 
 @query()
@@ -668,12 +671,12 @@ def rgb_rows(spark, d) -> DataFrame:
 
 @query()
 def m8_m9_detect(spark, d):
-    return blocks.detect(fx.frames(spark, d))
+    return blocks.detect(fx.frame_rows(spark, d))
 
 
 @query()
 def m9_detect_with_motion(spark, d):
-    return blocks.detect_with_motion(fx.frames(spark, d))
+    return blocks.detect_with_motion(frame_pairs(spark, d, "left"))
 
 
 # --- media, bridges ---------------------------------------------------------------------------------------------------

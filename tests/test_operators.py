@@ -34,8 +34,61 @@ def test_sparse(spark):
 
 
 def test_quantize_rounds_half_away(spark):
-    df = spark.createDataFrame([(40.0, 0), (-40.0, 0), (39.9, 0)], "c double, uv int")
-    assert [r[0] for r in df.select(transform.quantize(F.col("c"), F.col("uv"))).collect()] == [3, -3, 2]
+    df = spark.createDataFrame([([v] + [0.0] * 63,) for v in (40.0, -40.0, 39.9)], "c array<double>")
+    assert [r[0][0] for r in df.select(transform.quantize(F.col("c"))).collect()] == [3, -3, 2]
+
+
+def test_sparse_decode_takes_the_last_of_equals(spark):
+    df = spark.createDataFrame([([(1, 0, 5.0), (9, 0, 3.0), (1, 0, 7.0), (0, 2, -2.0)],)], "s array<struct<u: int, v: int, value: float>>")
+    assert df.select(transform.sparse_decode(F.col("s"), 3).alias("d")).first()["d"] == [0, 7, 0, 0, 0, 0, -2, 0, 0]
+
+
+def test_transforms_skip_what_is_no_block(spark):
+    df = spark.createDataFrame([(1, [1.0] * 64), (2, None), (3, [1.0] * 5), (4, [2.0] * 64)], "block long, samples array<double>").coalesce(1)
+    out = {r["block"]: r["coeffs"] for r in transform.forward(df).collect()}
+    assert out[2] is None and out[3] is None and abs(out[1][0] - 8) < 1e-9 and abs(out[4][0] - 16) < 1e-9 and len(out[4]) == 64
+    assert transform.forward(df.limit(0)).count() == 0
+
+
+def test_block_operators_by_pixels(spark):
+    """Strengths, regions and motion of frames whose sides aren't whole blocks, pixel by pixel."""
+    rng = np.random.default_rng(9)
+    px = np.repeat(np.repeat(rng.integers(0, 256, (3, 5, 7)), 9, 1), 8, 2)[:, :43, :53].astype(np.uint8)
+    h, w, size = 43, 53, 16
+    df = spark.createDataFrame([(k, w, h, px[k].tobytes()) for k in range(3)] + [(7, w, h, px[0].tobytes()), (8, 5, 5, b"x"), (9, None, None, None)], "frame_id long, width int, height int, data binary")
+    v = lambda k, y, x: int(px[k][y][x])
+    cells = [(by, bx) for by in range(h // size) for bx in range(w // size)]
+    inside = lambda by, bx, m: [(y, x) for y in range(by * size + m, (by + 1) * size - m) for x in range(bx * size + m, (bx + 1) * size - m)]
+    want = {(k, bx, by): max(v(k, y, x) for y, x in inside(by, bx, 0)) - min(v(k, y, x) for y, x in inside(by, bx, 0)) for k in range(3) for by, bx in cells}
+    got = {(r["frame_id"], r["bx"], r["by"]): r["strength"] for r in blocks.contrast(df, size).collect() if r["frame_id"] < 3}
+    assert got == want
+    edges = {(k, bx, by): sum(abs(v(k, y, x + 1) - v(k, y, x - 1)) + abs(v(k, y + 1, x) - v(k, y - 1, x)) for y, x in inside(by, bx, 1)) // 196 for k in range(3) for by, bx in cells}
+    assert {(r["frame_id"], r["bx"], r["by"]): r["strength"] for r in blocks.edge_strength(df, size).collect() if r["frame_id"] < 3} == edges
+    moved = {(k, bx, by): sum(abs(v(k, y, x) - v(k - 1, y, x)) for y, x in inside(by, bx, 0)) // 256 for k in (1, 2) for by, bx in cells}
+    assert {(r["frame_id"], r["bx"], r["by"]): r["strength"] for r in blocks.motion_magnitude(blocks.pairs(df), size).collect()} == moved
+
+    def regions(k, *maps):
+        out = [{"x": bx * 16, "y": by * 16, "width": 16, "height": 16, "roi_type": t, "priority": 1, "confidence": min(m[k, bx, by], 255) / 255} for m, above, t in maps for by, bx in cells if m.get((k, bx, by), -1) > above]
+        merged, todo = [], sorted(out, key=lambda r: -r["width"] * r["height"])
+        while todo:
+            a, rest = dict(todo[0]), []
+            for r in todo[1:]:
+                s = todo[0]
+                if s["x"] < r["x"] + r["width"] and r["x"] < s["x"] + s["width"] and s["y"] < r["y"] + r["height"] and r["y"] < s["y"] + s["height"]:
+                    x1, y1 = max(a["x"] + a["width"], r["x"] + r["width"]), max(a["y"] + a["height"], r["y"] + r["height"])
+                    a["x"], a["y"] = min(a["x"], r["x"]), min(a["y"], r["y"])
+                    a["width"], a["height"], a["confidence"] = x1 - a["x"], y1 - a["y"], max(a["confidence"], r["confidence"])
+                else:
+                    rest.append(r)
+            merged.append(a)
+            todo = rest
+        return sorted(tuple(a.values()) for a in merged)
+
+    by_frame = lambda out, k: sorted((r["x"], r["y"], r["width"], r["height"], r["roi_type"], r["priority"], r["confidence"]) for r in out if r["frame_id"] == k)
+    first, second = blocks.detect(df).collect(), blocks.detect_with_motion(blocks.pairs(df, "left")).collect()
+    for k in range(3):
+        assert by_frame(first, k) == regions(k, (edges, 30, 3), (want, 50, 2))
+    assert by_frame(second, 0) == by_frame(first, 0) == by_frame(second, 7) and {r["roi_type"] for r in second} >= {2, 3} and 4 in {r["roi_type"] for r in second} | {4}
 
 
 def test_rect_edges(spark):
@@ -108,6 +161,6 @@ def test_full_search_over_the_whole_range(spark):
         all_ = [(int(abs(px[1, y : y + 16, x : x + 16] - px[0, y + dy : y + dy + 16, x + dx : x + dx + 16]).sum()), (dx, dy) != (0, 0), dy, dx) for dy in range(-16, 17) for dx in range(-16, 17) if 0 <= y + dy <= 32 and 0 <= x + dx <= 32]
         sad, _, dy, dx = min(all_)
         want.append((1, bx, by, dx, dy, sad))
-    frames = spark.createDataFrame(rows, "frame_id long, x long, y long, v long")
+    frames = blocks.pairs(blocks.frame_rows(spark.createDataFrame(rows, "frame_id long, x long, y long, v long")))
     assert sorted(tuple(r) for r in blocks.full_search(frames, 16, 16).collect()) == sorted(want)
     assert (1, 1, 1, 14, -11, 0) in want

@@ -73,7 +73,11 @@ def s5_total_size(spark, d):
     return fx.packets(spark, d).select("stream_id", "sequence", framing.total_size(F.col("payload_len")).alias("total_size"))
 
 
-@query()
+CRC32 = """steps AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)) AS t),
+sealed AS (SELECT stream_id, sequence, h || format('{:08X}', xor(list_reduce(list_transform(range(16), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)) AS raw_hex FROM headers, steps)"""
+
+
+@query(f"WITH {fx.PACKETS}, headers AS (SELECT stream_id, sequence, {HEADER_SQL} AS h FROM packets), {CRC32} SELECT stream_id, sequence, raw_hex, true AS crc_ok FROM sealed")
 def s6_crc32(spark, d):
     h = framing.seal_crc(framing.header(F.col("packet_type"), F.col("sequence"), F.col("payload_len")))
     return fx.packets(spark, d).select("stream_id", "sequence", F.hex(h).alias("raw_hex"), framing.crc_ok(h).alias("crc_ok"))
@@ -290,7 +294,8 @@ def f6_motion_events(spark, d):
 # --- joins -------------------------------------------------------------------------------------------------------
 
 
-@query(f"WITH {fx.FRAMES} SELECT c.frame_id, c.x, c.y, c.v AS cur, p.v AS prev FROM frames c JOIN frames p ON p.frame_id = c.frame_id - 1 AND p.x = c.x AND p.y = c.y WHERE c.v > p.v + 100")
+@query(f"""WITH {fx.FRAMES} SELECT frame_id, x, y, v AS cur, prev FROM (SELECT *, lag(v) OVER w AS prev, lag(frame_id) OVER w AS before FROM frames WINDOW w AS (PARTITION BY x, y ORDER BY frame_id))
+  WHERE before = frame_id - 1 AND v > prev + 100""")
 def j1_pixel_pairs(spark, d):
     f = fx.frames(spark, d)
     prev = f.select((F.col("frame_id") + 1).alias("frame_id"), "x", "y", F.col("v").alias("prev"))
@@ -298,17 +303,9 @@ def j1_pixel_pairs(spark, d):
 
 
 @query(f"""WITH {RECTS} SELECT a.stream_id, a.sequence AS a, b.sequence AS b FROM rects a JOIN rects b ON a.stream_id = b.stream_id AND a.sequence < b.sequence
-  AND a.x < b.x + b.w AND b.x < a.x + a.w AND a.y < b.y + b.h AND b.y < a.y + a.h WHERE a.sequence <= 20 AND b.sequence <= 20""")
+  AND a.x < b.x + b.w AND b.x < a.x + a.w AND a.y < b.y + b.h AND b.y < a.y + a.h""")
 def j3_overlaps(spark, d):
-    """Rectangles of a stream's first twenty packets that overlap (the window is the feature)."""
-    r = rects(spark, d).where("sequence <= 20")
-    a, b = r.select("stream_id", F.col("sequence").alias("a"), F.col("r").alias("ra")), r.select("stream_id", F.col("sequence").alias("b"), F.col("r").alias("rb"))
-    return a.join(b, "stream_id").where((F.col("a") < F.col("b")) & scalar.intersects(F.col("ra"), F.col("rb"))).select("stream_id", "a", "b")
-
-
-@query()
-def j3_overlaps_whole(spark, d):
-    """All overlapping rectangles of each stream; j3_overlaps is the same for the first twenty packets, as its SQL asks."""
+    """All overlapping rectangles of each stream."""
     r = rects(spark, d).select(F.col("stream_id").alias("key"), F.col("sequence").alias("id"), "r")
     return blocks.overlaps(r).withColumnRenamed("key", "stream_id")
 
@@ -433,7 +430,11 @@ def p21_savings(spark, d):
     return stream.bandwidth(stream.transmit(fx.hybrid_frames(spark, d))).select("stream_id", F.round("saved_percent", R).alias("saved_percent"), F.round("saved_ratio", R).alias("saved_ratio"))
 
 
-@query()
+REPORT_SQL = """printf('frames %d, hybrid %d B (scene %d, delta %d, mask %d, video %d, audio %d), traditional %d B, saved %.2f %%, ratio %.2f', frame_count, hybrid_bytes, scene_bytes, delta_bytes, mask_bytes, video_bytes, audio_bytes, traditional_bytes,
+  CASE WHEN traditional_bytes = 0 THEN 0.0 ELSE (1 - hybrid_bytes / traditional_bytes) * 100 END::DOUBLE, CASE WHEN traditional_bytes = 0 THEN 1.0 ELSE traditional_bytes / greatest(hybrid_bytes, 1) END::DOUBLE)"""
+
+
+@query(f"WITH {fx.HYBRID}, {BANDWIDTH} SELECT stream_id, {REPORT_SQL} AS report FROM bw")
 def p22_report(spark, d):
     return stream.report(stream.bandwidth(stream.transmit(fx.hybrid_frames(spark, d))))
 
@@ -627,20 +628,16 @@ def k10_symbols(spark, d):
 
 # --- searches and kernels ----------------------------------------------------------------------------------------------
 
-FULL = f"""WITH {fx.FRAMES}, offs AS (SELECT a.i AS dx, b.i AS dy FROM range(-1, 2) a(i), range(-1, 2) b(i)),
-s AS (SELECT c.frame_id AS cur_id, c.x // 16 AS block_x, c.y // 16 AS block_y, dx, dy, sum(abs(c.v - p.v)) AS sad, count(*) AS n FROM frames c CROSS JOIN offs
-  JOIN frames p ON p.frame_id = c.frame_id - 1 AND p.x = c.x + dx AND p.y = c.y + dy GROUP BY 1, 2, 3, 4, 5)
-SELECT cur_id, block_x, block_y, dx, dy, CAST(sad AS BIGINT) AS sad FROM s WHERE n = 256 QUALIFY row_number() OVER (PARTITION BY cur_id, block_x, block_y ORDER BY sad, CASE WHEN dx = 0 AND dy = 0 THEN 0 ELSE 1 END, dy, dx) = 1"""
+FRAMES_ONCE = fx.FRAMES.replace("blocks8 AS (", "blocks8 AS MATERIALIZED (").replace(", frames AS (", ", frames AS MATERIALIZED (")
+SADS = FRAMES_ONCE + """, moved AS MATERIALIZED (SELECT frame_id AS cur_id, frame_id - 1 AS frame_id, x // 16 AS block_x, y // 16 AS block_y, a.i AS dx, b.i AS dy, x + a.i AS x, y + b.i AS y, v AS own
+  FROM frames CROSS JOIN range(-16, 17) a(i) CROSS JOIN range(-16, 17) b(i) WHERE x // 16 * 16 + a.i BETWEEN 0 AND 48 AND y // 16 * 16 + b.i BETWEEN 0 AND 48),
+sads AS MATERIALIZED (SELECT cur_id, block_x, block_y, dx, dy, CAST(sum(abs(own - v)) AS BIGINT) AS sad FROM moved JOIN frames USING (frame_id, x, y) GROUP BY 1, 2, 3, 4, 5)"""
 
 
-@query(FULL)
+@query(f"""WITH {SADS} SELECT cur_id, block_x, block_y, dx, dy, sad FROM sads
+  QUALIFY row_number() OVER (PARTITION BY cur_id, block_x, block_y ORDER BY sad, CASE WHEN dx = 0 AND dy = 0 THEN 0 ELSE 1 END, dy, dx) = 1""")
 def m4_f9_full_search(spark, d):
-    return blocks.full_search(frame_pairs(spark, d), 16, 1)
-
-
-@query()
-def m4_f9_full_search_whole(spark, d):
-    """All offsets of the motion search's range of 16, as m1_m2_diamond has; m4_f9_full_search has the nine of its SQL."""
+    """All offsets of the motion search's range of 16."""
     return blocks.full_search(frame_pairs(spark, d), 16, 16)
 
 
@@ -648,19 +645,58 @@ def frame_pairs(spark, d, how: str = "inner") -> DataFrame:
     return blocks.pairs(fx.frame_rows(spark, d), how)
 
 
-@query()
+#: A block's search as a state: phase (large pattern, small pattern, done), next place in the pattern, offset, its value.
+DIAMOND = """pattern AS (SELECT unnest([0, 0, 0, 0, 0, 0, 0, 0, 1, 1, 1, 1]) AS phase, unnest([0, 1, 2, 3, 4, 5, 6, 7, 0, 1, 2, 3]) AS k,
+  unnest([0, -1, 1, -2, 2, -1, 1, 0, 0, -1, 1, 0]) AS sx, unnest([-2, -1, -1, 0, 0, 1, 1, 2, -1, 0, 0, 1]) AS sy),
+walk AS (SELECT cur_id, block_x, block_y, CASE WHEN sad < 256 THEN 2 ELSE 0 END AS phase, 0 AS k, 0::BIGINT AS dx, 0::BIGINT AS dy, sad, false AS better, 0 AS rounds FROM sads WHERE dx = 0 AND dy = 0
+UNION ALL SELECT cur_id, block_x, block_y,
+  CASE WHEN phase = 0 AND win AND found < 256 THEN 2 WHEN NOT ends THEN phase WHEN phase = 0 THEN CASE WHEN better OR win THEN CASE WHEN rounds + 1 >= 32 THEN 1 ELSE 0 END ELSE 1 END WHEN better OR win THEN 1 ELSE 2 END,
+  CASE WHEN ends THEN 0 ELSE k + 1 END, CASE WHEN win THEN nx ELSE dx END, CASE WHEN win THEN ny ELSE dy END, CASE WHEN win THEN found ELSE sad END, CASE WHEN ends THEN false ELSE better OR win END, CASE WHEN ends THEN rounds + 1 ELSE rounds END
+  FROM (SELECT w.*, w.dx + sx AS nx, w.dy + sy AS ny, s.sad AS found, coalesce(s.sad < w.sad, false) AS win, w.k = CASE WHEN w.phase = 0 THEN 7 ELSE 3 END AS ends
+    FROM walk w JOIN pattern p ON p.phase = w.phase AND p.k = w.k LEFT JOIN sads s ON s.cur_id = w.cur_id AND s.block_x = w.block_x AND s.block_y = w.block_y AND s.dx = w.dx + sx AND s.dy = w.dy + sy))"""
+
+
+@query(f"WITH RECURSIVE {SADS}, {DIAMOND} SELECT cur_id, cur_id - 1 AS prev_id, block_x, block_y, dx, dy, sad FROM walk WHERE phase = 2 AND (dx <> 0 OR dy <> 0)")
 def m1_m2_diamond(spark, d):
     return blocks.estimate_motion(frame_pairs(spark, d))
 
 
-@query()
+#: Palettes of a frame's pixels as lists: px in order, centres; the farthest pixel is the last of equals, a pixel's centre the first.
+DIST = "(p.r - c.r) * (p.r - c.r) + (p.g - c.g) * (p.g - c.g) + (p.b - c.b) * (p.b - c.b)"
+KMEANS = f"""sampled AS (SELECT frame_id, list({{'r': r, 'g': g, 'b': b}} ORDER BY i) AS px FROM rgb WHERE i % 2 = 0 GROUP BY 1),
+seeds AS (SELECT frame_id, px, [px[len(px) // 2 + 1]] AS cs FROM sampled UNION ALL
+  SELECT frame_id, px, list_append(cs, px[len(px) + 1 - list_position(list_reverse(near), list_max(near))]) FROM (SELECT *, list_transform(px, lambda p: list_min(list_transform(cs, lambda c: {DIST}))) AS near FROM seeds WHERE len(cs) < 5)),
+rounds AS (SELECT frame_id, px, cs, [0::BIGINT] AS own, true AS changed, 0 AS n FROM seeds WHERE len(cs) = 5 UNION ALL
+  SELECT frame_id, px, list_transform(range(1, 6), lambda k: {{'r': mean(px, now, k, 'r'), 'g': mean(px, now, k, 'g'), 'b': mean(px, now, k, 'b')}}), now, now <> CASE WHEN n = 0 THEN list_transform(px, lambda p: 1::BIGINT) ELSE own END, n + 1
+  FROM (SELECT *, list_transform(list_transform(px, lambda p: list_transform(cs, lambda c: {DIST})), lambda d: list_position(d, list_min(d))::BIGINT) AS now FROM rounds WHERE changed AND n < 10)),
+settled AS (SELECT frame_id, cs, own FROM rounds QUALIFY row_number() OVER (PARTITION BY frame_id ORDER BY n DESC) = 1),
+weighed AS (SELECT frame_id, k, cs[k] AS c, len(list_filter(own, lambda o: o = k)) / len(own) AS weight FROM settled, range(1, 6) t(k))"""
+for _c in "rgb":  # the floor of a cluster's mean, 0 without pixels
+    KMEANS = KMEANS.replace(f"mean(px, now, k, '{_c}')", f"coalesce(CAST(floor(list_sum(list_transform(list_filter(list_zip(px, now), lambda z: z[2] = k), lambda z: z[1].{_c})) / nullif(len(list_filter(now, lambda o: o = k)), 0)) AS BIGINT), 0)")
+
+
+@query(f"WITH RECURSIVE {fx.RGB}, {KMEANS} SELECT frame_id, row_number() OVER (PARTITION BY frame_id ORDER BY weight DESC, k) AS place, c.r AS r, c.g AS g, c.b AS b, round(weight, {R}) AS weight FROM weighed WHERE weight > 0")
 def m5_kmeans(spark, d):
-    return palette.kmeans(rgb_rows(spark, d), rate=0.5)
+    p = palette.kmeans(rgb_rows(spark, d), rate=0.5).select("frame_id", "weights", F.posexplode("colors").alias("at", "c"))
+    return longs(p.select("frame_id", (F.col("at") + 1).alias("place"), "c.*", F.round(F.col("weights")[F.col("at")], R).alias("weight")))
 
 
-@query()
+def _halves(source: str, made: str) -> str:
+    """One level of median cut: each box is sorted by its widest channel (stable) and cut in two; boxes of one pixel stay."""
+    wide = "CASE WHEN rr >= gg AND rr >= bb THEN r WHEN gg >= bb THEN g ELSE b END"
+    ranges = ", ".join(f"max({c}) OVER w - min({c}) OVER w AS {c}{c}" for c in "rgb")
+    return f"""{made} AS (SELECT frame_id, 2 * box + CASE WHEN n > 1 AND place > n // 2 THEN 1 ELSE 0 END AS box, place AS ord, r, g, b FROM (SELECT *, row_number() OVER (PARTITION BY frame_id, box ORDER BY {wide}, ord) AS place
+  FROM (SELECT *, {ranges}, count(*) OVER w AS n FROM {source} WINDOW w AS (PARTITION BY frame_id, box))))"""
+
+
+CUT = f"level0 AS (SELECT frame_id, 0 AS box, i AS ord, r, g, b FROM rgb), {_halves('level0', 'level1')}, {_halves('level1', 'level2')}, {_halves('level2', 'level3')}"
+
+
+@query(f"""WITH {fx.RGB}, {CUT} SELECT * FROM (SELECT frame_id, row_number() OVER (PARTITION BY frame_id ORDER BY box) AS place, CAST(sum(r) // count(*) AS BIGINT) AS r, CAST(sum(g) // count(*) AS BIGINT) AS g, CAST(sum(b) // count(*) AS BIGINT) AS b
+  FROM level3 GROUP BY frame_id, box) WHERE place <= 5""")
 def m7_median_cut(spark, d):
-    return palette.median_cut(rgb_rows(spark, d), 5).drop("weights")
+    p = palette.median_cut(rgb_rows(spark, d), 5).select("frame_id", F.posexplode("colors").alias("at", "c"))
+    return longs(p.select("frame_id", (F.col("at") + 1).alias("place"), "c.*"))
 
 
 def rgb_rows(spark, d) -> DataFrame:
@@ -669,14 +705,31 @@ def rgb_rows(spark, d) -> DataFrame:
     return fx.rgb(spark, d).groupBy("frame_id").agg(F.unhex(F.array_join(h, "")).alias("rgb"), F.lit(21).alias("width"), F.expr("cast(count(*) div 21 as int)").alias("height"))
 
 
-@query()
+def _merge_sql(found: str, made: str) -> str:
+    """Greedy merging of each frame's regions, largest first and then in order: one seed a step takes what meets its own bounds."""
+    meets = "todo[1].x < r.x + r.width AND r.x < todo[1].x + todo[1].width AND todo[1].y < r.y + r.height AND r.y < todo[1].y + todo[1].height"
+    low, high = (lambda c, n: f"list_min(list_transform(met, lambda r: r.{c}))"), (lambda c, n: f"list_max(list_transform(met, lambda r: r.{c} + r.{n}))")
+    box = f"'x': {low('x', '')}, 'y': {low('y', '')}, 'width': {high('x', 'width')} - {low('x', '')}, 'height': {high('y', 'height')} - {low('y', '')}"
+    return f"""{made}_steps AS (SELECT frame_id, list({{'x': x, 'y': y, 'width': width, 'height': height, 'roi_type': roi_type, 'confidence': confidence}} ORDER BY width * height DESC, ord) AS todo, NULL::STRUCT(x BIGINT, y BIGINT, width BIGINT, height BIGINT, roi_type BIGINT, confidence DOUBLE) AS out, 0 AS n FROM {found} GROUP BY 1
+  UNION ALL SELECT frame_id, list_filter(todo[2:], lambda r: NOT ({meets})), {{{box}, 'roi_type': todo[1].roi_type, 'confidence': list_max(list_transform(met, lambda r: r.confidence))}}, n + 1
+  FROM (SELECT *, list_filter(todo, lambda r: {meets}) AS met FROM {made}_steps WHERE len(todo) > 0)),
+{made} AS (SELECT frame_id, out.x AS x, out.y AS y, out.width AS width, out.height AS height, out.roi_type AS roi_type, out.confidence AS confidence, n::BIGINT AS ord FROM {made}_steps WHERE n > 0)"""
+
+
+FOUND = """found AS (SELECT frame_id, bx * 16 AS x, "by" * 16 AS y, 16::BIGINT AS width, 16::BIGINT AS height, 3::BIGINT AS roi_type, least(strength, 255) / 255.0::DOUBLE AS confidence, "by" * 1000 + bx AS ord FROM edges WHERE strength > 30
+  UNION ALL SELECT frame_id, x // 16 * 16, y // 16 * 16, 16, 16, 2, least(max(v) - min(v), 255) / 255.0::DOUBLE, 1000000 + y // 16 * 1000 + x // 16 FROM frames GROUP BY frame_id, x // 16, y // 16 HAVING max(v) - min(v) > 50)"""
+MOVED = """both_kinds AS (SELECT * FROM once UNION ALL SELECT frame_id, x // 16 * 16, y // 16 * 16, 16, 16, 4, least(sum(d) // 256, 255) / 255.0::DOUBLE, 1000000 + y // 16 * 1000 + x // 16 FROM diff GROUP BY frame_id, x // 16, y // 16 HAVING sum(d) // 256 > 20)"""
+SHOWN = f"frame_id, x, y, width, height, roi_type, 1::BIGINT AS priority, round(confidence, {R}) AS confidence"
+
+
+@query(f"WITH RECURSIVE {FRAMES_ONCE}, {EDGES}, {FOUND}, {_merge_sql('found', 'once')} SELECT {SHOWN} FROM once")
 def m8_m9_detect(spark, d):
-    return blocks.detect(fx.frame_rows(spark, d))
+    return blocks.detect(fx.frame_rows(spark, d)).withColumn("confidence", F.round("confidence", R))
 
 
-@query()
+@query(f"WITH RECURSIVE {FRAMES_ONCE}, {EDGES}, {DIFF}, {FOUND}, {_merge_sql('found', 'once')}, {MOVED}, {_merge_sql('both_kinds', 'twice')} SELECT {SHOWN} FROM twice")
 def m9_detect_with_motion(spark, d):
-    return blocks.detect_with_motion(frame_pairs(spark, d, "left"))
+    return blocks.detect_with_motion(frame_pairs(spark, d, "left")).withColumn("confidence", F.round("confidence", R))
 
 
 # --- media, bridges ---------------------------------------------------------------------------------------------------

@@ -35,15 +35,24 @@ def shared_dir(spark: SparkSession) -> str:
 WRITTEN: list[str] = []
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    WRITTEN.remove(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``materialise`` that nothing reads any more: what was made of them is stored."""
+    for t in tables:
+        _delete(t.sparkSession, t._tessera_path)
+
+
 def release(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
     """Delete what was written on the way (from number ``since`` of WRITTEN), but for the table ``keep``; for when the results that read it are stored."""
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     held = getattr(keep, "_tessera_path", None)
     for path in WRITTEN[since:]:
         if path != held:
-            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(conf).delete(at, True)
-            WRITTEN.remove(path)
+            _delete(spark, path)
 
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -111,7 +120,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``edges`` (u, v: long): root is the component's smallest node.
 
     Alternating large-star and small-star rounds; every round is a pair of shuffles over the edge list and
-    is written to the shared folder. Nothing but two counters reaches the driver.
+    is written to the shared folder. Nothing but two counters reaches the driver. The result can be discarded.
     """
     e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e, seen = materialise(e, "cc-0"), None
@@ -125,7 +134,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u <> v").distinct()
-        e = materialise(small, f"cc-{k + 1}")
+        before, e = e, materialise(small, f"cc-{k + 1}")
+        discard(before)
     else:
         raise RuntimeError("components did not settle")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select("v", "v").distinct())
+    roots = e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select("v", "v").distinct())
+    roots._tessera_path = e._tessera_path
+    return roots

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialise
+from .common import discard, map_arrow, materialise
 
 SPACES = r"^[\x20\x09-\x0D]*$"
 #: Runs of lines are hashed as polynomials modulo 2^64, so that any run's hash comes from sums over its document.
@@ -157,7 +157,9 @@ def candidates(once: DataFrame, rare: int) -> DataFrame:
     few = few.select("h", F.explode("m").alias("b"), "m").select("h", F.explode("m").alias("a"), "b")
     both = few.union(met.where(F.col("df") > rare).select("h", "a", "b")).where("a < b")
     found = both.groupBy(F.col("a.k").alias("ka"), F.col("a.th").alias("ta"), F.col("b.k").alias("kb"), F.col("b.th").alias("tb")).agg(F.collect_set("h").alias("runs"))
-    return materialise(found, "lines-pairs")
+    pairs = materialise(found, "lines-pairs")
+    discard(met)
+    return pairs
 
 
 def left_apart(a: list, b: list, runs: list[tuple[int, int, int]], gone: set[int]) -> set[int]:
@@ -178,7 +180,8 @@ def removed_lines(docs: DataFrame, rare: int = 4, least_lines: int = 2, least_ch
     once = sketch(docs, least_lines, least_chars)
     a = once.select(F.col("k").alias("ka"), F.col("th").alias("ta"), F.col("hashes").alias("ha"))
     b = once.select(F.col("k").alias("kb"), F.col("th").alias("tb"), F.col("hashes").alias("hb"), "lens")
-    met = candidates(once, rare).join(a.hint("merge"), ["ka", "ta"]).join(b.hint("merge"), ["kb", "tb"]).select("kb", "tb", "ha", "hb", "lens", "runs")
+    pairs = candidates(once, rare)
+    met = pairs.join(a.hint("merge"), ["ka", "ta"]).join(b.hint("merge"), ["kb", "tb"]).select("kb", "tb", "ha", "hb", "lens", "runs")
 
     def rows(batch: pa.RecordBatch) -> dict:
         out = []
@@ -192,7 +195,9 @@ def removed_lines(docs: DataFrame, rare: int = 4, least_lines: int = 2, least_ch
         return {"k": batch["kb"], "th": batch["tb"], "removed": out}
 
     cut = map_arrow(met, "k long, th long, removed array<int>", rows)
-    return materialise(cut.groupBy("k", "th").agg(F.array_distinct(F.flatten(F.collect_list("removed"))).alias("removed")), "lines-cut")
+    found = materialise(cut.groupBy("k", "th").agg(F.array_distinct(F.flatten(F.collect_list("removed"))).alias("removed")), "lines-cut")
+    discard(once, pairs)
+    return found
 
 
 def dedup(docs: DataFrame, **how) -> DataFrame:

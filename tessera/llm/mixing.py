@@ -91,7 +91,7 @@ def running(df: DataFrame, keys: list[str], bucket: str, order: list[str], value
     return df.withColumn("__inside", inside).join(base, [*keys, bucket]).withColumn("before", F.col("__base") + F.col("__inside")).drop("__base", "__inside", bucket)
 
 
-def mix(docs: DataFrame, block_words: int = 64, shard_slots: int = 16_384, share: float = 1.5, cap: float = 2.0, seed: int = 17, bucket_rows: int = 20_000, rid: Column | None = None) -> Mix:
+def mix(docs: DataFrame, block_words: int = 64, shard_slots: int = 16_384, share: float = 1.5, cap: float = 2.0, seed: int = 17, bucket_rows: int = 2000, rid: Column | None = None) -> Mix:
     """rid: a number that is each row's own and stays so when ``docs`` is read again; made here if not given."""
     spark = docs.sparkSession
     rid = F.monotonically_increasing_id() if rid is None else rid

@@ -5,7 +5,9 @@ from __future__ import annotations
 import struct
 import zlib
 
-MAGIC = bytes.fromhex("41535031")
+from .values import MAGIC_HEX
+
+MAGIC = bytes.fromhex(MAGIC_HEX)
 #: Members of the payload union (fixed values).
 UNION = {"I": 1, "D": 2, "C": 3, "S": 4}
 KINDS = {1: "I", 2: "D", 3: "C", 4: "S"}

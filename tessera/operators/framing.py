@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import scalar, values, wire
+from ..functions import scalar, values, wire_arrow
 
 
 def header(packet_type: Column, sequence: Column, payload_len: Column, flags: Column | None = None) -> Column:
@@ -61,60 +63,73 @@ def estimated_size(payload: Column) -> Column:
 PAYLOAD = "struct<width: long, height: long, fps: float, quality: int, timestamp_ms: long, ref_sequence: long, vectors: array<struct<block_x: int, block_y: int, dx: int, dy: int, sad: long>>, compact: array<struct<dx: int, dy: int>>, command: int>"
 
 
-def _fill(p: dict) -> dict:
-    out = {"vectors": None, "compact": None} | {k: p.get(k) for k in ("width", "height", "fps", "quality", "timestamp_ms", "ref_sequence", "command")}
-    if p.get("vectors") is not None:
-        out["vectors"] = [dict(zip(("block_x", "block_y", "dx", "dy", "sad"), v)) for v in p["vectors"]]
-    if p.get("compact") is not None:
-        out["compact"] = [dict(zip(("dx", "dy"), v)) for v in p["compact"]]
-    return out
-
-
 def encode_packets(df: DataFrame, keep_quality: bool = False) -> DataFrame:
-    """stream_id, kind (I, D, C or S), sequence, payload (PAYLOAD) to raw bytes. keep_quality: also an I packet's quality is written."""
+    """stream_id, kind (I, D, C or S), sequence, payload (PAYLOAD) to raw bytes. keep_quality: also an I packet's quality is written.
+
+    Payload tables are made in Arrow batches, headers and checksums by expressions.
+    """
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    keep = [c for c in kinds if c != "payload"]
 
     def rows(batches):
+        encoder = wire_arrow.Encoder(keep_quality)
         for batch in batches:
-            out = []
-            for kind, sequence, p in zip(batch["kind"].to_pylist(), batch["sequence"].to_pylist(), batch["payload"].to_pylist()):
-                p = p or {}
-                p = p | {"vectors": [tuple(v.values()) for v in p.get("vectors") or ()], "compact": [tuple(v.values()) for v in p.get("compact") or ()]}
-                if kind == "I" and keep_quality:
-                    body = wire.i_table(p["width"], p["height"], p["fps"], p.get("quality") or 1, p.get("timestamp_ms") or 0)
-                else:
-                    body = wire.wire_payload(kind, p)
-                out.append(wire.frame(kind, sequence, body))
-            keep = [c for c in batch.schema.names if c != "payload"]
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), pa.array(out, pa.binary())], names=[*keep, "raw"])
-
-    schema = ", ".join(f"`{c}` {t}" for c, t in kinds.items() if c != "payload")
-    return df.mapInArrow(rows, f"{schema}, raw binary")
+            bodies = encoder(batch["kind"].to_numpy(zero_copy_only=False), batch["payload"])
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), pa.array(bodies, pa.binary())], names=[*keep, "__body"])
 
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep)
+    body, code = F.col("__body"), F.element_at(F.create_map(*[F.lit(x) for k, v in values.PACKET_TYPES.items() for x in (v, k)]), F.col("kind"))
+    made = df.mapInArrow(rows, f"{schema}, __body binary")
+    return made.select(*keep, seal_crc(F.concat(header(code, F.col("sequence"), F.length(body)), body)).alias("raw"))
 
-def decode_packets(df: DataFrame) -> DataFrame:
-    """Adds status (ok or what failed first), kind, sequence and payload to rows with raw. Lengths, CRCs and headers that fail are told without Python work on payloads."""
-    names = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name not in ("kind", "sequence")]
-    keep = [f.name for f in df.schema if f.name not in ("kind", "sequence")]
+
+def _read(df: DataFrame, keep: list[str], body: Column, expected: Column, status: Column) -> DataFrame:
+    """``keep``, status, kind and payload: rows that have a status already bring no bytes and keep it."""
+    given = df.select(*keep, status.alias("__status"), F.when(status.isNull(), body).alias("__body"), F.coalesce(expected, F.lit("")).alias("__expected"))
+    types = {f.name: f.dataType.simpleString() for f in given.schema}
+    schema = "".join(f"`{c}` {types[c]}, " for c in keep) + f"status string, kind string, payload {PAYLOAD}"
+    kind_type = df.sparkSession.createDataFrame([], f"p {PAYLOAD}").schema["p"].dataType
 
     def rows(batches):
-        arrow = None
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        arrow = to_arrow_type(kind_type)
         for batch in batches:
-            out = []
-            for raw in batch["raw"].to_pylist():
-                try:
-                    p = wire.parse(raw or b"")
-                    out.append(("ok", p["kind"], p["sequence"], p["payload_len"], _fill(p)))
-                except wire.WireError as e:
-                    out.append((str(e), None, None, None, None))
-            if arrow is None:
-                from pyspark.sql.pandas.types import to_arrow_type
-
-                arrow = to_arrow_type(kind_type)
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), *(pa.array([o[k] for o in out], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64(), arrow)))], names=[*keep, "status", "kind", "sequence", "payload_len", "payload"])
+            known = batch["__status"].to_pylist()
+            found, kind, payload = wire_arrow.read(batch["__body"], np.array(batch["__expected"].to_pylist(), object), arrow)
+            failed = np.array([k is not None for k in known], bool)
+            whole = pc.if_else(pa.array(failed), pa.nulls(len(known), arrow), payload)
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), pa.array([k or f for k, f in zip(known, found)]), pa.array([None if k else x for k, x in zip(known, kind)], pa.string()), whole], names=[*keep, "status", "kind", "payload"])
 
-    kind_type = df.sparkSession.createDataFrame([], f"p {PAYLOAD}").schema["p"].dataType
-    return df.select(*keep).mapInArrow(rows, ", ".join([*names, "status string", "kind string", "sequence long", "payload_len long", f"payload {PAYLOAD}"]))
+    return given.mapInArrow(rows, schema)
+
+
+def decode_packets(df: DataFrame) -> DataFrame:
+    """Adds status (ok or what failed first), kind, sequence, payload_len and payload to rows with raw.
+
+    Length, checksum and header are judged by expressions, in this order; only what passes brings bytes to the batches
+    that read payload tables.
+    """
+    keep = [f.name for f in df.schema if f.name not in ("kind", "sequence", "payload_len", "payload", "status")]
+    raw, h = F.col("raw"), F.col("__h")
+    early = F.when(raw.isNull() | (F.length(raw) < values.HEADER_BYTES + values.CRC_BYTES), "incomplete").when(~crc_ok(raw), "checksum").when(h["status"] != "ok", h["status"])
+    held = df.select(*keep, decode_header(raw).alias("__h"))
+    body = F.substring(raw, F.lit(values.HEADER_BYTES + 1), F.length(raw) - values.HEADER_BYTES - values.CRC_BYTES)
+    out = _read(held, [*keep, "__h"], body, scalar.enum_name(h["packet_type"], values.PACKET_TYPES), early)
+    ok = F.col("status") == "ok"
+    return out.select(*keep, "status", "kind", F.when(ok, h["sequence"]).alias("sequence"), F.when(ok, h["payload_len"]).alias("payload_len"), "payload")
+
+
+def read_payloads(df: DataFrame, body: str = "body", expected: str | None = None) -> DataFrame:
+    """Adds status, kind and payload to rows with a payload table's bytes. With ``expected`` (I, D or S) other kinds are "payload type"; a C table has a kind only."""
+    keep = [c for c in df.columns if c not in ("status", "kind", "payload")]
+    return _read(df, keep, F.col(body), F.lit(expected), F.lit(None).cast("string"))
+
+
+def fits(raw: Column, capacity: Column) -> Column:
+    """ok, or how many bytes a buffer of ``capacity`` lacks for ``raw``."""
+    need = F.length(raw)
+    return F.when(need <= capacity, "ok").otherwise(F.format_string("buffer too small: need %d, got %d", need, capacity))
 
 
 def accessors(df: DataFrame) -> DataFrame:

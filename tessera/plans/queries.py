@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import scalar, values
+from ..functions import records, scalar, values
 from ..operators import blocks, bridges, framing, masks, media, palette, stream, transform
+from ..sources import tables
 from ..sources.tables import scan
 from . import fixtures as fx
 
@@ -136,14 +137,16 @@ def s11_accessors(spark, d):
     return a.select("stream_id", "sequence", "is_keyframe", F.col("as_i.width").alias("i_width"), F.col("as_d.ref_sequence").alias("d_ref"))
 
 
-@query(f"WITH {fx.PACKETS} SELECT stream_id, sequence AS sent, sequence % 4 + CASE WHEN sequence % 4 = 0 THEN 1 ELSE 0 END AS quality FROM packets WHERE packet_type = 1")
+@query(f"WITH {fx.PACKETS} SELECT stream_id, sequence AS sent, sequence % 4 AS quality FROM packets WHERE packet_type = 1")
 def s12_encoder_quality(spark, d):
     return _decoded(framing.encode_packets(built_packets(spark, d).where("kind = 'I'"), keep_quality=True)).select("stream_id", "sent", "quality")
 
 
 @query(f"WITH {fx.VECTORS} SELECT stream_id, sequence, packet_type, CASE WHEN packet_type = 2 THEN dx END AS dx, CASE WHEN packet_type = 1 THEN sequence % 4 END AS quality FROM packets JOIN mv USING (stream_id, sequence, event_id)")
 def s13_full_fidelity(spark, d):
+    """Packets of every kind written with all their fields and read back."""
     b = built_packets(spark, d).join(fx.packets(spark, d).select("stream_id", "sequence", "packet_type"), ["stream_id", "sequence"])
+    b = tables.stored(b.select("stream_id", "sequence", "kind", "packet_type", "payload"), "packets-full")
     return b.select("stream_id", "sequence", "packet_type", F.try_element_at("payload.vectors", F.lit(1))["dx"].cast("long").alias("dx"), F.col("payload.quality").cast("long").alias("quality"))
 
 
@@ -151,13 +154,67 @@ def s13_full_fidelity(spark, d):
 def s14_delta_builder(spark, d):
     """All vectors of a stream in one delta packet, written and read back."""
     v = bridges.packets_of_vectors(fx.motion_vectors(spark, d), "stream_id", F.col("sequence"), "event_id")
-    none = lambda t, n: F.lit(None).cast(t).alias(n)
-    payload = F.struct(none("long", "width"), none("long", "height"), none("float", "fps"), none("int", "quality"), F.lit(7).cast("long").alias("timestamp_ms"), F.col("ref_sequence"), F.col("vectors"), none("array<struct<dx: int, dy: int>>", "compact"), none("int", "command")).cast(framing.PAYLOAD)
+    payload = records.wire_payload(ref_sequence=F.col("ref_sequence"), vectors=F.col("vectors"), timestamp_ms=F.lit(7))
     raw = framing.encode_packets(v.select("stream_id", F.lit("D").alias("kind"), "sequence", payload.alias("payload")))
     x = framing.decode_packets(raw).select("stream_id", F.explode("payload.vectors").alias("v"))
     return x.groupBy("stream_id").agg(F.count("*").alias("vectors"), *[F.sum(F.col(f"v.{c}").cast("long")).alias(c) for c in ("dx", "dy", "sad")])
 
 
+def compact_packets(spark, d) -> DataFrame:
+    """A delta packet for each stream with full and compact vectors (those that fit in bytes)."""
+    v = fx.motion_vectors(spark, d).withColumn("c", scalar.to_compact(F.expr("dx div 2"), F.col("dy")))
+    own = v.groupBy("stream_id").agg(F.array_sort(F.collect_list(F.when(F.col("c").isNotNull(), F.struct("sequence", F.col("c.dx").cast("int").alias("dx"), F.col("c.dy").cast("int").alias("dy"))))).alias("c"), F.array_sort(F.collect_list(F.when(F.col("sequence") % 2 == 1, F.struct("sequence", *[F.col(x).cast("int").alias(x) for x in ("block_x", "block_y", "dx", "dy")], "sad")))).alias("v"))
+    compact, full = F.transform("c", lambda x: x.dropFields("sequence")), F.transform("v", lambda x: x.dropFields("sequence"))
+    return own.select("stream_id", F.lit("D").alias("kind"), F.lit(9).cast("long").alias("sequence"), records.wire_payload(ref_sequence=F.lit(8), vectors=full, compact=compact, timestamp_ms=F.col("stream_id")).alias("payload"))
+
+
+@query(f"""WITH {fx.VECTORS}, c AS (SELECT stream_id, CAST(trunc(dx / 2) AS BIGINT) AS cx, dy AS cy FROM mv WHERE trunc(dx / 2) BETWEEN -128 AND 127 AND dy BETWEEN -128 AND 127)
+  SELECT stream_id, stream_id AS timestamp_ms, 8 AS ref_sequence, (SELECT count(*) FROM mv m WHERE m.stream_id = s.stream_id AND sequence % 2 = 1) AS vectors, count(*) AS compact, CAST(sum(cx) AS BIGINT) AS cx, CAST(sum(cy) AS BIGINT) AS cy FROM c s GROUP BY 1""")
+def s14_compact_vectors(spark, d):
+    """Compact vectors beside full ones, written and read back."""
+    p = F.col("payload")
+    out = framing.decode_packets(framing.encode_packets(compact_packets(spark, d))).where("status = 'ok'")
+    total = lambda c: F.aggregate(p["compact"], F.lit(0).cast("long"), lambda s, x: s + x[c])
+    return longs(out.select("stream_id", p["timestamp_ms"].alias("timestamp_ms"), p["ref_sequence"].alias("ref_sequence"), F.size(p["vectors"]).alias("vectors"), F.size(p["compact"]).alias("compact"), total("dx").alias("cx"), total("dy").alias("cy")))
+
+
+@query(f"""WITH {fx.VECTORS}, n AS (SELECT stream_id, 100 + (12 * count(*) + 7) // 8 * 8 AS need FROM mv GROUP BY 1)
+  SELECT stream_id, CASE WHEN need <= 1000 THEN 'ok' ELSE 'buffer too small: need ' || need || ', got 1000' END AS status FROM n""")
+def s14_buffer_sizes(spark, d):
+    """Whether a stream's vectors in one packet fit a buffer of 1000 bytes."""
+    v = bridges.packets_of_vectors(fx.motion_vectors(spark, d), "stream_id", F.col("sequence"), "event_id")
+    raw = framing.encode_packets(v.select("stream_id", F.lit("D").alias("kind"), "sequence", records.wire_payload(ref_sequence=F.col("ref_sequence"), vectors=F.col("vectors"), timestamp_ms=F.lit(7)).alias("payload")))
+    return raw.select("stream_id", framing.fits(F.col("raw"), F.lit(1000)).alias("status"))
+
+
+READ_SQL = """CASE WHEN sequence % 5 = 1 THEN 'incomplete' WHEN sequence % 5 = 2 THEN 'malformed' WHEN packet_type = 2 THEN 'ok' ELSE 'payload type' END"""
+
+
+@query(f"WITH {fx.PACKETS} SELECT stream_id, sequence, {READ_SQL} AS status, CASE WHEN {READ_SQL} = 'ok' THEN 'D' END AS kind, CASE WHEN {READ_SQL} = 'ok' THEN sequence - 1 END AS ref_sequence FROM packets")
+def s16_read_deltas(spark, d):
+    """Payload tables read as deltas: other kinds, cut and damaged tables are told apart."""
+    raw = framing.encode_packets(built_packets(spark, d)).withColumn("body", F.expr("substring(raw, 17, length(raw) - 20)"))
+    body = F.when(F.col("sequence") % 5 == 1, F.substring("body", 1, 7)).when(F.col("sequence") % 5 == 2, F.concat(F.unhex(F.lit("FFFFFF7F")), F.expr("substring(body, 5)"))).otherwise(F.col("body"))
+    out = framing.read_payloads(raw.select("stream_id", "sequence", body.alias("body")), expected="D")
+    return out.select("stream_id", "sequence", "status", "kind", F.col("payload.ref_sequence").alias("ref_sequence"))
+
+
+@query(f"WITH {fx.PACKETS} SELECT stream_id, sequence, CASE packet_type WHEN 1 THEN 'I' WHEN 2 THEN 'D' ELSE 'S' END AS kind FROM packets")
+def s16_payload_types(spark, d):
+    """The kind that each payload table says it is; what a C packet carries is a ping."""
+    raw = framing.encode_packets(built_packets(spark, d))
+    out = framing.read_payloads(raw.select("stream_id", "sequence", F.expr("substring(raw, 17, length(raw) - 20)").alias("body")))
+    return out.select("stream_id", "sequence", "kind")
+
+
+@query(f"WITH {fx.PACKETS} SELECT stream_id, sequence, CASE WHEN packet_type = 4 AND sequence % 8 + 1 IN (7, 8) THEN sequence % 8 + 1 ELSE 7 END AS command, timestamp_ms FROM packets WHERE packet_type >= 3")
+def s15_sync_builder(spark, d):
+    """S payloads with their commands: the wire keeps pings and pongs, others and C packets are pings."""
+    raw = framing.encode_packets(built_packets(spark, d).where("kind in ('C', 'S')"))
+    out = framing.read_payloads(raw.select("stream_id", "sequence", F.expr("substring(raw, 17, length(raw) - 20)").alias("body")), expected="S")
+    return longs(out.select("stream_id", "sequence", F.col("payload.command").alias("command"), F.col("payload.timestamp_ms").alias("timestamp_ms")))
+
+
 @query(f"""WITH {fx.PACKETS} SELECT stream_id, sequence, (SELECT string_agg(substr(h, 2 * i + 1, 2), '' ORDER BY i DESC) FROM range(0, 4) r(i)) AS sequence_le, 26 AS header_bytes
   FROM (SELECT stream_id, sequence, format('{{:08X}}', sequence) AS h FROM packets)""")
 def s20_audio_header(spark, d):
@@ -224,9 +281,13 @@ def p15_confidence(spark, d):
 @query(f"""WITH {fx.PACKETS} SELECT stream_id, sequence, {enum_sql('sequence % 8 + 1', values.SYNC_COMMANDS)} AS command,
   CASE sequence % 8 + 1 WHEN 2 THEN 'sequence' WHEN 3 THEN 'sequence' WHEN 5 THEN 'bitrate' WHEN 6 THEN 'quality' ELSE 'none' END AS data FROM packets WHERE packet_type = 4""")
 def p16_sync_commands(spark, d):
-    code = F.col("sequence") % 8 + 1
-    data = F.when(code.isin(2, 3), "sequence").when(code == 5, "bitrate").when(code == 6, "quality").otherwise("none")
-    return fx.packets(spark, d).where("packet_type = 4").select("stream_id", "sequence", scalar.enum_name(code, values.SYNC_COMMANDS).alias("command"), data.alias("data"))
+    n = F.col("sequence")
+    made = {1: records.request_keyframe(), 2: records.ack(n), 3: records.nack(n), 4: records.end_of_stream(), 5: records.bitrate_adjust(n), 6: records.s_payload(6, quality=n % 4), 7: records.ping(), 8: records.pong()}
+    made = {k: v.cast(records.S_PAYLOAD) for k, v in made.items()}
+    payload = F.element_at(F.array(*[made[k] for k in sorted(made)]), (n % 8 + 1).cast("int"))
+    p = fx.packets(spark, d).where("packet_type = 4").select("stream_id", "sequence", payload.alias("p"))
+    data = F.when(F.col("p.sequence").isNotNull(), "sequence").when(F.col("p.bitrate_kbps").isNotNull(), "bitrate").when(F.col("p.quality").isNotNull(), "quality").otherwise("none")
+    return p.select("stream_id", "sequence", scalar.enum_name(F.col("p.command"), values.SYNC_COMMANDS).alias("command"), data.alias("data"))
 
 
 @query("SELECT doc_id, 4 + strlen(coalesce(text, '')) AS scene_size, 4 + strlen(coalesce(text, '')) >= 16 AND doc_id % 2 = 0 AS valid FROM documents")
@@ -237,7 +298,9 @@ def p18_scene_magic(spark, d):
 
 @query(f"WITH {fx.HYBRID} SELECT stream_id, sequence, delta_new_version - 1 AS ref_version, delta_new_version, delta_bytes AS delta_size FROM hybrid WHERE delta_new_version IS NOT NULL")
 def p19_scene_deltas(spark, d):
-    return fx.hybrid_frames(spark, d).where("delta_new_version is not null").select("stream_id", "sequence", (F.col("delta_new_version") - 1).alias("ref_version"), "delta_new_version", F.col("delta_bytes").alias("delta_size"))
+    data = F.rpad(F.lit(""), F.col("delta_bytes").cast("int"), F.lit("x")).cast("binary")
+    h = fx.hybrid_frames(spark, d).where("delta_new_version is not null").withColumn("s", records.scene_delta("animation_update", F.col("delta_new_version") - 1, data))
+    return longs(h.select("stream_id", "sequence", F.col("s.ref_scene_version").alias("ref_version"), F.col("s.new_scene_version").alias("delta_new_version"), F.col("s.size").alias("delta_size")))
 
 
 @query(f"""WITH {fx.MASKS} SELECT frame_id, round(sum(bit) / 4096.0, {R}) AS coverage, round(CASE WHEN frame_id = 0 THEN 1.0 ELSE 32.0 * 32 / (64 * 64) END, {R}) AS bandwidth_ratio FROM masks GROUP BY 1""")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -11,6 +14,19 @@ def scan(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written with all nested fields to a new folder of spark.checkpoint.dir (local mode: a temporary one) and read back."""
+    spark = df.sparkSession
+    top = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that the driver and the executors share")
+        top = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
+    path = f"{top}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 PACKET_FILE = T.StructType([T.StructField("stream_id", T.LongType()), T.StructField("sequence", T.LongType()), T.StructField("raw", T.BinaryType())])
 
 

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -164,3 +165,78 @@ def test_full_search_over_the_whole_range(spark):
     frames = blocks.pairs(blocks.frame_rows(spark.createDataFrame(rows, "frame_id long, x long, y long, v long")))
     assert sorted(tuple(r) for r in blocks.full_search(frames, 16, 16).collect()) == sorted(want)
     assert (1, 1, 1, 14, -11, 0) in want
+
+
+def test_payloads_of_batches_are_those_of_single_ones(spark):
+    """Whole batches against the scalar writer and reader, with nulls, wrapped values, damage and cut tables."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(400):
+        kind = rng.choice("IDCS")
+        vec = [(rng.randrange(70_000), rng.randrange(9), rng.randrange(-300, 300), -5, rng.randrange(1 << 33)) for _ in range(rng.randrange(5))]
+        small = [(rng.randrange(-128, 128), 3) for _ in range(rng.randrange(4))]
+        one = lambda v: None if rng.random() < 0.1 else v
+        rows.append((i, kind, i * 7, None if kind == "C" else (one(640), one(480), 29.97, one(i % 4), one(1 << 40), one(i), one(vec), one(small), one(i % 9))))
+    df = spark.createDataFrame(rows, f"stream_id long, kind string, sequence long, payload {framing.PAYLOAD}")
+    for keep in (False, True):
+        got = {r["stream_id"]: bytes(r["raw"]) for r in framing.encode_packets(df, keep).collect()}
+        for i, kind, n, p in rows:
+            w, h, fps, quality, ts, ref, vec, small, command = p or (0, 0, 0, None, 0, 0, None, None, None)
+            vec = [(a & 65535, b, c, d, e & (1 << 32) - 1) for a, b, c, d, e in vec or ()]
+            table = {"I": lambda: wire.i_table(w or 0, h or 0, fps, (1 if quality is None else quality) if keep else 1, ts or 0), "D": lambda: wire.d_table(ref or 0, vec, small or (), ts or 0)}.get(kind, lambda: wire.wire_payload(kind, {"command": command or 7, "timestamp_ms": ts}))()  # noqa: B023
+            assert got[i] == wire.frame(kind, n, table)
+    raws = [got[i] for i in range(400)]
+    for k in range(1200):  # damage with a right checksum
+        raw = bytearray(raws[k % 400][:-4])
+        for _ in range(rng.randrange(1, 4)):
+            raw[rng.randrange(16 if rng.random() < 0.9 else 4, len(raw))] = rng.choice((0, 1, 4, 127, 255, rng.randrange(256)))
+        raw = bytes(raw[: len(raw) if rng.random() < 0.7 else rng.randrange(16, len(raw))])
+        raws.append(raw + zlib.crc32(raw).to_bytes(4, "big") if rng.random() < 0.95 else raw)
+    raws += [b"", None, b"x" * 19]
+    out = framing.decode_packets(spark.createDataFrame(list(enumerate(raws)), "i long, raw binary").repartition(3)).collect()
+    good = bad = 0
+    for r in out:
+        try:
+            want = wire.parse(raws[r["i"]] or b"")
+        except (wire.WireError, ValueError, OverflowError) as e:
+            assert r["status"] != "ok" and (r["status"] == str(e) or {r["status"], str(e)} <= {"malformed", "no payload", "vector beyond the data", "payload type", "incomplete"} and r["payload"] is None and r["kind"] is None), (r, e)
+            bad += 1
+            continue
+        if r["status"] != "ok":
+            assert r["status"] in ("malformed", "no payload", "vector beyond the data"), r  # offsets before the table's bytes are refused
+            continue
+        good += 1
+        assert (r["kind"], r["sequence"], r["payload_len"]) == (want["kind"], want["sequence"], want["payload_len"])
+        p = r["payload"]
+        for name in ("width", "height", "quality", "ref_sequence", "command"):
+            assert p[name] == want.get(name), (name, r, want)
+        assert p["timestamp_ms"] == (None if "timestamp_ms" not in want else want["timestamp_ms"] if want["timestamp_ms"] < 1 << 63 else want["timestamp_ms"] - (1 << 64))
+        assert (p["vectors"] is None) == ("vectors" not in want) and [tuple(v) for v in p["vectors"] or ()] == want.get("vectors", []) and [tuple(v) for v in p["compact"] or ()] == want.get("compact", [])
+    assert good > 700 and bad > 200 and len(out) == len(raws)
+
+
+def test_readers_of_payloads(spark):
+    bodies = [("I", wire.i_table(4, 5, 1.0, 3, 9)), ("D", wire.d_table(1, [(1, 2, 3, 4, 5)], [(6, 7)])), ("S", wire.s_table(8, 2)), ("short", b"1234567"), ("none", wire.i_table(1, 1, 1.0)[:20])]
+    df = spark.createDataFrame(bodies, "name string, body binary")
+    any_kind = {r["name"]: (r["status"], r["kind"]) for r in framing.read_payloads(df).collect()}
+    assert any_kind["I"] == ("ok", "I") and any_kind["D"] == ("ok", "D") and any_kind["S"] == ("ok", "S") and any_kind["short"] == ("incomplete", None) and any_kind["none"][0] != "ok"
+    for kind in "IDS":
+        got = {r["name"]: r["status"] for r in framing.read_payloads(df, expected=kind).collect()}
+        assert got[kind] == "ok" and all(got[k] == "payload type" for k in "IDS" if k != kind)
+    assert framing.read_payloads(df.limit(0)).count() == 0
+    need = spark.range(1).select(framing.fits(F.lit(b"12345"), F.lit(5)).alias("a"), framing.fits(F.lit(b"12345"), F.lit(4)).alias("b")).first()
+    assert need[:] == ("ok", "buffer too small: need 5, got 4")
+
+
+def test_records(spark):
+    from tessera.functions import records
+
+    bounds = scalar.rect(*map(F.lit, (0, 0, 8, 8)))
+    i = records.add_region(records.with_palette(records.with_quality(records.i_payload(F.lit(64), F.lit(48), F.lit(30.0)), 3), records.palette(F.array(records.color(F.lit(1), F.lit(2), F.lit(3))))), records.solid(bounds, records.color(F.lit(9), F.lit(9), F.lit(9))))
+    d = records.add_region_delta(records.d_payload(F.lit(1)), records.region_delta(F.lit(0), palette_delta=records.palette(F.array(records.color(F.lit(7), F.lit(7), F.lit(7))))))
+    c = records.add_correction(records.c_payload(F.lit(1), F.array(F.struct(F.lit(b"abc").alias("data")))), F.struct(F.lit(b"de").alias("data")))
+    small = scalar.to_compact(F.lit(5), F.lit(-7))
+    row = spark.range(1).select(i.alias("i"), d.alias("d"), c.alias("c"), records.correction_bytes(c).alias("n"), records.expand(small, F.lit(1), F.lit(2), F.lit(3)).alias("e"), records.compact().alias("z")).first()
+    assert row["i"]["quality"] == 3 and row["i"]["global_palette"]["colors"][0]["b"] == 3 and len(row["i"]["regions"]) == 1 and row["i"]["regions"][0]["bounds"]["width"] == 8
+    assert row["d"]["region_deltas"][0]["region_index"] == 0 and row["d"]["region_deltas"][0]["dct_delta"] is None
+    assert row["c"]["correction_count"] == 2 and row["n"] == 5 and tuple(row["e"]) == (1, 2, 5, -7, 3) and tuple(row["z"]) == (0, 0)

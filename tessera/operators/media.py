@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import media_kernels as kernels
@@ -33,6 +34,17 @@ def decode_video(df: DataFrame, kind: str = "cdf53") -> DataFrame:
     return df.select("frame_id", "coded").mapInArrow(rows, "frame_id long, width int, height int, rgb binary")
 
 
+def mean_difference(a: Column, b: Column) -> Column:
+    """Mean absolute difference of two byte strings of one length; null for others."""
+
+    @F.pandas_udf("double")
+    def of(x: pd.Series, y: pd.Series) -> pd.Series:
+        one = lambda p, q: float(np.abs(np.frombuffer(p, np.uint8).astype(np.int16) - np.frombuffer(q, np.uint8)).mean()) if p and q and len(p) == len(q) else None
+        return pd.Series([one(p, q) for p, q in zip(x, y)], dtype="float64")
+
+    return of(a, b)
+
+
 def person_regions(pairs: DataFrame, quality: int = 75, kind: str = "cdf53", **how) -> DataFrame:
     """cur_id, bbox, foreground, coded: the bounding box of what moved, coded as gray; null where nothing did."""
 

@@ -20,32 +20,40 @@ def motion_stats(vectors: DataFrame, key: str = "stream_id") -> DataFrame:
     return vectors.groupBy(key).agg(F.coalesce(F.avg(m), F.lit(0.0)).alias("avg_magnitude"), F.coalesce(F.max(m), F.lit(0.0)).alias("max_magnitude"))
 
 
-def ordered() -> Window:
-    return Window.partitionBy("stream_id").orderBy("sequence").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-
-
-def last(value: Column) -> Column:
-    return F.last(value, ignorenulls=True).over(ordered())
+def carried(frames: DataFrame, marks: dict[str, Column], span: int = 4096) -> DataFrame:
+    """``frames`` with the last value so far of each mark (null: none yet) by sequence within stream_id, and ``nth``, the row's number.
+
+    A stream is cut to runs of ``span`` sequences: windows stay within a run, and what earlier runs end with comes from
+    one row a run. So a long stream has many tasks, and only its runs meet in one.
+    """
+    run = F.expr(f"sequence div {span}")
+    own = frames.select("*", run.alias("__run"), *[v.alias(f"__{k}") for k, v in marks.items()])
+    ends = own.groupBy("stream_id", "__run").agg(F.count("*").alias("__n"), *[F.max_by(f"__{k}", F.when(F.col(f"__{k}").isNotNull(), F.col("sequence"))).alias(f"__end_{k}") for k in marks])
+    before = Window.partitionBy("stream_id").orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("stream_id", "__run", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__n"), *[F.last(f"__end_{k}", ignorenulls=True).over(before).alias(f"__end_{k}") for k in marks])
+    inside = Window.partitionBy("stream_id", "__run").orderBy("sequence").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = own.join(ends, ["stream_id", "__run"])
+    last = {k: F.coalesce(F.last(f"__{k}", ignorenulls=True).over(inside), F.col(f"__end_{k}")) for k in marks}
+    return met.select(*frames.columns, (F.col("__n") + F.count("*").over(inside)).alias("nth"), *[v.alias(k) for k, v in last.items()])
 
 
 def transmit(frames: DataFrame) -> DataFrame:
     """Adds tx_sequence, tx_scene_version, tx_width, tx_height and tx_timestamp_ms (keyframes: 0) to hybrid frames."""
-    w = Window.partitionBy("stream_id").orderBy("sequence")
     key = F.col("is_keyframe")
-    version = F.when(key, F.col("scene_version")).otherwise(F.col("delta_new_version"))
-    return frames.select("*", F.row_number().over(w).cast("long").alias("tx_sequence"), F.coalesce(last(version), F.lit(0)).alias("tx_scene_version"), F.coalesce(last(F.when(key, F.col("width"))), F.lit(0)).alias("tx_width"), F.coalesce(last(F.when(key, F.col("height"))), F.lit(0)).alias("tx_height"), F.when(key, 0).otherwise(F.col("timestamp_ms")).alias("tx_timestamp_ms"))
+    marks = {"tx_scene_version": F.when(key, F.col("scene_version")).otherwise(F.col("delta_new_version")), "tx_width": F.when(key, F.col("width")), "tx_height": F.when(key, F.col("height"))}
+    out = carried(frames, marks)
+    return out.select(*frames.columns, F.col("nth").alias("tx_sequence"), *[F.coalesce(k, F.lit(0)).alias(k) for k in marks], F.when(key, 0).otherwise(F.col("timestamp_ms")).alias("tx_timestamp_ms"))
 
 
 def receive(frames: DataFrame, apply_deltas: bool = False) -> DataFrame:
     """Composite instructions. Scene versions move on keyframes only, unless apply_deltas."""
     key = F.col("is_keyframe")
-    version = F.when(key & (F.col("scene_bytes") > 0), F.col("scene_version"))
-    if apply_deltas:
-        version = F.coalesce(version, F.col("delta_new_version"))
-    return frames.select(
-        "stream_id", "sequence", last(F.when(key & (F.col("scene_bytes") > 0), F.lit(True))).isNotNull().alias("render_background"), F.coalesce(last(version), F.lit(0)).alias("scene_version"),
-        last(F.when(F.col("mask_bytes").isNotNull(), F.col("sequence"))).alias("mask_from"), F.col("video_bytes").alias("person_video_size"),
-        F.coalesce(last(F.when(key, F.col("width"))), F.lit(0)).alias("frame_width"), F.coalesce(last(F.when(key, F.col("height"))), F.lit(0)).alias("frame_height"), F.count("*").over(ordered()).alias("frames_received"),
+    shown = F.when(key & (F.col("scene_bytes") > 0), F.col("scene_version"))
+    marks = {"rx_background": F.when(key & (F.col("scene_bytes") > 0), F.lit(True)), "rx_version": F.coalesce(shown, F.col("delta_new_version")) if apply_deltas else shown, "rx_mask": F.when(F.col("mask_bytes").isNotNull(), F.col("sequence")), "rx_width": F.when(key, F.col("width")), "rx_height": F.when(key, F.col("height"))}
+    zero = lambda k: F.coalesce(k, F.lit(0))
+    return carried(frames, marks).select(
+        "stream_id", "sequence", F.col("rx_background").isNotNull().alias("render_background"), zero("rx_version").alias("scene_version"), F.col("rx_mask").alias("mask_from"),
+        F.col("video_bytes").alias("person_video_size"), zero("rx_width").alias("frame_width"), zero("rx_height").alias("frame_height"), F.col("nth").alias("frames_received"),
     )
 
 
@@ -70,6 +78,13 @@ def resolve_references(packets: DataFrame) -> DataFrame:
     return deltas.join(keys, (deltas["stream_id"] == keys["stream_id"]) & (deltas["ref_sequence"] == keys["key_sequence"]), "left").select(deltas["stream_id"], "sequence", "ref_sequence", "key_sequence", "key_timestamp_ms")
 
 
+def resolve_region_deltas(deltas: DataFrame, keyframes: DataFrame) -> DataFrame:
+    """deltas (stream_id, sequence, ref_sequence, region_index) with region: the keyframe's (stream_id, sequence, regions) region of that index from 0; null if either is missing."""
+    keys = keyframes.select(F.col("stream_id").alias("__s"), F.col("sequence").alias("__q"), F.col("regions").alias("__r"))
+    met = deltas.join(keys, (F.col("stream_id") == F.col("__s")) & (F.col("ref_sequence") == F.col("__q")), "left")
+    return met.select(*deltas.columns, F.get("__r", F.col("region_index").cast("int")).alias("region"))
+
+
 def dangling(packets: DataFrame) -> DataFrame:
     keys = packets.where("packet_type = 1").select("stream_id", F.col("sequence").alias("ref_sequence"))
     return packets.where("packet_type = 2").join(keys, ["stream_id", "ref_sequence"], "left_anti")

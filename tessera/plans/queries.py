@@ -399,6 +399,17 @@ def j6_dangling(spark, d):
     return stream.dangling(fx.packets(spark, d).withColumn("ref_sequence", F.col("sequence") - 1)).groupBy("stream_id").agg(F.count("*").alias("dangling"))
 
 
+@query(f"""WITH {fx.PACKETS} SELECT d.stream_id, d.sequence, d.payload_len % 4 AS region_index, CASE WHEN d.payload_len % 4 < i.sequence % 5 THEN d.payload_len % 4 * 16 END AS region_x
+  FROM packets d LEFT JOIN packets i ON i.stream_id = d.stream_id AND i.sequence = d.sequence - 1 AND i.packet_type = 1 WHERE d.packet_type = 2""")
+def j6_region_deltas(spark, d):
+    """Region deltas with the region of their keyframe; each keyframe has sequence % 5 regions."""
+    p = fx.packets(spark, d)
+    made = F.transform(F.filter(F.array(*[F.lit(k) for k in range(4)]), lambda k: k < F.col("sequence") % 5), lambda k: F.struct((k * 16).cast("long").alias("x"), F.lit(16).alias("width")))
+    keys = p.where("packet_type = 1").select("stream_id", "sequence", made.alias("regions"))
+    deltas = p.where("packet_type = 2").select("stream_id", "sequence", (F.col("sequence") - 1).alias("ref_sequence"), (F.col("payload_len") % 4).alias("region_index"))
+    return stream.resolve_region_deltas(deltas, keys).select("stream_id", "sequence", "region_index", F.col("region.x").alias("region_x"))
+
+
 # --- aggregations ------------------------------------------------------------------------------------------------
 
 
@@ -800,12 +811,19 @@ def m9_detect_with_motion(spark, d):
 
 @query()
 def v1_v2_video_round_trip(spark, d):
-    return media.decode_video(media.encode_video(rgb_rows(spark, d), 100)).select("frame_id", "width", "height", F.length("rgb").alias("bytes"))
+    """Frames coded and decoded: sizes, the decoded bytes' hash and the mean difference from what went in."""
+    source = rgb_rows(spark, d)
+    back = media.decode_video(media.encode_video(source, 100)).select("frame_id", F.col("width").alias("w"), F.col("height").alias("h"), F.col("rgb").alias("decoded"))
+    met = source.join(back, "frame_id").withColumn("error", media.mean_difference(F.col("rgb"), F.col("decoded")))
+    return met.select("frame_id", F.col("w").alias("width"), F.col("h").alias("height"), F.length("decoded").alias("bytes"), F.sha2("decoded", 256).alias("decoded_sha256"), F.round("error", R).alias("error"))
 
 
 @query()
 def v3_person_regions(spark, d):
-    return media.person_regions(frame_pairs(spark, d)).select("cur_id", "bbox", "foreground", F.length("coded").alias("bytes"))
+    """What moved in each frame, coded; the coded region is decoded again and told by its size and hash."""
+    made = media.person_regions(frame_pairs(spark, d)).withColumnRenamed("cur_id", "frame_id")
+    back = media.decode_video(made.where("coded is not null")).select("frame_id", "width", "height", F.sha2("rgb", 256).alias("decoded_sha256"))
+    return made.join(back, "frame_id", "left").select(F.col("frame_id").alias("cur_id"), "bbox", "foreground", F.length("coded").alias("bytes"), "width", "height", "decoded_sha256")
 
 
 def voice_frames(spark, d) -> DataFrame:
@@ -813,14 +831,24 @@ def voice_frames(spark, d) -> DataFrame:
     return e.select(F.col("label").cast("long").alias("stream_id"), F.row_number().over(Window.partitionBy("label").orderBy("vec_id")).cast("long").alias("sequence"), (F.col("vec_id") * 4).alias("timestamp_ms"), F.col("embedding").alias("samples"))
 
 
+def voice_back(spark, d, layer: int) -> DataFrame:
+    """Frames coded and decoded: how many samples, their energy, and the largest difference from those that went in."""
+    source = voice_frames(spark, d)
+    back = media.decode_voice(media.encode_voice(source, layer=layer)).withColumnRenamed("samples", "decoded")
+    met = source.join(back, ["stream_id", "sequence"])
+    energy = F.aggregate("decoded", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    error = F.array_max(F.zip_with("samples", "decoded", lambda a, b: F.abs(a - b).cast("double")))
+    return met.select("stream_id", "sequence", "keyframe", F.size("decoded").cast("long").alias("samples"), F.round(energy, 3).alias("energy"), F.round(error, 3).alias("error"))
+
+
 @query()
 def v5_voice_parametric(spark, d):
-    return media.decode_voice(media.encode_voice(voice_frames(spark, d))).select("stream_id", "sequence", "keyframe", F.size("samples").alias("samples"))
+    return voice_back(spark, d, 0)
 
 
 @query()
 def v6_voice_spectral(spark, d):
-    return media.decode_voice(media.encode_voice(voice_frames(spark, d), layer=1)).select("stream_id", "sequence", "keyframe", F.size("samples").alias("samples"))
+    return voice_back(spark, d, 1)
 
 
 @query("""SELECT CAST(label AS BIGINT) AS stream_id, row_number() OVER w AS sequence, vec_id * 4 AS timestamp_ms, 0 AS layer, 16000 AS sample_rate, 64 AS frame_size,

@@ -1,27 +1,154 @@
-"""Registration of the kernels for use from SQL."""
+"""The engine's functions by name, for SQL: ``register(spark)``.
+
+What expressions can say is a SQL function of Spark's own; kernels are Arrow UDFs, a call a batch. Null arguments give
+null; what can't be decoded gives null or a status.
+"""
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from . import kernels, media_kernels, values, wire
+
+VECTOR = "struct<block_x: int, block_y: int, dx: int, dy: int, sad: bigint>"
+COLOR = "struct<r: int, g: int, b: int>"
+ROI = "struct<x: bigint, y: bigint, width: bigint, height: bigint, roi_type: bigint, priority: bigint, confidence: double>"
+PACKET = f"struct<status: string, kind: string, sequence: bigint, payload_len: bigint, width: bigint, height: bigint, fps: float, quality: int, timestamp_ms: bigint, ref_sequence: bigint, vectors: array<{VECTOR}>, command: int>"
+NAMES = ("block_x", "block_y", "dx", "dy", "sad")
+
+
+def each(f, kind: pa.DataType):
+    """An Arrow UDF body that calls ``f`` for each row without nulls."""
+
+    def run(*columns: pa.Array) -> pa.Array:
+        return pa.array([None if any(x is None for x in row) else f(*row) for row in zip(*(c.to_pylist() for c in columns))], kind)
+
+    return run
+
+
+def image(data: bytes, width: int, height: int) -> np.ndarray | None:
+    return np.frombuffer(data, np.uint8).reshape(height, width) if len(data) == width * height else None
+
+
+def estimate_motion(cur: bytes, prev: bytes, width: int, height: int) -> list[dict] | None:
+    a, b = image(cur, width, height), image(prev, width, height)
+    if a is None or b is None:
+        return None
+    return [dict(zip(NAMES, r)) for r in kernels.diamond(a, b).tolist() if r[2] or r[3]]
+
+
+def colors(found: tuple[list, list]) -> list[dict]:
+    return [dict(zip("rgb", c)) for c in found[0]]
+
+
+def detect_roi(data: bytes, width: int, height: int) -> list[dict] | None:
+    from ..operators.blocks import _detect
+
+    px = image(data, width, height)
+    return None if px is None else _detect(px, values.ROI_BLOCK, values.EDGE_THRESHOLD, values.CONTRAST_THRESHOLD)
+
+
+def parse_packet(raw: bytes) -> dict:
+    try:
+        p = wire.parse(raw)
+    except wire.WireError as e:
+        return {"status": str(e)}
+    return p | {"status": "ok", "vectors": [dict(zip(NAMES, v)) for v in p["vectors"]] if "vectors" in p else None}
+
+
+def voice(samples, rate: int) -> bytes:
+    x = np.array(samples, np.float32)
+    return wire.audio_frame(1, 0, 0, rate, len(x), True, wire.pack_parametric([media_kernels.parametric(x, rate)]))
+
+
+def unvoice(raw: bytes) -> list[float] | None:
+    try:
+        f = wire.read_audio_frame(raw)
+        made = [media_kernels.synthesise(p) for p in wire.unpack_parametric(f["payload"])] if f["layer"] == 0 else [media_kernels.unspectral(p) for p in wire.unpack_spectral(f["payload"])]
+    except wire.WireError:
+        return None
+    return np.concatenate(made).tolist() if made else []
+
+
+def video(rgb: bytes, width: int, height: int, quality: int) -> bytes | None:
+    return media_kernels.encode_frame(rgb, width, height, quality) if len(rgb) == 3 * width * height else None
+
+
+def unvideo(coded: bytes) -> dict | None:
+    made = media_kernels.decode_frame(coded)
+    return None if made is None else {"rgb": made[0], "width": made[1], "height": made[2]}
+
+
+def product(matrix: np.ndarray):
+    """An Arrow UDF body: the product of a matrix with each array that is as long as a block, null for others."""
+    size = len(matrix)
+
+    def run(column: pa.Array) -> pa.Array:
+        fits = pc.fill_null(pc.equal(pc.list_value_length(column), size), False)
+        y = column.filter(fits).flatten().to_numpy(zero_copy_only=False).reshape(-1, size) @ matrix.T
+        fits = fits.to_numpy(zero_copy_only=False)
+        ends = np.concatenate(([0], np.cumsum(np.where(fits, size, 0)))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(y.reshape(-1)), mask=pa.array(~fits))
 
-from . import kernels, wire
+    return run
 
 
-def packet_status(raw: pd.Series) -> pd.Series:
-    def one(data):
-        try:
-            wire.parse(data or b"")
-            return "ok"
-        except wire.WireError as e:
-            return str(e)
+#: name: (function of a row, type)
+ROWS = {
+    "packet_status": (lambda raw: parse_packet(raw)["status"], "string"),
+    "parse_packet": (parse_packet, PACKET),
+    "create_i_packet": (lambda sequence, width, height, fps, ts: wire.frame("I", sequence, wire.i_table(width, height, fps, 1, ts)), "binary"),
+    "create_d_packet": (lambda sequence, ref, vectors, ts: wire.frame("D", sequence, wire.d_table(ref, [tuple(v[c] for c in NAMES) for v in vectors], (), ts)), "binary"),
+    "create_ping": (lambda sequence, ts: wire.frame("S", sequence, wire.s_table(wire.PING, ts)), "binary"),
+    "create_pong": (lambda sequence, ts: wire.frame("S", sequence, wire.s_table(wire.PONG, ts)), "binary"),
+    "estimate_motion": (estimate_motion, f"array<{VECTOR}>"),
+    "dominant_colors": (lambda rgb: colors(kernels.kmeans(rgb)), f"array<{COLOR}>"),
+    "extract_colors": (lambda rgb, k: colors(kernels.kmeans(rgb, k)), f"array<{COLOR}>"),
+    "extract_color_weights": (lambda rgb, k: kernels.kmeans(rgb, k)[1], "array<double>"),
+    "median_cut": (lambda rgb, k: [dict(zip("rgb", c)) for c in kernels.median_cut(rgb, k)], f"array<{COLOR}>"),
+    "detect_roi": (detect_roi, f"array<{ROI}>"),
+    "encode_video_frame": (video, "binary"),
+    "decode_video_frame": (unvideo, "struct<rgb: binary, width: int, height: int>"),
+    "encode_voice": (voice, "binary"),
+    "decode_voice": (unvoice, "array<float>"),
+}
+BASIS = np.kron(kernels.dct_basis(8), kernels.dct_basis(8))
+BATCHES = {"dct_2d": (product(BASIS), "array<double>"), "idct_2d": (product(BASIS.T), "array<double>")}
 
-    return raw.map(one)
+#: SQL functions: (arguments, type, body).
+EXPRESSIONS = {
+    "encode_sparse_dct": ("c ARRAY<INT>, threshold DOUBLE", "ARRAY<STRUCT<u: INT, v: INT, value: FLOAT>>", "filter(transform(c, (x, i) -> named_struct('u', cast(i % 8 AS INT), 'v', cast(i div 8 AS INT), 'value', cast(x AS FLOAT))), p -> abs(p.value) > floor(threshold * 1000))"),
+    "decode_sparse_dct": ("s ARRAY<STRUCT<u: INT, v: INT, value: FLOAT>>", "ARRAY<INT>", "transform(sequence(0, 63), i -> coalesce(cast(try_element_at(filter(s, p -> p.u < 8 AND p.v < 8 AND p.v * 8 + p.u = i), -1).value AS INT), 0))"),
+    "estimate_hybrid_savings": ("w BIGINT, h BIGINT, coverage DOUBLE, scene BIGINT, bpp DOUBLE", "STRUCT<traditional: BIGINT, hybrid: BIGINT>", "named_struct('traditional', cast(floor(w * h / 8) AS BIGINT), 'hybrid', cast(floor(w * h * coverage * bpp / 8) + floor(w * h * coverage / 50) AS BIGINT) + scene)"),
+    "rle_decode_mask": ("rle BINARY, total INT", "ARRAY<INT>", "slice(concat(flatten(transform(filter(sequence(0, length(rle) div 3), i -> i < length(rle) div 3), i -> array_repeat(cast(conv(hex(substring(rle, i * 3 + 3, 1)), 16, 10) AS INT), cast(conv(concat(hex(substring(rle, i * 3 + 2, 1)), hex(substring(rle, i * 3 + 1, 1))), 16, 10) AS INT)))), array_repeat(0, total)), 1, total)"),
+    "frame_luminance": ("r INT, g INT, b INT", "DOUBLE", "0.299D * r + 0.587D * g + 0.114D * b"),
+    "rects_intersect": ("ax BIGINT, ay BIGINT, aw BIGINT, ah BIGINT, bx BIGINT, by BIGINT, bw BIGINT, bh BIGINT", "BOOLEAN", "ax < bx + bw AND bx < ax + aw AND ay < by + bh AND by < ay + ah"),
+    "vector_magnitude": ("dx BIGINT, dy BIGINT", "DOUBLE", "sqrt(dx * dx + dy * dy)"),
+    "engine_version": ("", "STRING", "'{version}'"),
+}
 
 
-def dominant_colors(rgb: pd.Series) -> pd.Series:
-    return rgb.map(lambda d: [dict(zip("rgb", c)) for c in kernels.kmeans(d or b"")[0]])
+def rle_encode_mask(mask: bytes) -> bytes:
+    """Runs of the low bits, at most 65535 long: length in two bytes, little-endian, then the value."""
+    bits = np.frombuffer(mask, np.uint8) & 1
+    if not len(bits):
+        return b""
+    starts = np.concatenate(([0], np.flatnonzero(np.diff(bits)) + 1))
+    out = bytearray()
+    for at, n in zip(starts.tolist(), np.diff(np.append(starts, len(bits))).tolist()):
+        while n:
+            part = min(n, values.RLE_MAX_RUN)
+            out += part.to_bytes(2, "little") + bytes([bits[at]])
+            n -= part
+    return bytes(out)
+
+
+ROWS["rle_encode_mask"] = (rle_encode_mask, "binary")
 
 
 class RleRuns:
@@ -39,16 +166,19 @@ class DecodePacket:
     """Status, kind, sequence and payload length of a packet's bytes."""
 
     def eval(self, raw: bytes):
-        try:
-            p = wire.parse(raw or b"")
-            yield "ok", p["kind"], p["sequence"], p["payload_len"]
-        except wire.WireError as e:
-            yield str(e), None, None, None
+        p = parse_packet(raw or b"")
+        yield p["status"], p.get("kind"), p.get("sequence"), p.get("payload_len")
 
 
 def register(spark: SparkSession) -> None:
-    """packet_status(raw), dominant_colors(rgb), rle_runs(rle) and decode_packet(raw)."""
-    spark.udf.register("packet_status", F.pandas_udf(packet_status, "string"))
-    spark.udf.register("dominant_colors", F.pandas_udf(dominant_colors, "array<struct<r: int, g: int, b: int>>"))
+    """All functions of ROWS, BATCHES and EXPRESSIONS, and the table functions rle_runs(rle) and decode_packet(raw)."""
+    from .. import __version__
+
+    arrow = lambda kind: to_arrow_type(spark.createDataFrame([], f"x {kind}").schema["x"].dataType)
+    made = {name: (each(f, arrow(kind)), kind) for name, (f, kind) in ROWS.items()} | BATCHES
+    for name, (f, kind) in made.items():
+        spark.udf.register(name, F.arrow_udf(f, kind))
+    for name, (arguments, kind, body) in EXPRESSIONS.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURNS {kind} RETURN {body.format(version=__version__) if 'version' in body else body}")
     spark.udtf.register("rle_runs", F.udtf(RleRuns, returnType="start: bigint, length: bigint, value: int"))
     spark.udtf.register("decode_packet", F.udtf(DecodePacket, returnType="status: string, kind: string, sequence: bigint, payload_len: bigint"))

@@ -126,11 +126,35 @@ def test_empty_motion_stats(spark):
 
 
 def test_sql_functions(spark):
+    from tessera import __version__
+    from tessera.functions import kernels
+
     sqlfuncs.register(spark)
+    one = lambda q: spark.sql(f"SELECT {q}").first()[0]
     raw = wire.frame("S", 9, wire.s_table(7, 1)).hex()
-    assert spark.sql(f"select packet_status(unhex('{raw}')), packet_status(unhex('00'))").first()[:] == ("ok", "incomplete")
+    assert spark.sql(f"select packet_status(unhex('{raw}')), packet_status(unhex('00')), packet_status(null)").first()[:] == ("ok", "incomplete", None)
     assert [tuple(r) for r in spark.sql("select * from rle_runs(unhex('0a00001400010a0000'))").collect()] == [(0, 10, 0), (10, 20, 1), (30, 10, 0)]
     assert spark.sql(f"select kind, sequence from decode_packet(unhex('{raw}'))").first()[:] == ("S", 9)
+    assert one("parse_packet(create_i_packet(3L, 64L, 48L, float(30), 5L)).width") == 64 and one("parse_packet(create_pong(3L, 5L)).command") == 8 and one("parse_packet(create_ping(3L, 5L)).timestamp_ms") == 5
+    d = one("parse_packet(create_d_packet(4L, 3L, array(named_struct('block_x', 1, 'block_y', 2, 'dx', -3, 'dy', 4, 'sad', 5L)), 6L))")
+    assert d["ref_sequence"] == 3 and tuple(d["vectors"][0]) == (1, 2, -3, 4, 5)
+    assert one("aggregate(idct_2d(dct_2d(transform(sequence(0, 63), x -> double(x)))), 0D, (s, x) -> s + abs(x))") == pytest.approx(2016) and one("dct_2d(array(1D))") is None
+    assert one("size(encode_sparse_dct(transform(sequence(0, 63), x -> if(x in (3, 9), 50 - x, 1)), 0.001D))") == 2
+    assert one("decode_sparse_dct(array(named_struct('u', 1, 'v', 0, 'value', float(5)), named_struct('u', 1, 'v', 0, 'value', float(7))))")[:3] == [0, 7, 0]
+    assert tuple(one("estimate_hybrid_savings(1920, 1080, 0.2D, 5000, 1.0D)")) == (259200, 65134)
+    assert one("rle_decode_mask(rle_encode_mask(unhex('00000101010100')), 9)") == [0, 0, 1, 1, 1, 1, 0, 0, 0] and one("hex(rle_encode_mask(unhex('')))") == "" and one("rle_decode_mask(unhex(''), 2)") == [0, 0]
+    rgb = "unhex(repeat('FF0000', 75) || repeat('0000FF', 25))"
+    assert [tuple(c) for c in one(f"median_cut({rgb}, 2)")] == [(127, 0, 127), (255, 0, 0)] and tuple(one(f"extract_colors({rgb}, 2)")[0]) == (255, 0, 0) and one(f"extract_color_weights({rgb}, 2)")[0] > 0.5 and len(one(f"dominant_colors({rgb})")) <= 5
+    rng = np.random.default_rng(3)
+    prev = rng.integers(0, 256, (48, 48)).astype(np.uint8)
+    cur = np.roll(prev, (1, 2), (0, 1))
+    got = one(f"estimate_motion(unhex('{cur.tobytes().hex()}'), unhex('{prev.tobytes().hex()}'), 48, 48)")
+    assert [tuple(r) for r in got] == [tuple(r) for r in kernels.diamond(cur, prev).tolist() if r[2] or r[3]]
+    assert one(f"size(detect_roi(unhex('{cur.tobytes().hex()}'), 48, 48))") > 0 and one("detect_roi(unhex('00'), 48, 48)") is None
+    back = one(f"decode_video_frame(encode_video_frame({rgb}, 10, 10, 90))")
+    assert (back["width"], back["height"], len(back["rgb"])) == (10, 10, 300) and one("decode_video_frame(unhex('00'))") is None
+    assert len(one("decode_voice(encode_voice(transform(sequence(1, 320), x -> float(sin(x / 9D))), 16000))")) == 320 and one("decode_voice(unhex('00'))") is None
+    assert one("vector_magnitude(3, 4)") == 5 and one("rects_intersect(0, 0, 16, 16, 16, 0, 16, 16)") is False and one("frame_luminance(255, 255, 255)") == pytest.approx(255) and one("engine_version()") == __version__
 
 
 def test_packet_files(spark, tmp_path):

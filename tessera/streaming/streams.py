@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.stream import packet_stats
 
@@ -27,8 +28,12 @@ OUT = "stream_id long, sequence long, render_background boolean, scene_version l
 STATE = "last_sequence long, background boolean, scene_version long, mask_from long, width long, height long, received long"
 
 
-def _receive(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    last, background, version, mask, width, height, received = state.get if state.exists else (-1, False, 0, None, 0, 0, 0)
+EMPTY = (-1, False, 0, None, 0, 0, 0)
+
+
+def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: tuple) -> tuple[pd.DataFrame, tuple]:
+    """What a batch's frames give after ``state`` (STATE's fields), and the state after them."""
+    last, background, version, mask, width, height, received = state
     frames = pd.concat(list(batches), ignore_index=True).sort_values("sequence")
     out = []
     for r in frames.itertuples(index=False):
@@ -42,8 +47,41 @@ def _receive(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
         if r.mask_bytes is not None and r.mask_bytes == r.mask_bytes:
             mask = r.sequence
         out.append((key[0], r.sequence, background, version, mask, r.video_bytes, width, height, received))
-    state.update((int(last), bool(background), int(version), None if mask is None else int(mask), int(width), int(height), int(received)))
-    yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
+    after = (int(last), bool(background), int(version), None if mask is None else int(mask), int(width), int(height), int(received))
+    return pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")]), after
+
+
+def _receive(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    out, after = _advance(key, batches, state.get if state.exists else EMPTY)
+    state.update(after)
+    yield out
+
+
+class Receiver(StatefulProcessor):
+    """The receiver for ``transformWithStateInPandas``: a stream's state is a value that lives ``ttl_ms`` (0: for ever) after its last frame."""
+
+    def __init__(self, ttl_ms: int = 0):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("receiver", STATE, self.ttl_ms or None)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        out, after = _advance(key, rows, tuple(self.state.get()) if self.state.exists() else EMPTY)
+        self.state.update(after)
+        yield out
+
+    def close(self) -> None:
+        pass
+
+
+COLUMNS = ["stream_id", "sequence", "is_keyframe", "scene_version", "scene_bytes", "mask_bytes", "video_bytes", "width", "height"]
+
+
+def receive_with_state(frames: DataFrame, ttl_ms: int = 0) -> DataFrame:
+    """Like ``receive``, with state that outlives the job's code and may expire; asks for the RocksDB state store."""
+    mode = "ProcessingTime" if ttl_ms else "None"
+    return frames.select(*COLUMNS).groupBy("stream_id").transformWithStateInPandas(Receiver(ttl_ms), OUT, "Append", mode)
 
 
 def receive(frames: DataFrame) -> DataFrame:
@@ -51,5 +89,4 @@ def receive(frames: DataFrame) -> DataFrame:
 
     Frames are put in order within a batch; a frame whose sequence isn't above the stream's last is late and dropped.
     """
-    cols = ["stream_id", "sequence", "is_keyframe", "scene_version", "scene_bytes", "mask_bytes", "video_bytes", "width", "height"]
-    return frames.select(*cols).groupBy("stream_id").applyInPandasWithState(_receive, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    return frames.select(*COLUMNS).groupBy("stream_id").applyInPandasWithState(_receive, OUT, STATE, "append", GroupStateTimeout.NoTimeout)

@@ -23,6 +23,13 @@ def test_receiver_and_stats(spark, data, tmp_path):
     want = stream.receive(frames)
     key = lambda df: sorted(map(tuple, df.select("stream_id", "sequence", "render_background", "scene_version", "mask_from", "person_video_size", "frame_width", "frame_height", "frames_received").collect()), key=repr)
     assert key(got) == key(want)
+    store = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        got = drained(spark, streams.receive_with_state(src), "append", "received_state", tmp_path)
+        assert key(got) == key(want)
+    finally:
+        spark.conf.unset(store)
 
     packets = fx.packets(spark, data).select("stream_id", "packet_type", "size")
     packets.repartition(3).write.parquet(str(tmp_path / "packets"))

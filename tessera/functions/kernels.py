@@ -8,6 +8,14 @@ LARGE = [(0, -2), (-1, -1), (1, -1), (-2, 0), (2, 0), (-1, 1), (1, 1), (0, 2)]
 SMALL = [(0, -1), (-1, 0), (1, 0), (0, 1)]
 
 
+def still_sad(cur: np.ndarray, prev: np.ndarray, block: int) -> np.ndarray:
+    """Sum of absolute differences at no offset of every whole block [by, bx]: rows of a block first, in small integers."""
+    ny, nx = cur.shape[0] // block, cur.shape[1] // block
+    a, b = cur[: ny * block, : nx * block], prev[: ny * block, : nx * block]
+    lines = (np.maximum(a, b) - np.minimum(a, b)).reshape(ny, block, nx * block).sum(1, dtype=np.uint16 if block <= 257 else np.int64)
+    return lines.reshape(ny, nx, block).sum(2, dtype=np.int64)
+
+
 def diamond(cur: np.ndarray, prev: np.ndarray, block: int = 16, reach: int = 16, threshold: int = 256) -> np.ndarray:
     """Rows (bx, by, dx, dy, sad) of every whole block, in raster order.
 
@@ -20,7 +28,7 @@ def diamond(cur: np.ndarray, prev: np.ndarray, block: int = 16, reach: int = 16,
     ny, nx = h // block, w // block
     if not ny * nx:
         return np.zeros((0, 5), np.int64)
-    own = cur[: ny * block, : nx * block].reshape(ny, block, nx, block).swapaxes(1, 2).reshape(-1, block, block).astype(np.int16)
+    own = cur[: ny * block, : nx * block].reshape(ny, block, nx, block).swapaxes(1, 2)
     views = np.lib.stride_tricks.sliding_window_view(prev, (block, block))
     oy, ox = (a.reshape(-1) * block for a in np.mgrid[:ny, :nx])
 
@@ -28,11 +36,11 @@ def diamond(cur: np.ndarray, prev: np.ndarray, block: int = 16, reach: int = 16,
         out = np.empty(len(who), np.int64)
         for i in range(0, len(who), 4096):
             part = slice(i, i + 4096)
-            out[part] = np.abs(own[who[part]] - views[y[part], x[part]]).sum((1, 2), dtype=np.int64)
+            out[part] = np.abs(own[who[part] // nx, who[part] % nx].astype(np.int16) - views[y[part], x[part]]).sum((1, 2), dtype=np.int64)
         return out
 
     n = ny * nx
-    dx, dy, best = np.zeros(n, np.int64), np.zeros(n, np.int64), sad(np.arange(n), oy, ox)
+    dx, dy, best = np.zeros(n, np.int64), np.zeros(n, np.int64), still_sad(cur, prev, block).reshape(-1)
     done = best < threshold
 
     def scan(who, pattern, early):

@@ -40,12 +40,13 @@ def _each(df: DataFrame, names: list[str], schema: str, make: Callable[..., list
 
         arrow = to_arrow_schema(out)
         for batch in batches:
-            for r in batch.to_pylist():
-                shape = (r["height"], r["width"])
-                images = [np.frombuffer(r[n], np.uint8).reshape(shape) if r[n] is not None and None not in shape and len(r[n]) == shape[0] * shape[1] else None for n in names]
+            keys, sides = batch[key].to_pylist(), zip(batch["height"].to_pylist(), batch["width"].to_pylist())
+            for i, shape in enumerate(sides):
+                held = [batch[n][i].as_buffer() for n in names]  # no copies: frames are large
+                images = [np.frombuffer(x, np.uint8).reshape(shape) if x is not None and None not in shape and len(x) == shape[0] * shape[1] else None for x in held]
                 if images[0] is not None:
                     made = make(*images)
-                    yield pa.RecordBatch.from_arrays([pa.array([r[key]] * len(made[0]), arrow[0].type), *(pa.array(c, f.type) for c, f in zip(made, list(arrow)[1:]))], schema=arrow)
+                    yield pa.RecordBatch.from_arrays([pa.array([keys[i]] * len(made[0]), arrow[0].type), *(pa.array(c, f.type) for c, f in zip(made, list(arrow)[1:]))], schema=arrow)
 
     out = df.sparkSession.createDataFrame([], f"{key} long, {schema}").schema
     return df.select(key, "width", "height", *names).mapInArrow(rows, f"{key} long, {schema}")
@@ -75,7 +76,7 @@ def edges_of(image: np.ndarray, block: int) -> np.ndarray:
 
 
 def difference_of(cur: np.ndarray, prev: np.ndarray, block: int) -> np.ndarray:
-    return np.abs(_blocks(cur, block).astype(np.int64) - _blocks(prev, block)).sum((2, 3))
+    return kernels.still_sad(cur, prev, block)
 
 
 STRENGTH = "bx long, by long, strength long"

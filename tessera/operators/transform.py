@@ -77,8 +77,8 @@ def sparse_encode(coeffs: Column, n: int = 8, threshold: float = 0.001) -> Colum
 
 def sparse_decode(sparse: Column, n: int = 8, default: int = 0) -> Column:
     """The dense array; entries beyond n are ignored, the last of several for one coefficient wins."""
-    own = lambda i: F.filter(sparse, lambda p: (p["u"] < n) & (p["v"] < n) & (p["v"] * n + p["u"] == i))
-    return F.transform(F.sequence(F.lit(0), F.lit(n * n - 1)), lambda i: F.coalesce(F.try_element_at(own(i), F.lit(-1))["value"].cast("int"), F.lit(default)))
+    put = lambda dense, p: F.transform(dense, lambda x, i: F.when(i == p["v"] * n + p["u"], p["value"].cast("int")).otherwise(x))
+    return F.aggregate(F.filter(sparse, lambda p: (p["u"] < n) & (p["v"] < n)), F.array_repeat(F.lit(default), n * n), put)
 
 
 def energy_compaction(df: DataFrame, key: str = "block") -> DataFrame:

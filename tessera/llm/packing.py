@@ -17,11 +17,12 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import bound_batches, materialise
 
 BLOCK_SCHEMA = "shard int, block int, bits int, n_ids int, doc_ids array<long>, firsts array<long>, lens array<long>, payload binary"
 
@@ -76,17 +77,21 @@ class WordEncoder:
     """Encodes texts with a lower-casing word-end BPE tokenizer whose tokens never cross ASCII white space.
 
     ``words`` maps words as they stand to the bytes of their ids; it is refilled from ``cores`` (lower-cased runs
-    of letters) and ``tails`` (punctuation after them and anything else). Unknown cores are encoded many at a
-    time, told apart by their word-end tokens; if the number of these isn't the number of cores (letters that
-    change class when normalised), one at a time. Full maps are cleared.
+    of letters) and ``tails`` (punctuation after them and anything else). Unknown cores of ASCII letters go to the
+    tokenizer's model one by one, others through the whole tokenizer many at a time, told apart by their word-end
+    tokens; if the number of these isn't the number of cores (letters that change class when normalised), one at a
+    time. A full map becomes the old one, and what is still in use comes back from there, so frequent words are
+    encoded once while rare ones go.
     """
 
-    def __init__(self, path: str, most_words: int = 350_000, most_cores: int = 500_000, together: int = 4, end: str = "</w>"):
+    def __init__(self, path: str, most_words: int = 250_000, most_cores: int = 250_000, end: str = "</w>"):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most_words, self.most_cores, self.together = Tokenizer.from_file(path), most_words, most_cores, together
+        self.tokenizer, self.most_words, self.most_cores = Tokenizer.from_file(path), most_words, most_cores
         self.words: dict[bytes, bytes] = {}
         self.cores: dict[bytes, bytes] = {}
+        self.old_words: dict[bytes, bytes] = {}
+        self.old_cores: dict[bytes, bytes] = {}
         self.tails: dict[bytes, bytes] = {b"": b""}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         top = max(vocabulary.values())
@@ -110,12 +115,15 @@ class WordEncoder:
 
     def learn(self, new: set[bytes]) -> None:
         if len(self.cores) > self.most_cores:
-            self.cores.clear()
+            self.old_cores, self.cores = self.cores, {}
         if len(self.tails) > self.most_words:
             self.tails = {b"": b""}
-        cores, tails, words = self.cores, self.tails, self.words
+        cores, tails, words, old_words, old_cores = self.cores, self.tails, self.words, self.old_words, self.old_cores
         parts, need, odd = [], set(), set()
         for w in new:
+            if w in old_words:
+                words[w] = old_words[w]
+                continue
             core = w.rstrip(PUNCTUATION)
             if core.isalpha():  # ASCII letters
                 key = core.lower()
@@ -124,6 +132,8 @@ class WordEncoder:
             else:
                 key, core = None, b""
             tail = w[len(core) :]
+            if key is not None and key not in cores and key in old_cores:
+                cores[key] = old_cores[key]
             if (key is None or key in cores) and tail in tails:
                 words[w] = (cores[key] if key else b"") + tails[tail]
                 continue
@@ -132,28 +142,36 @@ class WordEncoder:
             if tail not in tails:
                 odd.add(tail)
             parts.append((w, key, tail))
-        if need:
-            self.letters([*need])
+        plain = [c for c in need if c.isascii()]  # nothing to normalise or to cut: the model alone
+        tokenize, kind = self.tokenizer.model.tokenize, self.kind
+        cores.update((c, np.array([x.id for x in tokenize(c.decode())], kind).tobytes()) for c in plain)
+        if len(plain) < len(need):
+            self.letters([c for c in need if not c.isascii()])
         if odd:
             self.one_by_one([*odd], tails)
         words.update((w, (cores[c] if c else b"") + tails[t]) for w, c, t in parts)
 
-    def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
-        out, get = [], self.words.get
-        for i in range(0, len(texts), self.together):
-            words = [t.split() for t in texts[i : i + self.together]]
-            made = [[*map(get, w)] for w in words]
-            gaps = [[k for k, m in enumerate(ms) if m is None] for ms in made]
-            new = {ws[k] for ws, ks in zip(words, gaps) for k in ks}
-            if new:
-                if len(self.words) + len(new) > self.most_words:
-                    self.words.clear()
-                self.learn(new)
-                for ws, ms, ks in zip(words, made, gaps):
-                    for k in ks:
-                        ms[k] = get(ws[k])
-            out += [np.frombuffer(b"".join(ms), self.kind) for ms in made]
-        return out
+    def __call__(self, texts: pa.StringArray) -> list[np.ndarray]:
+        """Ids of each text (null: none). Words are told apart batch by batch, so Python meets each once a batch."""
+        if len(self.words) > self.most_words:
+            self.old_words, self.words = self.words, {}
+        words = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        counts = np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False))
+        coded = words.flatten().dictionary_encode()
+        index, known = coded.indices.to_numpy(), coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        ids = [*map(self.words.get, known)]
+        new = [k for k, m in enumerate(ids) if m is None]
+        if new:
+            self.learn({known[k] for k in new} - {b""})
+            for k in new:
+                ids[k] = self.words.get(known[k], b"")
+        flat = np.frombuffer(b"".join(ids), self.kind)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.kind.itemsize
+        n = sizes[index]
+        ends = np.cumsum(n)
+        out = flat[np.repeat((np.cumsum(sizes) - sizes)[index] - ends + n, n) + np.arange(int(n.sum()))]
+        at = np.concatenate(([0], np.concatenate(([0], ends))[counts]))
+        return [out[a:b] for a, b in zip(at, at[1:])]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -169,7 +187,8 @@ def encoder(path: str) -> WordEncoder:
 def write_ids(docs: DataFrame, tokenizer_path: str, vocabulary: int, end_id: int, shards: int | None = None, block_ids: int = 65_536) -> DataFrame:
     """The blocks (BLOCK_SCHEMA) as written to and read from the shared folder."""
     bits = width_for(vocabulary)
-    src = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
+    bound_batches(docs.sparkSession)
+    src = docs.select(F.col("doc_id").cast("long"), "text")
     by = [F.col("doc_id"), F.col("text")]
     src = (src.repartitionByRange(shards, "doc_id") if shards else src.repartitionByRange("doc_id")).sortWithinPartitions(*by)
 
@@ -194,8 +213,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, vocabulary: int, end_id: int
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                texts = [t or b"" for t in part["text"].to_pylist()]
-                for doc_id, ids in zip(part["doc_id"].to_pylist(), encode(texts)):
+                for doc_id, ids in zip(part["doc_id"].to_pylist(), encode(part["text"])):
                     docs_held.append((doc_id, done + n_held, len(ids) + 1))
                     held += [ids, last]
                     n_held += len(ids) + 1

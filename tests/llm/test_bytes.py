@@ -12,6 +12,7 @@ from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,7 +44,8 @@ def test_word_encoder_is_the_tokenizer():
     rng, letters = random.Random(1), "abcXÉéßİıſ中文ñ'’.,!?<|>0123 \t\n\x0b\x1c ̸́&#日本ΣςⅫ½é"
     texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(60))) for _ in range(3000)] + ["it's don't <|startoftext|>x a<|endoftext|>", ""]
     want = [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
-    assert [x.tolist() for x in e([t.encode() for t in texts])] == want
+    assert [x.tolist() for k in range(0, len(texts), 500) for x in e(pa.array(texts[k : k + 500]))] == want
+    assert [x.tolist() for x in e(pa.array([None, "", " \n", "a  b "]))] == [[], [], [], e.tokenizer.encode("a b", add_special_tokens=False).ids]
 
 
 def test_tokens(docs, rows, empty):

@@ -61,5 +61,10 @@ def kmeans(df: DataFrame, k: int = 5, rounds: int = 10, rate: float = 0.1) -> Da
     return _rows(df, lambda d: kernels.kmeans(d, k, rounds, rate))
 
 
+def extract(df: DataFrame, colors: int = 5, rounds: int = 10, rate: float = 0.1) -> DataFrame:
+    """``kmeans`` with at least one colour and a rate within 0.01 and 1."""
+    return kmeans(df, max(1, colors), rounds, min(1.0, max(0.01, rate)))
+
+
 def median_cut(df: DataFrame, count: int) -> DataFrame:
     return _rows(df, lambda d: (kernels.median_cut(d, count), []))

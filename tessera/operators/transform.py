@@ -85,3 +85,19 @@ def energy_compaction(df: DataFrame, key: str = "block") -> DataFrame:
     """1 - sum of squared errors over sum of squares, per key; 1 without energy."""
     err, power = F.sum((F.col("o") - F.col("r")) ** 2), F.sum(F.col("o") ** 2)
     return df.groupBy(key).agg(F.when(power == 0, 1.0).otherwise(1 - err / power).alias("compaction"))
+
+
+def symbol_scale(low: Column, high: Column) -> Column:
+    """0 where a symbol is a value less the lowest; else the 32-bit factor that maps the range to 0..255."""
+    width = high - low
+    return F.when(width <= 255, F.lit(0.0)).otherwise(255.0 / F.greatest(width, F.lit(1))).cast("float")
+
+
+def to_symbol(v: Column, low: Column, scale: Column) -> Column:
+    scaled = ((v - low).cast("float") * scale).cast("int")
+    return F.when(scale == 0, v - low).otherwise(F.least(F.lit(255), F.greatest(F.lit(0), scaled))).cast("long")
+
+
+def from_symbol(symbol: Column, low: Column, scale: Column) -> Column:
+    inverse = F.when(scale != 0, 1.0 / scale).cast("float")
+    return F.when(scale == 0, symbol).otherwise((symbol.cast("float") * inverse + F.lit(0.5).cast("float")).cast("int")).cast("long") + low

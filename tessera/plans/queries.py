@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import __version__
 from ..functions import records, scalar, values
 from ..operators import blocks, bridges, framing, masks, media, palette, stream, transform
 from ..sources import tables
@@ -693,11 +694,103 @@ def k3_dct_arrays(spark, d):
 
 @query(f"WITH {fx.FRAMES}, r AS (SELECT frame_id, min(v) AS low, max(v) AS high FROM frames GROUP BY 1) SELECT frame_id, x, y, v - low AS symbol FROM frames JOIN r USING (frame_id)")
 def k10_symbols(spark, d):
-    f = fx.frames(spark, d)
-    w = Window.partitionBy("frame_id")
-    low, high = F.min("v").over(w), F.max("v").over(w)
-    wide = F.floor((F.col("v") - low) * (F.lit(255.0) / F.greatest(high - low, F.lit(1))))
-    return f.select("frame_id", "x", "y", F.when(high - low <= 255, F.col("v") - low).otherwise(F.least(F.lit(255), F.greatest(F.lit(0), wide))).alias("symbol"))
+    return symbols(fx.frames(spark, d)).select("frame_id", "x", "y", "symbol")
+
+
+def symbols(px: DataFrame) -> DataFrame:
+    """Pixels with their symbol in the frame's range, and the value that it stands for."""
+    r = px.groupBy("frame_id").agg(F.min("v").alias("low"), F.max("v").alias("high"))
+    scale = transform.symbol_scale(F.col("low"), F.col("high"))
+    met = px.join(r.select("frame_id", "low", scale.alias("scale")), "frame_id").withColumn("symbol", transform.to_symbol(F.col("v"), F.col("low"), F.col("scale")))
+    return met.withColumn("value", transform.from_symbol(F.col("symbol"), F.col("low"), F.col("scale")))
+
+
+@query(f"""WITH {fx.FRAMES}, wide AS (SELECT frame_id, x, y, (v - 128) * 5 AS v FROM frames), r AS (SELECT frame_id, min(v) AS low, (255::FLOAT / (max(v) - min(v))::FLOAT)::FLOAT AS scale FROM wide GROUP BY 1),
+  s AS (SELECT frame_id, x, y, v, low, scale, least(255, greatest(0, CAST(trunc((v - low)::FLOAT * scale) AS BIGINT))) AS symbol FROM wide JOIN r USING (frame_id))
+  SELECT frame_id, x, y, v, symbol, CAST(trunc(symbol::FLOAT * (1::FLOAT / scale)::FLOAT + 0.5::FLOAT) AS BIGINT) + low AS value FROM s""")
+def k10_wide_symbols(spark, d):
+    """A range above 255 (here of five times the pixels): scaled to bytes and back, in 32-bit floats."""
+    px = fx.frames(spark, d).withColumn("v", (F.col("v") - 128) * 5)
+    return symbols(px).select("frame_id", "x", "y", "v", "symbol", "value")
+
+
+@query("SELECT event_id, event_id % 4 AS quality, event_id % 256 AS red, event_id % 3 AS regions, CASE WHEN event_id % 3 > 0 THEN 8 * 16 ELSE 0 END AS area, 1 AS region_deltas, event_id % 5 + 3 AS correction_bytes, 2 AS corrections FROM events")
+def p3_p13_p14_payloads(spark, d):
+    """Payloads put together step by step: colours, palettes, regions, region deltas, corrections."""
+    n = F.col("event_id")
+    tint = records.color(n % 256, F.lit(0), F.lit(255))
+    i = records.with_palette(records.with_quality(records.i_payload(F.lit(640), F.lit(480), F.lit(30.0)), (n % 4).cast("int")), records.palette(F.array(tint, records.color(*map(F.lit, records.WHITE)))))
+    bounds = scalar.rect(*map(F.lit, (0, 0, 8, 16)))
+    one = records.add_region(i, records.solid(bounds, tint))
+    two = records.add_region(one, records.gradient(bounds, F.array(tint, tint)))
+    i = F.when(n % 3 == 0, i).when(n % 3 == 1, one).otherwise(two)
+    delta = records.add_region_delta(records.d_payload(n), records.region_delta(F.lit(0), palette_delta=records.palette(F.array(tint))))
+    data = lambda k: F.struct(F.rpad(F.lit(""), k.cast("int"), F.lit("x")).cast("binary").alias("data"))
+    fix = records.add_correction(records.c_payload(n, F.array(data(n % 5))), data(F.lit(3)))
+    out = scan(spark, d, "events").select("event_id", i.alias("i"), delta.alias("d"), fix.alias("c"))
+    return longs(out.select("event_id", F.col("i.quality").alias("quality"), F.col("i.global_palette.colors")[0]["r"].alias("red"), F.size("i.regions").alias("regions"), F.coalesce(scalar.area(F.try_element_at("i.regions", F.lit(-1))["bounds"]), F.lit(0)).alias("area"), F.size("d.region_deltas").alias("region_deltas"), records.correction_bytes(F.col("c")).alias("correction_bytes"), F.col("c.correction_count").alias("corrections")))
+
+
+@query("SELECT event_id, round(1 + event_id % 3 / 2.0, 4) AS zoom, 0.0::DOUBLE AS rotation, 1 AS duration, CASE event_id % 6 WHEN 0 THEN 'Linear' WHEN 1 THEN 'EaseIn' WHEN 2 THEN 'EaseOut' WHEN 3 THEN 'EaseInOut' WHEN 4 THEN 'Bounce' ELSE 'Elastic' END AS easing FROM events")
+def p11_animation(spark, d):
+    a = records.animation(zoom=1 + F.col("event_id") % 3 / 2, easing=F.col("event_id") % 6)
+    out = scan(spark, d, "events").select("event_id", a.alias("a"))
+    return longs(out.select("event_id", F.round("a.zoom_factor", R).alias("zoom"), "a.rotation", "a.duration", scalar.enum_name(F.col("a.easing"), values.EASING_TYPES).alias("easing")))
+
+
+@query("SELECT doc_id, strlen(coalesce(text, '')) AS size, 1 AS scene_version, -10.0::DOUBLE AS low, 10.0::DOUBLE AS high, doc_id % 2 = 0 AS named FROM documents")
+def p17_scene(spark, d):
+    name = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("scene "), F.col("doc_id")))
+    out = scan(spark, d, "documents").select("doc_id", records.scene(F.coalesce("text", F.lit("")).cast("binary"), name=name).alias("s"))
+    return longs(out.select("doc_id", "s.size", "s.scene_version", F.col("s.bounds_min")[2].alias("low"), F.col("s.bounds_max")[0].alias("high"), F.col("s.name").isNotNull().alias("named")))
+
+
+@query(f"WITH {fx.VECTORS} SELECT stream_id, sequence, dx % 128 AS dx, dy % 128 AS dy, block_x, sad, dx % 128 = 0 AND dy % 128 = 0 AS is_zero FROM mv")
+def p9_p10_compact_and_back(spark, d):
+    """Vectors in two bytes, expanded again; what would not fit is cut to fit first."""
+    v = fx.motion_vectors(spark, d).withColumn("c", F.coalesce(scalar.to_compact(F.col("dx") % 128, F.col("dy") % 128).cast("struct<dx: int, dy: int>"), records.compact()))
+    e = records.expand(F.col("c"), F.col("block_x"), F.col("block_y"), F.col("sad"))
+    return longs(v.select("stream_id", "sequence", e["dx"].alias("dx"), e["dy"].alias("dy"), e["block_x"].alias("block_x"), e["sad"].alias("sad"), scalar.is_zero(F.col("c.dx"), F.col("c.dy")).alias("is_zero")))
+
+
+@query("SELECT '0.1.0' AS version")
+def p25_version(spark, d):
+    return spark.range(1).select(F.lit(__version__).alias("version"))
+
+
+VOICE_SQL = "SELECT CAST(label AS BIGINT) AS stream_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS sequence, 1 AS items, 64 AS frame_size, {more}true AS whole FROM embeddings"
+
+
+@query(VOICE_SQL.format(more="16000 AS sample_rate, "))
+def s21_parametric_layout(spark, d):
+    """Fields of parametric items read from their bytes by expressions: a count, coefficients, then 34 fixed bytes."""
+    out, at = media.encode_voice(voice_frames(spark, d)).withColumn("p", F.expr("substring(raw, 27)")), scalar.uint_le
+    p = F.col("p")
+    out = out.withColumn("n", at(p, 4, 2)).withColumn("tail", F.expr("substring(p, 7 + 4 * n)"))
+    return out.select("stream_id", "sequence", at(p, 0, 4).alias("items"), at(F.col("tail"), 26, 4).alias("frame_size"), at(F.col("tail"), 30, 4).alias("sample_rate"), (F.length("tail") == 34).alias("whole"))
+
+
+@query(VOICE_SQL.format(more=""))
+def s22_spectral_layout(spark, d):
+    """Fields of spectral items: a count, twelve fixed bytes, then six bytes a coefficient."""
+    out, at = media.encode_voice(voice_frames(spark, d), layer=1).withColumn("p", F.expr("substring(raw, 27)")), scalar.uint_le
+    p = F.col("p")
+    return out.select("stream_id", "sequence", at(p, 0, 4).alias("items"), at(p, 8, 4).alias("frame_size"), (F.length(p) == 16 + 6 * at(p, 12, 4)).alias("whole"))
+
+
+@query(f"WITH {fx.RGB} SELECT frame_id, 21 AS width, count(*) // 21 AS height, 1 AS step, count(*) AS coefficients, true AS whole FROM rgb GROUP BY 1")
+def s23_video_layout(spark, d):
+    """Fields of coded frames read by expressions: 44 header bytes, a histogram for each channel (its counts add up to the pixels), then three streams."""
+    c, at = F.col("coded"), scalar.uint_le
+    out = media.encode_video(rgb_rows(spark, d), 100)
+    counts = F.expr("transform(sequence(0, 255), k -> substring(coded, 49 + 4 * k, 4))")
+    total = F.aggregate(counts, F.lit(0).cast("long"), lambda s, x: s + at(x, 0, 4))
+    first = 44 + 3 * (4 + 1024)
+    one = at(c, first, 4)
+    two = F.conv(F.hex(F.concat(*[F.substring(c, (F.lit(first + 4 + k) + one + 1).cast("int"), F.lit(1)) for k in (3, 2, 1, 0)])), 16, 10).cast("long")
+    at_three = F.lit(first + 8) + one + two
+    three = F.conv(F.hex(F.concat(*[F.substring(c, (at_three + k + 1).cast("int"), F.lit(1)) for k in (3, 2, 1, 0)])), 16, 10).cast("long")
+    return out.select("frame_id", at(c, 0, 4).alias("width"), at(c, 4, 4).alias("height"), at(c, 8, 4).alias("step"), total.alias("coefficients"), (at_three + 4 + three == F.length(c)).alias("whole"))
 
 
 # --- searches and kernels ----------------------------------------------------------------------------------------------
@@ -735,9 +828,15 @@ def m1_m2_diamond(spark, d):
     return blocks.estimate_motion(frame_pairs(spark, d))
 
 
+@query(f"WITH RECURSIVE {SADS}, {DIAMOND} SELECT cur_id, block_x, block_y, dx, dy, sad FROM walk WHERE phase = 2")
+def m3_all_vectors(spark, d):
+    """The search with blocks that did not move."""
+    return blocks.estimate_motion(frame_pairs(spark, d), block=16, reach=16, threshold=256, keep_zero=True).drop("prev_id")
+
+
 #: Palettes of a frame's pixels as lists: px in order, centres; the farthest pixel is the last of equals, a pixel's centre the first.
 DIST = "(p.r - c.r) * (p.r - c.r) + (p.g - c.g) * (p.g - c.g) + (p.b - c.b) * (p.b - c.b)"
-KMEANS = f"""sampled AS (SELECT frame_id, list({{'r': r, 'g': g, 'b': b}} ORDER BY i) AS px FROM rgb WHERE i % 2 = 0 GROUP BY 1),
+KMEANS_5 = f"""sampled AS (SELECT frame_id, list({{'r': r, 'g': g, 'b': b}} ORDER BY i) AS px FROM rgb WHERE i % 2 = 0 GROUP BY 1),
 seeds AS (SELECT frame_id, px, [px[len(px) // 2 + 1]] AS cs FROM sampled UNION ALL
   SELECT frame_id, px, list_append(cs, px[len(px) + 1 - list_position(list_reverse(near), list_max(near))]) FROM (SELECT *, list_transform(px, lambda p: list_min(list_transform(cs, lambda c: {DIST}))) AS near FROM seeds WHERE len(cs) < 5)),
 rounds AS (SELECT frame_id, px, cs, [0::BIGINT] AS own, true AS changed, 0 AS n FROM seeds WHERE len(cs) = 5 UNION ALL
@@ -746,10 +845,22 @@ rounds AS (SELECT frame_id, px, cs, [0::BIGINT] AS own, true AS changed, 0 AS n
 settled AS (SELECT frame_id, cs, own FROM rounds QUALIFY row_number() OVER (PARTITION BY frame_id ORDER BY n DESC) = 1),
 weighed AS (SELECT frame_id, k, cs[k] AS c, len(list_filter(own, lambda o: o = k)) / len(own) AS weight FROM settled, range(1, 6) t(k))"""
 for _c in "rgb":  # the floor of a cluster's mean, 0 without pixels
-    KMEANS = KMEANS.replace(f"mean(px, now, k, '{_c}')", f"coalesce(CAST(floor(list_sum(list_transform(list_filter(list_zip(px, now), lambda z: z[2] = k), lambda z: z[1].{_c})) / nullif(len(list_filter(now, lambda o: o = k)), 0)) AS BIGINT), 0)")
+    KMEANS_5 = KMEANS_5.replace(f"mean(px, now, k, '{_c}')", f"coalesce(CAST(floor(list_sum(list_transform(list_filter(list_zip(px, now), lambda z: z[2] = k), lambda z: z[1].{_c})) / nullif(len(list_filter(now, lambda o: o = k)), 0)) AS BIGINT), 0)")
+
+
+def kmeans_sql(k: int, step: int) -> str:
+    """The palette of k colours from every step-th pixel."""
+    return KMEANS_5.replace("i % 2 = 0", f"i % {step} = 0").replace("len(cs) < 5", f"len(cs) < {k}").replace("len(cs) = 5", f"len(cs) = {k}").replace("range(1, 6)", f"range(1, {k + 1})")
+
+
+@query(f"WITH RECURSIVE {fx.RGB}, {kmeans_sql(3, 1)} SELECT frame_id, row_number() OVER (PARTITION BY frame_id ORDER BY weight DESC, k) AS place, c.r AS r, c.g AS g, c.b AS b FROM weighed WHERE weight > 0")
+def m6_extractor(spark, d):
+    """Three colours of all pixels: an extractor's rate is kept within 0.01 and 1."""
+    p = palette.extract(rgb_rows(spark, d), colors=3, rate=1.7).select("frame_id", F.posexplode("colors").alias("at", "c"))
+    return longs(p.select("frame_id", (F.col("at") + 1).alias("place"), "c.*"))
 
 
-@query(f"WITH RECURSIVE {fx.RGB}, {KMEANS} SELECT frame_id, row_number() OVER (PARTITION BY frame_id ORDER BY weight DESC, k) AS place, c.r AS r, c.g AS g, c.b AS b, round(weight, {R}) AS weight FROM weighed WHERE weight > 0")
+@query(f"WITH RECURSIVE {fx.RGB}, {kmeans_sql(5, 2)} SELECT frame_id, row_number() OVER (PARTITION BY frame_id ORDER BY weight DESC, k) AS place, c.r AS r, c.g AS g, c.b AS b, round(weight, {R}) AS weight FROM weighed WHERE weight > 0")
 def m5_kmeans(spark, d):
     p = palette.kmeans(rgb_rows(spark, d), rate=0.5).select("frame_id", "weights", F.posexplode("colors").alias("at", "c"))
     return longs(p.select("frame_id", (F.col("at") + 1).alias("place"), "c.*", F.round(F.col("weights")[F.col("at")], R).alias("weight")))

@@ -42,7 +42,7 @@ def roles(pages: DataFrame, least: int = 1000) -> DataFrame:
     src = pages.select(F.col("page_id").cast("long"), "url", F.coalesce(F.col("html"), F.lit("")).alias("payload"))
     src = src.withColumn("n", F.octet_length("payload")).withColumn("digest", F.sha1(F.col("payload").cast("binary")))
     heads = src.where(F.col("n") >= least).groupBy(F.col("digest").alias("of")).agg(F.max("page_id").alias("head"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    met = src.join(heads, F.col("digest") == F.col("of"), "left").drop("of")
+    met = src.join(heads.hint("merge"), F.col("digest") == F.col("of"), "left").drop("of")
     return met.withColumn("head", F.when(~F.col("page_id").eqNullSafe(F.col("head")), F.col("head")))
 
 
@@ -196,13 +196,13 @@ def read(spark: SparkSession, path: str, split: int = 1 << 20) -> DataFrame:
         if now == known:
             break
         known = now
-        reach = materialise(reach.union(reach.join(jump, ["file", "at"]).select("file", F.col("to").alias("at"))).distinct(), "warc-reach")
-        jump = materialise(jump.join(jump.select("file", F.col("at").alias("to"), F.col("to").alias("far")), ["file", "to"]).select("file", "at", F.col("far").alias("to")), "warc-jump")
+        reach = materialise(reach.union(reach.join(jump.hint("merge"), ["file", "at"]).select("file", F.col("to").alias("at"))).distinct(), "warc-reach")
+        jump = materialise(jump.join(jump.select("file", F.col("at").alias("to"), F.col("to").alias("far")).hint("merge"), ["file", "to"]).select("file", "at", F.col("far").alias("to")), "warc-jump")
     ends = found.select("file", F.col("length").alias("at")).distinct()
-    if broken := ends.join(reach, ["file", "at"], "left_anti").first():
+    if broken := ends.join(reach.hint("merge"), ["file", "at"], "left_anti").first():
         raise ValueError(f"{broken['file']} has no chain of records to its end")
     entry = reach.groupBy("file", F.expr(f"at div {split}").alias("split")).agg(F.min("at").alias("entry"))
-    lists = found.groupBy("file", "split").agg(F.collect_list(F.struct(*NAMES)).alias("all")).join(entry, ["file", "split"]).select("file", "entry", "all")
+    lists = found.groupBy("file", "split").agg(F.collect_list(F.struct(*NAMES)).alias("all")).join(entry.hint("merge"), ["file", "split"]).select("file", "entry", "all")
 
     def walk(batch: pa.RecordBatch):
         for name, entry, own in zip(batch["file"], batch["entry"], batch["all"]):

@@ -27,6 +27,16 @@ def test_rows_only(spark, data, name):
     assert df.schema == QUERIES[name](spark, data).schema
 
 
+def test_media_come_back(spark, data):
+    """What is decoded is close to what was coded: frames at the finest step, spectral voice but for its dropped coefficients."""
+    video = QUERIES["v1_v2_video_round_trip"](spark, data).collect()
+    assert all(r["bytes"] == 3 * r["width"] * r["height"] and len(r["decoded_sha256"]) == 64 and r["error"] < 3 for r in video)
+    boxes = QUERIES["v3_person_regions"](spark, data).collect()
+    assert any(r["bytes"] for r in boxes) and all((r["width"], r["height"]) == tuple(r["bbox"][2:]) for r in boxes if r["bytes"])
+    spectral, parametric = (QUERIES[n](spark, data).collect() for n in ("v6_voice_spectral", "v5_voice_parametric"))
+    assert all(r["samples"] == 64 for r in spectral + parametric) and sum(r["error"] for r in spectral) < sum(r["error"] for r in parametric)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 

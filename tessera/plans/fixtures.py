@@ -65,10 +65,11 @@ def packets(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("size", F.col("payload_len") + 20)
 
 
-def motion_vectors(spark: SparkSession, d: str) -> DataFrame:
+def motion_vectors(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    """A vector for each packet, with ``more`` columns of the packet."""
     p = packets(spark, d)
     dx, dy = F.expr("floor(value) % 256 - 128"), F.expr("floor(value * 7) % 256 - 128")
-    return p.select("stream_id", "sequence", "event_id", F.expr("event_id % 1000 % 16").alias("block_x"), F.expr("(event_id % 1000) div 16").alias("block_y"), dx.alias("dx"), dy.alias("dy"), (F.abs(dx) + F.abs(dy)).alias("sad"))
+    return p.select("stream_id", "sequence", "event_id", F.expr("event_id % 1000 % 16").alias("block_x"), F.expr("(event_id % 1000) div 16").alias("block_y"), dx.alias("dx"), dy.alias("dy"), (F.abs(dx) + F.abs(dy)).alias("sad"), *more)
 
 
 def hybrid_frames(spark: SparkSession, d: str) -> DataFrame:
@@ -94,9 +95,9 @@ def bodies(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sync_events(spark: SparkSession, d: str) -> DataFrame:
-    m = motion_vectors(spark, d)
-    kind = packets(spark, d).select("event_id", F.when(F.col("event_type").isin("view", "click"), "Motion").otherwise("Spawn").alias("kind"))
-    return m.join(kind, "event_id").select("stream_id", "event_id", "kind", F.expr("event_id % 1000").alias("entity"), "dx", "dy", F.lit(0).alias("dz"))
+    m = motion_vectors(spark, d, "event_type")
+    kind = F.when(F.col("event_type").isin("view", "click"), "Motion").otherwise("Spawn")
+    return m.select("stream_id", "event_id", kind.alias("kind"), F.expr("event_id % 1000").alias("entity"), "dx", "dy", F.lit(0).alias("dz"))
 
 
 BLOCKS8 = """blocks8 AS (SELECT vec_id, i - 1 AS pos, CAST(least(255, greatest(0, floor((CAST(embedding[i] AS DOUBLE) + 0.5) * 255))) AS BIGINT) AS v

@@ -98,16 +98,17 @@ def s8_estimated_size(spark, d):
     return fx.packets(spark, d).groupBy("packet_type").agg(F.sum(framing.estimated_size(F.col("payload_len"))).alias("bytes"))
 
 
-def built_packets(spark, d) -> DataFrame:
+def built_packets(spark, d, *more: str) -> DataFrame:
     """Packets of every kind with a payload each."""
-    p = fx.packets(spark, d).join(fx.motion_vectors(spark, d).select("event_id", F.array(F.struct(*[F.col(c).cast("int").alias(c) for c in ("block_x", "block_y", "dx", "dy")], F.col("sad").cast("long").alias("sad"))).alias("mv")), "event_id")
+    mv = F.array(F.struct(*[F.col(c).cast("int").alias(c) for c in ("block_x", "block_y", "dx", "dy")], F.col("sad").cast("long").alias("sad")))
+    p = fx.motion_vectors(spark, d, "packet_type", "timestamp_ms").withColumn("mv", mv)
     kind = scalar.enum_name(F.col("packet_type"), values.PACKET_TYPES)
     fields = F.struct(
         F.when(kind == "I", 640).cast("long").alias("width"), F.when(kind == "I", 480).cast("long").alias("height"), F.when(kind == "I", 30.0).cast("float").alias("fps"), F.when(kind == "I", (F.col("sequence") % 4).cast("int")).alias("quality"),
         F.col("timestamp_ms"), F.when(kind == "D", F.col("sequence") - 1).alias("ref_sequence"), F.when(kind == "D", F.col("mv")).alias("vectors"),
         F.lit(None).cast("array<struct<dx: int, dy: int>>").alias("compact"), F.when(kind == "S", (F.col("sequence") % 8 + 1).cast("int")).alias("command"),
     )
-    return p.select("stream_id", F.col("sequence").alias("sent"), kind.alias("kind"), F.col("sequence"), fields.cast(framing.PAYLOAD).alias("payload"))
+    return p.select("stream_id", F.col("sequence").alias("sent"), kind.alias("kind"), F.col("sequence"), fields.cast(framing.PAYLOAD).alias("payload"), *more)
 
 
 ROUND_TRIP_SQL = f"""WITH {fx.VECTORS} SELECT p.stream_id, p.sequence AS sent, 'ok' AS status, {enum_sql('packet_type', values.PACKET_TYPES)} AS kind, p.sequence,
@@ -146,8 +147,7 @@ def s12_encoder_quality(spark, d):
 @query(f"WITH {fx.VECTORS} SELECT stream_id, sequence, packet_type, CASE WHEN packet_type = 2 THEN dx END AS dx, CASE WHEN packet_type = 1 THEN sequence % 4 END AS quality FROM packets JOIN mv USING (stream_id, sequence, event_id)")
 def s13_full_fidelity(spark, d):
     """Packets of every kind written with all their fields and read back."""
-    b = built_packets(spark, d).join(fx.packets(spark, d).select("stream_id", "sequence", "packet_type"), ["stream_id", "sequence"])
-    b = tables.stored(b.select("stream_id", "sequence", "kind", "packet_type", "payload"), "packets-full")
+    b = tables.stored(built_packets(spark, d, "packet_type").select("stream_id", "sequence", "kind", "packet_type", "payload"), "packets-full")
     return b.select("stream_id", "sequence", "packet_type", F.try_element_at("payload.vectors", F.lit(1))["dx"].cast("long").alias("dx"), F.col("payload.quality").cast("long").alias("quality"))
 
 

@@ -5,6 +5,7 @@ import itertools
 import zlib
 from collections import Counter
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
@@ -13,7 +14,7 @@ import xxhash
 from tessera.llm import media, mixing
 from tessera.llm.queries import queries
 
-from .test_texts import plain_components, plain_fingerprint, plain_line_dedup, plain_verdicts
+from .test_texts import plain_components, plain_fingerprint, plain_line_dedup, plain_representatives, plain_verdicts
 
 
 @pytest.fixture(scope="module")
@@ -147,3 +148,33 @@ def test_op10(spark, data, source):
         taken[own["source"]] += r["taken"]
     assert all(abs(taken[s] - goals[s]) <= 128 for s in names)
     assert sorted(map(str, result(spark, data, "op10_mixing")[1])) == sorted(map(str, got))
+
+
+def test_pipeline_by_brute_force(spark, data, source):
+    """Stage after stage; the mix by its words, as its draws are tested by themselves; the last by the library."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    at, stages = spark.read.parquet(f"{data}/documents.parquet"), []
+    for name, stage in corpus_pipeline.STAGES:
+        at = corpus_pipeline.materialise(stage(spark, at, data), "brute")
+        stages.append([r.asDict() for r in at.collect()])
+    marks = {r["doc_id"]: int(r["quality"] > 0) for r in spark.read.parquet(f"{data}/labels.parquet").collect()}
+    verdicts, _ = plain_verdicts([(d, r["text"], r["lang"]) for d, r in source.items()], marks)
+    kept = {d: source[d]["text"] for d in source if verdicts[d]}
+    assert {r["doc_id"]: r["text"] for r in stages[0]} == kept
+    cut = plain_line_dedup([(d, t, None, None) for d, t in kept.items()])
+    cut = {d: t for (d, _), t in cut.items() if t.encode().split()}
+    assert {r["doc_id"]: r["text"] for r in stages[1]} == cut
+    first = dict(plain_representatives(list(cut.items())))
+    assert {r["doc_id"]: r["text"] for r in stages[2]} == first and 0 < len(first) <= len(cut) <= len(kept) < 200
+    sizes, got = Counter(), Counter()
+    for d, t in first.items():
+        sizes[source[d]["source"]] += len(t.encode().split())
+    for r in stages[3]:
+        assert r["text"] in first[r["doc_id"]] and r["n_chars"] == len(r["text"]) and r["lang"] == source[r["doc_id"]]["lang"]
+        got[r["source"]] += len(r["text"].encode().split())
+    for s, goal in zip(sorted(sizes), mixing.targets([sizes[s] for s in sorted(sizes)])):
+        assert abs(got[s] - goal) <= 128
+    want = Counter((r["doc_id"], tuple(sp.encode(r["text"]))) for r in stages[3])
+    assert Counter((r["doc_id"], tuple(r["ids"])) for r in stages[4]) == want

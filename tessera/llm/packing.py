@@ -7,7 +7,7 @@ have the same size, so id i of a shard lies in block i // block_ids at bit (i %
 range is read by unpacking whole blocks with numpy. Each block also lists the documents that overlap it.
 
 Null and empty texts have the end id only. Repeated doc_ids are documents of their own. An empty table writes
-no block and reads back no row.
+no block and reads back no row. Columns other than doc_id and text are ignored, so their names can't clash.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ start of a word, the part of a chunk between its first and last word start is th
 from the matrix; a chunk without word starts (no white space) is scanned whole.
 
 Decoding concatenates pieces, turns bytes back into UTF-8 and word marks into spaces. Null and empty texts have
-no ids. Repeated rows stay repeated. Models that normalise text are refused: pieces must be substrings.
+no ids. Repeated rows stay repeated. An empty table gives an empty result. Only the columns in ``keep`` are kept; one
+of them with a name of the result gives way to it. Models that normalise text are refused: pieces must be substrings.
 """
 
 from __future__ import annotations
@@ -225,6 +226,7 @@ def decode(rows: DataFrame, path: str, keep: tuple = ("doc_id",)) -> DataFrame:
     return map_arrow(rows.select(*keep, "ids"), "".join(f"`{c}` {kinds[c]}, " for c in keep) + "text string", texts)
 
 
+RESULT = ("rid", "text", "n_chars", "n_chunks", "n_tokens", "ids_crc32", "round_trip", "ids")
 OUT = "rid long, k long, n_tokens long, crc long, round_trip boolean, ids array<int>"
 
 
@@ -234,6 +236,7 @@ def _row(ids: list[int], ok: bool, with_ids: bool) -> tuple:
 
 def encode(docs: DataFrame, path: str, chunk: int = 16_384, keep: tuple = ("doc_id",), with_ids: bool = False) -> DataFrame:
     """``keep`` columns, n_chars, n_chunks, n_tokens, ids_crc32 (little-endian unsigned 32-bit), round_trip[, ids]."""
+    keep = tuple(c for c in keep if c not in RESULT)
     src = docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("text"))
     size = F.char_length("text")
     kinds = dict(docs.dtypes)

@@ -118,6 +118,16 @@ def test_pieces_over_rows(docs, rows, empty, monkeypatch):
     assert pieces.encode(empty, PIECE).count() == 0
 
 
+def test_names_that_clash(spark):
+    docs = spark.createDataFrame([(1, "a b", 7, "x", "y", 3)], "doc_id long, text string, n_chars long, ids string, shard string, first long")
+    out = pieces.encode(docs, PIECE, keep=("doc_id", "n_chars", "ids"), with_ids=True)
+    assert out.columns == ["doc_id", "n_chars", "n_chunks", "n_tokens", "ids_crc32", "round_trip", "ids"] and out.first()["n_chars"] == 3
+    assert packing.read_ids(packing.write_ids(docs, WORD, 49_408, 2)).count() == 1
+    assert suffix.remove(docs.withColumn("k1", F.lit("z")).withColumn("runs", F.lit(1))).first()["n_bytes"] == 3
+    assert mixing.resample(docs.withColumn("source", F.lit("s")).withColumn("rid", F.lit(1)).withColumn("size", F.lit(1))).first()["rid"] == 1
+    assert media.analyse(media.store(docs.withColumn("media", F.lit(1)))).first()["n_bytes"] == 3
+
+
 # --- media --------------------------------------------------------------------------------------------------------
 
 

@@ -14,7 +14,7 @@ def test_sql(spark, data):
 
 def test_registered():
     names = list(queries())
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
 
 
 def test_pipeline(spark, data, docs, empty, tmp_path):

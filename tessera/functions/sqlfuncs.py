@@ -13,7 +13,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from . import kernels, media_kernels, values, wire
+from . import kernels, media_kernels, tablefuncs, values, wire
 
 VECTOR = "struct<block_x: int, block_y: int, dx: int, dy: int, sad: bigint>"
 COLOR = "struct<r: int, g: int, b: int>"
@@ -171,7 +171,7 @@ class DecodePacket:
 
 
 def register(spark: SparkSession) -> None:
-    """All functions of ROWS, BATCHES and EXPRESSIONS, and the table functions rle_runs(rle) and decode_packet(raw)."""
+    """All functions of ROWS, BATCHES and EXPRESSIONS, and the table functions rle_runs(rle), decode_packet(raw), hybrid_transmitter(TABLE(frames)) and hybrid_receiver(TABLE(frames))."""
     from .. import __version__
 
     arrow = lambda kind: to_arrow_type(spark.createDataFrame([], f"x {kind}").schema["x"].dataType)
@@ -181,4 +181,6 @@ def register(spark: SparkSession) -> None:
     for name, (arguments, kind, body) in EXPRESSIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURNS {kind} RETURN {body.format(version=__version__) if 'version' in body else body}")
     spark.udtf.register("rle_runs", F.udtf(RleRuns, returnType="start: bigint, length: bigint, value: int"))
+    spark.udtf.register("hybrid_transmitter", F.udtf(tablefuncs.HybridTransmitter))
+    spark.udtf.register("hybrid_receiver", F.udtf(tablefuncs.HybridReceiver))
     spark.udtf.register("decode_packet", F.udtf(DecodePacket, returnType="status: string, kind: string, sequence: bigint, payload_len: bigint"))

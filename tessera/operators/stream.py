@@ -46,13 +46,16 @@ def transmit(frames: DataFrame) -> DataFrame:
 
 
 def receive(frames: DataFrame, apply_deltas: bool = False) -> DataFrame:
-    """Composite instructions. Scene versions move on keyframes only, unless apply_deltas."""
-    key = F.col("is_keyframe")
+    """Composite instructions. Scene versions move on keyframes only, unless apply_deltas. Where frames have person_bbox, the last mask's is carried."""
+    key, boxed = F.col("is_keyframe"), "person_bbox" in frames.columns
     shown = F.when(key & (F.col("scene_bytes") > 0), F.col("scene_version"))
     marks = {"rx_background": F.when(key & (F.col("scene_bytes") > 0), F.lit(True)), "rx_version": F.coalesce(shown, F.col("delta_new_version")) if apply_deltas else shown, "rx_mask": F.when(F.col("mask_bytes").isNotNull(), F.col("sequence")), "rx_width": F.when(key, F.col("width")), "rx_height": F.when(key, F.col("height"))}
+    if boxed:  # one mark, so that a mask without a box leaves none
+        marks["rx_mask"] = F.when(F.col("mask_bytes").isNotNull(), F.struct(F.col("sequence").alias("sequence"), F.col("person_bbox").alias("box")))
     zero = lambda k: F.coalesce(k, F.lit(0))
+    mask = [F.col("rx_mask.sequence").alias("mask_from"), F.col("rx_mask.box").alias("person_bbox")] if boxed else [F.col("rx_mask").alias("mask_from")]
     return carried(frames, marks).select(
-        "stream_id", "sequence", F.col("rx_background").isNotNull().alias("render_background"), zero("rx_version").alias("scene_version"), F.col("rx_mask").alias("mask_from"),
+        "stream_id", "sequence", F.col("rx_background").isNotNull().alias("render_background"), zero("rx_version").alias("scene_version"), *mask,
         F.col("video_bytes").alias("person_video_size"), zero("rx_width").alias("frame_width"), zero("rx_height").alias("frame_height"), F.col("nth").alias("frames_received"),
     )
 

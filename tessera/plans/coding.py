@@ -1 +1,86 @@
+"""Queries on codings: correction formats, parity packets, composition, packet files."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import values
+from ..operators import corrections, framing, masks
+from ..sources import asp
+from ..sources.tables import shared_folder
+from . import fixtures as fx
+from .queries import longs, query
+
+RUNS = """runs AS (SELECT frame_id, count_if(v IS DISTINCT FROM before) AS runs, count_if((v - coalesce(before, 0)) & 255 IS DISTINCT FROM (before - coalesce(before2, 0)) & 255) AS deltas
+  FROM (SELECT frame_id, v, lag(v) OVER w AS before, lag(v, 2) OVER w AS before2 FROM frames WINDOW w AS (PARTITION BY frame_id ORDER BY y * 64 + x)) GROUP BY 1)"""
+
+
+@query(f"""WITH {fx.FRAMES}, {RUNS} SELECT frame_id, format, CASE format WHEN 'Raw' THEN 4096 WHEN 'Rle' THEN 3 * runs WHEN 'DeltaRle' THEN 3 * deltas END AS bytes, true AS lossless
+  FROM runs, (VALUES ('Raw'), ('Rle'), ('Lz4'), ('Zstd'), ('DeltaRle')) AS t(format)""")
+def p26_corrections(spark, d):
+    """Frames in every correction format and back: sizes of those that have a definite one, and whether the bytes are the same."""
+    f = fx.frame_rows(spark, d).withColumn("format", F.explode(F.array(*[F.lit(n) for n in values.COMPRESSION_FORMATS.values()])))
+    back = corrections.decode(corrections.encode(f), into="back")
+    sized = F.when(F.col("format").isin("Raw", "Rle", "DeltaRle"), F.length("coded").cast("long"))
+    return back.select("frame_id", "format", sized.alias("bytes"), (F.col("back") == F.col("data")).alias("lossless"))
+
+
+@query(f"""WITH {fx.FRAMES}, masks AS (SELECT frame_id, y * 64 + x AS pos, CASE WHEN v > 127 THEN 1 ELSE 0 END AS v FROM frames),
+  m AS (SELECT frame_id, count_if(v IS DISTINCT FROM before) AS runs, count_if((v - coalesce(before, 0)) & 255 IS DISTINCT FROM (before - coalesce(before2, 0)) & 255) AS deltas
+  FROM (SELECT frame_id, v, lag(v) OVER w AS before, lag(v, 2) OVER w AS before2 FROM masks WINDOW w AS (PARTITION BY frame_id ORDER BY pos)) GROUP BY 1)
+  SELECT frame_id, CASE WHEN 4096 <= least(3 * runs, 3 * deltas) THEN 'Raw' WHEN runs <= deltas THEN 'Rle' ELSE 'DeltaRle' END AS format, least(4096, 3 * runs, 3 * deltas) AS bytes FROM m""")
+def p26_smallest_format(spark, d):
+    """The format that makes each frame's mask of bright pixels smallest."""
+    f = fx.frame_rows(spark, d)
+    bright = F.unhex(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.hex("data"), "(..)", "$1 "), "[89A-F]. ", "01"), "[0-7]. ", "00"))
+    return corrections.smallest(f.select("frame_id", bright.alias("data")), ["frame_id"]).select("frame_id", "format", F.length("coded").cast("long").alias("bytes"))
+
+
+def framed(spark, d) -> DataFrame:
+    """stream_id, sequence, event_id, packet_type, raw: packets whose payload is their event's id and as many more bytes as it leaves over 7."""
+    p = fx.packets(spark, d)
+    body = F.concat(F.unhex(F.lpad(F.hex(F.col("event_id").cast("long")), 16, "0")), F.unhex(F.expr("repeat('AB', cast(event_id % 7 as int))")))
+    return p.select("stream_id", "sequence", "event_id", "packet_type", framing.seal_crc(F.concat(framing.header(F.col("packet_type"), F.col("sequence"), F.length(body)), body)).alias("raw"))
+
+
+GROUPED = fx.PACKETS + """, g AS (SELECT *, (sequence - 1) // 8 AS part, event_id % 7 = 0 AS gone FROM packets), l AS (SELECT stream_id, part, count_if(gone) AS lost, count_if(event_id % 5 = 0) AS cut FROM g GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {GROUPED} SELECT g.stream_id, sequence, CASE WHEN NOT gone THEN 'received' WHEN lost <= CASE WHEN cut > 2 THEN 2 ELSE 3 END THEN 'restored' ELSE 'lost' END AS status,
+  CASE WHEN NOT gone OR lost <= CASE WHEN cut > 2 THEN 2 ELSE 3 END THEN event_id END AS event_id FROM g JOIN l USING (stream_id, part)""")
+def s27_parity(spark, d):
+    """Packets with three parity packets for eight; one in seven is lost, and the second parity packet of groups in which more than two ids end in 0 or 5."""
+    p = framed(spark, d)
+    codes = corrections.parity(p, 8, 3)
+    cut = p.groupBy("stream_id", F.expr("(sequence - 1) div 8").alias("part")).agg(F.count_if(F.col("event_id") % 5 == 0).alias("cut"))
+    left = codes.join(cut, ["stream_id", "part"]).where("not (cut > 2 and number = 1)").drop("cut")
+    out = corrections.restore(p.where("event_id % 7 <> 0"), left, 8, 3)
+    return out.select("stream_id", "sequence", "status", F.conv(F.hex(F.substring("raw", 17, 8)), 16, 10).cast("long").alias("event_id"))
+
+
+@query(f"""WITH {fx.FRAMES}, p AS (SELECT c.frame_id, c.x, c.y, CASE WHEN c.v & 1 = 1 AND c.x >= c.frame_id % 20 AND c.x < c.frame_id % 20 + 30 AND c.y >= c.frame_id % 17 AND c.y < c.frame_id % 17 + 40 THEN c.v ELSE b.v END AS v
+  FROM frames c JOIN frames b ON b.frame_id = c.frame_id - 1 AND b.x = c.x AND b.y = c.y)
+  SELECT frame_id, CAST(sum(v) AS BIGINT) AS total, CAST(sum(v * (y * 64 + x)) AS BIGINT) AS placed FROM p GROUP BY 1""")
+def m12_composite(spark, d):
+    """A box of each frame over the frame before, where the frame's mask is set."""
+    f = fx.frame_rows(spark, d)
+    rle = masks.encode(masks.runs(fx.masks(spark, d)))
+    x, y = F.col("frame_id") % 20, F.col("frame_id") % 17
+    region = corrections.crop(F.col("data"), F.col("width"), x, y, F.lit(30), F.lit(40))
+    over = f.select("frame_id", "width", "height", F.array(x, y, F.lit(30).cast("long"), F.lit(40).cast("long")).alias("bbox"), region.alias("region"))
+    under = f.select((F.col("frame_id") + 1).alias("frame_id"), F.col("data").alias("background"))
+    made = corrections.compose(over.join(under, "frame_id").join(rle, "frame_id"))
+    v = F.transform(F.sequence(F.lit(0), F.lit(4095)), lambda k: F.conv(F.hex(F.substring("composed", k + 1, F.lit(1))), 16, 10).cast("long"))
+    sums = F.aggregate(F.transform(v, lambda x, k: F.struct(x.alias("t"), (x * k).alias("p"))), F.struct(F.lit(0).cast("long").alias("t"), F.lit(0).cast("long").alias("p")), lambda a, b: F.struct((a["t"] + b["t"]).alias("t"), (a["p"] + b["p"]).alias("p")))
+    return made.select("frame_id", sums.alias("s")).select("frame_id", F.col("s.t").alias("total"), F.col("s.p").alias("placed"))
+
+
+@query(f"WITH {fx.PACKETS} SELECT event_id, sequence, packet_type, 8 + event_id % 7 AS payload_len, 'ok' AS status FROM packets WHERE packet_type IN (1, 3) AND sequence > 4")
+def s26_packet_files(spark, d):
+    """Packets written to packet files and read back in splits of 64 kB, with filters on headers pushed to the reader."""
+    asp.register(spark)
+    folder = shared_folder(spark, "packets")
+    framed(spark, d).select("raw").write.format("packets").mode("append").save(folder)
+    back = spark.read.format("packets").option("splitBytes", 1 << 16).load(folder).where("packet_type in (1, 3) and sequence > 4")
+    return longs(back.select(F.conv(F.hex(F.substring("raw", 17, 8)), 16, 10).cast("long").alias("event_id"), "sequence", "packet_type", "payload_len", "status"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -14,17 +17,23 @@ def scan(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written with all nested fields to a new folder of spark.checkpoint.dir (local mode: a temporary one) and read back."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path in spark.checkpoint.dir; in local mode without that a temporary one, which goes with the process."""
     top = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not top:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir names no folder that the driver and the executors share")
-        top = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
-    path = f"{top}/{name}-{uuid.uuid4().hex}"
+        made = tempfile.mkdtemp(prefix="tessera-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        top = f"file://{made}"
+    return f"{top}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written with all nested fields to a new shared folder and read back."""
+    path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 PACKET_FILE = T.StructType([T.StructField("stream_id", T.LongType()), T.StructField("sequence", T.LongType()), T.StructField("raw", T.BinaryType())])

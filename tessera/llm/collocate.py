@@ -24,12 +24,13 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bound_batches, materialise
 
-WIDTH, BITS, PART, HELD = 4, 1 << 24, 4 << 20, 1 << 21
+WIDTH, BITS, PART, HELD = 4, 1 << 24, 4 << 20, 3 << 19
 ENDS = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n" * 9 + b" ")
 TOKEN = re.compile(rb"[^ \n]+|\n")
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -132,7 +133,8 @@ class Pointers:
         for k in range(2, WIDTH):
             depth[(depth == k) & heavy[:k].all(0)] = k + 1
         depth = np.where(cols[np.minimum(depth, WIDTH) - 1, np.arange(len(key))] > 0, depth, 0)  # those that end earlier go ahead only
-        rows = [(cols[:, depth > 0], count[depth > 0], depth[depth > 0])]
+        cols, count = cols.astype(np.int32), count.astype(np.uint32)
+        rows = [(cols[:, depth > 0], count[depth > 0], depth[depth > 0].astype(np.uint8))]
         for k in range(2, WIDTH):
             short = heavy[:k].all(0)
             if short.any():
@@ -140,19 +142,18 @@ class Pointers:
                 some = cols[:, short][:, at]
                 some[k:] = 0
                 if (whole := some[k - 1] > 0).any():
-                    rows.append((some[:, whole], np.bincount(kind, count[short]).astype(np.int64)[whole], np.full(int(whole.sum()), k)))
+                    rows.append((some[:, whole], np.bincount(kind, count[short]).astype(np.uint32)[whole], np.full(int(whole.sum()), k, np.uint8)))
         self.held.setdefault(lang, []).extend(rows)
         self.size += sum(len(r[1]) for r in rows)
 
     def blocks(self) -> Iterator[pa.RecordBatch]:
-        """(bucket, lang, words, codes, counts, depths): a row for each bucket and language, and forget them."""
+        """(bucket, lang, words, codes, counts, depths): a row for each bucket and language, packed, and forget them."""
+        pack = zstandard.ZstdCompressor(level=3).compress
         for lang, rows in self.held.items():
             cols, count, depth = (np.concatenate(x, -1) for x in zip(*rows))
-            h = self.hashes[lang][cols]
-            h[~(np.arange(WIDTH)[:, None] < depth)] = 0
             mixed = np.zeros(len(count), np.uint64)
             for k in range(WIDTH):
-                mixed = (mixed ^ h[k]) * MIX
+                mixed = (mixed ^ np.where(k < depth, self.hashes[lang][cols[k]], np.uint64(0))) * MIX
                 mixed ^= mixed >> np.uint64(29)
             bucket = (mixed % np.uint64(self.buckets)).astype(np.int64)
             by = np.argsort(bucket, kind="stable")
@@ -164,7 +165,8 @@ class Pointers:
                 if own[0] != 0:
                     own, code = np.concatenate(([0], own)), code + 1
                 words = self.words[lang]
-                made.append((int(bucket[a]), lang, b"\n".join([words[i] for i in own.tolist()]), code.astype("<u2" if len(own) < 1 << 16 else "<u4").tobytes(), count[a:b].astype("<u4").tobytes(), depth[a:b].astype(np.uint8).tobytes()))
+                codes = code.astype("<u2" if len(own) < 1 << 16 else "<u4")
+                made.append((int(bucket[a]), lang, *map(pack, (b"\n".join([words[i] for i in own.tolist()]), codes.tobytes(), count[a:b].tobytes(), depth[a:b].tobytes()))))
                 if len(made) == 256 or b == len(count):
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*made), (pa.int64(), pa.string(), *[pa.binary()] * 4))], names=["bucket", "lang", "words", "codes", "counts", "depths"])
                     made = []
@@ -206,7 +208,10 @@ def count_bucket(table: pa.Table, least: int) -> pa.Table:
     cols, count, depth = [np.zeros((WIDTH, 0), np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     names: list[tuple[str, bytes]] = [("", b"")]
     number[names[0]] = 0
-    for r in table.to_pylist():
+    unpack = zstandard.ZstdDecompressor().decompress
+    for i in range(table.num_rows):
+        r = table.slice(i, 1).to_pylist()[0]
+        r |= {c: unpack(r[c]) for c in ("words", "codes", "counts", "depths")}
         own = np.zeros(r["words"].count(b"\n") + 1, np.int64)
         for i, w in enumerate(r["words"].split(b"\n")):
             if w:

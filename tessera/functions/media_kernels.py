@@ -128,38 +128,51 @@ def _frequencies(hist: np.ndarray) -> np.ndarray:
     return freq
 
 
+def _lanes(n: int) -> int:
+    """How many coders share a stream of n symbols: a row of symbols each step, at least 128 steps, at most 4096 wide."""
+    return min(4096, max(1, n >> 7))
+
+
 def rans_encode(symbols: np.ndarray, hist: np.ndarray) -> bytes:
-    if not len(symbols):
+    """Symbol k belongs to lane k % lanes; lanes code side by side with 32-bit states and 16-bit words. The stream is the
+    lanes' states, then the words in the order in which decoding wants them."""
+    n = len(symbols)
+    if not n:
         return b""
-    freq = _frequencies(hist)
-    start = np.concatenate(([0], np.cumsum(freq)[:-1]))
-    f, c, state, out = freq.tolist(), start.tolist(), 1 << 23, bytearray()
-    for s in reversed(symbols.tolist()):
-        top = ((1 << 23) >> BITS << 8) * f[s]
-        while state >= top:
-            out.append(state & 255)
-            state >>= 8
-        state = (state // f[s] << BITS) + state % f[s] + c[s]
-    return struct.pack("<I", state) + bytes(reversed(out))
+    lanes, freq = _lanes(n), _frequencies(hist).astype(np.uint64)
+    start = np.cumsum(freq) - freq
+    state, out = np.full(lanes, 1 << 16, np.uint64), []
+    for at in range((n - 1) // lanes * lanes, -1, -lanes):
+        s = symbols[at : at + lanes]
+        f, x = freq[s], state[: len(s)]
+        full = x >= f << np.uint64(32 - BITS)
+        out.append((x[full] & np.uint64(0xFFFF)).astype("<u2"))
+        x = np.where(full, x >> np.uint64(16), x)
+        state[: len(s)] = (x // f << np.uint64(BITS)) + x % f + start[s]
+    return state.astype("<u4").tobytes() + np.concatenate(out[::-1]).tobytes()
 
 
 def rans_decode(data: bytes, hist: np.ndarray, n: int) -> np.ndarray:
     if not n:
         return np.zeros(0, np.uint8)
-    freq = _frequencies(hist)
-    start = np.concatenate(([0], np.cumsum(freq)[:-1]))
-    owner = np.repeat(np.arange(256), freq).tolist()
-    f, c, out, at = freq.tolist(), start.tolist(), bytearray(n), 4
-    state = struct.unpack_from("<I", data)[0]
-    for k in range(n):
-        low = state & ((1 << BITS) - 1)
-        s = owner[low]
-        out[k] = s
-        state = f[s] * (state >> BITS) + low - c[s]
-        while state < 1 << 23 and at < len(data):
-            state = state << 8 | data[at]
-            at += 1
-    return np.frombuffer(bytes(out), np.uint8)
+    lanes, freq = _lanes(n), _frequencies(hist).astype(np.uint64)
+    start, owner = np.cumsum(freq) - freq, np.repeat(np.arange(256, dtype=np.uint8), freq.astype(np.int64))
+    state = np.frombuffer(data, "<u4", lanes).astype(np.uint64)
+    words = np.concatenate((np.frombuffer(data, "<u2", offset=4 * lanes), np.zeros(lanes, "<u2"))).astype(np.uint64)  # a cut stream ends in zeros
+    out, at = np.empty(n, np.uint8), 0
+    for k in range(0, n, lanes):
+        x = state[: min(lanes, n - k)]
+        low = x & np.uint64((1 << BITS) - 1)
+        s = owner[low.astype(np.int64)]
+        out[k : k + len(x)] = s
+        x = freq[s] * (x >> np.uint64(BITS)) + low - start[s]
+        empty = np.flatnonzero(x < 1 << 16)
+        if at + len(empty) > len(words):
+            raise ValueError("the stream is cut")
+        x[empty] = x[empty] << np.uint64(16) | words[at : at + len(empty)]
+        at += len(empty)
+        state[: len(x)] = x
+    return out
 
 
 # --- frames -----------------------------------------------------------------------------------------------------
@@ -231,67 +244,111 @@ def person_mask(cur: np.ndarray, ref: np.ndarray, threshold: int = 25, least: in
 # --- voice --------------------------------------------------------------------------------------------------------
 
 
-def lpc(samples: np.ndarray, order: int = 10) -> tuple[np.ndarray, float]:
-    """Prediction coefficients and gain, by autocorrelation and the Levinson-Durbin recursion."""
-    x = samples.astype(np.float64) * np.hamming(len(samples)) if len(samples) else np.zeros(1)
-    r = np.array([x[: len(x) - k] @ x[k:] if k < len(x) else 0.0 for k in range(order + 1)])
-    a, err = np.zeros(order), r[0]
+def lpc_rows(samples: np.ndarray, order: int = 10) -> tuple[np.ndarray, np.ndarray]:
+    """Prediction coefficients and gain of each row, by autocorrelation and the Levinson-Durbin recursion."""
+    rows, n = samples.shape
+    x = samples.astype(np.float64) * np.hamming(n) if n else np.zeros((rows, 1))
+    r = np.stack([np.einsum("rn,rn->r", x[:, : x.shape[1] - k], x[:, k:]) if k < x.shape[1] else np.zeros(rows) for k in range(order + 1)], 1)
+    a, err = np.zeros((rows, order)), r[:, 0].copy()
     for i in range(order):
-        if err <= 1e-12:
-            break
-        k = (r[i + 1] - a[:i] @ r[i:0:-1]) / err
-        a[:i], a[i] = a[:i] - k * a[:i][::-1], k
-        err *= 1 - k * k
-    return a.astype(np.float32), float(np.sqrt(max(err, 0.0) / max(len(x), 1)))
-
-
-def pitch(samples: np.ndarray, rate: int, low: float = 60.0, high: float = 400.0) -> tuple[float, float, float, bool]:
-    """f0, period, confidence, voiced."""
-    x = samples.astype(np.float64) - (samples.mean() if len(samples) else 0)
-    a, b = int(rate / high), min(int(rate / low), len(x) - 1)
-    power = float(x @ x)
-    if power <= 1e-9 or b <= a:
-        return 0.0, 0.0, 0.0, False
-    scores = [x[:-k] @ x[k:] / power for k in range(max(a, 1), b + 1)]
-    k = int(np.argmax(scores))
-    period, sure = max(a, 1) + k, float(max(0.0, scores[k]))
-    return rate / period, float(period), sure, sure > 0.3
+        going = err > 1e-12
+        k = np.where(going, (r[:, i + 1] - np.einsum("rn,rn->r", a[:, :i], r[:, i:0:-1])) / np.where(going, err, 1), 0)
+        a[:, :i], a[:, i] = a[:, :i] - k[:, None] * a[:, :i][:, ::-1], k
+        err = err * (1 - k * k)
+    return a.astype(np.float32), np.sqrt(np.maximum(err, 0) / max(x.shape[1], 1))
+
+
+def pitch_rows(samples: np.ndarray, rate: int, low: float = 60.0, high: float = 400.0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """f0, period, confidence and voiced of each row."""
+    rows, n = samples.shape
+    a, b = max(int(rate / high), 1), min(int(rate / low), n - 1)
+    nothing = np.zeros(rows)
+    if not n or b <= int(rate / high):
+        return nothing, nothing, nothing, nothing > 0
+    x = samples.astype(np.float64)
+    x = x - x.mean(1, keepdims=True)
+    power = np.einsum("rn,rn->r", x, x)
+    loud = power > 1e-9
+    scores = np.stack([np.einsum("rn,rn->r", x[:, :-k], x[:, k:]) for k in range(a, b + 1)], 1) / np.where(loud, power, 1)[:, None]
+    best = scores.argmax(1)
+    period = np.where(loud, a + best, 0).astype(np.float64)
+    sure = np.where(loud, np.maximum(0.0, scores[np.arange(rows), best]), 0.0)
+    return np.where(loud, rate / np.maximum(period, 1), 0.0), period, sure, sure > 0.3
+
+
+def parametric_rows(samples: np.ndarray, rate: int) -> list[dict]:
+    """What describes each row (all of one length)."""
+    (coeffs, gain), (f0, period, sure, voiced), n = lpc_rows(samples), pitch_rows(samples, rate), samples.shape[1]
+    energy = 10 * np.log10((samples.astype(np.float64) ** 2).mean(1) + 1e-10) if n else np.full(len(samples), -100.0)
+    activity = np.minimum(1.0, np.maximum(0.0, (energy + 60) / 60))
+    columns = {"coeffs": coeffs, "gain": gain, "f0": f0, "period": period, "pitch_confidence": sure, "voiced": voiced, "active": energy > -50, "activity_confidence": activity, "energy_db": energy}
+    lists = {k: v.tolist() for k, v in columns.items()}
+    return [{k: v[i] for k, v in lists.items()} | {"frame_size": n, "sample_rate": rate} for i in range(len(samples))]
+
+
+def synthesise_rows(items: list[dict]) -> list[np.ndarray]:
+    """Samples of each item: frames of one size and order run through their filters side by side, a sample of all a step."""
+    out: list = [None] * len(items)
+    alike: dict[tuple[int, int], list[int]] = {}
+    for i, p in enumerate(items):
+        alike.setdefault((p["frame_size"], len(p["coeffs"])), []).append(i)
+    for (n, m), own in alike.items():
+        e, noise = np.zeros((len(own), n)), np.random.default_rng(0).standard_normal(n)
+        for k, i in enumerate(own):
+            p = items[i]
+            if p["voiced"] and p["period"] >= 1:
+                e[k, :: int(round(p["period"]))] = np.sqrt(p["period"])
+            else:
+                e[k] = noise
+        e *= np.array([items[i]["gain"] for i in own])[:, None]
+        back = np.array([items[i]["coeffs"][::-1] for i in own]).reshape(len(own), m)
+        made = np.zeros((m + n, len(own)))
+        for k in range(n):
+            made[m + k] = e[:, k] + np.einsum("rm,mr->r", back, made[k : m + k])
+        for k, i in enumerate(own):
+            out[i] = made[m:, k].astype(np.float32)
+    return out
 
 
 def parametric(samples: np.ndarray, rate: int) -> dict:
-    coeffs, gain = lpc(samples)
-    f0, period, sure, voiced = pitch(samples, rate)
-    energy = float(10 * np.log10(float((samples.astype(np.float64) ** 2).mean()) + 1e-10)) if len(samples) else -100.0
-    return {"coeffs": coeffs.tolist(), "gain": gain, "f0": f0, "period": period, "pitch_confidence": sure, "voiced": voiced, "active": energy > -50, "activity_confidence": min(1.0, max(0.0, (energy + 60) / 60)), "energy_db": energy, "frame_size": len(samples), "sample_rate": rate}
+    return parametric_rows(samples[None], rate)[0]
 
 
 def synthesise(p: dict) -> np.ndarray:
-    n = p["frame_size"]
-    if p["voiced"] and p["period"] >= 1:
-        e = np.zeros(n)
-        e[:: int(round(p["period"]))] = np.sqrt(p["period"])
-    else:
-        e = np.random.default_rng(0).standard_normal(n)
-    out, a = np.zeros(n + len(p["coeffs"])), np.array(p["coeffs"])
-    m = len(a)
-    for i in range(n):
-        out[m + i] = p["gain"] * e[i] + a @ out[i : m + i][::-1]
-    return out[m:].astype(np.float32)
+    return synthesise_rows([p])[0]
 
 
-def spectral(samples: np.ndarray, keep: int = 16) -> dict:
-    """The largest coefficients of an orthonormal DCT."""
-    n = len(samples)
+def _cosines(n: int) -> np.ndarray:
+    """The orthonormal DCT of n samples; rows are coefficients."""
     k, x = np.mgrid[:n, :n]
-    c = np.sqrt(2 / max(n, 1)) * (np.where(k == 0, np.sqrt(0.5), 1.0) * np.cos((2 * x + 1) * k * np.pi / (2 * max(n, 1)))) @ samples.astype(np.float64)
-    at = np.sort(np.argsort(-np.abs(c), kind="stable")[:keep])
-    return {"energy": float((samples.astype(np.float64) ** 2).sum()), "frame_size": n, "coefficients": [(int(i), float(np.float32(c[i]))) for i in at]}
+    return np.sqrt(2 / max(n, 1)) * np.where(k == 0, np.sqrt(0.5), 1.0) * np.cos((2 * x + 1) * k * np.pi / (2 * max(n, 1)))
+
+
+def spectral_rows(samples: np.ndarray, keep: int = 16) -> list[dict]:
+    """The largest coefficients of each row's orthonormal DCT."""
+    n = samples.shape[1]
+    c = samples.astype(np.float64) @ _cosines(n).T
+    at = np.sort(np.argsort(-np.abs(c), 1, kind="stable")[:, :keep], 1)
+    values, energy = np.take_along_axis(c, at, 1).astype(np.float32), (samples.astype(np.float64) ** 2).sum(1)
+    return [{"energy": e, "frame_size": n, "coefficients": list(zip(i, v))} for e, i, v in zip(energy.tolist(), at.tolist(), values.tolist())]
+
+
+def unspectral_rows(items: list[dict]) -> list[np.ndarray]:
+    out: list = [None] * len(items)
+    for n in {p["frame_size"] for p in items}:
+        own = [i for i, p in enumerate(items) if p["frame_size"] == n]
+        c = np.zeros((len(own), n))
+        for k, i in enumerate(own):
+            for at, v in items[i]["coefficients"]:
+                c[k, at] = v
+        for i, x in zip(own, (c @ _cosines(n)).astype(np.float32)):
+            out[i] = x
+    return out
+
+
+def spectral(samples: np.ndarray, keep: int = 16) -> dict:
+    return spectral_rows(samples[None], keep)[0]
 
 
 def unspectral(p: dict) -> np.ndarray:
-    n = p["frame_size"]
-    k, x = np.mgrid[:n, :n]
-    c = np.zeros(n)
-    for i, v in p["coefficients"]:
-        c[i] = v
-    return ((np.sqrt(2 / max(n, 1)) * np.where(k == 0, np.sqrt(0.5), 1.0) * np.cos((2 * x + 1) * k * np.pi / (2 * max(n, 1)))).T @ c).astype(np.float32)
+    return unspectral_rows([p])[0]

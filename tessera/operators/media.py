@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,14 +36,27 @@ def decode_video(df: DataFrame, kind: str = "cdf53") -> DataFrame:
 def mean_difference(a: Column, b: Column) -> Column:
     """Mean absolute difference of two byte strings of one length; null for others."""
 
-    @F.pandas_udf("double")
-    def of(x: pd.Series, y: pd.Series) -> pd.Series:
-        one = lambda p, q: float(np.abs(np.frombuffer(p, np.uint8).astype(np.int16) - np.frombuffer(q, np.uint8)).mean()) if p and q and len(p) == len(q) else None
-        return pd.Series([one(p, q) for p, q in zip(x, y)], dtype="float64")
+    @F.arrow_udf("double")
+    def of(x: pa.Array, y: pa.Array) -> pa.Array:
+        x, y = x.cast(pa.large_binary()), y.cast(pa.large_binary())
+        (p, p_ends), (q, q_ends) = as_bytes(x), as_bytes(y)
+        n = np.diff(p_ends)
+        fits = x.is_valid().to_numpy(zero_copy_only=False) & y.is_valid().to_numpy(zero_copy_only=False) & (n == np.diff(q_ends)) & (n > 0)
+        p, q = p[np.repeat(fits, n)], q[np.repeat(fits, np.diff(q_ends))]
+        total = np.concatenate(([0], np.cumsum(np.abs(p.astype(np.int16) - q), dtype=np.int64)))
+        at = np.concatenate(([0], np.cumsum(np.where(fits, n, 0))))
+        return pa.array((total[at[1:]] - total[at[:-1]]) / np.maximum(n, 1), mask=~fits)
 
     return of(a, b)
 
 
+def as_bytes(column: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all rows and where each begins, without copies."""
+    offsets = np.frombuffer(column.buffers()[1], "<i8")[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] and column.buffers()[2].size else np.zeros(0, np.uint8)
+    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
 def person_regions(pairs: DataFrame, quality: int = 75, kind: str = "cdf53", **how) -> DataFrame:
     """cur_id, bbox, foreground, coded: the bounding box of what moved, coded as gray; null where nothing did."""
 
@@ -68,11 +80,16 @@ def encode_voice(df: DataFrame, rate: int = 16_000, layer: int = 0) -> DataFrame
 
     def rows(batches):
         for b in batches:
-            out = []
-            for r in b.to_pylist():
-                x = np.array(r["samples"] or [], np.float32)
-                body = wire.pack_parametric([kernels.parametric(x, rate)]) if layer == 0 else wire.pack_spectral([kernels.spectral(x)])
-                out.append(wire.audio_frame(r["sequence"], r["timestamp_ms"], layer, rate, len(x), r["sequence"] == 1, body))
+            own, body = b["samples"].fill_null([]), [b""] * b.num_rows
+            sizes = own.value_lengths().to_numpy(zero_copy_only=False)
+            flat, ends = own.flatten().fill_null(0).to_numpy(zero_copy_only=False).astype(np.float32), np.cumsum(sizes)
+            for n in np.unique(sizes).tolist():  # frames of one length at once
+                who = np.flatnonzero(sizes == n)
+                x = flat[(ends[who] - n)[:, None] + np.arange(n)]
+                made = kernels.parametric_rows(x, rate) if layer == 0 else kernels.spectral_rows(x)
+                for i, item in zip(who.tolist(), made):
+                    body[i] = wire.pack_parametric([item]) if layer == 0 else wire.pack_spectral([item])
+            out = [wire.audio_frame(q, t, layer, rate, n, q == 1, x) for q, t, n, x in zip(b["sequence"].to_pylist(), b["timestamp_ms"].to_pylist(), sizes.tolist(), body)]
             yield pa.RecordBatch.from_arrays([b["stream_id"], b["sequence"], pa.array(out, pa.binary())], names=["stream_id", "sequence", "raw"])
 
     return df.select("stream_id", "sequence", "timestamp_ms", "samples").mapInArrow(rows, "stream_id long, sequence long, raw binary")
@@ -81,18 +98,23 @@ def encode_voice(df: DataFrame, rate: int = 16_000, layer: int = 0) -> DataFrame
 def decode_voice(df: DataFrame) -> DataFrame:
     """stream_id, sequence, keyframe, samples; samples are null for what can't be decoded."""
 
-    def one(raw):
+    def read(raw):
         try:
             f = wire.read_audio_frame(raw or b"")
-            made = [kernels.synthesise(p) for p in wire.unpack_parametric(f["payload"])] if f["layer"] == 0 else [kernels.unspectral(p) for p in wire.unpack_spectral(f["payload"])]
-            return f["keyframe"], np.concatenate(made).tolist() if made else []
+            return f["keyframe"], f["layer"], wire.unpack_parametric(f["payload"]) if f["layer"] == 0 else wire.unpack_spectral(f["payload"])
         except wire.WireError:
-            return None, None
+            return None, None, []
 
     def rows(batches):
         for b in batches:
-            made = [one(r) for r in b["raw"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([b["stream_id"], b["sequence"], pa.array([m[0] for m in made], pa.bool_()), pa.array([m[1] for m in made], pa.list_(pa.float32()))], names=["stream_id", "sequence", "keyframe", "samples"])
+            found = [read(r) for r in b["raw"].to_pylist()]
+            made: list[list] = [[] for _ in found]
+            for parametric, kernel in ((True, kernels.synthesise_rows), (False, kernels.unspectral_rows)):
+                own = [(i, p) for i, (_, layer, items) in enumerate(found) if layer is not None and (layer == 0) == parametric for p in items]
+                for (i, _), x in zip(own, kernel([p for _, p in own])):
+                    made[i].append(x)
+            samples = [None if layer is None else np.concatenate(m) if m else np.zeros(0, np.float32) for m, (_, layer, _) in zip(made, found)]
+            yield pa.RecordBatch.from_arrays([b["stream_id"], b["sequence"], pa.array([k for k, _, _ in found], pa.bool_()), pa.array(samples, pa.list_(pa.float32()))], names=["stream_id", "sequence", "keyframe", "samples"])
 
     return df.select("stream_id", "sequence", "raw").mapInArrow(rows, "stream_id long, sequence long, keyframe boolean, samples array<float>")
 

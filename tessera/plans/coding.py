@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import values
-from ..operators import corrections, framing, masks
+from ..functions import scalar, values, wire
+from ..operators import corrections, framing, masks, media
 from ..sources import asp
 from ..sources.tables import shared_folder
 from . import fixtures as fx
-from .queries import longs, query
+from .queries import longs, query, rgb_rows, voice_frames
 
 RUNS = """runs AS (SELECT frame_id, count_if(v IS DISTINCT FROM before) AS runs, count_if((v - coalesce(before, 0)) & 255 IS DISTINCT FROM (before - coalesce(before2, 0)) & 255) AS deltas
   FROM (SELECT frame_id, v, lag(v) OVER w AS before, lag(v, 2) OVER w AS before2 FROM frames WINDOW w AS (PARTITION BY frame_id ORDER BY y * 64 + x)) GROUP BY 1)"""
@@ -84,3 +84,82 @@ def s26_packet_files(spark, d):
     framed(spark, d).select("raw").write.format("packets").mode("append").save(folder)
     back = spark.read.format("packets").option("splitBytes", 1 << 16).load(folder).where("packet_type in (1, 3) and sequence > 4")
     return longs(back.select(F.conv(F.hex(F.substring("raw", 17, 8)), 16, 10).cast("long").alias("event_id"), "sequence", "packet_type", "payload_len", "status"))
+
+
+# --- video: the transform, quantiser and symbols in SQL ----------------------------------------------------------------
+
+
+def _lift_sql(source: str, made: str, axis: str, inverse: bool) -> str:
+    """CTEs of one pass of the 5/3 lifting along x or y, within the first rw by rh values of each plane."""
+    size, at, cross = ("rw", "x", "y") if axis == "x" else ("rh", "y", "x")
+    inside = "(x < rw AND y < rh)"
+    over = f"OVER (PARTITION BY frame_id, ch, {cross}, {inside} ORDER BY {at})"
+    odd = "floor(-0.5 * (lag({v}) {o} + coalesce(lead({v}) {o}, lag({v}) {o})) + 0.5)"
+    even = "floor(0.25 * (coalesce(lag({v}) {o}, lead({v}) {o}) + coalesce(lead({v}) {o}, lag({v}) {o})) + 0.5)"
+    keep = "frame_id, ch, w, h, rw, rh"
+    if not inverse:
+        first = f"{made}_d AS (SELECT {keep}, x, y, CASE WHEN {inside} AND {at} % 2 = 1 THEN v + {odd.format(v='v', o=over)} ELSE v END AS v FROM {source})"
+        moved = f"CASE WHEN NOT {inside} THEN {at} WHEN {at} % 2 = 0 THEN {at} // 2 ELSE ({size} + 1) // 2 + {at} // 2 END AS {at}"
+        return f"{first}, {made} AS (SELECT {keep}, {cross}, {moved}, CASE WHEN {inside} AND {at} % 2 = 0 THEN v + {even.format(v='v', o=over)} ELSE v END AS v FROM {made}_d)"
+    moved = f"CASE WHEN NOT {inside} THEN {at} WHEN {at} < ({size} + 1) // 2 THEN 2 * {at} ELSE 2 * ({at} - ({size} + 1) // 2) + 1 END AS {at}"
+    put = f"{made}_p AS (SELECT {keep}, {cross}, {moved}, v FROM {source})"
+    first = f"{made}_e AS (SELECT {keep}, x, y, CASE WHEN {inside} AND {at} % 2 = 0 THEN v - {even.format(v='v', o=over)} ELSE v END AS v FROM {made}_p)"
+    return f"{put}, {first}, {made} AS (SELECT {keep}, x, y, CASE WHEN {inside} AND {at} % 2 = 1 THEN v - {odd.format(v='v', o=over)} ELSE v END AS v FROM {made}_e)"
+
+
+def _half(level: int, size: str) -> str:
+    return size if level == 0 else f"(({_half(level - 1, size)}) + 1) // 2"
+
+
+def _sized(source: str, made: str, level: int) -> str:
+    return f"{made} AS (SELECT frame_id, ch, w, h, {_half(level, 'w')} AS rw, {_half(level, 'h')} AS rh, x, y, v FROM {source})"
+
+
+STEP, LEVELS = 8, 3
+VIDEO = fx.RGB + """, pixels AS (SELECT frame_id, i % 21 AS x, i // 21 AS y, r - b AS co, CAST(b + floor((r - b) / 2.0) AS BIGINT) AS t, g FROM rgb),
+planes AS (SELECT frame_id, x, y, unnest([0, 1, 2]) AS ch, unnest([t + CAST(floor((g - t) / 2.0) AS BIGINT), co, g - t]) AS v FROM pixels),
+f0 AS (SELECT *, 21 AS w, max(y) OVER (PARTITION BY frame_id) + 1 AS h FROM planes)"""
+for _k in range(LEVELS):
+    VIDEO += f", {_sized(f'f{_k}', f'f{_k}s', _k)}, {_lift_sql(f'f{_k}s', f'f{_k}y', 'y', False)}, {_lift_sql(f'f{_k}y', f'f{_k + 1}', 'x', False)}"
+VIDEO += f""", quantized AS (SELECT frame_id, ch, w, h, x, y, CAST(sign(v) * (abs(v) // {STEP}) AS BIGINT) AS q FROM (SELECT * REPLACE (CAST(v AS BIGINT) AS v) FROM f{LEVELS})),
+ranged AS (SELECT *, min(q) OVER p AS low, max(q) OVER p AS high FROM quantized WINDOW p AS (PARTITION BY frame_id, ch)),
+symbols AS MATERIALIZED (SELECT frame_id, ch, w, h, x, y, low, high, CASE WHEN high - low <= 255 THEN q - low ELSE least(255, CAST(trunc(CAST(q - low AS REAL) * (CAST(255 AS REAL) / CAST(high - low AS REAL))) AS BIGINT)) END AS symbol FROM ranged)"""
+DECODED = f""", g{LEVELS} AS (SELECT frame_id, ch, w, h, x, y, {STEP} * (low + CASE WHEN high - low <= 255 THEN symbol
+  ELSE CAST(trunc(CAST(symbol AS REAL) * (CAST(1 AS REAL) / (CAST(255 AS REAL) / CAST(high - low AS REAL))) + CAST(0.5 AS REAL)) AS BIGINT) END) AS v FROM symbols)"""
+for _k in reversed(range(LEVELS)):
+    DECODED += f", {_sized(f'g{_k + 1}', f'g{_k}s', _k)}, {_lift_sql(f'g{_k}s', f'g{_k}x', 'x', True)}, {_lift_sql(f'g{_k}x', f'g{_k}', 'y', True)}"
+DECODED += """, back AS (SELECT frame_id, y * 21 + x AS i, CAST(max(CASE WHEN ch = 0 THEN v END) AS BIGINT) AS l, CAST(max(CASE WHEN ch = 1 THEN v END) AS BIGINT) AS co, CAST(max(CASE WHEN ch = 2 THEN v END) AS BIGINT) AS cg FROM g0 GROUP BY ALL),
+mixed AS (SELECT *, l - CAST(floor(cg / 2.0) AS BIGINT) AS t FROM back), seen AS (SELECT *, t - CAST(floor(co / 2.0) AS BIGINT) AS b FROM mixed),
+bytes AS (SELECT frame_id, i, greatest(0, least(255, b + co)) AS r, greatest(0, least(255, cg + t)) AS g, greatest(0, least(255, b)) AS b FROM seen)"""
+
+
+@query(f"WITH {VIDEO} SELECT frame_id, ch AS channel, symbol, count(*) AS n FROM symbols GROUP BY ALL")
+def v1_v4_symbols(spark, d):
+    """The histogram of every channel, read from coded frames by expressions: what colour transform, wavelet, quantiser and symbols make of the pixels."""
+    coded = media.encode_video(rgb_rows(spark, d), 50)
+    each = coded.select("frame_id", "coded", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("channel"))
+    counts = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda k: scalar.uint_le(F.substring("coded", 49 + F.col("channel") * 1028 + 4 * k, F.lit(4)), 0, 4))
+    return longs(each.select("frame_id", "channel", F.posexplode(counts).alias("symbol", "n")).where("n > 0"))
+
+
+@query(f"WITH {VIDEO}{DECODED} SELECT frame_id, 21 AS width, count(*) // 21 AS height, CAST(sum(r) AS BIGINT) AS r, CAST(sum(g) AS BIGINT) AS g, CAST(sum(b) AS BIGINT) AS b, CAST(sum((3 * i) * r + (3 * i + 1) * g + (3 * i + 2) * b) AS BIGINT) AS placed FROM bytes GROUP BY 1")
+def v2_v4_decoded(spark, d):
+    """Coded frames decoded again: sums of the colours and of all bytes times their places."""
+    back = media.decode_video(media.encode_video(rgb_rows(spark, d), 50))
+    v = F.transform(F.sequence(F.lit(0), F.length("rgb") - 1), lambda k: F.conv(F.hex(F.substring("rgb", k + 1, F.lit(1))), 16, 10).cast("long"))
+    back = back.withColumn("v", v)
+    total = lambda c: F.aggregate(F.filter("v", lambda x, k: k % 3 == c), F.lit(0).cast("long"), lambda s, x: s + x)
+    placed = F.aggregate(F.transform("v", lambda x, k: x * k), F.lit(0).cast("long"), lambda s, x: s + x)
+    return longs(back.select("frame_id", "width", "height", *[total(k).alias(c) for k, c in enumerate("rgb")], placed.alias("placed")))
+
+
+@query("""WITH v AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS sequence, embedding FROM embeddings),
+s AS (SELECT label, sequence, k, sum(CAST(embedding[i + 1] AS DOUBLE) * cos((2 * i + 1) * k * pi() / 128)) * sqrt(1 / 32.0) * CASE WHEN k = 0 THEN sqrt(0.5) ELSE 1 END AS c FROM v CROSS JOIN range(0, 64) a(i) CROSS JOIN range(0, 64) b(k) GROUP BY label, sequence, k)
+SELECT CAST(label AS BIGINT) AS stream_id, sequence, count(*) AS coefficients, CAST(sum(k) AS BIGINT) AS places, round(sum(abs(c)), 2) AS magnitude
+FROM (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY label, sequence ORDER BY abs(c) DESC, k) <= 16) GROUP BY 1, 2""")
+def v6_coefficients(spark, d):
+    """The sixteen largest coefficients of each spectral frame, read from its bytes: how many, the sum of their places and of their magnitudes."""
+    raw = media.encode_voice(voice_frames(spark, d), layer=1)
+    read = F.udf(lambda x: [(int(i), float(v)) for p in wire.unpack_spectral(wire.read_audio_frame(x)["payload"]) for i, v in p["coefficients"]], "array<struct<k: int, c: double>>")
+    one = raw.select("stream_id", "sequence", F.explode(read("raw")).alias("p"))
+    return longs(one.groupBy("stream_id", "sequence").agg(F.count("*").alias("coefficients"), F.sum("p.k").alias("places"), F.round(F.sum(F.abs("p.c")), 2).alias("magnitude")))

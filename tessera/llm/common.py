@@ -8,6 +8,7 @@ import threading
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,14 +32,42 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-#: Folders that this process has written to the shared folder.
-WRITTEN: list[str] = []
+class Tables:
+    """The tables written to the shared folder by what runs inside ``with Tables(spark) as own:``, in this thread.
+
+    Tables outlive the block, as lazy results read them; ``own.drop()`` deletes them, for when the results are stored. What
+    other threads and other blocks write is theirs. Blocks may be nested: the innermost owns.
+    """
+
+    _now: ContextVar[Tables | None] = ContextVar("tables", default=None)
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Tables:
+        self._before = Tables._now.set(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        Tables._now.reset(self._before)
+
+    @staticmethod
+    def wrote(path: str) -> None:
+        if (own := Tables._now.get()) is not None:
+            own.paths.append(path)
+
+    def drop(self, keep: DataFrame | None = None) -> None:
+        """Delete these tables, but for ``keep``, which stays theirs."""
+        held = getattr(keep, "_tessera_path", None)
+        for path in self.paths:
+            if path != held:
+                _delete(self.spark, path)
+        self.paths = [path for path in self.paths if path == held]
 
 
 def _delete(spark: SparkSession, path: str) -> None:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    WRITTEN.remove(path)
 
 
 def discard(*tables: DataFrame) -> None:
@@ -47,12 +76,18 @@ def discard(*tables: DataFrame) -> None:
         _delete(t.sparkSession, t._tessera_path)
 
 
-def release(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
-    """Delete what was written on the way (from number ``since`` of WRITTEN), but for the table ``keep``; for when the results that read it are stored."""
-    held = getattr(keep, "_tessera_path", None)
-    for path in WRITTEN[since:]:
-        if path != held:
-            _delete(spark, path)
+def release(result: DataFrame) -> None:
+    """Delete the tables that a result of ``corpus_pipeline.run`` reads; for when it is stored."""
+    for own in getattr(result, "_tessera_tables", ()):
+        own.drop()
+
+
+def fresh(name: str, *frames: DataFrame) -> str:
+    """A column name like ``name`` that none of the frames has, in any case of letters."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -82,7 +117,7 @@ def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     with shuffles_released(spark):
         df.write.option("compression", codec).parquet(path)
-    WRITTEN.append(path)
+    Tables.wrote(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tessera_path = path
     return out

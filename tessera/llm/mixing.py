@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialise
+from .common import fresh, map_arrow, materialise
 
 WEIGHTS = (5, 2, 1)
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -185,24 +185,25 @@ def resample(docs: DataFrame, seed: int = 17, **how) -> DataFrame:
 
     Where a pass over a source's blocks takes the whole row, it is there as it stands; where it takes some of its
     blocks, there is a row for each run of neighbouring ones, with the text from the run's first word to its last and
-    the row's other columns. So the words of each source are those of its slots, long documents included. Rows
-    without words are not taken. Columns __rid, __pass, __all and __own may not be in ``docs``.
+    the row's other columns, whatever their names. So the words of each source are those of its slots, long documents
+    included. Rows without words are not taken; repeated doc_ids are rows of their own.
     """
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    held = materialise(docs.withColumn("__rid", F.monotonically_increasing_id()), "mix-docs")
-    m = mix(held, seed=seed, rid=F.col("__rid"), **how)
+    rid, runs = fresh("rid", docs), fresh("own", docs)
+    held = materialise(docs.withColumn(rid, F.monotonically_increasing_id()), "mix-docs")
+    m = mix(held, seed=seed, rid=F.col(rid), **how)
     met = m.slots.join(m.pieces.hint("merge"), ["src", "block"])
-    own = met.groupBy(F.col("rid").alias("__rid"), F.col("pass").alias("__pass")).agg(F.sum("words").alias("__all"), F.collect_list(F.struct("from_word", "words")).alias("__own"))
-    own = own.join(m.docs.select(F.col("rid").alias("__rid"), "size"), "__rid").select("__rid", (F.col("__all") == F.col("size")).alias("__all"), F.when(F.col("__all") < F.col("size"), F.col("__own")).alias("__own"))
-    taken_of = held.join(own.hint("merge"), "__rid").drop("__rid")
+    own = met.groupBy("rid", "pass").agg(F.sum("words").alias("all"), F.collect_list(F.struct("from_word", "words")).alias("own"))
+    own = own.join(m.docs.select("rid", "size"), "rid").select(F.col("rid").alias(rid), F.when(F.col("all") < F.col("size"), F.col("own")).alias(runs))
+    taken_of = held.join(own.hint("merge"), rid).drop(rid)
 
     def rows(batch: pa.RecordBatch) -> dict:
         at, texts = [], []
-        for k, (text, runs) in enumerate(zip(batch["text"].to_pylist(), batch["__own"].to_pylist())):
-            made = [text] if runs is None else [text[a:b] for a, b in spans(text, [(r["from_word"], r["words"]) for r in runs])]
+        for k, (text, part) in enumerate(zip(batch["text"].to_pylist(), batch[runs].to_pylist())):
+            made = [text] if part is None else [text[a:b] for a, b in spans(text, [(r["from_word"], r["words"]) for r in part])]
             texts += made
             at += [k] * len(made)
         index = pa.array(at, pa.int64())
         return {c: texts if c == "text" else batch[c].take(index) for c in kinds}
 
-    return map_arrow(taken_of.drop("__all"), ", ".join(f"`{c}` {t}" for c, t in kinds.items()), rows)
+    return map_arrow(taken_of, ", ".join(f"`{c}` {t}" for c, t in kinds.items()), rows)

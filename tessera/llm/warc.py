@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WRITTEN, bound_batches, map_arrow, materialise, shared_dir, shuffles_released
+from .common import Tables, bound_batches, map_arrow, materialise, shared_dir, shuffles_released
 
 DATE = "2024-01-01T00:00:00Z"
 MAGIC, GZIP = b"WARC/1.1\r\n", b"\x1f\x8b\x08"
@@ -98,7 +98,7 @@ def write(pages: DataFrame, least: int = 1000, archive_bytes: int = 16 << 20) ->
     made = roles(pages, least).select(*names).mapInArrow(run, "value binary")
     with shuffles_released(spark):
         made.select(F.col("value").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", 1).text(path)
-    WRITTEN.append(path)
+    Tables.wrote(path)
     return path
 
 

@@ -7,15 +7,18 @@ most ``rare`` documents), and for the others each document with the first one th
 by patience diff (lines unique in both, longest increasing run, then equal neighbours, again between matches), and
 aligned blocks that reach the rule are deleted from the later document (larger doc_id, null first; ties by text
 hash). A run that brought the pair together but that the diff leaves apart, as its lines are there twice or in
-crossed order, is aligned by itself. All decisions look at the input texts.
+crossed order, goes too. All decisions look at the input texts. A pair's row holds the runs that the two share, and
+the diff sees the lines of these runs only: other lines aren't in a block that may be deleted. So what travels and what
+a pair costs follow what documents share, not their sizes.
 
 So a line is deleted just if it is in a run of lines that reaches the rule and that an earlier document has too,
-whatever pairs were aligned: no pair beyond these can add to that, and no group's pairs are all made.
+whatever pairs were aligned: no pair beyond these can add to that, and no group's pairs are all made. The shared runs
+decide; the diff finds them as longer blocks.
 
 Null and empty texts are left as they are. Rows repeated with the same doc_id and text count once and share
 their result. Blank lines never reach the rule alone but may be part of a block. Texts without a line end are one
-line. An empty table gives an empty result. Other columns stay; one called n_lines or n_removed gives way to the
-result's.
+line. An empty table gives an empty result. Other columns stay, whatever their names; one called n_lines or n_removed
+gives way to the result's.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, map_arrow, materialise
+from .common import discard, fresh, map_arrow, materialise
 
 SPACES = r"^[\x20\x09-\x0D]*$"
 #: Runs of lines are hashed as polynomials modulo 2^64, so that any run's hash comes from sums over its document.
@@ -124,77 +127,90 @@ def flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), counts.astype(np.int64)
 
 
+def spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... (count[0] of them), then first[1], ..."""
+    ends = np.cumsum(count)
+    return np.repeat(first - ends + count, count) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array(values) if isinstance(values, np.ndarray) else values)
+
+
 def sketch(docs: DataFrame, least_lines: int, least_chars: int) -> DataFrame:
-    """k (doc_id, null first), th (hash of the text), hashes and lens of its lines (negative lens: blank) and runs, once per distinct (doc_id, text)."""
-    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
+    """k (doc_id, null first), th (hash of the text) and runs, once per distinct (doc_id, text).
+
+    A run: its hash, the lines where it begins, and the hashes and lengths (negative: blank) of its lines.
+    """
+    own_lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
     own = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("k"), F.xxhash64("text").alias("th"), F.transform(lines, lambda x: F.xxhash64(x)).alias("hashes"),
-        F.transform(lines, lambda x: F.when(x.rlike(SPACES), -1 - F.char_length(x)).otherwise(F.char_length(x))).alias("lens"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("k"), F.xxhash64("text").alias("th"), F.transform(own_lines, lambda x: F.xxhash64(x)).alias("hashes"),
+        F.transform(own_lines, lambda x: F.when(x.rlike(SPACES), -1 - F.char_length(x)).otherwise(F.char_length(x))).alias("lens"),
     )
 
     def rows(batch: pa.RecordBatch) -> dict:
         hashes, counts = flat(batch["hashes"])
-        h, s, _ = windows(hashes, flat(batch["lens"])[0], counts, least_lines, least_chars)
-        doc = np.repeat(np.arange(len(counts)), counts)[s]
-        order = np.lexsort((h, doc))
-        h, doc = h[order], doc[order]
-        once = np.ones(len(h), bool)
-        once[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-        ends = np.cumsum(np.bincount(doc[once], minlength=len(counts)))
-        runs = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(h[once]))
-        return {c: batch[c] for c in ("k", "th", "hashes", "lens")} | {"runs": runs}
-
-    made = map_arrow(own, "k long, th long, hashes array<long>, lens array<int>, runs array<long>", rows)
-    return materialise(made.groupBy("k", "th").agg(*[F.first(c).alias(c) for c in ("hashes", "lens", "runs")]), "lines-sketch")
+        lens = flat(batch["lens"])[0]
+        h, s, e = windows(hashes, lens, counts, least_lines, least_chars)
+        doc, first = np.repeat(np.arange(len(counts)), counts)[s], (np.cumsum(counts) - counts)
+        order = np.lexsort((s, h, doc))
+        h, s, e, doc = h[order], s[order], e[order], doc[order]
+        new = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])))) if len(h) else np.zeros(0, np.int64)
+        size = (e - s)[new]
+        at = spread(s[new], size)
+        places = lists((s - first[doc]).astype(np.int32), np.diff(new, append=len(h)))
+        run = pa.StructArray.from_arrays([pa.array(h[new]), places, lists(hashes[at], size), lists(lens[at].astype(np.int32), size)], ["h", "at", "lines", "lens"])
+        return {"k": batch["k"], "th": batch["th"], "runs": lists(run, np.bincount(doc[new], minlength=len(counts)))}
+
+    made = map_arrow(own, "k long, th long, runs array<struct<h: long, at: array<int>, lines: array<long>, lens: array<int>>>", rows)
+    return materialise(made.groupBy("k", "th").agg(F.first("runs").alias("runs")), "lines-sketch")
 
 
 def candidates(once: DataFrame, rare: int) -> DataFrame:
-    """(ka, ta, kb, tb, runs): pairs of documents, the earlier one first, and hashes of runs that they share."""
-    occ = once.select(F.explode("runs").alias("h"), F.struct("k", "th").alias("b"))
+    """(ka, ta, kb, tb, runs): pairs of documents, the earlier one first, and the runs that they share with their places (a, b) in both."""
+    occ = once.select(F.explode("runs").alias("r"), "k", "th").select("r.h", F.struct("k", "th", "r.at").alias("b"), "r.lines", "r.lens")
     counts = occ.groupBy("h").agg(F.count("*").alias("df"), F.min("b").alias("a")).where("df > 1")
     met = materialise(occ.join(counts.hint("merge"), "h"), "lines-shared")
-    few = met.where(F.col("df") <= rare).groupBy("h").agg(F.collect_list("b").alias("m"))
-    few = few.select("h", F.explode("m").alias("b"), "m").select("h", F.explode("m").alias("a"), "b")
-    both = few.union(met.where(F.col("df") > rare).select("h", "a", "b")).where("a < b")
-    found = both.groupBy(F.col("a.k").alias("ka"), F.col("a.th").alias("ta"), F.col("b.k").alias("kb"), F.col("b.th").alias("tb")).agg(F.collect_set("h").alias("runs"))
+    few = met.where(F.col("df") <= rare).groupBy("h").agg(F.collect_list("b").alias("m"), F.first("lines").alias("lines"), F.first("lens").alias("lens"))
+    few = few.select("*", F.explode("m").alias("b")).select("h", F.explode("m").alias("a"), "b", "lines", "lens")
+    both = few.union(met.where(F.col("df") > rare).select("h", "a", "b", "lines", "lens")).where("a < b")
+    found = both.groupBy(F.col("a.k").alias("ka"), F.col("a.th").alias("ta"), F.col("b.k").alias("kb"), F.col("b.th").alias("tb")).agg(F.collect_list(F.struct(F.col("a.at").alias("a"), F.col("b.at").alias("b"), "lines", "lens")).alias("runs"))
     pairs = materialise(found, "lines-pairs")
     discard(met)
     return pairs
 
 
-def left_apart(a: list, b: list, runs: list[tuple[int, int, int]], gone: set[int]) -> set[int]:
-    """Lines of those runs (hash, s, e) of b that aren't all in ``gone`` and that a has as well."""
-    out: set[int] = set()
-    there: dict[int, bool] = {}
-    for h, s, e in runs:
-        if not gone.issuperset(range(s, e)):
-            if h not in there:
-                there[h] = any(a[i : i + e - s] == b[s:e] for i, x in enumerate(a) if x == b[s])
-            if there[h]:
-                out.update(range(s, e))
-    return out
+def excerpt(runs: list[dict], side: str) -> tuple[list[int], list, list[int]]:
+    """Numbers, hashes and lengths of a document's lines in the runs, in order; between lines that aren't neighbours stands one that nothing equals."""
+    found = {x + i: (line, n) for r in runs for x in r[side] for i, (line, n) in enumerate(zip(r["lines"], r["lens"]))}
+    at, lines, lens = [], [], []
+    for k in sorted(found):
+        if at and at[-1] != k - 1:
+            at.append(-1), lines.append((side, k)), lens.append(-1)
+        at.append(k), lines.append(found[k][0]), lens.append(found[k][1])
+    return at, lines, lens
+
+
+def shared_lines(runs: list[dict], least_lines: int, least_chars: int) -> list[int]:
+    """Lines of the later document that go, of a pair with these runs: its aligned blocks, and the runs that the diff leaves apart."""
+    (_, a, _), (at, b, lens) = excerpt(runs, "a"), excerpt(runs, "b")
+    blank = {j for j, n in enumerate(lens) if n < 0}
+    gone = {at[j] for j in common_blocks(a, b, [n if n >= 0 else -1 - n for n in lens], least_lines, least_chars, blank)}
+    for r in runs:
+        for x in r["b"]:
+            gone.update(range(x, x + len(r["lines"])))
+    return sorted(gone)
 
 
 def removed_lines(docs: DataFrame, rare: int = 4, least_lines: int = 2, least_chars: int = 100) -> DataFrame:
     """(k, th, removed): indexes of the lines to delete, for documents that lose any."""
     once = sketch(docs, least_lines, least_chars)
-    a = once.select(F.col("k").alias("ka"), F.col("th").alias("ta"), F.col("hashes").alias("ha"))
-    b = once.select(F.col("k").alias("kb"), F.col("th").alias("tb"), F.col("hashes").alias("hb"), "lens")
     pairs = candidates(once, rare)
-    met = pairs.join(a.hint("merge"), ["ka", "ta"]).join(b.hint("merge"), ["kb", "tb"]).select("kb", "tb", "ha", "hb", "lens", "runs")
 
     def rows(batch: pa.RecordBatch) -> dict:
-        out = []
-        for r in batch.to_pylist():
-            a, b, lens, wanted = r["ha"], r["hb"], r["lens"], set(r["runs"])
-            blank = {j for j, n in enumerate(lens) if n < 0}
-            gone = set(common_blocks(a, b, [n if n >= 0 else -1 - n for n in lens], least_lines, least_chars, blank))
-            h, s, e = (x.tolist() for x in windows(np.array(b, np.int64), np.array(lens, np.int64), np.array([len(b)]), least_lines, least_chars))
-            gone |= left_apart(a, b, [x for x in zip(h, s, e) if x[0] in wanted], gone)
-            out.append(sorted(gone))
-        return {"k": batch["kb"], "th": batch["tb"], "removed": out}
-
-    cut = map_arrow(met, "k long, th long, removed array<int>", rows)
+        return {"k": batch["kb"], "th": batch["tb"], "removed": [shared_lines(r.as_py(), least_lines, least_chars) for r in batch["runs"]]}
+
+    cut = map_arrow(pairs.select("kb", "tb", "runs"), "k long, th long, removed array<int>", rows)
     found = materialise(cut.groupBy("k", "th").agg(F.array_distinct(F.flatten(F.collect_list("removed"))).alias("removed")), "lines-cut")
     discard(once, pairs)
     return found
@@ -202,15 +218,16 @@ def removed_lines(docs: DataFrame, rare: int = 4, least_lines: int = 2, least_ch
 
 def dedup(docs: DataFrame, **how) -> DataFrame:
     """``docs`` with text after deletion, and n_lines and n_removed of the input; all other columns as they are."""
-    cut = removed_lines(docs, **how).toDF("__k", "__th", "__removed")
     docs = docs.drop("n_lines", "n_removed")
-    met = docs.withColumn("__kk", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("__tt", F.xxhash64("text"))
-    met = met.join(cut.hint("merge"), (F.col("__kk") == F.col("__k")) & (F.col("__tt") == F.col("__th")), "left")
+    k, th, gone = (fresh(c, docs) for c in ("k", "th", "removed"))
+    cut = removed_lines(docs, **how).toDF(k, th, gone)
+    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    met = docs.join(cut.hint("merge"), (own == F.col(k)) & (F.xxhash64("text") == F.col(th)), "left")
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
 
     def rows(batch: pa.RecordBatch) -> dict:
         texts, n, lost = [], [], []
-        for text, removed in zip(batch["text"].to_pylist(), batch["__removed"].to_pylist()):
+        for text, removed in zip(batch["text"].to_pylist(), batch[gone].to_pylist()):
             lines = [] if text is None else text.split("\n")
             n.append(len(lines))
             lost.append(len(removed or ()))
@@ -222,4 +239,4 @@ def dedup(docs: DataFrame, **how) -> DataFrame:
         return {c: batch[c] for c in kinds} | {"text": texts, "n_lines": n, "n_removed": lost}
 
     schema = ", ".join(f"`{c}` {t}" for c, t in kinds.items())
-    return map_arrow(met.select(*[F.col(f"`{c}`") for c in kinds], "__removed"), f"{schema}, n_lines long, n_removed long", rows)
+    return map_arrow(met.select(*[F.col(f"`{c}`") for c in kinds], gone), f"{schema}, n_lines long, n_removed long", rows)

@@ -1,13 +1,15 @@
 """Quality rules with risk-controlled thresholds.
 
-Each document gets counts; each rule compares one ratio with a cutoff. Cutoffs are chosen per stratum
-(``lang``, null its own) by fixed-sequence testing down a fixed grid, from the mildest cutoff to the strictest:
-with n labelled good documents of which x would be rejected, a cutoff passes if the exact binomial tail
-P(X <= x | n, alpha / rules) is at most delta / (strata * rules), and the first that fails ends the sequence.
-So with probability 1 - delta no stratum loses more than ``alpha`` of its good documents to all rules together
-(Bonferroni over strata and rules; within a sequence no further correction is needed). Of the cutoffs that
-passed, the mildest with the largest catch of bad documents is used, and only if it catches ``gain`` bad
-documents for each good one lost. Labels are used for nothing else, so all of them serve as the holdout.
+Each document gets counts; each of five rules compares one ratio with a cutoff. Cutoffs are chosen per stratum
+(``lang``, null its own). A stratum's labelled documents are dealt to two halves by a hash of doc_id. On the first half a path
+of settings is laid: from all rules off, each step makes one rule's cutoff stricter, where that rejects the most more bad
+documents, and at least ``gain`` bad ones for each good one. The second half, the holdout, tests the settings of that path
+in order: with n good documents of which x would be rejected by any rule, a setting passes if the exact binomial tail
+P(X <= x | n, alpha) is at most delta / strata; the first that fails ends the sequence, and the last that passed is used.
+The path is fixed before the holdout is looked at, so within a stratum the sequence needs no further correction, however many
+rules and cutoffs there are; Bonferroni over strata does the rest. So with probability 1 - delta no stratum loses more than
+``alpha`` of its good documents to all rules together. With four strata a holdout of 86 good documents is the least that can
+pass a setting: ln(delta / strata) / ln(1 - alpha).
 
 Null text: no words, fails the base rule. Unlabelled or thinly labelled strata have no cutoffs: only the base
 rule applies. Empty labels: the same. Empty documents: no rows. Documents repeated in the table are judged row by
@@ -24,17 +26,20 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import ASCII_SPACE, map_arrow, materialise
+from .common import ASCII_SPACE, fresh, map_arrow, materialise
 
 SYMBOLS = "#*$%&|<>"
 #: rule -> cutoffs from mild to strict; a document is rejected above the cutoff.
 GRIDS = {
     "symbol_ratio": [2.0, 1.0, 0.5, 0.3, 0.2, 0.15, 0.1, 0.08, 0.06, 0.04],
     "dup_line_ratio": [0.2, 0.15, 0.12, 0.1, 0.08, 0.06, 0.05, 0.04, 0.03],
-    "mean_word_chars": [15.0, 12.0, 10.0, 9.5, 9.0, 8.5, 8.0, 7.5, 7.0, 6.75, 6.5],
+    "repeat_ratio": [0.18, 0.15, 0.12, 0.1, 0.08, 0.06, 0.04, 0.02],
+    "long_words": [15.0, 12.0, 10.0, 9.5, 9.0, 8.5, 8.0, 7.5, 7.0, 6.75, 6.5],
+    "short_words": [-2.0, -2.5, -3.0, -3.5, -4.0, -4.5],
 }
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 RESULT = {*COUNTS, "base_failed", "kept"}
@@ -92,7 +97,13 @@ def measure(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 def ratios() -> dict:
     n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
-    return {"symbol_ratio": F.col("n_symbols") / n, "dup_line_ratio": F.col("n_dup_lines") / n, "mean_word_chars": F.col("word_chars") / n}
+    mean = F.col("word_chars") / n
+    return {"symbol_ratio": F.col("n_symbols") / n, "dup_line_ratio": F.col("n_dup_lines") / n, "repeat_ratio": F.col("n_repeat_words") / n, "long_words": mean, "short_words": -mean}
+
+
+def first_step(rule: str, ratio: Column) -> Column:
+    """The number, from 1, of the first cutoff on the way from mild to strict that rejects the ratio; one more than there are if none does."""
+    return sum((F.when(ratio > c, -1).otherwise(0) for c in GRIDS[rule]), F.lit(1 + len(GRIDS[rule]))).cast("int")
 
 
 def binomial_tail(x: int, n: int, p: float) -> float:
@@ -111,26 +122,47 @@ def binomial_tail(x: int, n: int, p: float) -> float:
     return min(1.0, math.exp(top) * math.fsum(terms))
 
 
+def rejects(setting: tuple[int, ...], cell: tuple[int, ...]) -> bool:
+    return any(first <= k for first, k in zip(cell, setting))
+
+
+def path(good: dict, bad: dict, gain: float) -> list[tuple[int, ...]]:
+    """Settings from mild to strict: how many cutoffs of each rule's grid were gone down (0: off). good and bad: number of documents by ``first_step`` of each rule."""
+    setting, out = tuple(0 for _ in GRIDS), []
+    while True:
+        left = [{x: n for x, n in seen.items() if not rejects(setting, x)} for seen in (good, bad)]
+        best = None
+        for i, grid in enumerate(GRIDS.values()):
+            for k in range(setting[i] + 1, len(grid) + 1):
+                lost, caught = (sum(n for x, n in seen.items() if x[i] <= k) for seen in left)
+                if caught and caught >= gain * lost and (best is None or (caught, -lost, -i, -k) > best):
+                    best = caught, -lost, -i, -k
+        if best is None:
+            return out
+        setting = tuple(-best[3] if i == -best[2] else k for i, k in enumerate(setting))
+        out.append(setting)
+
+
 def cutoffs(measured: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = 0.05, delta: float = 0.05, gain: float = 10.0) -> list[tuple]:
-    """(stratum, rule, cutoff) of the rules that are on. Only counts by stratum, rule and grid step reach the driver."""
+    """(stratum, cutoff or None of each rule) of the strata with rules on. Only counts by stratum, half, label and cell of the grids reach the driver."""
     marks = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     known = measured.where(~F.col("base_failed")).join(marks, "doc_id")
-    steps = [F.sum(F.when(v > c, F.lit(1)).otherwise(0)).alias(f"{rule}:{k}") for rule, v in ratios().items() for k, c in enumerate(GRIDS[rule])]
-    found = known.groupBy(stratum, F.col("quality") > 0).agg(F.count("*").alias("n"), *steps).collect()
-    good = {r[0]: r for r in found if r[1]}
-    bad = {r[0]: r for r in found if not r[1]}
-    level, chosen = delta / max(1, len(good) * len(GRIDS)), []
-    for key, r in good.items():
-        for rule, grid in GRIDS.items():
-            best = (0, None)
-            for k, c in enumerate(grid):
-                lost, caught = r[f"{rule}:{k}"], bad[key][f"{rule}:{k}"] if key in bad else 0
-                if binomial_tail(lost, r["n"], alpha / len(GRIDS)) > level:
-                    break
-                if caught > best[0] and caught >= gain * lost:
-                    best = caught, c
-            if best[0]:
-                chosen.append((key, rule, best[1]))
+    cells = F.array(*[first_step(rule, v) for rule, v in ratios().items()])
+    half = F.pmod(F.xxhash64(F.lit(29), F.col("doc_id").cast("long")), F.lit(2))
+    found = known.groupBy(F.col(stratum).alias("s"), half.alias("half"), (F.col("quality") > 0).alias("good"), cells.alias("cell")).agg(F.count("*").alias("n")).collect()
+    seen: dict = {}
+    for r in found:
+        seen.setdefault(r["s"], {}).setdefault((r["half"], r["good"]), {})[tuple(r["cell"])] = r["n"]
+    strata, chosen = sum(any(good for _, good in own) for own in seen.values()), []
+    for key, own in seen.items():
+        held, last = own.get((1, True), {}), None
+        for setting in path(own.get((0, True), {}), own.get((0, False), {}), gain):
+            lost = sum(n for x, n in held.items() if rejects(setting, x))
+            if binomial_tail(lost, sum(held.values()), alpha) > delta / strata:
+                break
+            last = setting
+        if last:
+            chosen.append((key, *[grid[k - 1] if k else None for k, grid in zip(last, GRIDS.values())]))
     return chosen
 
 
@@ -141,7 +173,11 @@ def judge(docs: DataFrame, labels: DataFrame, keep: list[str], stratum: str = "l
     keep = [c for c in keep if c not in RESULT]
     cols = list(dict.fromkeys([*keep, "doc_id", stratum]))
     measured = materialise(measure(docs, cols), "quality-counts")
+    kind = measured.schema[stratum].dataType
+    on = measured.sparkSession.createDataFrame(cutoffs(measured, labels, stratum, **risk), T.StructType([T.StructField("s", kind), *[T.StructField(rule, T.DoubleType()) for rule in GRIDS]]))
+    names = {c: fresh(f"cutoff_{c}", measured) for c in on.columns}
+    met = measured.join(on.toDF(*names.values()), measured[stratum].eqNullSafe(F.col(names["s"])), "left")  # a row a stratum: small enough to be sent to all, or joined as any table
     rejected = F.lit(False)
-    for key, rule, c in cutoffs(measured, labels, stratum, **risk):
-        rejected = rejected | (F.col(stratum).eqNullSafe(F.lit(key)) & (ratios()[rule] > c))
-    return measured.withColumn("kept", ~F.col("base_failed") & ~rejected).select(*keep, *COUNTS, "base_failed", "kept")
+    for rule, v in ratios().items():
+        rejected = rejected | F.coalesce(v > F.col(names[rule]), F.lit(False))
+    return met.withColumn("kept", ~F.col("base_failed") & ~rejected).select(*keep, *COUNTS, "base_failed", "kept")

@@ -14,7 +14,7 @@ import xxhash
 from tessera.llm import media, mixing
 from tessera.llm.queries import queries
 
-from .test_texts import plain_components, plain_fingerprint, plain_line_dedup, plain_representatives, plain_verdicts
+from .test_texts import halves, plain_components, plain_fingerprint, plain_line_dedup, plain_representatives, plain_verdicts
 
 
 @pytest.fixture(scope="module")
@@ -129,10 +129,23 @@ def test_op9(spark, data, source):
     for r in spark.read.parquet(f"{data}/labels.parquet").collect():
         if r["quality"] is not None:
             marks[r["doc_id"]] = min(marks.get(r["doc_id"], 1), int(r["quality"] > 0))
-    want, _ = plain_verdicts([(d, r["text"], r["lang"]) for d, r in source.items()], marks)
+    want, _ = plain_verdicts([(d, r["text"], r["lang"]) for d, r in source.items()], marks, halves(spark, marks))
     assert {r["doc_id"]: r["kept"] for r in got} == want
 
 
+def test_op9_where_rules_act(spark, data):
+    """A thousand documents: the largest stratum has the labels that cutoffs need."""
+    data = data.replace("0.001", "0.01")
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
+    marks = {}
+    for r in spark.read.parquet(f"{data}/labels.parquet").collect():
+        if r["quality"] is not None:
+            marks[r["doc_id"]] = min(marks.get(r["doc_id"], 1), int(r["quality"] > 0))
+    want, cut = plain_verdicts(rows, marks, halves(spark, marks))
+    got = {r["doc_id"]: (r["kept"], r["base_failed"]) for r in queries()["op9_quality"](spark, data).collect()}
+    assert {d: k for d, (k, _) in got.items()} == want and cut and any(not k and not b for k, b in got.values())
+
+
 def test_op10(spark, data, source):
     out, got = result(spark, data, "op10_mixing")
     assert out.columns == ["doc_id", "size", "source_size", "target", "taken"] and len(got) == 200
@@ -150,6 +163,33 @@ def test_op10(spark, data, source):
     assert sorted(map(str, result(spark, data, "op10_mixing")[1])) == sorted(map(str, got))
 
 
+def test_two_pipelines_at_once(spark, data):
+    """In two threads they give what they give in turn, and their tables are gone when they are released."""
+    import os
+    import threading
+
+    from tessera.llm.common import release, shared_dir
+
+    place = shared_dir(spark).removeprefix("file://")
+    rows = lambda df: sorted((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in df.collect())
+    before, got = set(os.listdir(place)), {}
+    first = corpus_pipeline.run(spark, data)
+    want = rows(first)
+    release(first)
+
+    def one(k):
+        made = corpus_pipeline.run(spark, data)
+        got[k] = rows(made)
+        release(made)
+
+    threads = [threading.Thread(target=one, args=(k,)) for k in range(2)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert got == {0: want, 1: want} and set(os.listdir(place)) == before
+
+
 def test_pipeline_by_brute_force(spark, data, source):
     """Stage after stage; the mix by its words, as its draws are tested by themselves; the last by the library."""
     import sentencepiece
@@ -160,7 +200,7 @@ def test_pipeline_by_brute_force(spark, data, source):
         at = corpus_pipeline.materialise(stage(spark, at, data), "brute")
         stages.append([r.asDict() for r in at.collect()])
     marks = {r["doc_id"]: int(r["quality"] > 0) for r in spark.read.parquet(f"{data}/labels.parquet").collect()}
-    verdicts, _ = plain_verdicts([(d, r["text"], r["lang"]) for d, r in source.items()], marks)
+    verdicts, _ = plain_verdicts([(d, r["text"], r["lang"]) for d, r in source.items()], marks, halves(spark, marks))
     kept = {d: source[d]["text"] for d in source if verdicts[d]}
     assert {r["doc_id"]: r["text"] for r in stages[0]} == kept
     cut = plain_line_dedup([(d, t, None, None) for d, t in kept.items()])

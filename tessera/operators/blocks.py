@@ -130,15 +130,28 @@ def full_search(frame_pairs: DataFrame, block: int = 16, reach: int = 16) -> Dat
 def overlaps(regions: DataFrame, cell: int = 64) -> DataFrame:
     """(key, a, b), a < b: all pairs of a key's rectangles (key, id, r) that intersect.
 
-    Rectangles meet in the cells of a grid that they cover, and a pair counts in the cell of the first corner of what
-    they share, so it is there once.
+    A rectangle's level is the first grid, of cells ``cell`` * 4 ** level wide, whose cells aren't smaller than it, so it covers
+    at most four cells there, and on coarser grids. Two rectangles meet on the grid of the larger one's level, and count
+    in the cell of the first corner of what they share, so a pair is there once. Rows grow with the number of levels that
+    occur (at most 32), not with areas. Rectangles without an area and nulls meet nothing.
     """
-    at = lambda c, n: F.floor((F.col("r")[c] + (F.col("r")[n] - 1 if n else 0)) / cell)
-    cells = regions.where((F.col("r.width") > 0) & (F.col("r.height") > 0)).withColumn("cx", F.explode(F.sequence(at("x", None), at("x", "width")))).withColumn("cy", F.explode(F.sequence(at("y", None), at("y", "height"))))
-    a, b = (cells.select("key", "cx", "cy", F.col("id").alias(n), F.col("r").alias(f"r{n}")) for n in "ab")
-    ra, rb = F.col("ra"), F.col("rb")
-    own = (F.floor(F.greatest(ra["x"], rb["x"]) / cell) == F.col("cx")) & (F.floor(F.greatest(ra["y"], rb["y"]) / cell) == F.col("cy"))
-    return a.join(b, ["key", "cx", "cy"]).where((F.col("a") < F.col("b")) & scalar.intersects(ra, rb) & own).select("key", "a", "b")
+    r, size = F.col("r"), lambda n: F.lit(cell).cast("long") * F.pow(F.lit(4.0), n).cast("long")
+    level = F.expr(f"cast(size(filter(transform(sequence(0, 25), l -> {cell}D * pow(4D, l)), w -> w < greatest(r.width, r.height))) as int)")
+    held = regions.where((r["width"] > 0) & (r["height"] > 0)).select("key", "id", "r", level.alias("own"))
+    kinds = sorted(x[0] for x in held.select("own").distinct().collect())  # at most 32
+    at = lambda c, n, l: F.floor((r[c] + (r[n] - 1 if n else 0)) / size(l)).cast("long")
+
+    def cells(rows: DataFrame, side: str) -> DataFrame:
+        spread = rows.withColumn("cx", F.explode(F.sequence(at("x", None, F.col("level")), at("x", "width", F.col("level"))))).withColumn("cy", F.explode(F.sequence(at("y", None, F.col("level")), at("y", "height", F.col("level")))))
+        return spread.select("key", "level", "cx", "cy", F.col("id").alias(f"id_{side}"), F.col("r").alias(f"r_{side}"), F.col("own").alias(f"own_{side}"))
+
+    large = cells(held.withColumn("level", F.col("own")), "l")
+    small = cells(held.withColumn("level", F.explode(F.array(*[F.lit(k) for k in kinds or [0]]))).where(F.col("level") >= F.col("own")), "s")
+    ra, rb = F.col("r_s"), F.col("r_l")
+    first = (F.floor(F.greatest(ra["x"], rb["x"]) / size(F.col("level"))) == F.col("cx")) & (F.floor(F.greatest(ra["y"], rb["y"]) / size(F.col("level"))) == F.col("cy"))
+    once = (F.col("own_s") < F.col("own_l")) | (F.col("id_s") < F.col("id_l"))
+    met = small.join(large, ["key", "level", "cx", "cy"]).where(once & scalar.intersects(ra, rb) & first)
+    return met.select("key", F.least("id_s", "id_l").alias("a"), F.greatest("id_s", "id_l").alias("b"))
 
 
 def region_rows(strengths: DataFrame, block: int, threshold: int, roi_type: int, least_area: int = values.MIN_REGION_AREA) -> DataFrame:

@@ -14,9 +14,14 @@ def vectors_of_events(events: DataFrame, grid: int) -> DataFrame:
     return events.where("kind = 'Motion'").select("*", cell["block_x"].alias("block_x"), cell["block_y"].alias("block_y"), (F.abs("dx") + F.abs("dy")).alias("sad"))
 
 
-def packets_of_vectors(vectors: DataFrame, key: str, ref_sequence: Column, order: str) -> DataFrame:
-    """One delta packet a key: ref_sequence, sequence (one more) and its vectors in order."""
-    out = vectors.groupBy(key).agg(F.max(ref_sequence).alias("ref_sequence"), F.transform(F.array_sort(F.collect_list(F.struct(order, "block_x", "block_y", "dx", "dy", "sad"))), lambda v: F.struct(v["block_x"].alias("block_x"), v["block_y"].alias("block_y"), v["dx"].alias("dx"), v["dy"].alias("dy"), v["sad"].alias("sad"))).alias("vectors"))
+def packets_of_vectors(vectors: DataFrame, key: str, ref_sequence: Column, order: str, span: int | None = None) -> DataFrame:
+    """Delta packets of a key's vectors in order: ref_sequence, sequence (one more) and vectors.
+
+    One packet a key, or with ``span`` one for each range of so many values of ``order`` (a long that is each vector's own),
+    so that no packet holds more and a key of any size is many rows; column part tells the ranges.
+    """
+    keys = [key] if span is None else [key, F.expr(f"{order} div {span}").alias("part")]
+    out = vectors.groupBy(*keys).agg(F.max(ref_sequence).alias("ref_sequence"), F.transform(F.array_sort(F.collect_list(F.struct(order, "block_x", "block_y", "dx", "dy", "sad"))), lambda v: F.struct(v["block_x"].alias("block_x"), v["block_y"].alias("block_y"), v["dx"].alias("dx"), v["dy"].alias("dy"), v["sad"].alias("sad"))).alias("vectors"))
     return out.withColumn("sequence", F.col("ref_sequence") + 1)
 
 

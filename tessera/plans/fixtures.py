@@ -20,9 +20,10 @@ def blocks8(spark: SparkSession, d: str) -> DataFrame:
 
 
 def frames(spark: SparkSession, d: str) -> DataFrame:
-    """frame_id, x, y, v: 64 blocks to a frame of 64 x 64; full frames only."""
-    full = scan(spark, d, "embeddings").agg(F.expr("count(*) div 64").alias("full"))
-    b = blocks8(spark, d).join(F.broadcast(full), F.expr("vec_id div 64") < F.col("full"))
+    """frame_id, x, y, v: 64 blocks to a frame of 64 x 64; the last frame's missing blocks are zeros."""
+    n = scan(spark, d, "embeddings").agg(F.count("*").alias("n"))
+    missing = n.select(F.explode(F.expr("filter(sequence(n, n + 63), x -> x < (n + 63) div 64 * 64)")).alias("vec_id"))
+    b = blocks8(spark, d).unionByName(missing.select("vec_id", F.explode(F.expr("sequence(0L, 63L)")).alias("pos"), F.lit(0).cast("long").alias("v")))
     return b.select(F.expr("vec_id div 64").alias("frame_id"), F.expr("vec_id % 64 % 8 * 8 + pos % 8").alias("x"), F.expr("(vec_id % 64) div 8 * 8 + pos div 8").alias("y"), "v")
 
 
@@ -34,25 +35,27 @@ def block_arrays(spark: SparkSession, d: str) -> DataFrame:
 
 def frame_rows(spark: SparkSession, d: str) -> DataFrame:
     """frame_id, width, height, data: the same frames as rows of bytes, put together from their 64 blocks."""
-    b = block_arrays(spark, d)
-    full = b.agg(F.expr("count(*) div 64").alias("full"))
-    own = b.join(F.broadcast(full), F.expr("block div 64") < F.col("full"))
-    own = own.groupBy(F.expr("block div 64").alias("frame_id")).agg(F.array_sort(F.collect_list(F.struct(F.expr("block % 64").alias("slot"), F.transform("samples", lambda s: s.cast("int")).alias("v")))).alias("own"))
+    own = block_arrays(spark, d).groupBy(F.expr("block div 64").alias("frame_id")).agg(F.collect_list(F.struct(F.expr("cast(block % 64 as int)").alias("slot"), F.transform("samples", lambda s: s.cast("int")).alias("v"))).alias("own"))
 
     def rows(batches):
         for batch in batches:
-            v = batch["own"].flatten().field("v").flatten().to_numpy(zero_copy_only=False).astype(np.uint8).reshape(-1, 8, 8, 8, 8)
-            data = [x.tobytes() for x in v.transpose(0, 1, 3, 2, 4)]  # rows of blocks, rows in a block, blocks, columns
+            blocks = batch["own"].flatten()
+            v = np.zeros((batch.num_rows, 64, 64), np.uint8)
+            row = np.repeat(np.arange(batch.num_rows), batch["own"].value_lengths().to_numpy())
+            v[row, blocks.field("slot").to_numpy()] = blocks.field("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, 64)
+            data = [x.tobytes() for x in v.reshape(-1, 8, 8, 8, 8).transpose(0, 1, 3, 2, 4)]  # rows of blocks, rows in a block, blocks, columns
             side = pa.array([64] * len(data), pa.int32())
             yield pa.RecordBatch.from_arrays([batch["frame_id"], side, side, pa.array(data, pa.binary())], names=["frame_id", "width", "height", "data"])
 
-    return own.select("frame_id", F.transform("own", lambda o: F.struct(o["v"].alias("v"))).alias("own")).mapInArrow(rows, "frame_id long, width int, height int, data binary")
+    return own.mapInArrow(rows, "frame_id long, width int, height int, data binary")
 
 
 def rgb(spark: SparkSession, d: str) -> DataFrame:
-    """frame_id, i, r, g, b: triples of a vector's values."""
+    """frame_id, i, r, g, b: triples of a vector's values; the blue of the last is the mean of the vector's last two."""
     at = lambda k: F.max(F.when(F.col("pos") % 3 == k, F.col("v")))
-    b = blocks8(spark, d).where("pos < 63").groupBy("vec_id", F.expr("pos div 3").alias("t")).agg(at(0).alias("r"), at(1).alias("g"), at(2).alias("b"))
+    one = blocks8(spark, d).groupBy("vec_id", F.expr("least(pos, 62) div 3").alias("t"))
+    last = F.expr("(max(case when pos = 62 then v end) + max(case when pos = 63 then v end)) div 2")
+    b = one.agg(F.max(F.when((F.col("pos") % 3 == 0) & (F.col("pos") < 63), F.col("v"))).alias("r"), at(1).alias("g"), F.coalesce(last, at(2)).alias("b"))
     return b.select(F.expr("vec_id div 64").alias("frame_id"), F.expr("vec_id % 64 * 21 + t").alias("i"), "r", "g", "b")
 
 
@@ -103,9 +106,9 @@ def sync_events(spark: SparkSession, d: str) -> DataFrame:
 BLOCKS8 = """blocks8 AS (SELECT vec_id, i - 1 AS pos, CAST(least(255, greatest(0, floor((CAST(embedding[i] AS DOUBLE) + 0.5) * 255))) AS BIGINT) AS v
   FROM embeddings CROSS JOIN range(1, 65) AS t(i))"""
 FRAMES = BLOCKS8 + """, frames AS (SELECT vec_id // 64 AS frame_id, vec_id % 64 % 8 * 8 + pos % 8 AS x, (vec_id % 64) // 8 * 8 + pos // 8 AS y, v
-  FROM blocks8 WHERE vec_id // 64 < (SELECT count(*) // 64 FROM embeddings))"""
-RGB = BLOCKS8 + """, rgb AS (SELECT vec_id // 64 AS frame_id, vec_id % 64 * 21 + pos // 3 AS i, max(CASE WHEN pos % 3 = 0 THEN v END) AS r,
-  max(CASE WHEN pos % 3 = 1 THEN v END) AS g, max(CASE WHEN pos % 3 = 2 THEN v END) AS b FROM blocks8 WHERE pos < 63 GROUP BY 1, 2)"""
+  FROM (SELECT vec_id, pos, v FROM blocks8 UNION ALL SELECT vec_id, i, 0 FROM (SELECT unnest(range(count(*), (count(*) + 63) // 64 * 64)) AS vec_id FROM embeddings) CROSS JOIN range(0, 64) AS p(i)))"""
+RGB = BLOCKS8 + """, rgb AS (SELECT vec_id // 64 AS frame_id, vec_id % 64 * 21 + least(pos, 62) // 3 AS i, max(CASE WHEN pos % 3 = 0 AND pos < 63 THEN v END) AS r, max(CASE WHEN pos % 3 = 1 THEN v END) AS g,
+  coalesce((max(CASE WHEN pos = 62 THEN v END) + max(CASE WHEN pos = 63 THEN v END)) // 2, max(CASE WHEN pos % 3 = 2 THEN v END)) AS b FROM blocks8 GROUP BY 1, 2)"""
 PACKETS = """packets AS (SELECT user_id AS stream_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sequence,
   CASE WHEN event_type = 'signup' THEN 1 WHEN event_type IN ('view', 'click') THEN 2 WHEN event_type = 'error' THEN 3 ELSE 4 END AS packet_type,
   epoch_us(ts) // 1000 AS timestamp_ms, CAST(floor(value * 100) AS BIGINT) AS payload_len, event_id, value, event_type, CAST(floor(value * 100) AS BIGINT) + 20 AS size FROM events)"""

@@ -153,8 +153,8 @@ def s13_full_fidelity(spark, d):
 
 @query(f"""WITH {fx.VECTORS} SELECT stream_id, count(*) AS vectors, sum(dx) AS dx, sum(dy) AS dy, sum(sad) AS sad FROM mv GROUP BY 1""")
 def s14_delta_builder(spark, d):
-    """All vectors of a stream in one delta packet, written and read back."""
-    v = bridges.packets_of_vectors(fx.motion_vectors(spark, d), "stream_id", F.col("sequence"), "event_id")
+    """All vectors of a stream in delta packets of at most 4096, written and read back."""
+    v = bridges.packets_of_vectors(fx.motion_vectors(spark, d), "stream_id", F.col("sequence"), "event_id", 4096)
     payload = records.wire_payload(ref_sequence=F.col("ref_sequence"), vectors=F.col("vectors"), timestamp_ms=F.lit(7))
     raw = framing.encode_packets(v.select("stream_id", F.lit("D").alias("kind"), "sequence", payload.alias("payload")))
     x = framing.decode_packets(raw).select("stream_id", F.explode("payload.vectors").alias("v"))
@@ -269,7 +269,7 @@ def p9_compact(spark, d):
 
 @query(f"WITH {fx.RGB} SELECT frame_id, arg_min(r, i) AS r, arg_min(g, i) AS g, arg_min(b, i) AS b FROM rgb GROUP BY 1")
 def p12_dominant(spark, d):
-    c = fx.rgb(spark, d).groupBy("frame_id").agg(F.array_sort(F.collect_list(F.struct("i", "r", "g", "b"))).alias("colors"))
+    c = fx.rgb(spark, d).groupBy("frame_id").agg(F.array(F.min_by(F.struct("r", "g", "b"), "i")).alias("colors"))
     x = scalar.dominant(F.col("colors"))
     return c.select("frame_id", x["r"].alias("r"), x["g"].alias("g"), x["b"].alias("b"))
 
@@ -986,7 +986,7 @@ def b1_sync_vectors(spark, d):
 @query(f"WITH {fx.SYNC} SELECT stream_id, entity, dx, dy, 0 AS dz FROM sync WHERE kind = 'Motion'")
 def b1_sync_inverse(spark, d):
     v = bridges.vectors_of_events(fx.sync_events(spark, d), 16)
-    return longs(bridges.motions_of_packets(bridges.packets_of_vectors(v, "stream_id", F.lit(41), "event_id"), 16, "stream_id"))
+    return longs(bridges.motions_of_packets(bridges.packets_of_vectors(v, "stream_id", F.lit(41), "event_id", 4096), 16, "stream_id"))
 
 
 SNAP = fx.BODIES + """, deltas AS (SELECT body_idx, t, x - lag(x) OVER w AS fx, y - lag(y) OVER w AS fy FROM bodies WINDOW w AS (PARTITION BY body_idx ORDER BY t)),

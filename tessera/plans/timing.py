@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sqlfuncs
-from ..operators import recovery, stream, timejoin
+from ..operators import recovery, sketches, stream, timejoin
+from ..sources import tables
 from . import fixtures as fx
 from .queries import longs, query
 
@@ -125,3 +126,21 @@ def w11_sliding_bitrate(spark, d):
 def w12_sessions(spark, d):
     """Sessions of each stream: packets less than six hours apart."""
     return timejoin.sessions(fx.packets(spark, d), "stream_id", "timestamp_ms", "size", 21_600_000)
+
+
+# --- sketches -----------------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {fx.PACKETS} SELECT packet_type, count(*) AS n, count(DISTINCT stream_id) AS streams, true AS streams_near, true AS q50_near, true AS q90_near, true AS q99_near FROM packets GROUP BY 1""")
+def a16_sketches(spark, d):
+    """Sizes by kind from sketches by kind and day, merged: the values that they give for three ranks are within the bound of ranks, and their number of streams within five in a hundred, of the exact ones."""
+    p = fx.packets(spark, d)
+    daily = tables.stored(sketches.sketched(p, ["packet_type", F.expr("timestamp_ms div 86400000").alias("day")], "size", "stream_id"), "sketches")
+    made = sketches.told(sketches.merged(daily, ["packet_type"]))
+    ranks = {"q50": 0.5, "q90": 0.9, "q99": 0.99}
+    met = p.join(made.withColumnRenamed("packet_type", "kind"), F.col("packet_type") == F.col("kind"))
+    below = [c for q in ranks for c in (F.count_if(F.col("size") < F.col(q)).alias(f"{q}_below"), F.count_if(F.col("size") <= F.col(q)).alias(f"{q}_upto"))]
+    exact = met.groupBy("packet_type").agg(F.first("n").alias("n"), F.count_distinct("stream_id").alias("streams"), F.first("distinct_values").alias("estimate"), F.count("*").alias("rows"), *below)
+    slack = 3 * sketches.RANK_ERROR * F.col("rows") + 1  # merged of thirty days
+    near = [((F.col(f"{q}_below") <= r * F.col("rows") + slack) & (F.col(f"{q}_upto") >= r * F.col("rows") - slack)).alias(f"{q}_near") for q, r in ranks.items()]
+    return exact.select("packet_type", "n", "streams", (F.abs(F.col("estimate") - F.col("streams")) <= 0.05 * F.col("streams") + 1).alias("streams_near"), *near)

@@ -1,4 +1,4 @@
-"""Structured Streaming forms of stream statistics and of the receiver."""
+"""Structured Streaming forms of stream statistics, sessions, references and of the receiver."""
 
 from __future__ import annotations
 
@@ -90,3 +90,30 @@ def receive(frames: DataFrame) -> DataFrame:
     Frames are put in order within a batch; a frame whose sequence isn't above the stream's last is late and dropped.
     """
     return frames.select(*COLUMNS).groupBy("stream_id").applyInPandasWithState(_receive, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def once(packets: DataFrame, time: str = "ts", delay: str = "10 minutes") -> DataFrame:
+    """Packets without repetitions of (stream_id, sequence) that come within ``delay`` of each other; state is dropped behind the watermark."""
+    return packets.withWatermark(time, delay).dropDuplicatesWithinWatermark(["stream_id", "sequence"])
+
+
+def session_stats(packets: DataFrame, time: str = "ts", gap: str = "6 hours", delay: str | None = "10 minutes") -> DataFrame:
+    """stream_id, start, end (of the last packet's gap), packets and bytes of each session; the batch form is ``operators.timejoin.sessions``.
+
+    delay: None for packets that have a watermark already, such as those of ``once``.
+    """
+    made = (packets.withWatermark(time, delay) if delay else packets).groupBy("stream_id", F.session_window(time, gap).alias("w")).agg(F.count("*").alias("packets"), F.sum("size").alias("bytes"))
+    return made.select("stream_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "packets", "bytes")
+
+
+def resolve_references(deltas: DataFrame, keyframes: DataFrame, time: str = "ts", within: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
+    """Deltas (stream_id, sequence, ref_sequence, time) with the keyframe (stream_id, sequence, time) that they refer to, sent at most ``within`` before or ``delay`` after.
+
+    An outer join of two streams with bounded state: a delta whose keyframe is missing comes out with nulls once the
+    watermark has passed all keyframes that it might refer to.
+    """
+    d = deltas.withWatermark(time, delay).select("stream_id", "sequence", "ref_sequence", F.col(time).alias("sent"))
+    k = keyframes.withWatermark(time, delay).select(F.col("stream_id").alias("key_stream"), F.col("sequence").alias("key_sequence"), F.col(time).alias("key_sent"))
+    near = F.expr(f"key_sent >= sent - interval {within} and key_sent <= sent + interval {delay}")
+    met = d.join(k, (F.col("stream_id") == F.col("key_stream")) & (F.col("ref_sequence") == F.col("key_sequence")) & near, "leftOuter")
+    return met.select("stream_id", "sequence", "ref_sequence", "sent", "key_sequence", "key_sent")

@@ -48,3 +48,50 @@ def test_windowed_stats_drop_late(spark, tmp_path):
     src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "w/*"))
     got = drained(spark, streams.windowed_stats(src), "append", "windowed", tmp_path)
     assert 99 not in [r["total_bytes"] for r in got.collect()] and 10 in [r["total_bytes"] for r in got.collect()]
+
+
+def parts(spark, tmp_path, name, batches, schema):
+    for k, part in enumerate(batches):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / f"{name}/{k}"))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / f"{name}/*"))
+
+
+def at(minutes):
+    from datetime import datetime, timedelta
+
+    return datetime(2024, 1, 1) + timedelta(minutes=minutes)
+
+
+def test_sessions_and_repetitions(spark, tmp_path):
+    """Sessions of the stream are those of the batch form; packets that come twice count once."""
+    from tessera.operators import timejoin
+
+    rows = [(k % 3, k, 10 + k, at(37 * k * k % 5000)) for k in range(60)]
+    rows.sort(key=lambda r: r[3])
+    batches = [rows[a : a + 15] + rows[a : a + 4] for a in range(0, 60, 15)] + [[(9, 1, 1, at(20_000))], [(9, 2, 1, at(40_000))]]
+    src = parts(spark, tmp_path, "s", batches, "stream_id long, sequence long, size long, ts timestamp")
+    got = drained(spark, streams.session_stats(streams.once(src, delay="1 minute"), gap="100 minutes", delay=None), "append", "sessions", tmp_path)
+    batch = timejoin.sessions(spark.createDataFrame(rows, "stream_id long, sequence long, size long, ts timestamp").withColumn("ms", F.unix_millis("ts")), "stream_id", "ms", "size", 100 * 60_000)
+    assert sorted((r["stream_id"], r["packets"], r["bytes"]) for r in got.where("stream_id < 9").collect()) == sorted((r["stream_id"], r["packets"], r["bytes"]) for r in batch.collect())
+
+
+def test_references_across_streams(spark, tmp_path):
+    """Deltas find keyframes of earlier and later batches; dangling ones come out when the watermark has passed."""
+    deltas = [[(1, 2, 1, at(2)), (1, 4, 3, at(4)), (1, 9, 8, at(9))], [(2, 2, 1, at(12))], [(9, 1, 0, at(5000))], [(9, 2, 0, at(9000))], [(9, 3, 0, at(9001))]]
+    keys = [[(1, 1, at(1))], [(1, 3, at(5)), (2, 1, at(11))], [(9, 7, at(5000))], [(9, 8, at(9000))], [(9, 9, at(9001))]]
+    d = parts(spark, tmp_path, "d", deltas, "stream_id long, sequence long, ref_sequence long, ts timestamp")
+    k = parts(spark, tmp_path, "k", keys, "stream_id long, sequence long, ts timestamp")
+    got = drained(spark, streams.resolve_references(d, k), "append", "references", tmp_path)
+    assert {(r["stream_id"], r["sequence"]): r["key_sequence"] for r in got.where("stream_id < 9").collect()} == {(1, 2): 1, (1, 4): 3, (1, 9): None, (2, 2): 1}
+
+
+def test_sketches_merge(spark):
+    from tessera.operators import sketches
+
+    rows = spark.range(20_000).selectExpr("id % 7 AS k", "id % 3 AS part", "id * 7919 % 20000 AS v", "id % 500 AS who").unionByName(spark.createDataFrame([(8, 0, None, None)], "k long, part long, v long, who long"))
+    daily = sketches.sketched(rows, ["k", "part"], "v", "who")
+    r = sketches.told(sketches.merged(daily.where("k < 8"), [])).first()
+    assert r["n"] == 20_000 and abs(r["distinct_values"] - 500) <= 25
+    assert all(abs(r[q] / 20_000 - rank) < 0.03 for q, rank in (("q50", 0.5), ("q90", 0.9), ("q99", 0.99)))
+    nothing = sketches.told(sketches.merged(daily, ["k"])).where("k = 8").first()
+    assert nothing["n"] == 0 and nothing["q50"] is None

@@ -6,14 +6,20 @@ import numpy as np
 
 LARGE = [(0, -2), (-1, -1), (1, -1), (-2, 0), (2, 0), (-1, 1), (1, 1), (0, 2)]
 SMALL = [(0, -1), (-1, 0), (1, 0), (0, 1)]
+FEW = 256
 
 
 def still_sad(cur: np.ndarray, prev: np.ndarray, block: int) -> np.ndarray:
     """Sum of absolute differences at no offset of every whole block [by, bx]: rows of a block first, in small integers."""
     ny, nx = cur.shape[0] // block, cur.shape[1] // block
-    a, b = cur[: ny * block, : nx * block], prev[: ny * block, : nx * block]
-    lines = (np.maximum(a, b) - np.minimum(a, b)).reshape(ny, block, nx * block).sum(1, dtype=np.uint16 if block <= 257 else np.int64)
-    return lines.reshape(ny, nx, block).sum(2, dtype=np.int64)
+    a, b = (x[: ny * block, : nx * block].reshape(ny, block, nx * block) for x in (cur, prev))
+    out = np.zeros((ny, nx), np.int64)
+    moved = np.flatnonzero((a != b).reshape(ny, -1).any(1))  # rows of blocks that are the same throughout need no sums
+    if len(moved) < ny:
+        a, b = a[moved], b[moved]
+    lines = (np.maximum(a, b) - np.minimum(a, b)).sum(1, dtype=np.uint16 if block <= 257 else np.int64)
+    out[moved] = lines.reshape(len(moved), nx, block).sum(2, dtype=np.int64)
+    return out
 
 
 def diamond(cur: np.ndarray, prev: np.ndarray, block: int = 16, reach: int = 16, threshold: int = 256) -> np.ndarray:
@@ -59,17 +65,40 @@ def diamond(cur: np.ndarray, prev: np.ndarray, block: int = 16, reach: int = 16,
                 done[at] = best[at] < threshold
         return better
 
+    def scan_few(who, pattern, early):
+        """The same for few blocks, where calls cost more than sums: all offsets left are tried around a block's centre at once,
+        the first that improves moves it, and those after it are tried again around the new one."""
+        better, offsets = np.zeros(n, bool), np.array(pattern)
+        who = who[~done[who]] if early else who
+        start = np.zeros(len(who), np.int64)
+        while len(who):
+            x, y = dx[who][:, None] + offsets[:, 0], dy[who][:, None] + offsets[:, 1]
+            px, py = ox[who][:, None] + x, oy[who][:, None] + y
+            ok = (np.arange(len(offsets)) >= start[:, None]) & (np.abs(x) <= reach) & (np.abs(y) <= reach) & (px >= 0) & (py >= 0) & (px + block <= w) & (py + block <= h)
+            value = np.full(ok.shape, np.iinfo(np.int64).max)
+            value[ok] = sad(who[ok.nonzero()[0]], py[ok], px[ok])
+            win = value < best[who][:, None]
+            first, row = win.argmax(1), np.flatnonzero(win.any(1))
+            who, first = who[row], first[row]
+            dx[who], dy[who], best[who], better[who] = x[row, first], y[row, first], value[row, first], True
+            more = first + 1 < len(offsets)
+            if early:
+                done[who] = best[who] < threshold
+                more &= ~done[who]
+            who, start = who[more], first[more] + 1
+        return better
+
     look, rounds = np.flatnonzero(~done), 0
     refine = look
     while len(look):
-        better = scan(look, LARGE, True)
+        better = (scan if len(look) > FEW else scan_few)(look, LARGE, True)
         rounds += 1
         if rounds >= 2 * reach:
             break
         look = look[better[look] & ~done[look]]
     look = refine[~done[refine]]
     while len(look):
-        look = look[scan(look, SMALL, False)[look]]
+        look = look[(scan if len(look) > FEW else scan_few)(look, SMALL, False)[look]]
     return np.stack([ox // block, oy // block, dx, dy, best], 1)
 
 

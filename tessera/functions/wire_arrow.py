@@ -7,10 +7,13 @@ bounds.
 
 from __future__ import annotations
 
+import struct
+import zlib
+
 import numpy as np
 import pyarrow as pa
 
-from . import wire
+from . import values, wire
 
 VECTOR = np.dtype([("block_x", "<u2"), ("block_y", "<u2"), ("dx", "<i2"), ("dy", "<i2"), ("sad", "<u4")])
 COMPACT = np.dtype([("dx", "i1"), ("dy", "i1")])
@@ -20,6 +23,7 @@ FIELDS = {
     "D": {"ref_sequence": (0, "<u4"), "timestamp_ms": (5, "<u8")},
     "S": {"command": (0, "i1"), "timestamp_ms": (3, "<u8")},
 }
+HEADER, AROUND, CODES = struct.Struct(">4sBBHII"), values.HEADER_BYTES + values.CRC_BYTES, {name: code for code, name in values.PACKET_TYPES.items()}
 #: What a field is if a table leaves it out.
 DEFAULTS = {"quality": 1, "command": wire.PING}
 
@@ -49,8 +53,8 @@ class Encoder:
             self.templates[kind, vectors, compact] = np.frombuffer(made, np.uint8), places
         return self.templates[kind, vectors, compact]
 
-    def __call__(self, kinds: np.ndarray, payload: pa.StructArray) -> list[bytes]:
-        """Payload bytes of each row: kinds are I, D, C or S; payload has the fields of FIELDS, vectors and compact."""
+    def __call__(self, kinds: np.ndarray, sequences: pa.Array, payload: pa.StructArray) -> pa.LargeBinaryArray:
+        """Whole packets: header, payload table and checksum of each row, null where kind or sequence is. kinds are I, D, C or S; payload has the fields of FIELDS, vectors and compact."""
         n = len(kinds)
         col = lambda name: payload.field(name).fill_null(DEFAULTS.get(name, 0)).to_numpy(zero_copy_only=False)
         is_i, is_d = kinds == "I", kinds == "D"
@@ -62,33 +66,60 @@ class Encoder:
         v_count, c_count = np.where(is_d, v_count, 0), np.where(is_d, c_count, 0)
         layout = np.stack([np.where(is_i, 0, np.where(is_d, 1, 2)), v_count, c_count], 1)
         groups, own = np.unique(layout, axis=0, return_inverse=True)
-        out: list = [b""] * n
+        codes = np.array([CODES.get(k, 0) for k in kinds], np.uint8)
+        valid = (codes > 0) & sequences.is_valid().to_numpy(zero_copy_only=False)
+        sequence = sequences.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).astype(">u4")
+        made, sizes = [], np.zeros(n, np.int64)
         for g, (which, many_v, many_c) in enumerate(groups.tolist()):
-            kind, who = "IDS"[which], np.flatnonzero(own.reshape(-1) == g)
+            kind, who = "IDS"[which], np.flatnonzero((own.reshape(-1) == g) & valid)
             base, places = self.template(kind, many_v, many_c)
-            rows = np.tile(base, (len(who), 1))
+            rows = np.empty((len(who), len(base) + AROUND), np.uint8)
+            rows[:, :16] = np.frombuffer(HEADER.pack(bytes.fromhex(values.MAGIC_HEX), values.VERSION, 0, 0, 0, len(base)), np.uint8)
+            rows[:, 5], rows[:, 8:12] = codes[who], sequence[who].view(np.uint8).reshape(-1, 4)
+            body = rows[:, 16:-4]
+            body[:] = base
             for name, (_, code) in FIELDS[kind].items():
                 value = scalars[name][who].astype(code if code == "<f4" else np.int64).astype(code)
-                rows[:, places[name] : places[name] + value.itemsize] = value.view(np.uint8).reshape(len(who), -1)
+                body[:, places[name] : places[name] + value.itemsize] = value.view(np.uint8).reshape(len(who), -1)
             for name, first, many, flat in (("vectors", v_first, many_v, vectors), ("compact", c_first, many_c, compact)):
                 if many:
                     part = flat[first[who][:, None] + np.arange(many)]
-                    rows[:, places[name] : places[name] + many * flat.itemsize] = np.ascontiguousarray(part).view(np.uint8).reshape(len(who), -1)
-            for k, r in zip(who.tolist(), rows):
-                out[k] = r.tobytes()
-        return out
-
-
-class _Rows:
+                    body[:, places[name] : places[name] + many * flat.itemsize] = np.ascontiguousarray(part).view(np.uint8).reshape(len(who), -1)
+            rows[:, -4:] = np.array([zlib.crc32(r) for r in rows[:, :-4].copy()], ">u4").view(np.uint8).reshape(-1, 4)
+            sizes[who] = rows.shape[1]
+            made.append((who, rows))
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        out = np.empty(int(ends[-1]), np.uint8)
+        for who, rows in made:
+            out[ends[who][:, None] + np.arange(rows.shape[1])] = rows
+        gone = np.packbits(valid, bitorder="little")
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [pa.py_buffer(gone), pa.py_buffer(ends), pa.py_buffer(out)])
+
+
+class Rows:
     """Byte strings of a batch as one array; reads at a position per row fail the rows where they leave their bounds."""
 
-    def __init__(self, col: pa.BinaryArray):
-        data = [x or b"" for x in col.to_pylist()]
-        sizes = np.array([len(x) for x in data], np.int64)
-        self.end = np.cumsum(sizes)
-        self.start = self.end - sizes
-        self.data = np.frombuffer(b"".join(data) + bytes(16), np.uint8)
-        self.status = np.full(len(data), "ok", object)
+    def __init__(self, column: pa.Array):
+        column = column.cast(pa.large_binary())
+        offsets = np.frombuffer(column.buffers()[1], "<i8")[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+        data = column.buffers()[2]
+        self.start, self.end = offsets[:-1] - offsets[0], offsets[1:] - offsets[0]
+        self.data = np.concatenate((np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data else np.zeros(0, np.uint8), np.zeros(16, np.uint8)))
+        self.status = np.full(len(column), "ok", object)
+
+    def packets(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Type, sequence and payload length of each packet's header, after its length, checksum and header were judged, in this order. What is left as bytes are the payloads."""
+        whole = self.end - self.start >= AROUND
+        self.fail(~whole, "incomplete")
+        bounds, raw = zip(self.start.tolist(), (self.end - 4).tolist(), whole.tolist()), memoryview(self.data)
+        sums = np.array([zlib.crc32(raw[a:b]) if ok else 0 for a, b, ok in bounds], np.int64)
+        self.fail(sums != self.get(self.end - 4, ">u4", whole), "checksum")
+        magic, kind = self.get(self.start, ">u4", whole), self.get(self.start + 5, "u1", whole)
+        self.fail(magic != int(values.MAGIC_HEX, 16), "magic")
+        self.fail(~np.isin(kind, tuple(values.PACKET_TYPES)), "type")
+        sequence, length = (self.get(self.start + k, ">u4", whole).astype(np.int64) for k in (8, 12))
+        self.start, self.end = np.where(whole, self.start + 16, 0), np.where(whole, self.end - 4, 0)
+        return kind, sequence, length
 
     def fail(self, rows: np.ndarray, why: str) -> None:
         self.status[rows & (self.status == "ok")] = why
@@ -105,7 +136,7 @@ class _Rows:
 
 
 class _Tables:
-    def __init__(self, rows: _Rows, at: np.ndarray, wanted: np.ndarray):
+    def __init__(self, rows: Rows, at: np.ndarray, wanted: np.ndarray):
         self.rows, self.at, self.wanted = rows, at, wanted
         self.vtable = at - rows.get(at, "<i4", wanted)
         self.size = rows.get(self.vtable, "<u2", wanted).astype(np.int64)
@@ -135,9 +166,8 @@ class _Tables:
         return n, self.rows.data[at[:, None] + np.arange(kind.itemsize)].reshape(-1).view(kind)
 
 
-def read(bodies: pa.BinaryArray, expected: np.ndarray, payload: pa.StructType) -> tuple[list[str], list[str | None], pa.StructArray]:
-    """Status (ok or what is wrong), kind and payload of each row; ``expected``: the kind that it must be, or "" for any."""
-    rows = _Rows(bodies)
+def read(rows: Rows, expected: np.ndarray, payload: pa.StructType) -> tuple[list[str], list[str | None], pa.StructArray]:
+    """Status (ok or what is wrong), kind and payload of each row's table; ``expected``: the kind that it must be, or "" for any."""
     read_it = expected != "C"  # a C packet's content isn't on the wire
     rows.fail(read_it & (rows.end - rows.start < 8), "incomplete")
     outer = _Tables(rows, rows.start + rows.get(rows.start, "<u4", read_it).astype(np.int64), read_it)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,64 +65,58 @@ PAYLOAD = "struct<width: long, height: long, fps: float, quality: int, timestamp
 def encode_packets(df: DataFrame, keep_quality: bool = False) -> DataFrame:
     """stream_id, kind (I, D, C or S), sequence, payload (PAYLOAD) to raw bytes. keep_quality: also an I packet's quality is written.
 
-    Payload tables are made in Arrow batches, headers and checksums by expressions.
+    Arrow batches are written as a whole: packets of one layout share a template. Rows without a kind or sequence give null.
     """
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    keep = [c for c in kinds if c != "payload"]
+    keep = [c for c in kinds if c not in ("payload", "raw")]
 
     def rows(batches):
         encoder = wire_arrow.Encoder(keep_quality)
         for batch in batches:
-            bodies = encoder(batch["kind"].to_numpy(zero_copy_only=False), batch["payload"])
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), pa.array(bodies, pa.binary())], names=[*keep, "__body"])
+            raw = encoder(batch["kind"].to_numpy(zero_copy_only=False), batch["sequence"], batch["payload"])
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), raw.cast(pa.binary())], names=[*keep, "raw"])
 
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep)
-    body, code = F.col("__body"), F.element_at(F.create_map(*[F.lit(x) for k, v in values.PACKET_TYPES.items() for x in (v, k)]), F.col("kind"))
-    made = df.mapInArrow(rows, f"{schema}, __body binary")
-    return made.select(*keep, seal_crc(F.concat(header(code, F.col("sequence"), F.length(body)), body)).alias("raw"))
+    return df.mapInArrow(rows, "".join(f"`{c}` {kinds[c]}, " for c in keep) + "raw binary")
 
 
-def _read(df: DataFrame, keep: list[str], body: Column, expected: Column, status: Column) -> DataFrame:
-    """``keep``, status, kind and payload: rows that have a status already bring no bytes and keep it."""
-    given = df.select(*keep, status.alias("__status"), F.when(status.isNull(), body).alias("__body"), F.coalesce(expected, F.lit("")).alias("__expected"))
-    types = {f.name: f.dataType.simpleString() for f in given.schema}
-    schema = "".join(f"`{c}` {types[c]}, " for c in keep) + f"status string, kind string, payload {PAYLOAD}"
-    kind_type = df.sparkSession.createDataFrame([], f"p {PAYLOAD}").schema["p"].dataType
+def _payload_type(df: DataFrame) -> pa.DataType:
+    from pyspark.sql.pandas.types import to_arrow_type
 
-    def rows(batches):
-        from pyspark.sql.pandas.types import to_arrow_type
-
-        arrow = to_arrow_type(kind_type)
-        for batch in batches:
-            known = batch["__status"].to_pylist()
-            found, kind, payload = wire_arrow.read(batch["__body"], np.array(batch["__expected"].to_pylist(), object), arrow)
-            failed = np.array([k is not None for k in known], bool)
-            whole = pc.if_else(pa.array(failed), pa.nulls(len(known), arrow), payload)
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), pa.array([k or f for k, f in zip(known, found)]), pa.array([None if k else x for k, x in zip(known, kind)], pa.string()), whole], names=[*keep, "status", "kind", "payload"])
-
-    return given.mapInArrow(rows, schema)
+    return to_arrow_type(df.sparkSession.createDataFrame([], f"p {PAYLOAD}").schema["p"].dataType)
 
 
 def decode_packets(df: DataFrame) -> DataFrame:
     """Adds status (ok or what failed first), kind, sequence, payload_len and payload to rows with raw.
 
-    Length, checksum and header are judged by expressions, in this order; only what passes brings bytes to the batches
-    that read payload tables.
+    Length, checksum and header are judged in this order, and only what passes is read; Arrow batches are read as a whole.
     """
-    keep = [f.name for f in df.schema if f.name not in ("kind", "sequence", "payload_len", "payload", "status")]
-    raw, h = F.col("raw"), F.col("__h")
-    early = F.when(raw.isNull() | (F.length(raw) < values.HEADER_BYTES + values.CRC_BYTES), "incomplete").when(~crc_ok(raw), "checksum").when(h["status"] != "ok", h["status"])
-    held = df.select(*keep, decode_header(raw).alias("__h"))
-    body = F.substring(raw, F.lit(values.HEADER_BYTES + 1), F.length(raw) - values.HEADER_BYTES - values.CRC_BYTES)
-    out = _read(held, [*keep, "__h"], body, scalar.enum_name(h["packet_type"], values.PACKET_TYPES), early)
-    ok = F.col("status") == "ok"
-    return out.select(*keep, "status", "kind", F.when(ok, h["sequence"]).alias("sequence"), F.when(ok, h["payload_len"]).alias("payload_len"), "payload")
+    types = {f.name: f.dataType.simpleString() for f in df.schema}
+    keep, arrow = [c for c in types if c not in ("kind", "sequence", "payload_len", "payload", "status")], _payload_type(df)
+    names = np.array([values.PACKET_TYPES.get(k, "") for k in range(1 + max(values.PACKET_TYPES))], object)
+
+    def rows(batches):
+        for batch in batches:
+            own = wire_arrow.Rows(batch["raw"])
+            code, sequence, length = own.packets()
+            whole = own.status == "ok"
+            status, kind, payload = wire_arrow.read(own, names[np.where(whole, code, 0)], arrow)
+            bad = np.array([s != "ok" for s in status], bool)
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), pa.array(status), pa.array([None if b else k for k, b in zip(kind, bad)], pa.string()), pa.array(sequence, mask=bad), pa.array(length, mask=bad), payload], names=[*keep, "status", "kind", "sequence", "payload_len", "payload"])
+
+    return df.select(*keep).mapInArrow(rows, "".join(f"`{c}` {types[c]}, " for c in keep) + f"status string, kind string, sequence long, payload_len long, payload {PAYLOAD}")
 
 
 def read_payloads(df: DataFrame, body: str = "body", expected: str | None = None) -> DataFrame:
     """Adds status, kind and payload to rows with a payload table's bytes. With ``expected`` (I, D or S) other kinds are "payload type"; a C table has a kind only."""
-    keep = [c for c in df.columns if c not in ("status", "kind", "payload")]
-    return _read(df, keep, F.col(body), F.lit(expected), F.lit(None).cast("string"))
+    types = {f.name: f.dataType.simpleString() for f in df.schema}
+    keep, arrow = [c for c in types if c not in ("status", "kind", "payload")], _payload_type(df)
+
+    def rows(batches):
+        for batch in batches:
+            status, kind, payload = wire_arrow.read(wire_arrow.Rows(batch[body]), np.full(batch.num_rows, expected or "", object), arrow)
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), pa.array(status), pa.array(kind, pa.string()), payload], names=[*keep, "status", "kind", "payload"])
+
+    return df.mapInArrow(rows, "".join(f"`{c}` {types[c]}, " for c in keep) + f"status string, kind string, payload {PAYLOAD}")
 
 
 def fits(raw: Column, capacity: Column) -> Column:

@@ -24,17 +24,19 @@ def carried(frames: DataFrame, marks: dict[str, Column], span: int = 4096) -> Da
     """``frames`` with the last value so far of each mark (null: none yet) by sequence within stream_id, and ``nth``, the row's number.
 
     A stream is cut to runs of ``span`` sequences: windows stay within a run, and what earlier runs end with comes from
-    one row a run. So a long stream has many tasks, and only its runs meet in one.
+    one row a run, its last. So a long stream has many tasks, and only its runs meet in one. Both read one shuffle of
+    ``frames``: Spark reuses it as long as both need the same columns, which the condition on all of them sees to.
     """
-    run = F.expr(f"sequence div {span}")
-    own = frames.select("*", run.alias("__run"), *[v.alias(f"__{k}") for k, v in marks.items()])
-    ends = own.groupBy("stream_id", "__run").agg(F.count("*").alias("__n"), *[F.max_by(f"__{k}", F.when(F.col(f"__{k}").isNotNull(), F.col("sequence"))).alias(f"__end_{k}") for k in marks])
+    order = Window.partitionBy("stream_id", "__run").orderBy("sequence")
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = frames.select("*", F.expr(f"sequence div {span}").alias("__run"), *[v.alias(f"__{k}") for k, v in marks.items()])
+    inside = own.select(*frames.columns, "__run", F.count("*").over(upto).alias("__n"), *[F.last(f"__{k}", ignorenulls=True).over(upto).alias(f"__{k}") for k in marks], F.lead("sequence").over(order).alias("__next"))
+    inside = inside.where(F.xxhash64(*inside.columns) % 2 < 2)
     before = Window.partitionBy("stream_id").orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.select("stream_id", "__run", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__n"), *[F.last(f"__end_{k}", ignorenulls=True).over(before).alias(f"__end_{k}") for k in marks])
-    inside = Window.partitionBy("stream_id", "__run").orderBy("sequence").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    met = own.join(ends, ["stream_id", "__run"])
-    last = {k: F.coalesce(F.last(f"__{k}", ignorenulls=True).over(inside), F.col(f"__end_{k}")) for k in marks}
-    return met.select(*frames.columns, (F.col("__n") + F.count("*").over(inside)).alias("nth"), *[v.alias(k) for k, v in last.items()])
+    ends = inside.where(F.col("__next").isNull())
+    ends = ends.select("stream_id", "__run", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__n0"), *[F.last(f"__{k}", ignorenulls=True).over(before).alias(f"__end_{k}") for k in marks])
+    met = inside.join(ends, ["stream_id", "__run"])
+    return met.select(*frames.columns, (F.col("__n0") + F.col("__n")).alias("nth"), *[F.coalesce(f"__{k}", f"__end_{k}").alias(k) for k in marks])
 
 
 def transmit(frames: DataFrame) -> DataFrame:

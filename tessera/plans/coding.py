@@ -10,7 +10,7 @@ from ..operators import corrections, framing, masks, media
 from ..sources import asp
 from ..sources.tables import shared_folder
 from . import fixtures as fx
-from .queries import longs, query, rgb_rows, voice_frames
+from .queries import frame_pairs, longs, query, rgb_rows, voice_frames
 
 RUNS = """runs AS (SELECT frame_id, count_if(v IS DISTINCT FROM before) AS runs, count_if((v - coalesce(before, 0)) & 255 IS DISTINCT FROM (before - coalesce(before2, 0)) & 255) AS deltas
   FROM (SELECT frame_id, v, lag(v) OVER w AS before, lag(v, 2) OVER w AS before2 FROM frames WINDOW w AS (PARTITION BY frame_id ORDER BY y * 64 + x)) GROUP BY 1)"""
@@ -163,3 +163,28 @@ def v6_coefficients(spark, d):
     read = F.udf(lambda x: [(int(i), float(v)) for p in wire.unpack_spectral(wire.read_audio_frame(x)["payload"]) for i, v in p["coefficients"]], "array<struct<k: int, c: double>>")
     one = raw.select("stream_id", "sequence", F.explode(read("raw")).alias("p"))
     return longs(one.groupBy("stream_id", "sequence").agg(F.count("*").alias("coefficients"), F.sum("p.k").alias("places"), F.round(F.sum(F.abs("p.c")), 2).alias("magnitude")))
+
+
+def _near(source: str, made: str) -> str:
+    return f"{made} AS (SELECT DISTINCT cur_id, x + i AS x, y + j AS y FROM {source} CROSS JOIN range(-1, 2) a(i) CROSS JOIN range(-1, 2) b(j) WHERE x + i BETWEEN 0 AND 63 AND y + j BETWEEN 0 AND 63)"
+
+
+@query(f"""WITH {fx.FRAMES}, moved AS (SELECT c.frame_id AS cur_id, c.x, c.y FROM frames c JOIN frames p ON p.frame_id = c.frame_id - 1 AND p.x = c.x AND p.y = c.y WHERE abs(c.v - p.v) > 25),
+  {_near('moved', 'once')}, {_near('once', 'twice')}, kept AS (SELECT a.cur_id, a.x, a.y FROM twice a JOIN twice b ON a.cur_id = b.cur_id AND b.x BETWEEN a.x - 1 AND a.x + 1 AND b.y BETWEEN a.y - 1 AND a.y + 1
+    GROUP BY ALL HAVING count(*) = (1 + CAST(a.x > 0 AS INT) + CAST(a.x < 63 AS INT)) * (1 + CAST(a.y > 0 AS INT) + CAST(a.y < 63 AS INT))),
+  boxes AS (SELECT cur_id, min(x) AS x, min(y) AS y, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h, count(*) AS n FROM kept GROUP BY 1 HAVING count(*) >= 100)
+  SELECT f.cur_id, coalesce(b.x, 0) AS x, coalesce(b.y, 0) AS y, coalesce(w, 0) AS w, coalesce(h, 0) AS h, coalesce(n, 0) AS foreground, n IS NOT NULL AS coded
+  FROM (SELECT DISTINCT frame_id AS cur_id FROM frames WHERE frame_id > 0) f LEFT JOIN boxes b USING (cur_id)""")
+def v3_regions(spark, d):
+    """The box of what moved in each frame: differences above 25, dilated twice, eroded once, of 100 pixels or more."""
+    made = media.person_regions(frame_pairs(spark, d))
+    return longs(made.select("cur_id", *[F.get("bbox", F.lit(k)).alias(n) for k, n in enumerate("xywh")], "foreground", F.col("coded").isNotNull().alias("coded")))
+
+
+@query("""WITH s AS (SELECT label, vec_id, avg(CAST(x AS DOUBLE) * CAST(x AS DOUBLE)) AS power FROM (SELECT label, vec_id, unnest(embedding) AS x FROM embeddings) GROUP BY 1, 2)
+SELECT CAST(label AS BIGINT) AS stream_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS sequence, round(10 * log10(power + 1e-10), 2) AS energy_db, 10 * log10(power + 1e-10) > -50 AS active FROM s""")
+def v5_energy(spark, d):
+    """Energy and activity of parametric frames, read from their bytes."""
+    raw = media.encode_voice(voice_frames(spark, d), layer=0)
+    read = F.udf(lambda x: (lambda p: (float(p["energy_db"]), bool(p["active"])))(wire.unpack_parametric(wire.read_audio_frame(x)["payload"])[0]), "struct<energy_db: double, active: boolean>")
+    return raw.select("stream_id", "sequence", read("raw").alias("p")).select("stream_id", "sequence", F.round("p.energy_db", 2).alias("energy_db"), "p.active")

@@ -1,19 +1,22 @@
 """The engine's functions by name, for SQL: ``register(spark)``.
 
 What expressions can say is a SQL function of Spark's own; kernels are Arrow UDFs, a call a batch. Null arguments give
-null; what can't be decoded gives null or a status.
+null; what can't be decoded gives null or a status. Arguments that may be left out: estimate_motion(cur, prev, width, height[,
+block, reach, threshold, keep_zero]), dct_2d(block[, side]), idct_2d(block[, side]), quantize_dct(coeffs[, side, quality]),
+dequantize_dct(coeffs[, side, quality]).
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from . import kernels, media_kernels, tablefuncs, values, wire
+from . import codecs, kernels, media_kernels, tablefuncs, values, wire
 
 VECTOR = "struct<block_x: int, block_y: int, dx: int, dy: int, sad: bigint>"
 COLOR = "struct<r: int, g: int, b: int>"
@@ -35,11 +38,11 @@ def image(data: bytes, width: int, height: int) -> np.ndarray | None:
     return np.frombuffer(data, np.uint8).reshape(height, width) if len(data) == width * height else None
 
 
-def estimate_motion(cur: bytes, prev: bytes, width: int, height: int) -> list[dict] | None:
+def estimate_motion(cur: bytes, prev: bytes, width: int, height: int, block: int = 16, reach: int = 16, threshold: int = 256, keep_zero: bool = False) -> list[dict] | None:
     a, b = image(cur, width, height), image(prev, width, height)
-    if a is None or b is None:
+    if a is None or b is None or block < 1:
         return None
-    return [dict(zip(NAMES, r)) for r in kernels.diamond(a, b).tolist() if r[2] or r[3]]
+    return [dict(zip(NAMES, r)) for r in kernels.diamond(a, b, block, reach, threshold).tolist() if keep_zero or r[2] or r[3]]
 
 
 def colors(found: tuple[list, list]) -> list[dict]:
@@ -84,16 +87,42 @@ def unvideo(coded: bytes) -> dict | None:
     return None if made is None else {"rgb": made[0], "width": made[1], "height": made[2]}
 
 
-def product(matrix: np.ndarray):
-    """An Arrow UDF body: the product of a matrix with each array that is as long as a block, null for others."""
-    size = len(matrix)
+@lru_cache(16)
+def basis(n: int) -> np.ndarray:
+    return np.kron(kernels.dct_basis(n), kernels.dct_basis(n))
+
+
+def product(inverse: bool):
+    """An Arrow UDF body: the transform of each array that is as long as its block of side n (8 if not given, at most 64), null for others."""
+
+    def run(*columns: pa.Array) -> pa.Array:
+        column, *sides = columns
+        length = column.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+        side = np.full(len(column), 8) if not sides else sides[0].cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
+        fits = (length == side * side) & (side > 0) & (side <= 64)
+        ends = np.concatenate(([0], np.cumsum(np.where(fits, length, 0)))).astype(np.int64)
+        out = np.empty(int(ends[-1]))
+        for n in np.unique(side[fits]).tolist():
+            who = fits & (side == n)
+            m = basis(n)
+            y = column.filter(pa.array(who)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, n * n) @ (m if inverse else m.T)
+            out[ends[:-1][who][:, None] + np.arange(n * n)] = y
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(out), mask=pa.array(~fits))
+
+    return run
+
+
+def quantized(back: bool):
+    """Coefficients over (or times) the quanta of their side and quality; null if they are not as many as the block has."""
+
+    def run(c: list, n: int = 8, quality: int = 50) -> list | None:
+        from ..operators.transform import quant_matrix
 
-    def run(column: pa.Array) -> pa.Array:
-        fits = pc.fill_null(pc.equal(pc.list_value_length(column), size), False)
-        y = column.filter(fits).flatten().to_numpy(zero_copy_only=False).reshape(-1, size) @ matrix.T
-        fits = fits.to_numpy(zero_copy_only=False)
-        ends = np.concatenate(([0], np.cumsum(np.where(fits, size, 0)))).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(y.reshape(-1)), mask=pa.array(~fits))
+        if not 0 < n <= 64 or len(c) != n * n or None in c:
+            return None
+        x, m = np.array(c, np.float64), np.array(quant_matrix(n, quality), np.float64)
+        scaled = x * (1.0 / m)
+        return (x * m).tolist() if back else (np.sign(scaled) * np.floor(np.abs(scaled) + 0.5)).astype(np.int64).tolist()
 
     return run
 
@@ -116,9 +145,12 @@ ROWS = {
     "decode_video_frame": (unvideo, "struct<rgb: binary, width: int, height: int>"),
     "encode_voice": (voice, "binary"),
     "decode_voice": (unvoice, "array<float>"),
+    "quantize_dct": (quantized(False), "array<int>"),
+    "dequantize_dct": (quantized(True), "array<double>"),
+    "compress_correction": (lambda data, name: codecs.ENCODE[name](pa.array([data], pa.binary()))[0].as_py() if name in codecs.ENCODE else None, "binary"),
+    "decompress_correction": (lambda data, name: codecs.DECODE[name](pa.array([data], pa.binary()))[0].as_py() if name in codecs.DECODE else None, "binary"),
 }
-BASIS = np.kron(kernels.dct_basis(8), kernels.dct_basis(8))
-BATCHES = {"dct_2d": (product(BASIS), "array<double>"), "idct_2d": (product(BASIS.T), "array<double>")}
+BATCHES = {"dct_2d": (product(False), "array<double>"), "idct_2d": (product(True), "array<double>")}
 
 #: SQL functions: (arguments, type, body).
 EXPRESSIONS = {

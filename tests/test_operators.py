@@ -125,6 +125,11 @@ def test_empty_motion_stats(spark):
     assert tuple(stream.motion_stats(some).first())[1:] == (7.5, 10.0)
 
 
+def transform_quantized(spark):
+    c = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda x: 30.0 - 5 * x)
+    return spark.range(1).select(transform.quantize(c, 4, 75)).first()[0]
+
+
 def test_sql_functions(spark):
     from tessera import __version__
     from tessera.functions import kernels
@@ -150,6 +155,13 @@ def test_sql_functions(spark):
     cur = np.roll(prev, (1, 2), (0, 1))
     got = one(f"estimate_motion(unhex('{cur.tobytes().hex()}'), unhex('{prev.tobytes().hex()}'), 48, 48)")
     assert [tuple(r) for r in got] == [tuple(r) for r in kernels.diamond(cur, prev).tolist() if r[2] or r[3]]
+    got = one(f"estimate_motion(unhex('{cur.tobytes().hex()}'), unhex('{prev.tobytes().hex()}'), 48, 48, 8, 4, 0, true)")
+    assert [tuple(r) for r in got] == [tuple(r) for r in kernels.diamond(cur, prev, 8, 4, 0).tolist()] and len(got) == 36
+    assert one("aggregate(idct_2d(dct_2d(transform(sequence(0, 15), x -> double(x)), 4), 4), 0D, (s, x) -> s + abs(x))") == pytest.approx(120) and one("dct_2d(transform(sequence(0, 15), x -> double(x)), 5)") is None
+    sides = spark.sql("select n, dct_2d(transform(sequence(1, n * n), x -> double(x)), n) as c from values (2), (8), (4), (2) as t(n)").collect()
+    assert all(len(r["c"]) == r["n"] ** 2 and r["c"][0] == pytest.approx(sum(range(1, r["n"] ** 2 + 1)) / r["n"]) for r in sides)
+    assert one("quantize_dct(transform(sequence(0, 15), x -> 30D - 5 * x), 4, 75)") == transform_quantized(spark) and one("dequantize_dct(quantize_dct(transform(sequence(0, 63), x -> double(0)), 8, 10), 8, 10)") == [0.0] * 64 and one("quantize_dct(array(1D))") is None
+    assert one("hex(compress_correction(unhex('0505050505'), 'Rle'))") == "050005" and one("hex(decompress_correction(compress_correction(unhex('0102'), 'Zstd'), 'Zstd'))") == "0102" and one("compress_correction(unhex('01'), 'None')") is None
     assert one(f"size(detect_roi(unhex('{cur.tobytes().hex()}'), 48, 48))") > 0 and one("detect_roi(unhex('00'), 48, 48)") is None
     back = one(f"decode_video_frame(encode_video_frame({rgb}, 10, 10, 90))")
     assert (back["width"], back["height"], len(back["rgb"])) == (10, 10, 300) and one("decode_video_frame(unhex('00'))") is None

@@ -131,3 +131,23 @@ def uint_be(data: Column, at: int, size: int) -> Column:
 def uint_le(data: Column, at: int, size: int) -> Column:
     text = F.hex(F.substring(data, at + 1, size))
     return F.conv(F.concat(*[F.substring(text, 2 * (size - k) - 1, 2) for k in range(size)]), 16, 10).cast("long")
+
+
+def color_bytes(c: Column) -> Column:
+    """A colour's struct on the wire: three bytes."""
+    return F.unhex(F.concat(*[hex_be(c[n], 1) for n in "rgb"]))
+
+
+def bytes_color(raw: Column) -> Column:
+    """The inverse; null unless three bytes."""
+    return F.when(F.length(raw) == 3, F.struct(*[uint_be(raw, k, 1).alias(n) for k, n in enumerate("rgb")]))
+
+
+def rect_bytes(r: Column) -> Column:
+    """A rectangle's struct on the wire: four unsigned 32-bit integers, little-endian; wider values wrap."""
+    return F.unhex(F.concat(*[hex_le(r[n].cast("long").bitwiseAND(F.lit(0xFFFFFFFF)), 4) for n in ("x", "y", "width", "height")]))
+
+
+def bytes_rect(raw: Column) -> Column:
+    """The inverse; null unless sixteen bytes."""
+    return F.when(F.length(raw) == 16, F.struct(*[uint_le(raw, 4 * k, 4).alias(n) for k, n in enumerate(("x", "y", "width", "height"))]))

@@ -10,7 +10,7 @@ from ..operators import corrections, framing, masks, media
 from ..sources import asp
 from ..sources.tables import shared_folder
 from . import fixtures as fx
-from .queries import frame_pairs, longs, query, rgb_rows, voice_frames
+from .queries import RECTS, frame_pairs, longs, query, rects, rgb_rows, voice_frames
 
 RUNS = """runs AS (SELECT frame_id, count_if(v IS DISTINCT FROM before) AS runs, count_if((v - coalesce(before, 0)) & 255 IS DISTINCT FROM (before - coalesce(before2, 0)) & 255) AS deltas
   FROM (SELECT frame_id, v, lag(v) OVER w AS before, lag(v, 2) OVER w AS before2 FROM frames WINDOW w AS (PARTITION BY frame_id ORDER BY y * 64 + x)) GROUP BY 1)"""
@@ -188,3 +188,16 @@ def v5_energy(spark, d):
     raw = media.encode_voice(voice_frames(spark, d), layer=0)
     read = F.udf(lambda x: (lambda p: (float(p["energy_db"]), bool(p["active"])))(wire.unpack_parametric(wire.read_audio_frame(x)["payload"])[0]), "struct<energy_db: double, active: boolean>")
     return raw.select("stream_id", "sequence", read("raw").alias("p")).select("stream_id", "sequence", F.round("p.energy_db", 2).alias("energy_db"), "p.active")
+
+
+def _le_sql(c: str) -> str:
+    return " || ".join(f"format('{{:02X}}', ({c}) >> {8 * k} & 255)" for k in range(4))
+
+
+@query(f"""WITH {RECTS} SELECT stream_id, sequence, {_le_sql('x')} || {_le_sql('y')} || {_le_sql('w')} || {_le_sql('h')} AS rect_hex, format('{{:02X}}{{:02X}}{{:02X}}', x & 255, y & 255, w & 255) AS color_hex, w AS width, h AS height, y & 255 AS g FROM rects""")
+def s19_structs(spark, d):
+    """Rectangles and colours as their wire structs, and read back."""
+    r = F.col("r")
+    color = F.struct(*[(r[c] % 256).alias(n) for n, c in zip("rgb", ("x", "y", "width"))])
+    made = rects(spark, d).select("stream_id", "sequence", scalar.rect_bytes(r).alias("rect"), scalar.color_bytes(color).alias("color"))
+    return longs(made.select("stream_id", "sequence", F.hex("rect").alias("rect_hex"), F.hex("color").alias("color_hex"), scalar.bytes_rect(F.col("rect"))["width"].alias("width"), scalar.bytes_rect(F.col("rect"))["height"].alias("height"), scalar.bytes_color(F.col("color"))["g"].alias("g")))

@@ -105,7 +105,7 @@ def sync_events(spark: SparkSession, d: str) -> DataFrame:
 
 BLOCKS8 = """blocks8 AS (SELECT vec_id, i - 1 AS pos, CAST(least(255, greatest(0, floor((CAST(embedding[i] AS DOUBLE) + 0.5) * 255))) AS BIGINT) AS v
   FROM embeddings CROSS JOIN range(1, 65) AS t(i))"""
-FRAMES = BLOCKS8 + """, frames AS (SELECT vec_id // 64 AS frame_id, vec_id % 64 % 8 * 8 + pos % 8 AS x, (vec_id % 64) // 8 * 8 + pos // 8 AS y, v
+FRAMES = BLOCKS8 + """, frames AS MATERIALIZED (SELECT vec_id // 64 AS frame_id, vec_id % 64 % 8 * 8 + pos % 8 AS x, (vec_id % 64) // 8 * 8 + pos // 8 AS y, v
   FROM (SELECT vec_id, pos, v FROM blocks8 UNION ALL SELECT vec_id, i, 0 FROM (SELECT unnest(range(count(*), (count(*) + 63) // 64 * 64)) AS vec_id FROM embeddings) CROSS JOIN range(0, 64) AS p(i)))"""
 RGB = BLOCKS8 + """, rgb AS (SELECT vec_id // 64 AS frame_id, vec_id % 64 * 21 + least(pos, 62) // 3 AS i, max(CASE WHEN pos % 3 = 0 AND pos < 63 THEN v END) AS r, max(CASE WHEN pos % 3 = 1 THEN v END) AS g,
   coalesce((max(CASE WHEN pos = 62 THEN v END) + max(CASE WHEN pos = 63 THEN v END)) // 2, max(CASE WHEN pos % 3 = 2 THEN v END)) AS b FROM blocks8 GROUP BY 1, 2)"""

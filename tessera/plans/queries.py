@@ -438,10 +438,8 @@ def a4_block_sad(spark, d):
     return blocks.block_sad(frame_pairs(spark, d), 8)
 
 
-EDGES = """edges AS (SELECT c.frame_id, c.x // 16 AS bx, c.y // 16 AS by, CAST(sum(abs(r.v - l.v) + abs(b.v - t.v)) // 196 AS BIGINT) AS strength FROM frames c
-  JOIN frames l ON l.frame_id = c.frame_id AND l.y = c.y AND l.x = c.x - 1 JOIN frames r ON r.frame_id = c.frame_id AND r.y = c.y AND r.x = c.x + 1
-  JOIN frames t ON t.frame_id = c.frame_id AND t.x = c.x AND t.y = c.y - 1 JOIN frames b ON b.frame_id = c.frame_id AND b.x = c.x AND b.y = c.y + 1
-  WHERE c.x % 16 BETWEEN 1 AND 14 AND c.y % 16 BETWEEN 1 AND 14 GROUP BY 1, 2, 3)"""
+EDGES = """edges AS (SELECT frame_id, x // 16 AS bx, y // 16 AS by, CAST(sum(abs(r - l) + abs(b - t)) // 196 AS BIGINT) AS strength FROM (SELECT *, lag(v) OVER h AS l, lead(v) OVER h AS r, lag(v) OVER u AS t, lead(v) OVER u AS b
+  FROM frames WINDOW h AS (PARTITION BY frame_id, y ORDER BY x), u AS (PARTITION BY frame_id, x ORDER BY y)) WHERE x % 16 BETWEEN 1 AND 14 AND y % 16 BETWEEN 1 AND 14 GROUP BY 1, 2, 3)"""
 
 
 @query(f"WITH {fx.FRAMES}, {EDGES} SELECT * FROM edges")
@@ -795,7 +793,7 @@ def s23_video_layout(spark, d):
 
 # --- searches and kernels ----------------------------------------------------------------------------------------------
 
-FRAMES_ONCE = fx.FRAMES.replace("blocks8 AS (", "blocks8 AS MATERIALIZED (").replace(", frames AS (", ", frames AS MATERIALIZED (")
+FRAMES_ONCE = fx.FRAMES.replace("blocks8 AS (", "blocks8 AS MATERIALIZED (")
 SADS = FRAMES_ONCE + """, moved AS MATERIALIZED (SELECT frame_id AS cur_id, frame_id - 1 AS frame_id, x // 16 AS block_x, y // 16 AS block_y, a.i AS dx, b.i AS dy, x + a.i AS x, y + b.i AS y, v AS own
   FROM frames CROSS JOIN range(-16, 17) a(i) CROSS JOIN range(-16, 17) b(i) WHERE x // 16 * 16 + a.i BETWEEN 0 AND 48 AND y // 16 * 16 + b.i BETWEEN 0 AND 48),
 sads AS MATERIALIZED (SELECT cur_id, block_x, block_y, dx, dy, CAST(sum(abs(own - v)) AS BIGINT) AS sad FROM moved JOIN frames USING (frame_id, x, y) GROUP BY 1, 2, 3, 4, 5)"""

@@ -177,6 +177,20 @@ def test_packet_files(spark, tmp_path):
     assert [r["sequence"] for r in tables.read_packets(spark, str(tmp_path / "p")).collect()] == [1, 2]
 
 
+def test_overlaps_of_all_sizes(spark):
+    """From a pixel to a billion, one of them over all others; a large rectangle is four rows, not a row a cell."""
+    rng = np.random.default_rng(8)
+    sizes = [1, 5, 63, 64, 65, 300, 5000, 10**6, 10**9]
+    rows = [(int(rng.integers(0, 2)), k, (int(rng.integers(0, 4000)), int(rng.integers(0, 4000)), int(rng.choice(sizes)), int(rng.choice(sizes)))) for k in range(90)]
+    rows += [(0, 100, (0, 0, 2 * 10**9, 2 * 10**9)), (0, 101, (5, 5, 0, 9)), (0, 102, None), (1, 103, (0, 0, 3, 10**9))]
+    df = spark.createDataFrame(rows, "key long, id long, r struct<x: long, y: long, width: long, height: long>")
+    meets = lambda a, b: a[0] < b[0] + b[2] and b[0] < a[0] + a[2] and a[1] < b[1] + b[3] and b[1] < a[1] + a[3]
+    want = sorted((k, i, j) for k, i, a in rows for q, j, b in rows if k == q and i < j and a and b and min(a[2:] + b[2:]) > 0 and meets(a, b))
+    got = sorted(tuple(x) for x in blocks.overlaps(df).collect())
+    assert got == want and len(want) > 200
+    assert blocks.overlaps(df.limit(0)).count() == 0
+
+
 def test_overlaps_are_all_pairs(spark):
     rng = random.Random(2)
     rows = [(i % 2, i, rng.randrange(-100, 400), rng.randrange(0, 400), rng.randrange(1, 150), rng.randrange(1, 90)) for i in range(160)]

@@ -129,8 +129,8 @@ def _frequencies(hist: np.ndarray) -> np.ndarray:
 
 
 def _lanes(n: int) -> int:
-    """How many coders share a stream of n symbols: a row of symbols each step, at least 128 steps, at most 4096 wide."""
-    return min(4096, max(1, n >> 7))
+    """How many coders share a stream of n symbols: a row of symbols each step, at least 32 steps, at most 4096 wide."""
+    return min(4096, max(1, n >> 5))
 
 
 def rans_encode(symbols: np.ndarray, hist: np.ndarray) -> bytes:

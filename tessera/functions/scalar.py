@@ -85,6 +85,18 @@ def savings_ratio(hybrid: Column, traditional: Column) -> Column:
     return F.when(traditional == 0, 1.0).otherwise(traditional / F.greatest(hybrid, F.lit(1)))
 
 
+def hundredths(x: Column) -> Column:
+    """``x`` with two digits, as C's %.2f writes it: the double's exact value is rounded, ties to even (format_string rounds its shortest decimal form, ties up)."""
+    size, low = F.abs(x), F.lit((1 << 30) - 1)
+    whole = F.floor(size)
+    part = ((size - whole) * float(1 << 60)).cast("long")  # all bits of the fraction; what is below 2 ** -60 decides nothing
+    under = part.bitwiseAND(low) * 100
+    over = F.shiftright(part, 30) * 100 + F.shiftright(under, 30)
+    n, rest = F.shiftright(over, 30), F.shiftleft(over.bitwiseAND(low), 30) + under.bitwiseAND(low)
+    cents = n + F.when((rest > 1 << 59) | ((rest == 1 << 59) & (n % 2 == 1)), 1).otherwise(0)
+    return F.concat(F.when(x < 0, "-").otherwise(""), (whole + F.floor(cents / 100)).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
+
+
 def estimate_bytes(width: Column, height: Column, cover: Column, scene: Column, bpp: Column) -> Column:
     """Struct traditional, hybrid: bytes of a plain frame and of scene + person + mask."""
     pixels = width * height

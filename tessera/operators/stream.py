@@ -73,7 +73,7 @@ def bandwidth(transmitted: DataFrame) -> DataFrame:
 
 
 def report(stats: DataFrame) -> DataFrame:
-    return stats.select("stream_id", F.format_string("frames %d, hybrid %d B (scene %d, delta %d, mask %d, video %d, audio %d), traditional %d B, saved %.2f %%, ratio %.2f", "frame_count", "hybrid_bytes", "scene_bytes", "delta_bytes", "mask_bytes", "video_bytes", "audio_bytes", "traditional_bytes", "saved_percent", "saved_ratio").alias("report"))
+    return stats.select("stream_id", F.format_string("frames %d, hybrid %d B (scene %d, delta %d, mask %d, video %d, audio %d), traditional %d B, saved %s %%, ratio %s", "frame_count", "hybrid_bytes", "scene_bytes", "delta_bytes", "mask_bytes", "video_bytes", "audio_bytes", "traditional_bytes", scalar.hundredths(F.col("saved_percent")), scalar.hundredths(F.col("saved_ratio"))).alias("report"))
 
 
 def resolve_references(packets: DataFrame) -> DataFrame:

@@ -290,3 +290,14 @@ def test_records(spark):
     assert row["i"]["quality"] == 3 and row["i"]["global_palette"]["colors"][0]["b"] == 3 and len(row["i"]["regions"]) == 1 and row["i"]["regions"][0]["bounds"]["width"] == 8
     assert row["d"]["region_deltas"][0]["region_index"] == 0 and row["d"]["region_deltas"][0]["dct_delta"] is None
     assert row["c"]["correction_count"] == 2 and row["n"] == 5 and tuple(row["e"]) == (1, 2, 5, -7, 3) and tuple(row["z"]) == (0, 0)
+
+
+def test_hundredths_round_as_printf(spark):
+    """The exact value decides, ties to even: reports agree with SQL's printf."""
+    rng = random.Random(3)
+    values = [0.125, 0.375, 8.125, 1.005, 2.675, 0.005, 0.015, 0.995, 99.995, 99.99999, -0.125, -0.001, -7.625, 0.0, 1e-9, 0.0039, 1e15 / 3, 123456789.125, 2.0**53]
+    values += [rng.uniform(-300, 300) for _ in range(300)] + [rng.randrange(-4000, 4000) / 8 for _ in range(300)] + [rng.randrange(100_000) / 1000 for _ in range(300)]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", scalar.hundredths(F.col("v")).alias("t")).collect()
+    assert [r["t"] for r in got] == ["%.2f" % r["v"] for r in got]
+    told = spark.sql("SELECT 1L stream_id, 70L frame_count, 626688L hybrid_bytes, 0L scene_bytes, 0L delta_bytes, 0L mask_bytes, 0L video_bytes, 0L audio_bytes, 5091840L traditional_bytes, 87.6923076923077D saved_percent, 8.125D saved_ratio")
+    assert stream.report(told).first()["report"].endswith("saved 87.69 %, ratio 8.12")

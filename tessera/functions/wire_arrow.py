@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,23 @@ FIELDS = {
 HEADER, AROUND, CODES = struct.Struct(">4sBBHII"), values.HEADER_BYTES + values.CRC_BYTES, {name: code for code, name in values.PACKET_TYPES.items()}
 #: What a field is if a table leaves it out.
 DEFAULTS = {"quality": 1, "command": wire.PING}
+#: Rows and bytes that kernels take at once (a row may be larger by itself), and bytes of templates that are kept.
+SLICE_ROWS, SLICE_BYTES, TEMPLATE_BYTES = 1000, 1 << 20, 1 << 20
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """``batch`` in slices of whole rows, so that what kernels hold does not follow the size of batches.
+
+    A slice that is too large is halved, so that large rows beside small ones are told apart.
+    """
+    left = [batch.slice(i, SLICE_ROWS) for i in reversed(range(0, batch.num_rows, SLICE_ROWS))]
+    while left:
+        own = left.pop()
+        if own.num_rows > 1 and own.nbytes > SLICE_BYTES:
+            half = own.num_rows // 2
+            left += [own.slice(half), own.slice(0, half)]
+        else:
+            yield own
 
 
 def _lists(col: pa.ListArray, kind: np.dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -38,10 +56,10 @@ def _lists(col: pa.ListArray, kind: np.dtype) -> tuple[np.ndarray, np.ndarray, n
 
 
 class Encoder:
-    """Encodes batch after batch; templates are kept between them."""
+    """Encodes batch after batch; templates are kept between them, up to TEMPLATE_BYTES."""
 
     def __init__(self, keep_quality: bool = False):
-        self.keep_quality, self.templates = keep_quality, {}
+        self.keep_quality, self.templates, self.held = keep_quality, {}, 0
 
     def template(self, kind: str, vectors: int, compact: int) -> tuple[np.ndarray, dict]:
         """Bytes of a table with all fields zero, and where each field is."""
@@ -49,6 +67,9 @@ class Encoder:
             made = {"I": lambda: wire.i_table(0, 0, 0.0, 0, 0), "D": lambda: wire.d_table(0, [(0, 0, 0, 0, 0)] * vectors, [(0, 0)] * compact, 0), "S": lambda: wire.s_table(0, 0)}[kind]()
             outer = wire.Table(made, int.from_bytes(made[:4], "little"))
             t = wire.Table(made, outer.follow(1))
+            if self.held + len(made) > TEMPLATE_BYTES:
+                self.templates, self.held = {}, 0
+            self.held += len(made)
             places = {name: t.place(slot) for name, (slot, _) in FIELDS[kind].items()} | {"vectors": t.follow(1) + 4, "compact": t.follow(2) + 4}
             self.templates[kind, vectors, compact] = np.frombuffer(made, np.uint8), places
         return self.templates[kind, vectors, compact]

@@ -301,3 +301,22 @@ def test_hundredths_round_as_printf(spark):
     assert [r["t"] for r in got] == ["%.2f" % r["v"] for r in got]
     told = spark.sql("SELECT 1L stream_id, 70L frame_count, 626688L hybrid_bytes, 0L scene_bytes, 0L delta_bytes, 0L mask_bytes, 0L video_bytes, 0L audio_bytes, 5091840L traditional_bytes, 87.6923076923077D saved_percent, 8.125D saved_ratio")
     assert stream.report(told).first()["report"].endswith("saved 87.69 %, ratio 8.12")
+
+
+def test_packet_kernels_take_slices_and_keep_few_templates():
+    import pyarrow as pa
+
+    from tessera.functions import wire_arrow
+
+    sizes = [2000 + k for k in range(150)]
+    item = pa.struct([(c, pa.int64()) for c in ("block_x", "block_y", "dx", "dy", "sad")])
+    vectors = pa.array([[{c: k % 100 for c in ("block_x", "block_y", "dx", "dy", "sad")}] * k for k in sizes], pa.list_(item))
+    fields = {"ref_sequence": pa.array(range(150)), "vectors": vectors, "compact": pa.nulls(150, pa.list_(pa.struct([("dx", pa.int32()), ("dy", pa.int32())])))}
+    fields |= {k: pa.nulls(150, t) for k, t in (("width", pa.int64()), ("height", pa.int64()), ("fps", pa.float32()), ("quality", pa.int32()), ("timestamp_ms", pa.int64()), ("command", pa.int32()))}
+    batch = pa.RecordBatch.from_arrays([pa.array(["D"] * 150), pa.array(range(150)), pa.StructArray.from_arrays(fields.values(), fields)], names=["kind", "sequence", "payload"])
+    parts, encoder, raw = list(wire_arrow.slices(batch)), wire_arrow.Encoder(), []
+    assert len(parts) > 1 and all(p.num_rows == 1 or p.nbytes <= wire_arrow.SLICE_BYTES for p in parts)
+    for p in parts:
+        raw += encoder(p["kind"].to_numpy(zero_copy_only=False), p["sequence"], p["payload"]).to_pylist()
+        assert sum(len(t) for t, _ in encoder.templates.values()) <= wire_arrow.TEMPLATE_BYTES
+    assert raw == wire_arrow.Encoder()(np.array(["D"] * 150, object), batch["sequence"], batch["payload"]).to_pylist()

@@ -162,9 +162,9 @@ def s14_delta_builder(spark, d):
 
 
 def compact_packets(spark, d) -> DataFrame:
-    """A delta packet for each stream with full and compact vectors (those that fit in bytes)."""
+    """Delta packets for each stream, one for each 4096 sequences, with full and compact vectors (those that fit in bytes)."""
     v = fx.motion_vectors(spark, d).withColumn("c", scalar.to_compact(F.expr("dx div 2"), F.col("dy")))
-    own = v.groupBy("stream_id").agg(F.array_sort(F.collect_list(F.when(F.col("c").isNotNull(), F.struct("sequence", F.col("c.dx").cast("int").alias("dx"), F.col("c.dy").cast("int").alias("dy"))))).alias("c"), F.array_sort(F.collect_list(F.when(F.col("sequence") % 2 == 1, F.struct("sequence", *[F.col(x).cast("int").alias(x) for x in ("block_x", "block_y", "dx", "dy")], "sad")))).alias("v"))
+    own = v.groupBy("stream_id", F.expr("sequence div 4096")).agg(F.array_sort(F.collect_list(F.when(F.col("c").isNotNull(), F.struct("sequence", F.col("c.dx").cast("int").alias("dx"), F.col("c.dy").cast("int").alias("dy"))))).alias("c"), F.array_sort(F.collect_list(F.when(F.col("sequence") % 2 == 1, F.struct("sequence", *[F.col(x).cast("int").alias(x) for x in ("block_x", "block_y", "dx", "dy")], "sad")))).alias("v"))
     compact, full = F.transform("c", lambda x: x.dropFields("sequence")), F.transform("v", lambda x: x.dropFields("sequence"))
     return own.select("stream_id", F.lit("D").alias("kind"), F.lit(9).cast("long").alias("sequence"), records.wire_payload(ref_sequence=F.lit(8), vectors=full, compact=compact, timestamp_ms=F.col("stream_id")).alias("payload"))
 
@@ -176,7 +176,8 @@ def s14_compact_vectors(spark, d):
     p = F.col("payload")
     out = framing.decode_packets(framing.encode_packets(compact_packets(spark, d))).where("status = 'ok'")
     total = lambda c: F.aggregate(p["compact"], F.lit(0).cast("long"), lambda s, x: s + x[c])
-    return longs(out.select("stream_id", p["timestamp_ms"].alias("timestamp_ms"), p["ref_sequence"].alias("ref_sequence"), F.size(p["vectors"]).alias("vectors"), F.size(p["compact"]).alias("compact"), total("dx").alias("cx"), total("dy").alias("cy")))
+    own = out.select("stream_id", p["timestamp_ms"].alias("timestamp_ms"), p["ref_sequence"].alias("ref_sequence"), F.size(p["vectors"]).alias("vectors"), F.size(p["compact"]).alias("compact"), total("dx").alias("cx"), total("dy").alias("cy"))
+    return longs(own.groupBy("stream_id", "timestamp_ms", "ref_sequence").agg(*[F.sum(c).alias(c) for c in ("vectors", "compact", "cx", "cy")]).where("compact > 0"))
 
 
 @query(f"""WITH {fx.VECTORS}, n AS (SELECT stream_id, 100 + (12 * count(*) + 7) // 8 * 8 AS need FROM mv GROUP BY 1)

@@ -320,3 +320,16 @@ def test_packet_kernels_take_slices_and_keep_few_templates():
         raw += encoder(p["kind"].to_numpy(zero_copy_only=False), p["sequence"], p["payload"]).to_pylist()
         assert sum(len(t) for t, _ in encoder.templates.values()) <= wire_arrow.TEMPLATE_BYTES
     assert raw == wire_arrow.Encoder()(np.array(["D"] * 150, object), batch["sequence"], batch["payload"]).to_pylist()
+
+
+def test_compact_packets_of_a_long_stream(spark, tmp_path):
+    """A stream of 9,000 events beside a short one: no packet holds more than 4096 vectors, and sums are those of SQL."""
+    from tessera.plans.queries import QUERIES, SQL, compact_packets
+
+    from .compare import connect, rows
+
+    made = spark.range(9010).selectExpr("id AS event_id", "timestamp_seconds(id) AS ts", "if(id < 9000, 1L, 2L) AS user_id", "'view' AS event_type", "id % 977 / 4D AS value", "'' AS props")
+    made.toPandas().to_parquet(tmp_path / "events.parquet", coerce_timestamps="us")
+    d = str(tmp_path)
+    assert max(r["n"] for r in compact_packets(spark, d).select(F.greatest(F.size("payload.vectors"), F.size("payload.compact")).alias("n")).collect()) <= 4096
+    assert rows(QUERIES["s14_compact_vectors"](spark, d).toPandas()) == rows(connect(d).execute(SQL["s14_compact_vectors"]).fetchdf())

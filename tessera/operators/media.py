@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import media_kernels as kernels
 from ..functions import wire
+from ..functions.wire_arrow import slices
 
 
 def encode_video(df: DataFrame, quality: int = 75, kind: str = "cdf53") -> DataFrame:
@@ -79,7 +80,7 @@ def encode_voice(df: DataFrame, rate: int = 16_000, layer: int = 0) -> DataFrame
     """stream_id, sequence, raw from stream_id, sequence, timestamp_ms, samples: an audio frame each; the first of a stream is a keyframe."""
 
     def rows(batches):
-        for b in batches:
+        for b in (part for received in batches for part in slices(received)):
             own, body = b["samples"].fill_null([]), [b""] * b.num_rows
             sizes = own.value_lengths().to_numpy(zero_copy_only=False)
             flat, ends = own.flatten().fill_null(0).to_numpy(zero_copy_only=False).astype(np.float32), np.cumsum(sizes)
@@ -106,7 +107,7 @@ def decode_voice(df: DataFrame) -> DataFrame:
             return None, None, []
 
     def rows(batches):
-        for b in batches:
+        for b in (part for received in batches for part in slices(received)):
             found = [read(r) for r in b["raw"].to_pylist()]
             made: list[list] = [[] for _ in found]
             for parametric, kernel in ((True, kernels.synthesise_rows), (False, kernels.unspectral_rows)):

@@ -303,6 +303,39 @@ def test_hundredths_round_as_printf(spark):
     assert stream.report(told).first()["report"].endswith("saved 87.69 %, ratio 8.12")
 
 
+class Caught:
+    """Takes the place of a frame: what is mapped over its batches is told instead of run."""
+
+    schema = ()
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, rows, _):
+        return rows
+
+
+def test_voice_kernels_take_few_rows(monkeypatch):
+    import pyarrow as pa
+
+    from tessera.functions import media_kernels
+    from tessera.operators import media
+
+    most = []
+    for name in ("parametric_rows", "synthesise_rows"):
+        def count(x, *more, kernel=getattr(media_kernels, name)):
+            most.append(len(x))
+            return kernel(x, *more)
+
+        monkeypatch.setattr(media_kernels, name, count)
+    n = 2500
+    samples = pa.array(np.random.default_rng(2).normal(0, 0.1, (n, 64)).astype(np.float32).tolist(), pa.list_(pa.float32()))
+    batch = pa.RecordBatch.from_arrays([pa.array([1] * n), pa.array(range(n)), pa.array(range(n)), samples], names=["stream_id", "sequence", "timestamp_ms", "samples"])
+    coded = list(media.encode_voice(Caught())([batch]))
+    back = list(media.decode_voice(Caught())(coded))
+    assert max(most) <= 1000 and [q for b in back for q in b["sequence"].to_pylist()] == list(range(n))
+
+
 def test_packet_kernels_take_slices_and_keep_few_templates():
     import pyarrow as pa
 

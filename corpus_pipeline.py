@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import linededup, mixing, neardup, pieces, quality
+from tessera.llm import linededup, mixing, pieces, quality, simhash
 from tessera.llm.common import Tables, materialise, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -35,8 +35,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document (by doc_id) of each group of near-duplicates."""
-    return neardup.representatives(docs).select(*COLUMNS)
+    """The first document (by doc_id) of each group whose SimHash fingerprints are linked, as in ``op6_simhash``."""
+    return simhash.representatives(docs).select(*COLUMNS)
 
 
 def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +59,7 @@ STAGES = [
     ("SentencePiece encoding and decoding", sentencepiece),
 ]
 
-#: Thresholds from exact binomial bounds, alignments, components and piece scans have no SQL form: tested against brute force.
+#: Thresholds from exact binomial bounds, alignments, fingerprints and piece scans have no SQL form: tested against brute force.
 ORACLE_SQL = None
 
 

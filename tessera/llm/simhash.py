@@ -7,7 +7,8 @@ distance; larger ones link through one-bit neighbours instead (two fingerprints
 which finds the same components with rows in proportion to the bucket.
 
 Null or wordless texts have fingerprint zero and are linked like any other. Equal fingerprints always share a
-component. An empty table gives an empty result; extra columns are ignored.
+component. An empty table gives an empty result; extra columns are ignored by ``components`` and stay with
+``representatives``, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, map_arrow, materialise
+from .common import connected_components, fresh, map_arrow, materialise
 
 BLOCKS = [0xFFFF << (16 * k) for k in range(4)]
 #: Masks of the six pairs of blocks, as signed 64-bit values.
@@ -86,5 +87,27 @@ def components(docs: DataFrame, width: int = 3, small: int = 32) -> DataFrame:
     return prints.join(by_fp.join(heads, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+def representatives(docs: DataFrame, width: int = 3, small: int = 32) -> DataFrame:
+    """The rows of ``docs`` with the smallest doc_id (null is less than any) of each component over links of at most two bits.
+
+    Of several texts under that doc_id, the one with the least hash stays; rows repeated with doc_id and text count once.
+    """
+    names = [fresh(c, docs) for c in ("k", "h1", "h2")]
+    own = (F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), F.xxhash64("text"), F.xxhash64(F.lit(7), "text"))
+
+    def rows(batch: pa.RecordBatch) -> dict:
+        made = [fingerprint(shingle_hashes(t.as_py(), width)) for t in batch["text"]]
+        return {c: batch[c] for c in ("k", "h1", "h2")} | {"fp": np.array(made, np.uint64).view(np.int64)}
+
+    keyed = docs.select(own[0].alias("k"), own[1].alias("h1"), own[2].alias("h2"), "text")
+    prints = map_arrow(keyed, "k long, h1 long, h2 long, fp long", rows)
+    least = materialise(prints.groupBy("fp").agg(F.min(F.struct("k", "h1", "h2")).alias("least")), "simhash-least")
+    roots = connected_components(close_links(least.select("fp"), small)).withColumnRenamed("node", "fp")
+    by_root = least.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root"))
+    first = by_root.agg(F.min("least").alias("f")).select("f.*").toDF(*names)
+    kept = docs.join(first.hint("merge"), [a == F.col(b) for a, b in zip(own, names)])
+    return kept.dropDuplicates(names).drop(*names)
+
+
 def hex_fingerprint(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

@@ -55,6 +55,28 @@ def test_simhash(docs, rows, empty):
     assert simhash.components(empty).count() == 0
 
 
+def test_simhash_representatives(spark, docs, rows, empty):
+    """One row of each component of fingerprints, by brute force over all pairs; columns stay."""
+    items = sorted({(-(1 << 63) if d is None else d, t) for d, t, _, _ in rows}, key=lambda x: (x[0], x[1] or ""))
+    heads = set(plain_components([(i, plain_fingerprint(t)) for i, (_, t) in enumerate(items)]))
+    for small in (32, 1):
+        kept = simhash.representatives(docs, small=small)
+        assert sorted((-(1 << 63) if r["doc_id"] is None else r["doc_id"], r["text"]) for r in kept.select("doc_id", "text").collect()) == sorted(items[i] for i in heads)
+    assert kept.columns == docs.columns and simhash.representatives(empty).count() == 0
+    odd = docs.select("*", F.lit(1).alias("k"), F.lit(2).alias("fp"), F.lit(3).alias("root"), F.lit(4).alias("least"))
+    assert simhash.representatives(odd).count() == len(heads) and set(simhash.representatives(odd).columns) == set(odd.columns)
+
+
+def test_pipeline_near_dedup_is_by_fingerprints(spark):
+    """A phrase a hundred times with two tails: the shingle sets are unlike, the fingerprints (repeats count) are equal."""
+    import corpus_pipeline
+
+    texts = ["mill river stone " * 100 + tail for tail in ("a b c d e f g h i j k l m n o p", "q r s t u v w x y z 1 2 3 4 5 6")]
+    assert plain_fingerprint(texts[0]) == plain_fingerprint(texts[1])
+    made = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r["doc_id"] for r in corpus_pipeline.near_dedup(spark, made, "").collect()] == [0]
+
+
 def test_spark_hash_is_xxh64(spark):
     assert spark.range(1).select(F.xxhash64(F.lit("a b c"))).first()[0] & (1 << 64) - 1 == xxhash.xxh64_intdigest(b"a b c", 42)
 

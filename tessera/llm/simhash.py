@@ -91,6 +91,7 @@ def representatives(docs: DataFrame, width: int = 3, small: int = 32) -> DataFra
     """The rows of ``docs`` with the smallest doc_id (null is less than any) of each component over links of at most two bits.
 
     Of several texts under that doc_id, the one with the least hash stays; rows repeated with doc_id and text count once.
+    What is stored and met with ``docs`` are the keys of rows that go or are repeated: as long as these are few, no text is shuffled.
     """
     names = [fresh(c, docs) for c in ("k", "h1", "h2")]
     own = (F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), F.xxhash64("text"), F.xxhash64(F.lit(7), "text"))
@@ -100,13 +101,19 @@ def representatives(docs: DataFrame, width: int = 3, small: int = 32) -> DataFra
         return {c: batch[c] for c in ("k", "h1", "h2")} | {"fp": np.array(made, np.uint64).view(np.int64)}
 
     keyed = docs.select(own[0].alias("k"), own[1].alias("h1"), own[2].alias("h2"), "text")
-    prints = map_arrow(keyed, "k long, h1 long, h2 long, fp long", rows)
+    prints = materialise(map_arrow(keyed, "k long, h1 long, h2 long, fp long", rows), "simhash-fp")
     least = materialise(prints.groupBy("fp").agg(F.min(F.struct("k", "h1", "h2")).alias("least")), "simhash-least")
     roots = connected_components(close_links(least.select("fp"), small)).withColumnRenamed("node", "fp")
     by_root = least.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root"))
-    first = by_root.agg(F.min("least").alias("f")).select("f.*").toDF(*names)
-    kept = docs.join(first.hint("merge"), [a == F.col(b) for a, b in zip(own, names)])
-    return kept.dropDuplicates(names).drop(*names)
+    first = by_root.agg(F.min("least").alias("f")).select("f.*", F.lit(True).alias("first"))
+    times = prints.groupBy("k", "h1", "h2").agg(F.count("*").alias("n")).join(first.hint("merge"), ["k", "h1", "h2"], "left")
+    marked = times.where("first is null or n > 1").select(*[F.col(c).alias(n) for c, n in zip(("k", "h1", "h2"), names)], "first")
+    marked = materialise(marked, "simhash-marked")
+    same = [a == F.col(b) for a, b in zip(own, names)]
+    kept, again = docs.join(marked.drop("first"), same, "left_anti"), marked.where("first").drop("first")
+    if again.isEmpty():
+        return kept
+    return kept.unionByName(docs.join(again, same).dropDuplicates(names).drop(*names))
 
 
 def hex_fingerprint(fp):

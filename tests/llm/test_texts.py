@@ -77,6 +77,26 @@ def test_pipeline_near_dedup_is_by_fingerprints(spark):
     assert [r["doc_id"] for r in corpus_pipeline.near_dedup(spark, made, "").collect()] == [0]
 
 
+def test_near_dedup_shuffles_no_text(spark):
+    """Few rows go, so texts stay where they are; with many (no broadcast), and with repeated rows, the same rows stay."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    texts = ["mill river stone house", "a b c d e f", "mill river stone house", "one two three four"]
+    rows = [(i, t, "x") for i, t in enumerate(texts)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, first string").repartition(2)
+    twice = spark.createDataFrame([*rows, rows[1], rows[2], (None, None, None), (None, None, None)], plain.schema)
+    before = spark.conf.get(key)
+    try:
+        for threshold in ("10m", "-1"):
+            spark.conf.set(key, threshold)
+            kept = simhash.representatives(plain.cache())
+            assert ("hashpartitioning" in kept._jdf.queryExecution().executedPlan().toString()) == (threshold == "-1")
+            assert sorted(r["doc_id"] for r in kept.collect()) == [0, 1, 3]
+            again = simhash.representatives(twice)
+            assert sorted(repr(r["doc_id"]) for r in again.collect()) == ["0", "1", "3", "None"] and again.columns == plain.columns
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_spark_hash_is_xxh64(spark):
     assert spark.range(1).select(F.xxhash64(F.lit("a b c"))).first()[0] & (1 << 64) - 1 == xxhash.xxh64_intdigest(b"a b c", 42)
 

@@ -17,6 +17,11 @@ CAP, NEAR, BLOCK = 255, (64, 1024, 8192), 256
 ONES, LOWS, HIGHS = np.uint64(0x0101010101010101), np.uint64(0x7F7F7F7F7F7F7F7F), np.uint64(0x8080808080808080)
 
 
+def windows(a: np.ndarray, width: int) -> np.ndarray:
+    """All windows of a contiguous array, as ``sliding_window_view`` has them, without its cost a call."""
+    return np.ndarray((len(a) - width + 1, width), a.dtype, a, strides=2 * a.strides)
+
+
 class Columns:
     """Two sequential files (symbols, common prefixes), replaced by new ones every round; gone when closed."""
 
@@ -62,7 +67,7 @@ def occurrences(bwt: np.ndarray, at: np.ndarray, c: np.ndarray, sigma: int, base
 def _in_eight(bwt: np.ndarray, prefix: np.ndarray, at: np.ndarray, c: np.ndarray, down: bool) -> tuple[np.ndarray, np.ndarray]:
     """What ``least_between`` finds within eight rows, eight bytes to a machine word: values, and where there are any. at counts the margin."""
     start = at + 1 if down else at - 8
-    word = lambda a, i: np.lib.stride_tricks.sliding_window_view(a, 8)[i].view("<u8").reshape(-1)
+    word = lambda a, i: windows(a, 8)[i].view("<u8").reshape(-1)
     x = word(bwt, start) ^ (c.astype(np.uint64) * ONES)
     zero = ~(((x & LOWS) + LOWS) | x | LOWS)  # the high bit of each byte that is c
     near = word(prefix, start if down else start + 1)
@@ -93,8 +98,8 @@ def least_between(bwt: np.ndarray, prefix: np.ndarray, at: np.ndarray, c: np.nda
         if not len(todo):
             return out
         start = at[todo] + edge + (1 if down else -width)
-        hit = np.lib.stride_tricks.sliding_window_view(bwt, width)[start] == c[todo][:, None]
-        near = np.lib.stride_tricks.sliding_window_view(prefix, width)[start if down else start + 1]
+        hit = windows(bwt, width)[start] == c[todo][:, None]
+        near = windows(prefix, width)[start if down else start + 1]
         step = np.arange(width, dtype=np.int16)
         first = (hit if down else hit[:, ::-1]).argmax(1).astype(np.int16)
         found = hit.any(1)
@@ -102,14 +107,21 @@ def least_between(bwt: np.ndarray, prefix: np.ndarray, at: np.ndarray, c: np.nda
         near[outside] = CAP
         out[todo[found]] = near.min(1)[found]
         todo = todo[~found]
+    if not len(todo):
+        return out
     own, low = bwt[edge:-edge], prefix[edge:-edge]
-    for symbol in np.unique(c[todo]):
-        rows = np.flatnonzero(own == symbol)
-        for t in todo[c[todo] == symbol]:
-            k = int(np.searchsorted(rows, at[t]))
-            k = k + (k < len(rows) and rows[k] == at[t]) if down else k - 1
-            if 0 <= k < len(rows):
-                out[t] = low[at[t] + 1 : rows[k] + 1].min() if down else low[rows[k] + 1 : at[t] + 1].min()
+    wanted = np.zeros(256, bool)
+    wanted[c[todo]] = True
+    rows = np.flatnonzero(wanted[own])  # of all these symbols in one pass
+    order = np.argsort(own[rows], kind="stable")  # by counting, as these are bytes
+    keys = own[rows[order]].astype(np.int64) * len(own) + rows[order]
+    key = c[todo].astype(np.int64) * len(own) + at[todo]
+    k = np.searchsorted(keys, key, side="right") if down else np.searchsorted(keys, key) - 1
+    there = (k >= 0) & (k < len(keys))
+    near = keys[np.clip(k, 0, len(keys) - 1)]
+    there &= near // len(own) == c[todo]
+    for t, x, y in zip(todo[there].tolist(), at[todo[there]].tolist(), (near[there] % len(own)).tolist()):
+        out[t] = low[x + 1 : y + 1].min() if down else low[y + 1 : x + 1].min()
     return out
 
 

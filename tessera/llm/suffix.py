@@ -27,8 +27,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bwt import repeated_starts
-from .common import map_arrow, materialise
+from .bwt import repeated_starts, windows
+from .common import discard, map_arrow, materialise
 
 LEVELS = (112, 160, 200)
 
@@ -68,7 +68,7 @@ def segments(data: bytes, k: int, length: int, part: int = 1 << 22) -> tuple[np.
         least.append(low[change])
         place = change + width - 1  # what came in, if it is less than the least so far
         look = np.flatnonzero(low[change] >= low[np.maximum(change - 1, 0)])
-        views = np.lib.stride_tricks.sliding_window_view(h, width)
+        views = windows(h, width)
         for i in range(0, len(look), 4096):
             at = change[look[i : i + 4096]]
             place[look[i : i + 4096]] = at + views[at].argmin(1)
@@ -131,12 +131,14 @@ def find(strings: DataFrame, length: int = 200, hot: int = 2048, collection: int
                         own.setdefault((key, place, data[a : b + length - 1]), []).append(a)
                 for (key, place, seg), starts in own.items():
                     h = xxhash.xxh3_128_digest(seg)
-                    out.append((r["k1"], r["k2"], key, int.from_bytes(h[:8], "big", signed=True), int.from_bytes(h[8:], "big", signed=True), starts, place, r["many"], seg))
-            yield {c: [o[n] for o in out] for n, c in enumerate(("k1", "k2", "key", "s1", "s2", "starts", "place", "many", "seg"))}
+                    out.append((r["k1"], r["k2"], key, int.from_bytes(h[:8], "big", signed=True), int.from_bytes(h[8:], "big", signed=True), starts, place, len(seg) - length + 1, r["many"], seg))
+            yield {c: [o[n] for o in out] for n, c in enumerate(("k1", "k2", "key", "s1", "s2", "starts", "place", "wide", "many", "seg"))}
 
     met = strings.withColumnsRenamed({"k1": "d1", "k2": "d2"}).join(wanted, (F.col("d1") == F.col("k1")) & (F.col("d2") == F.col("k2"))).drop("d1", "d2")
-    occ = materialise(map_arrow(met.select("k1", "k2", "data", "many", "firsts", "least", "places", "wanted"), "k1 long, k2 long, key long, s1 long, s2 long, starts array<long>, place int, many boolean, seg binary", cut), f"suffix-segments-{level}")
-    classes = occ.groupBy("key", "s1", "s2").agg(F.sum(F.size("starts") + F.col("many").cast("int")).alias("n"), F.first("place").alias("place"), F.first("seg").alias("seg"))
+    occ = materialise(map_arrow(met.select("k1", "k2", "data", "many", "firsts", "least", "places", "wanted"), "k1 long, k2 long, key long, s1 long, s2 long, starts array<long>, place int, wide int, many boolean, seg binary", cut), f"suffix-segments-{level}")
+    discard(marks)
+    #: k1, k2 and at are those of the one occurrence where n is 1; of others nothing reads them.
+    classes = occ.groupBy("key", "s1", "s2").agg(F.sum(F.size("starts") + F.col("many").cast("int")).alias("n"), F.first("place").alias("place"), F.first("seg").alias("seg"), F.first("k1").alias("k1"), F.first("k2").alias("k2"), F.first(F.col("starts")[0]).alias("at"))
     classes = materialise(classes.withColumn("cid", F.monotonically_increasing_id()), f"suffix-classes-{level}")
     sizes = classes.groupBy("key").agg(F.count("*").alias("size"), F.min("n").alias("least_n")).where("size > 1 and least_n = 1").drop("least_n")
     sized = classes.join(sizes, "key")
@@ -152,8 +154,8 @@ def find(strings: DataFrame, length: int = 200, hot: int = 2048, collection: int
                 buckets[-1].append((r["seg"], r["place"]))
             small = squeezed(buckets, k)
             found = repeated_starts(small, length - k + 2, [r["place"] for r in rows]) if small else repeated_starts([r["seg"] for r in rows], length)
-            new = [(r["cid"], _runs(f)) for r, f in zip(rows, found) if r["n"] == 1]
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in new], pa.int64()), pa.array([x[1] for x in new], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))], names=["cid", "runs"])
+            new = [(r["k1"], r["k2"], r["at"] + x["a"], r["at"] + x["b"]) for r, f in zip(rows, found) if r["n"] == 1 and f.any() for x in _runs(f)]
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in new], pa.int64()) for i in range(4)], names=["k1", "k2", "a", "b"])
 
         for batch in batches:
             for r in batch.to_pylist():
@@ -164,19 +166,17 @@ def find(strings: DataFrame, length: int = 200, hot: int = 2048, collection: int
         if held:
             yield done(held)
 
-    runs = "cid long, runs array<struct<a: int, b: int>>"
-    ordered = sized.where(F.col("size") <= hot).select("key", "cid", "n", "place", "seg").repartition("key").sortWithinPartitions("key").mapInArrow(order, runs)
-    found = ordered.select("cid", F.explode("runs").alias("r")).select("cid", F.col("r.a").cast("long").alias("a"), F.col("r.b").cast("long").alias("b"))
-    whole = classes.where("n > 1").select("cid", F.lit(0).cast("long").alias("a"), (F.octet_length("seg") - length + 1).cast("long").alias("b"))
+    ordered = sized.where(F.col("size") <= hot).select("key", "n", "place", "seg", "k1", "k2", "at").repartition("key").sortWithinPartitions("key")
+    found = ordered.mapInArrow(order, "k1 long, k2 long, a long, b long")
     over = sized.where(F.col("size") > hot)
     if k < length:
-        over = materialise(over.select(F.col("cid").alias("k1"), F.lit(0).cast("long").alias("k2"), F.col("seg").alias("data"), (F.col("n") > 1).alias("many")), f"suffix-hot-{level}")
+        over = materialise(over.select("cid", "k1", "k2", "at", F.col("seg").alias("data"), (F.col("n") > 1).alias("many")), f"suffix-hot-{level}")
         if not over.isEmpty():
-            found = found.union(find(over, length, hot, collection, level + 1).select(F.col("k1").alias("cid"), "a", "b"))
-    in_class = materialise(found.union(whole), f"suffix-found-{level}").groupBy("cid").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
-    back = occ.select("k1", "k2", "key", "s1", "s2", "starts").join(classes.select("key", "s1", "s2", "cid"), ["key", "s1", "s2"]).join(in_class, "cid")
-    back = back.select("k1", "k2", F.explode("starts").alias("first"), "runs")
-    return back.select("k1", "k2", "first", F.explode("runs").alias("r")).select("k1", "k2", (F.col("first") + F.col("r.a")).alias("a"), (F.col("first") + F.col("r.b")).alias("b"))
+            inner = find(over.select(F.col("cid").alias("k1"), F.lit(0).cast("long").alias("k2"), "data", "many"), length, hot, collection, level + 1).select(F.col("k1").alias("cid"), "a", "b")
+            found = found.union(inner.join(over.where("not many").drop("data"), "cid").select("k1", "k2", F.col("at") + F.col("a"), F.col("at") + F.col("b")))
+    found = materialise(found, f"suffix-found-{level}")
+    whole = occ.select("k1", "k2", "key", "s1", "s2", "starts", "wide").join(classes.where("n > 1").select("key", "s1", "s2"), ["key", "s1", "s2"])
+    return found.union(whole.select("k1", "k2", F.explode("starts").alias("a"), "wide").select("k1", "k2", "a", F.col("a") + F.col("wide")))
 
 
 def strings_of(docs: DataFrame) -> DataFrame:

@@ -505,6 +505,29 @@ def test_transform_and_prefixes():
         assert [x.tolist() for x in bwt.repeated_starts(strings, length)] == want
 
 
+def test_rows_of_far_symbols():
+    """Nearest rows beyond all windows, of many symbols at once, as by a plain search; all of them are found by one pass over the rows."""
+    rng = np.random.default_rng(5)
+    edge, n = bwt.NEAR[-1], 40_000
+    column, prefix = np.zeros(n + 2 * edge, np.uint8), np.zeros(n + 2 * edge, np.uint8)
+    own, low = column[edge:-edge], prefix[edge:-edge]
+    own[:], low[:] = rng.integers(1, 4, n), rng.integers(1, 200, n)
+    own[rng.choice(n, 60, False)] = np.arange(60) % 30 + 10
+    at, c = rng.integers(0, n, 300), rng.integers(10, 41, 300).astype(np.uint8)
+    for down in (False, True):
+        want = []
+        for t, x in zip(at.tolist(), c.tolist()):
+            rows = [r for r in np.flatnonzero(own == x).tolist() if (r > t if down else r < t)]
+            want.append(-1 if not rows else int(low[t + 1 : rows[0] + 1].min()) if down else int(low[rows[-1] + 1 : t + 1].min()))
+        scans, plain = [], np.flatnonzero
+        bwt.np.flatnonzero = lambda a: (scans.append(len(a) == n), plain(a))[1]
+        try:
+            got = bwt.least_between(column, prefix, at, c, np.array(want) >= 0, down)
+        finally:
+            bwt.np.flatnonzero = plain
+        assert got.tolist() == want and sum(scans) == 1
+
+
 @pytest.mark.parametrize("how", [{}, {"hot": 2, "collection": 20}])
 def test_repeats(docs, rows, empty, how):
     length, counts = 200, Counter()
